@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "token_count", "toxicity"]
+MODULES = ["language_id", "packing", "token_count", "toxicity"]
 
 
 def _collect(what: str) -> dict:
