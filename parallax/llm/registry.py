@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["hmm_lm", "language_id", "packing", "token_count", "toxicity"]
+MODULES = ["hmm_lm", "language_id", "packing", "pii", "token_count", "toxicity"]
 
 
 def _collect(what: str) -> dict:
