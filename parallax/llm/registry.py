@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["embedding_dedup", "hmm_lm", "language_id", "packing", "pii", "token_count", "toxicity"]
+MODULES = ["embedding_dedup", "hmm_lm", "language_id", "minhash_dedup", "packing", "pii", "token_count", "toxicity"]
 
 
 def _collect(what: str) -> dict:
