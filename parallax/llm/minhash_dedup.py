@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged, table, text_bytes
@@ -150,7 +150,7 @@ def confirm(percent: int, size: int):
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(described, classes): the rows as (doc, n, key, sig), and for each key its component (the least id in it)."""
+    """(described, classes): the rows as (doc, n, key, sig), and for each key its least id, its group and the group's least id."""
     described = staged(describe(docs, size, id_col, text_col), "signatures")
     nodes = described.filter("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -184,8 +184,31 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, id_col: str =
     linked = connected_components(edges)
     named = linked.join(nodes.select("node", "key", "doc"), "node")
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    classes = nodes.select("key", "doc").join(named.join(least, "component").select("key", "component_id"), "key", "left")
-    return described, classes.select("key", F.coalesce("component_id", "doc").alias("component_id"))
+    classes = nodes.select("key", F.col("doc").alias("least_doc"), "node").join(named.join(least, "component").select("key", "component", "component_id"), "key", "left")
+    return described, classes.select("key", "least_doc", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "least_doc").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the least id. Texts without words all stay."""
+    columns = docs.columns
+    _, classes = near_duplicates(docs, size, percent, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index(text_col)
+        for batch in batches:
+            keys = [set_key(s) if len(s) else None for s in (shingles(t, size) for t in text_bytes(batch.column(at)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*columns, "_set_key"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    keyed = docs.mapInArrow(run, f"{kinds}, _set_key binary")
+    # Texts without words get a key that no other row has, so that they spread over the tasks of the join.
+    alone = F.concat(F.lit(b" "), F.monotonically_increasing_id().cast("string").cast("binary"))
+    keyed = keyed.withColumn("_alone", F.col("_set_key").isNull()).withColumn("_set_key", F.coalesce("_set_key", alone))
+    order = F.struct(F.col("least_doc").isNull(), "least_doc", "key")
+    chosen = classes.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_set_key"), F.col("first.least_doc").alias("_doc"), F.lit(True).alias("_first"))
+    kept = keyed.join(chosen, "_set_key", "left").filter(F.col("_alone") | (F.col("_first") & F.col(id_col).cast("long").eqNullSafe(F.col("_doc"))))
+    turn = F.row_number().over(Window.partitionBy("_set_key").orderBy(F.lit(1)))
+    return kept.withColumn("_turn", turn).filter("_turn = 1").select(*columns)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,33 @@ def find_pii(docs: DataFrame, model: PiiModel, columns: list[str], text_col: str
     return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{kinds}, base {shape}, spans {shape}")
 
 
+def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
+    """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans become one mark. Null stays null."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    at = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            out = [masked(t, spans) if spans else t for t, (_, spans) in zip(texts, held.value.spans([t or "" for t in texts]), strict=True)]
+            cells = batch.columns
+            cells[at] = pa.array(out, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(cells, columns)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    out, done = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= done:
+            out += [text[done:a], f"<{kind}>"]
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
 def joined(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
