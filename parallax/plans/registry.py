@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["analytics"]
+MODULES = ["analytics", "clusters"]
 
 
 def _collect(what: str) -> dict:
