@@ -70,3 +70,14 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    import duckdb
+
+    from parallax.llm.embedding_dedup import ORACLE
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    want = con.execute(ORACLE["op4_embedding_dedup"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in op4_embedding_dedup(spark, sf_dir).collect())
