@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["analytics", "clusters", "landing"]
+MODULES = ["analytics", "classification", "clusters", "landing"]
 
 
 def _collect(what: str) -> dict:
