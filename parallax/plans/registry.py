@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["analytics", "classification", "clusters", "landing"]
+MODULES = ["analytics", "classification", "clusters", "landing", "quality"]
 
 
 def _collect(what: str) -> dict:
