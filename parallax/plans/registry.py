@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["analytics", "classification", "clusters", "evaluation", "landing", "quality"]
+MODULES = ["analytics", "classification", "clusters", "evaluation", "landing", "quality", "streaming"]
 
 
 def _collect(what: str) -> dict:
