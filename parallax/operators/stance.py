@@ -143,3 +143,8 @@ def latest_topic_pill(clusters: DataFrame, topics: DataFrame, today: dt.date, da
 def with_stances(rows: DataFrame, column: str, key: Column | str) -> DataFrame:
     """stances[key], or an empty map."""
     return rows.withColumn("stances", F.coalesce(F.col(column)[key], F.map_from_arrays(F.array(), F.array())))
+
+
+def pick_position(positions: Column, topic: Column, overall: Column) -> Column:
+    """The position on the topic, else the overall one."""
+    return F.coalesce(positions[topic], overall)

@@ -96,7 +96,23 @@ def country_diary(spark, sf):
     return stance.recent(statements(spark, sf), AS_OF, 10).filter("actor = 'FR'").select("event_id", "date", "topic")
 
 
+def stances_of(spark, sf):
+    """The nested scores of one grouping; an empty map where it has none."""
+    s = statements(spark, sf)
+    nested = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("g"), F.create_map("topic", "score")))
+    found = stance.with_stances(s.withColumn("nested", nested), "nested", F.lit("g"))
+    return found.select("event_id", F.size("stances").alias("n"), F.try_element_at("stances", F.col("topic")).alias("score"))
+
+
+def position_pick(spark, sf):
+    s = statements(spark, sf)
+    positions = F.create_map(F.when(F.col("k") % 3 == 0, "other").otherwise(F.col("topic")), F.concat(F.lit("on "), "topic"))
+    return s.select("event_id", stance.pick_position(positions, F.col("topic"), F.lit("overall")).alias("position"))
+
+
 QUERIES = {
+    "stances_of": stances_of,
+    "position_pick": position_pick,
     "topic_weekly": _weekly,
     "overall_weekly": lambda s, d: stance.overall_weekly(_weekly(s, d)),
     "divergence_leaderboard": lambda s, d: stance.divergence_leaderboard(_weekly(s, d), topic_dim(s)),
@@ -120,6 +136,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "stances_of": f"WITH {STATEMENTS} SELECT event_id, CAST(1 - k % 2 AS INT) AS n, CASE WHEN k % 2 = 0 THEN score END AS score FROM statements",
+    "position_pick": f"WITH {STATEMENTS} SELECT event_id, CASE WHEN k % 3 = 0 THEN 'overall' ELSE 'on ' || topic END AS position FROM statements",
     "topic_weekly": WEEKLY + "SELECT * FROM topic_weekly",
     "overall_weekly": WEEKLY + "SELECT * FROM overall_weekly",
     "divergence_leaderboard": WEEKLY + "SELECT * FROM leaderboard",
