@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontamination", "embedding_dedup", "hmm_lm", "language_id", "minhash_dedup", "packing", "pii", "token_count", "toxicity"]
+MODULES = ["decontamination", "embedding_dedup", "hmm_lm", "language_id", "minhash_dedup", "packing", "pii", "token_count", "toxicity", "warc_fixity"]
 
 
 def _collect(what: str) -> dict:
