@@ -85,3 +85,13 @@ def test_query(spark, sf_dir):
     got = op7_minhash_dedup(spark, sf_dir).toPandas()
     assert list(got.columns) == ["doc_id", "n_shingles", "component_id", "kept"]
     assert (got.kept == (got.doc_id == got.component_id)).all() and len(got) == 200
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(minhash_dedup.ORACLE["op7_minhash_dedup"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in op7_minhash_dedup(spark, sf).collect())
