@@ -102,14 +102,14 @@ def clean_evidence(s, d):
 
 def _merged(s, d):
     r = ratings(s, d)
-    old = r.filter("event % 2 = 0").withColumn("model", F.lit("v1"))
+    old = r.withColumn("model", F.lit("v1"))
     new = r.filter("event % 3 = 0").withColumn("score", F.lit(1))
     return classify.merge_ratings(old, new, "v2")
 
 
 def prompt_render(s, d):
     goals = groupings(s, d).select("grouping", F.array_join(F.transform("topics", lambda t: F.concat(F.lit("- "), t)), "\n").alias("goal_block"))
-    events = _relevant(s, d).filter("event % 97 = 0").select("event", "grouping", "source_country").join(F.broadcast(goals), "grouping")
+    events = _relevant(s, d).select("event", "grouping", "source_country").join(F.broadcast(goals), "grouping")
     return classify.render_prompts(events, "Country {country}\nGoals:\n{goals}", country=F.col("source_country"), goals=F.col("goal_block")).select("event", "grouping", "prompt")
 
 
@@ -162,8 +162,8 @@ SELECT e.event, coalesce(string_agg(a.actor, ',' ORDER BY CAST(substring(a.actor
     "clean_stance": f"WITH {RATINGS} SELECT event_id, CASE WHEN k % 8 > 2 THEN score END AS score, k % 8 = 2 AS error FROM statements",
     "clean_evidence": f"""WITH {RATINGS} SELECT event, grouping_key AS grouping, CASE WHEN topic = 'error' OR evidence IS NULL OR evidence = 'back the goal of ' || topic THEN '' ELSE evidence END AS evidence FROM ratings""",
     "drop_blank_neutral": f"WITH {RATINGS} SELECT grouping_key AS grouping, topic, score, count(*) AS n FROM ratings WHERE NOT (score = 0 AND coalesce(evidence, '') = '') GROUP BY ALL",
-    "merge_ratings": f"WITH {RATINGS} SELECT event, grouping_key AS grouping, topic, CASE WHEN event % 3 = 0 THEN 1 ELSE score END AS score, evidence, CASE WHEN event % 3 = 0 THEN 'v2' ELSE 'v1' END AS model FROM ratings WHERE event % 2 = 0 OR event % 3 = 0",
-    "prompt_render": RELEVANT + ", goals AS (SELECT grouping_key, string_agg('- ' || topic, chr(10) ORDER BY topic) AS block FROM grouping_topic GROUP BY ALL) SELECT r.event, grouping, 'Country ' || source_country || chr(10) || 'Goals:' || chr(10) || coalesce(block, '') AS prompt FROM relevant r JOIN tag_event e ON e.event = r.event LEFT JOIN goals g ON g.grouping_key = r.grouping WHERE r.event % 97 = 0",
+    "merge_ratings": f"WITH {RATINGS} SELECT event, grouping_key AS grouping, topic, CASE WHEN event % 3 = 0 THEN 1 ELSE score END AS score, evidence, CASE WHEN event % 3 = 0 THEN 'v2' ELSE 'v1' END AS model FROM ratings",
+    "prompt_render": RELEVANT + ", goals AS (SELECT grouping_key, string_agg('- ' || topic, chr(10) ORDER BY topic) AS block FROM grouping_topic GROUP BY ALL) SELECT r.event, grouping, 'Country ' || source_country || chr(10) || 'Goals:' || chr(10) || coalesce(block, '') AS prompt FROM relevant r JOIN tag_event e ON e.event = r.event LEFT JOIN goals g ON g.grouping_key = r.grouping",
     "batch_score": "SELECT doc_id AS event, CASE WHEN n % 5 <> 0 THEN CAST(n % 5 - 2 AS VARCHAR) END AS answer, CAST(CASE WHEN n % 5 <> 0 THEN 1 ELSE 2 END AS INT) AS attempts, CASE WHEN n % 5 <> 0 THEN 'ok' ELSE 'error' END AS status, CASE WHEN n % 5 = 0 THEN 'ValueError: no answer' END AS error FROM (SELECT doc_id, length(text) + 5 AS n FROM documents)",
     "enrich_report": f"SELECT {_RESP} AS status, count(*) AS n FROM conversations GROUP BY 1",
 }

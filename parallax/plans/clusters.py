@@ -10,11 +10,10 @@ from parallax.plans.analytics import WEEKLY
 from parallax.sources.adapters import AS_OF, STATEMENTS, statements, topic_dim
 
 WINDOW = 2
-#: Few statements, so that clusters end and restart inside the month.
-KEEP = "k % 9 = 0 AND event_id % 3 = 0"
+#: An area is a topic and a number, so that its clusters end and restart inside the month.
 
 CLUSTERS = f"""WITH RECURSIVE {STATEMENTS},
-items AS (SELECT * FROM statements WHERE {KEEP}),
+items AS (SELECT * REPLACE (topic || '/' || CAST(k AS VARCHAR) AS topic) FROM statements),
 anchors(topic, anchor) AS (SELECT topic, max(date) FROM items GROUP BY topic
   UNION ALL SELECT a.topic, (SELECT max(i.date) FROM items i WHERE i.topic = a.topic AND i.date < a.anchor - {WINDOW}) FROM anchors a
   WHERE EXISTS (SELECT 1 FROM items i WHERE i.topic = a.topic AND i.date < a.anchor - {WINDOW})),
@@ -31,7 +30,7 @@ cache AS (SELECT cluster_key, 'note on ' || topic AS note FROM keys_ WHERE extra
 
 
 def _items(spark, sf):
-    return statements(spark, sf).filter(KEEP)
+    return statements(spark, sf).withColumn("topic", F.concat_ws("/", "topic", F.col("k").cast("string")))
 
 
 def _clusters(spark, sf):
@@ -53,9 +52,11 @@ def cluster_scores(spark, sf):
 
 
 def ranked_clusters(spark, sf):
-    """The newest cluster of each topic in the order of the leaderboard, topics without a rank last."""
+    """The newest cluster of each area with the place of its topic on the leaderboard, null for topics without one."""
     board = stance.divergence_leaderboard(stance.topic_weekly(statements(spark, sf), AS_OF), topic_dim(spark)).select("topic", "rank")
-    return cluster.latest_cluster(cluster.cluster_summary(_clusters(spark, sf))).join(F.broadcast(board), "topic", "left").select("topic", "anchor", "date_to", "rank")
+    latest = cluster.latest_cluster(cluster.cluster_summary(_clusters(spark, sf))).withColumnRenamed("topic", "area")
+    ranked = latest.withColumn("topic", F.split_part("area", F.lit("/"), F.lit(1))).join(F.broadcast(board), "topic", "left")  # a row for each topic
+    return ranked.select("area", "anchor", "date_to", "rank")
 
 
 def commentary_inputs(spark, sf):
@@ -69,7 +70,7 @@ def commentary_inputs(spark, sf):
 def topic_pills(spark, sf):
     s = cluster.score_clusters(_clusters(spark, sf)).select("topic", "anchor", "label")
     c = cluster.cluster_summary(_clusters(spark, sf)).join(s, ["topic", "anchor"], "left")
-    return stance.latest_topic_pill(c, topic_dim(spark), AS_OF)
+    return stance.latest_topic_pill(c, _items(spark, sf).select("topic").distinct(), AS_OF)
 
 
 def cluster_items(spark, sf):
@@ -102,7 +103,7 @@ ORACLE = {
     "cluster_commentary": CLUSTERS + "SELECT k.cluster_key, topic, anchor, note FROM keys_ k LEFT JOIN cache c ON c.cluster_key = k.cluster_key",
     "pending_commentary": CLUSTERS + "SELECT * FROM keys_ WHERE cluster_key NOT IN (SELECT cluster_key FROM cache)",
     "ranked_clusters": WEEKLY + "," + CLUSTERS.removeprefix("WITH RECURSIVE").replace(STATEMENTS + ",", "").replace("means AS", "cmeans AS").replace("FROM means GROUP", "FROM cmeans GROUP").replace("scored AS", "cscored AS")
-    + "SELECT s.topic, anchor, date_to, rank FROM (SELECT * FROM summary QUALIFY row_number() OVER (PARTITION BY topic ORDER BY date_to DESC) = 1) s LEFT JOIN leaderboard l ON l.topic = s.topic",
+    + "SELECT s.topic AS area, anchor, date_to, rank FROM (SELECT * FROM summary QUALIFY row_number() OVER (PARTITION BY topic ORDER BY date_to DESC) = 1) s LEFT JOIN leaderboard l ON l.topic = split_part(s.topic, '/', 1)",
     "commentary_inputs": CLUSTERS + f""", spoken AS (SELECT *, 'position ' || CAST(event_id AS VARCHAR) AS position FROM clusters WHERE k % 2 = 0),
 first_ AS (SELECT topic, anchor, actor, position FROM spoken QUALIFY row_number() OVER (PARTITION BY topic, anchor, actor ORDER BY date DESC, event_id) = 1),
 two AS (SELECT topic, anchor FROM first_ GROUP BY ALL HAVING count(*) >= 2), lab AS (SELECT topic, anchor, {_LABEL} AS label FROM scored)
@@ -110,5 +111,5 @@ SELECT f.topic, f.anchor, actor, position, CASE label WHEN 'Aligned' THEN 'agree
 FROM first_ f JOIN two t ON t.topic = f.topic AND t.anchor = f.anchor JOIN lab l ON l.topic = f.topic AND l.anchor = f.anchor""",
     "topic_pills": CLUSTERS + f""", lab AS (SELECT s.topic, s.anchor, date_to, CASE WHEN overall IS NULL THEN NULL ELSE {_LABEL} END AS label FROM summary s LEFT JOIN scored c ON c.topic = s.topic AND c.anchor = s.anchor),
 fresh AS (SELECT topic, arg_max(label, date_to) AS label, max(date_to) AS date_to FROM lab WHERE date_to >= DATE '{AS_OF}' - 7 AND label IS NOT NULL GROUP BY topic)
-SELECT t.topic, label, date_to FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(topic) LEFT JOIN fresh f ON f.topic = t.topic""",
+SELECT t.topic, label, date_to FROM (SELECT DISTINCT topic FROM items) t LEFT JOIN fresh f ON f.topic = t.topic""",
 }

@@ -12,7 +12,7 @@ RUNS = 2
 
 
 def _cases(s, d):
-    return statements(s, d).filter("event_id % 2 = 0").select(F.col("event_id").alias("case"), "topic", "score", "k")
+    return statements(s, d).select(F.col("event_id").alias("case"), "topic", "score", "k")
 
 
 def _runs(df):
@@ -106,7 +106,7 @@ QUERIES = {
 }
 
 E = f"""WITH {STATEMENTS},
-c AS (SELECT event_id AS case_, topic, score, k FROM statements WHERE event_id % 2 = 0),
+c AS (SELECT event_id AS case_, topic, score, k FROM statements),
 r(run) AS (VALUES (0), (1)), g(grouping, code) AS (VALUES ('a', 97), ('b', 98), ('c', 99)), ab(grouping, sgn) AS (VALUES ('a', 1), ('b', -1)),
 cases AS (SELECT run, case_, k, k % 20 = 19 AS failed, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS attempts FROM c, r),
 ok AS (SELECT run, case_, k, topic, score FROM c, r WHERE k % 20 <> 19),

@@ -117,7 +117,7 @@ def collection_tier(s, d):
 
 def channel_fallback(s, d):
     docs = read(s, d, "documents").select(F.col("source").alias("source_name"), "doc_id")
-    return landing.with_fallback(docs.filter("doc_id % 2 = 0 and source_name in ('src0', 'src1', 'src2')"), docs.filter("doc_id % 2 = 1"))
+    return landing.with_fallback(docs.filter("source_name in ('src0', 'src1', 'src2')").withColumn("channel", F.lit(1)), docs.withColumn("channel", F.lit(2)))
 
 
 QUERIES = {
@@ -169,7 +169,7 @@ WHERE NOT EXISTS (SELECT 1 FROM keyed s WHERE s.doc_id % 3 = 0 AND s.source_name
     "url_filter": "SELECT page_id FROM pages WHERE starts_with(url, 'http://') AND regexp_matches(url, '/(fr|de)/[0-9]+')",
     "since_filter": f"WITH {RAW_ITEMS}, x AS (SELECT doc_id, {DAYED} FROM raw_items) SELECT * FROM x WHERE date >= DATE '2024-01-01'",
     "dateless_stats": f"WITH {RAW_ITEMS}, x AS (SELECT source_name, {DAYED} FROM raw_items) SELECT source_name, count(date) AS kept, count(*) FILTER (date IS NULL) AS dropped FROM x GROUP BY source_name",
-    "channel_fallback": "WITH a AS (SELECT source AS source_name, doc_id FROM documents WHERE doc_id % 2 = 0 AND source IN ('src0', 'src1', 'src2')) SELECT * FROM a UNION ALL SELECT source, doc_id FROM documents WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source_name FROM a)",
+    "channel_fallback": "SELECT source AS source_name, doc_id, CAST(CASE WHEN source IN ('src0', 'src1', 'src2') THEN 1 ELSE 2 END AS INT) AS channel FROM documents",
     "collection_tier": "SELECT doc_id, CASE WHEN CAST(substring(source, 4) AS INT) >= 12 THEN NULL WHEN ['de', 'en', 'es', 'fr'][CAST(substring(source, 4) AS INT) % 4 + 1] = lang THEN 'native' ELSE 'fallback' END AS collection FROM documents",
     "ingest_run_log": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS source, count(*) AS fetched, count(*) FILTER (event_type = 'click') AS new, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'signup') AS known,
   CAST(bool_or(event_type = 'error' AND user_id % 4 = 0) AS INT) AS errors FROM events GROUP BY user_id)
