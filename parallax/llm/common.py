@@ -27,6 +27,11 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(n)
 
 
+def hash_share(*columns: str) -> Column:
+    """A number from 0 to 1 that depends on the columns' values alone, evenly spread."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 32)) / float(1 << 32)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of the warehouse only where that is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", "")

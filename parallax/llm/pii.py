@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_tagger import Tagger, char_ids, viterbi
-from .common import small_batches, table
+from .common import hash_share, small_batches, table
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -236,9 +236,14 @@ def train_pii(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) ->
 
     texts = docs.select(F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
     windows = texts.mapInArrow(cut, "window string").withColumn("seeded", F.col("window").rlike("[0-9@]"))
-    # Of the plain windows a few are enough.
-    kept = windows.filter("seeded or pmod(xxhash64(window), 16) = 0").withColumn("h", F.xxhash64("window")).orderBy("h", "window").limit(sample)
-    return PiiModel([r["window"] for r in kept.collect()] or ["no text here"])
+    # Counted first, so that only about the sample leaves the tasks; of the plain windows a few are enough.
+    counts = {r["seeded"]: r["count"] for r in windows.groupBy("seeded").count().collect()}
+    share = F.when(F.col("seeded"), F.lit(min(1.0, 2 * sample / max(1, counts.get(True, 0))))).otherwise(F.lit(min(1.0, sample / 4 / max(1, counts.get(False, 0)))))
+    kept = windows.withColumn("h", hash_share("window")).filter(F.col("h") <= share).collect()
+    kept.sort(key=lambda r: (not r["seeded"], r["h"], r["window"]))
+    seeded = [r["window"] for r in kept if r["seeded"]][:sample]
+    plain = [r["window"] for r in kept if not r["seeded"]][: max(16, sample // 4)]
+    return PiiModel(seeded + plain or ["no text here"])
 
 
 def find_pii(docs: DataFrame, model: PiiModel, columns: list[str], text_col: str = "text") -> DataFrame:
