@@ -66,8 +66,6 @@ def walk_keys(w: np.ndarray, starts: np.ndarray, steps: int, walk: int, end: int
 
 def edit_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
     """The least number of word edits between the item and a stretch of text, and where the first such stretch ends; None if over most."""
-    if np.isin(item, text).sum() < len(item) - most:
-        return None
     ramp = np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, np.int64)
     for i, x in enumerate(item):
@@ -79,6 +77,15 @@ def edit_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int
     return (int(row[end]), end) if row[end] <= most else None
 
 
+def shared_words(bag: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> int:
+    """How many words of the item, given as its distinct words and their counts, occur in text."""
+    own, times = bag
+    at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+    there = np.zeros(len(own), bool)
+    there[at[own[at] == text]] = True
+    return int(times[there].sum())
+
+
 class ItemIndex:
     """LSH keys of a bounded set of items."""
 
@@ -89,6 +96,7 @@ class ItemIndex:
             if len(w):
                 self.ids.append(i)
                 self.items.append(w)
+        self.bags = [np.unique(w, return_counts=True) for w in self.items]
         keys, owners, offsets = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}
         for k, w in enumerate(self.items):
@@ -167,8 +175,10 @@ class ItemIndex:
                 continue
             lo = max(int(begins[doc]), guess - 2 * most - 1)
             hi = min(int(begins[doc + 1]), guess + len(item) + 4 * most + 1)
-            got = edit_window(item, w[lo:hi], most)
             done[doc, k] = guess + most
+            if shared_words(self.bags[k], w[lo:hi]) < len(item) - most:  # too few of its words for that many edits
+                continue
+            got = edit_window(item, w[lo:hi], most)
             if got:
                 back = edit_window(item[::-1], w[lo : lo + got[1]][::-1], most)
                 note(doc, k, got[0], lo + got[1] - (back[1] if back else len(item)) - int(begins[doc]))
