@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, text_bytes
+from .common import hash_share, map_texts, slices, text_bytes
 
 #: Distinct words that a worker keeps rows for before it starts anew.
 MOST_WORDS = 700_000
@@ -43,9 +43,15 @@ class WordTable:
 
 
 def per_group_sample(df: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
-    """At most `most` rows of each group, by the hash of their id: the same at every run, and kept small before the shuffle."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(id_col), F.col(id_col))
-    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+    """At most `most` rows of each group, the first by the hash of their id: the same at every run.
+
+    Groups are counted first, and rows whose hash is too great to be chosen are dropped where they are read, so that what is shuffled
+    and ranked is about twice the sample, however large the group.
+    """
+    share = df.groupBy(group).agg((2.0 * most / F.count("*")).alias("_share"))
+    near = df.join(F.broadcast(share), group).filter((hash_share(id_col) < F.col("_share")) | (F.col("_share") >= 1)).drop("_share")  # a row for each class or language
+    order = Window.partitionBy(group).orderBy(hash_share(id_col), F.col(id_col))
+    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
 
 
 def grouped_counts(df: DataFrame, group: str, text_col: str, count: Callable[[bytes], Counter | dict], key_type: str = "binary") -> DataFrame:
