@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import hash_share, staged, table
 from .components import connected_components
 
 PREFIX, SHARED, BLOCK = 12, 2, 1024
@@ -56,7 +56,8 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
 def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
     """By length of vector: count * its share of pivots at most, the first by hash, a bounded sample."""
     wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS, count // VECTORS_A_PIVOT))
-    rows = vectors.orderBy(F.xxhash64("raw"), "raw").limit(wanted).collect()
+    near = vectors.select("raw", hash_share("raw").alias("h")).filter(F.col("h") <= min(1.0, 2 * wanted / max(1, count)))  # about twice the sample leaves the tasks
+    rows = sorted(near.collect(), key=lambda r: (r["h"], r["raw"]))[:wanted]
     by_length: dict[int, list[bytes]] = {}
     for r in rows:
         by_length.setdefault(len(r["raw"]), []).append(bytes(r["raw"]))
