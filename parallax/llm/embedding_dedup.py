@@ -1,8 +1,11 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. Each vector is described by its PREFIX nearest pivots in order; an inverted list for each
-pivot holds the vectors that name it. Vectors of a list that share at least SHARED pivots are candidates, and their cosine in double
-precision decides. A pair is looked at in the list of the first pivot that both name, so it counts once. A list longer than BLOCK is cut
+Pivots are a bounded sample of the vectors, spread apart: one within RADIUS of a pivot already kept is dropped. A pivot that drops at
+least DENSE others stands in a dense place. A vector within RADIUS of a dense pivot has the nearest one as its home, and all that may
+link with it lies, by the triangle inequality, in the home's ball; there every pair is compared, so that no link of such a vector is
+missed. Each other vector is described by its PREFIX nearest pivots in order; an inverted list for each pivot holds the vectors that name
+it. Vectors of a list that share at least SHARED pivots are candidates. The cosine in double precision decides. A pair is looked at in
+the ball of its first home, or without one in the list of the first pivot that both name, so it counts once. A list longer than BLOCK is cut
 into blocks whose pairs are separate tasks, so no list has to fit one task and no candidate is left out. Tasks give back, not pairs, but
 each vector's number of links and its least partner in the task; components come from these by large-star and small-star. Vectors with
 the same components are one entry with a multiplicity.
@@ -27,6 +30,10 @@ from .components import connected_components
 PREFIX, SHARED, BLOCK = 12, 2, 1024
 #: One pivot for so many distinct vectors, within bounds.
 VECTORS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 32, 32, 4096
+#: Distance of unit vectors within which a pivot stands for others, and the number of sampled ones that make it dense.
+RADIUS, DENSE = 0.6, 8
+#: Added to a list's number for the ball of its pivot.
+BALL = 1 << 15
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -53,15 +60,29 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.select("vec_id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, raw binary")
 
 
-def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """By length of vector: count * its share of pivots at most, the first by hash, a bounded sample."""
+def spread(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x no two of which are within RADIUS, the first ones first, and the numbers of those that dropped DENSE others."""
+    kept, dropped = np.empty_like(x), np.zeros(len(x), np.int64)
+    n = 0
+    for v in x:
+        near = kept[:n] @ v
+        if n and near.max() >= 1 - RADIUS**2 / 2:
+            dropped[near.argmax()] += 1
+        else:
+            kept[n] = v
+            n += 1
+    return kept[:n].copy(), np.flatnonzero(dropped[:n] >= DENSE)
+
+
+def choose_pivots(vectors: DataFrame, count: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of vector: count * its share of pivots at most, the first by hash, a bounded sample, spread apart; and the dense ones."""
     wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS, count // VECTORS_A_PIVOT))
     near = vectors.select("raw", hash_share("raw").alias("h")).filter(F.col("h") <= min(1.0, 2 * wanted / max(1, count)))  # about twice the sample leaves the tasks
     rows = sorted(near.collect(), key=lambda r: (r["h"], r["raw"]))[:wanted]
     by_length: dict[int, list[bytes]] = {}
     for r in rows:
         by_length.setdefault(len(r["raw"]), []).append(bytes(r["raw"]))
-    return {n: unit(raw) for n, raw in by_length.items()}
+    return {n: spread(unit(raw)) for n, raw in by_length.items()}
 
 
 def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -70,33 +91,49 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     all_rows = staged(usable(df.select(F.col(id_col).cast("long").alias("vec_id"), vector), vector), "vectors")
     distinct = staged(all_rows.filter("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).filter("rep is not null"), "distinct-vectors")
     pivots = spark.sparkContext.broadcast(choose_pivots(distinct, distinct.count()))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))  # distance of two linked vectors at most
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(0).to_pylist()
             sizes = np.array([len(r) for r in raw])
-            owners, lists, prefixes = [], [], []
+            owners, lists, homes, prefixes = [], [], [], []
+
+            def put(at: np.ndarray, codes: np.ndarray, home: np.ndarray, named: list[bytes], size: int) -> None:
+                owners.append(at)
+                lists.append(codes.astype(np.int64) + int(size) * (1 << 16))
+                homes.append(home.astype(np.int32))
+                prefixes.extend(named)
+
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                found = pivots.value.get(int(size))
-                if found is None:  # too rare a length to have pivots: one list of its own
-                    near = np.zeros((len(at), 1), np.int16)
-                else:
-                    m = min(PREFIX, len(found))
-                    near = np.argsort(-(unit([raw[i] for i in at]) @ found.T), axis=1, kind="stable")[:, :m].astype(np.int16)
-                owners.append(np.repeat(at, near.shape[1]))
-                lists.append(near.astype(np.int64).ravel() + int(size) * (1 << 16))
-                prefixes += [p.tobytes() for p in near for _ in range(near.shape[1])]
+                if int(size) not in pivots.value:  # too rare a length to have pivots: one list of its own
+                    put(at, np.zeros(len(at)), np.full(len(at), -1), [np.zeros(1, np.int16).tobytes()] * len(at), size)
+                    continue
+                found, dense = pivots.value[int(size)]
+                cosine = unit([raw[i] for i in at]) @ found.T
+                home = np.full(len(at), -1)
+                if len(dense):
+                    d = np.sqrt(np.maximum(0, 2 - 2 * cosine[:, dense]))
+                    least = d.min(1)
+                    home = np.where(least <= RADIUS, dense[d.argmin(1)], -1)
+                    # Of x with home p and y linked with x: d(y, p) <= RADIUS + reach, and <= d(y, q) + 2 reach for any dense q.
+                    i, j = np.nonzero(d <= np.minimum(RADIUS + reach, least + 2 * reach)[:, None] + 1e-6)
+                    put(at[i], dense[j] + BALL, home[i], [b""] * len(i), size)
+                free = np.flatnonzero(home < 0)
+                m = min(PREFIX, len(found))
+                near = np.argsort(-cosine[free], axis=1, kind="stable")[:, :m].astype(np.int16)
+                put(np.repeat(at[free], m), near.ravel(), np.full(near.size, -1), [p.tobytes() for p in near for _ in range(m)], size)
             own = pa.array(np.concatenate(owners))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(lists)), *(batch.column(i).take(own) for i in (1, 2, 0)), pa.array(prefixes, pa.binary())],
-                ["list", "rep", "copies", "raw", "prefix"],
+                [pa.array(np.concatenate(lists)), *(batch.column(i).take(own) for i in (1, 2, 0)), pa.array(np.concatenate(homes)), pa.array(prefixes, pa.binary())],
+                ["list", "rep", "copies", "raw", "home", "prefix"],
             )
 
-    entries = distinct.select("raw", "rep", "copies").mapInArrow(describe, "list long, rep long, copies long, raw binary, prefix binary")
+    entries = distinct.select("raw", "rep", "copies").mapInArrow(describe, "list long, rep long, copies long, raw binary, home int, prefix binary")
     sizes = entries.groupBy("list").count()
     # Blocks of a list: each entry meets the entries of every block, in the task of the two blocks.
-    blocks = F.broadcast(sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))  # MOST_PIVOTS rows for each length of vector
+    blocks = F.broadcast(sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))  # twice MOST_PIVOTS rows at most for each length of vector
     placed = entries.join(blocks, "list").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
 
@@ -104,30 +141,43 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
         mine = group["mine"].to_numpy()
         rep, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
-        prefix = np.stack([np.frombuffer(p, np.int16) for p in group["prefix"].to_pylist()])
         x = unit(group["raw"].to_pylist())
         here = group["list"][0].as_py() % (1 << 16)
-        need = min(SHARED, prefix.shape[1])
-        names, code = np.unique(prefix, return_inverse=True)
-        code = code.reshape(prefix.shape)
-        bag = np.zeros((len(rep), len(names)), np.float32)
-        bag[np.arange(len(rep))[:, None], code] = 1
-        earlier = bag[:, names < here]
+        ball = here >= BALL
+        if ball:
+            home = group["home"].to_numpy()
+            home = np.where(home < 0, BALL, home)
+        else:
+            prefix = np.stack([np.frombuffer(p, np.int16) for p in group["prefix"].to_pylist()])
+            need = min(SHARED, prefix.shape[1])
+            names, code = np.unique(prefix, return_inverse=True)
+            code = code.reshape(prefix.shape)
+            bag = np.zeros((len(rep), len(names)), np.float32)
+            bag[np.arange(len(rep))[:, None], code] = 1
+            earlier = bag[:, names < here]
         left = np.flatnonzero(mine == lo)
         right = left if lo == hi else np.flatnonzero(mine == hi)
         links, least = np.zeros(len(rep), np.int64), rep.copy()
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         for s in range(0, len(left), 512):
             a = left[s : s + 512]
-            shared = bag[a] @ bag[right].T
-            shared[(earlier[a] @ earlier[right].T) > 0] = 0  # seen in the list of an earlier pivot
-            i, j = np.nonzero(shared >= need)
+            if ball:  # of a pair of two homes the ball of the first
+                cosine = x[a] @ x[right].T
+                i, j = np.nonzero((cosine >= threshold - 1e-9) & (np.minimum(home[a][:, None], home[right]) == here - BALL))
+                sure = cosine[i, j] >= threshold + 1e-9
+            else:
+                shared = bag[a] @ bag[right].T
+                shared[(earlier[a] @ earlier[right].T) > 0] = 0  # seen in the list of an earlier pivot
+                i, j = np.nonzero(shared >= need)
+                sure = np.zeros(len(i), bool)
             i, j = a[i], right[j]
             if lo == hi:
-                i, j = i[i < j], j[i < j]
+                i, j, sure = i[i < j], j[i < j], sure[i < j]
             for c in range(0, len(i), 65536):
                 p, q = i[c : c + 65536], j[c : c + 65536]
-                ok = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+                ok = sure[c : c + 65536].copy()
+                near = np.flatnonzero(~ok)
+                ok[near] = np.einsum("ij,ij->i", x[p[near]], x[q[near]]) >= threshold
                 p, q = p[ok], q[ok]
                 np.add.at(links, p, copies[q])
                 np.add.at(links, q, copies[p])
@@ -144,7 +194,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
         got = np.flatnonzero(links)
         return pa.table({"rep": pa.array(rep[got]), "links": pa.array(links[got]), "least": pa.array(least[got])})
 
-    found = staged(placed.select("list", "lo", "hi", "mine", "rep", "copies", "raw", "prefix").groupBy("list", "lo", "hi").applyInArrow(compare, "rep long, links long, least long"), "vector-links")
+    found = staged(placed.select("list", "lo", "hi", "mine", "rep", "copies", "raw", "home", "prefix").groupBy("list", "lo", "hi").applyInArrow(compare, "rep long, links long, least long"), "vector-links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     known = distinct.join(totals, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")

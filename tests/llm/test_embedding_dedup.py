@@ -81,3 +81,26 @@ def test_sql_gives_the_same_rows(spark, sf_dir):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
     want = con.execute(ORACLE["op4_embedding_dedup"]).fetchall()
     assert sorted(want) == sorted(tuple(r) for r in op4_embedding_dedup(spark, sf_dir).collect())
+
+
+def near_copies(n, group, noise, seed=6):
+    """n vectors of 64 components, of which `group` are a common one with noise of that length."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 64)) / 8
+    x[:group] = rng.standard_normal(64) / 8 + noise * x[:group]
+    return x[rng.permutation(n)]
+
+
+def degrees(x, threshold=0.95):
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    return np.concatenate([(u[a : a + 2000] @ u.T >= threshold).sum(1) - 1 for a in range(0, len(u), 2000)])
+
+
+def test_every_link_of_a_dense_group(spark):
+    import pyarrow as pa
+
+    for noise in (0.17, 0.24):  # cosines of about 0.97 and 0.945
+        x = near_copies(9000, 3000, noise)
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+        got = {r.vec_id: r.n_links for r in link_vectors(df).collect()}
+        assert [got[i] for i in range(len(x))] == degrees(x).tolist()
