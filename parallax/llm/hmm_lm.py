@@ -4,8 +4,7 @@ Words are counted over all training documents by Spark; the counts stay a distri
 frequent words and, for all others, SHAPES classes by the end of the word, so that a word's probability is that of its symbol given the
 latent state, times the word's smoothed share of its class: (count + 0.1) / (class tokens + 0.1 (class words + 1)), where the 1 stands
 for unseen words. Baum-Welch runs as Spark jobs: each task adds up expected counts over its segments, Spark sums them over the
-partitions, and the driver holds the bounded tables of STATES x symbols. Early rounds use one document in WARM_SHARE, the last ones all
-training documents. Scoring runs the scaled forward recursion over each whole text, which gives the exact likelihood; long texts go
+partitions, and the driver holds the bounded tables of STATES x symbols. Each of the ROUNDS rounds sees all training documents. Scoring runs the scaled forward recursion over each whole text, which gives the exact likelihood; long texts go
 through it as a product of per-segment operators, the same sum in another order. The counts of the KNOWN most frequent words are
 broadcast (a fixed bound); all other words of a text get theirs by a join.
 
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, slices, small_batches, staged, table, text_bytes
 
 STATES, TOP, SHAPES, KNOWN = 8, 4096, 1024, 150_000
-WARM_SHARE, WARM_ROUNDS, FULL_ROUNDS = 16, 6, 2
+#: Rounds of Baum-Welch, each over all training documents.
+ROUNDS = 8
 #: Tokens of a training segment and of a scoring segment; sequences that go through the recursion together.
 SEGMENT, BATCH = 256, 512
 ADD = 0.1
@@ -252,16 +252,12 @@ def train_hmm(rows: DataFrame) -> Trained:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, symbols = [], []
-            for t in text_bytes(batch.column(0)):
-                parts.append(zlib.crc32(t) % WARM_SHARE)
-                symbols.append(held.value.encode(words_of(t))[0].astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(symbols, pa.binary())], ["part", "symbols"])
-
-    encoded = staged(rows.mapInArrow(encode, "part int, symbols binary"), "symbols")
-    for r in range(WARM_ROUNDS + FULL_ROUNDS):
-        seen = encoded.filter("part = 0") if r < WARM_ROUNDS else encoded
-        model = baum_welch(seen, model, frequency)
+            symbols = [held.value.encode(words_of(t))[0].astype(np.int16).tobytes() for t in text_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.binary())], ["symbols"])
+
+    encoded = staged(rows.mapInArrow(encode, "symbols binary"), "symbols")
+    for _ in range(ROUNDS):
+        model = baum_welch(encoded, model, frequency)
     return Trained(lexicon, model, counts)
 
 
@@ -274,7 +270,7 @@ def baum_welch(encoded: DataFrame, model: HiddenMarkov, frequency: np.ndarray) -
         sums: tuple | None = None
         for batch in batches:
             segments: list[np.ndarray] = []
-            for raw in batch.column(1).to_pylist():
+            for raw in batch.column(0).to_pylist():
                 s = np.frombuffer(raw, np.int16)
                 segments += [s[p : p + SEGMENT] for p in range(0, len(s), SEGMENT)]
             got = held.value.expected(segments)

@@ -85,3 +85,15 @@ def test_odd_rows(spark):
     none = train_hmm(df.limit(0).select("text"))
     got = score_texts(df, none, ["doc_id"]).where(F.col("doc_id") == 2).first()
     assert (got.n_tokens, got.n_known, got.train_tokens) == (1, 0, 0) and abs(got.base_score) < 1e-12
+
+
+def test_every_round_sees_all_documents(spark, monkeypatch):
+    texts = ["a b a b c", "c d c d a", "e a e b"]
+    assert all(zlib.crc32(t.encode()) % 16 for t in texts)
+    seen = []
+    step = hmm_lm.baum_welch
+    monkeypatch.setattr(hmm_lm, "baum_welch", lambda encoded, model, frequency: seen.append(encoded.count()) or step(encoded, model, frequency))
+    trained = train_hmm(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert seen == [3] * 8
+    first = hmm_lm.HiddenMarkov.first(np.full(hmm_lm.TOP + hmm_lm.SHAPES, 1.0))
+    assert not np.allclose(trained.model.move, first.move)
