@@ -171,7 +171,8 @@ class ItemIndex:
         for doc, k, guess in seen:
             item = self.items[k]
             most = int(TOLERANCE * len(item))
-            if done.get((doc, k), -1) >= guess:  # within the stretch that was just aligned
+            last = done.get((doc, k))
+            if last is not None and last >= guess:  # within the stretch that was just aligned; a guess may lie before the first word
                 continue
             lo = max(int(begins[doc]), guess - 2 * most - 1)
             hi = min(int(begins[doc + 1]), guess + len(item) + 4 * most + 1)

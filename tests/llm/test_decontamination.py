@@ -93,3 +93,12 @@ def test_odd_rows(spark, monkeypatch):
     assert {r.matches == [] for r in find_contamination(docs, bench.limit(0), ["doc_id"]).collect()} == {True}
     assert find_contamination(docs.limit(0), bench, ["doc_id"]).count() == 0
     assert SHORT == 8
+
+
+def test_item_without_its_first_words_at_the_head_of_a_batch():
+    for t, n, lost in [(0, 24, 3), (17, 28, 2), (21, 31, 4), (46, 40, 5), (52, 17, 2)]:
+        item = [f"w{t}x{i}" for i in range(n)]
+        index = ItemIndex([1], [" ".join(item).encode()])
+        text = " ".join([*item[lost:], *(f"tail{i}" for i in range(9))]).encode()
+        for texts, at in (([text], 0), ([text, b"other words"], 0), ([b"other words stand here", text], 1)):
+            assert index.matches(texts)[at] == [(1, 0, lost)]
