@@ -2,7 +2,8 @@
 
 A word that the sample knows scores its log frequency in each language. An unseen word falls back to its character n-grams (with a mark
 at both ends): the longest length of which any n-gram is known counts, by the mean of the n-grams' log frequencies. A text's language is
-the one with the greatest sum over all its words; ties go to the first name in order.
+the one with the greatest sum over all its words; ties go to the first name in order. A run of over PIECE characters without white space counts as
+several words, which cover all of its letters.
 
 Learning uses a bounded sample: at most SAMPLE documents of each language, the first by the hash of their id, with copies of a text
 counted once, and of these the WORDS most frequent words and GRAMS most frequent n-grams of each language and length. Documents of the
@@ -14,6 +15,7 @@ may repeat; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from .common import crc_mod, small_batches, table
 from .word_table import WordTable, grouped_counts, per_group_sample, score_rows
 
 SAMPLE, WORDS, GRAMS, LONGEST = 3000, 60_000, 20_000, 5
+#: Characters of a word; longer runs without white space are cut into pieces, which are all learned from and scored.
+PIECE = 40
 #: Added to each count, and the number of words whose mean evidence the score is read from.
 ALPHA, SCORE_WORDS = 0.5, 12
 UNKNOWN = "und"
@@ -31,11 +35,24 @@ UNKNOWN = "und"
 
 def bare(word: str) -> str:
     """The word from its first to its last letter; empty if it has none."""
-    while word and not word[0].isalpha():
-        word = word[1:]
-    while word and not word[-1].isalpha():
-        word = word[:-1]
-    return word[:40]
+    a, b = 0, len(word)
+    while a < b and not word[a].isalpha():
+        a += 1
+    while a < b and not word[b - 1].isalpha():
+        b -= 1
+    return word[a:b]
+
+
+def pieces(word: str) -> list[str]:
+    """A word of at most PIECE characters as it is; a longer run as its stretches of letters with their marks, and each of these that is
+    still longer in pieces that overlap by LONGEST - 1, so that every n-gram lies in one of them."""
+    if len(word) <= PIECE:
+        return [word]
+    core = bare(word)
+    if len(core) <= PIECE:
+        return [core]
+    runs = "".join(c if c.isalpha() or category(c)[0] == "M" else " " for c in core).split()
+    return [r[i : i + PIECE] for r in runs for i in range(0, max(1, len(r) - LONGEST + 1), PIECE - LONGEST + 1)]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -44,7 +61,8 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def split(text: bytes | None) -> list[str]:
-    return (text or b"").decode("utf-8", "replace").lower().split()
+    words = (text or b"").decode("utf-8", "replace").lower().split()
+    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > PIECE else words
 
 
 class LanguageModel:

@@ -31,3 +31,18 @@ def test_backs_off_to_the_longest_known():
     rows = m.rows(["word", "worx", "wolf", "...", "zz"])
     assert rows[0, 0] > rows[0, 1] and rows[1, 1] > rows[1, 0] and rows[2, 1] > rows[2, 0]
     assert rows[3].tolist() == [0, 0, 0] and rows[4].tolist() == [0, 0, 1]
+
+
+def test_runs_without_white_space_are_read_to_their_end(spark):
+    rows = [(i, "der hund und die katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en") for i in range(40)]
+    rows += [(100, "the-dog-and-the-cat-the-dog-and-the-cat-the-dog" + "-der-hund-und-die-katze" * 20, None), (101, "thedogandthecat" * 3 + "derhundunddiekatze" * 40, None), (102, "-" * 90 + "katze", None), (103, "-" * 90, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify_language(df, train_language_model(df), ["doc_id"]).collect()}
+    assert [got[k] for k in (100, 101, 102, 103)] == ["de", "de", "de", "und"]
+    from parallax.llm.language_id import LONGEST, PIECE, grams, pieces
+
+    run = "".join(chr(0x4E00 + i) for i in range(1000))
+    for n in (PIECE, PIECE + 1, PIECE + LONGEST, 2 * PIECE, 1000):
+        inside = {g for p in pieces(run[:n]) for g in grams(p, LONGEST)}
+        assert {run[i : i + LONGEST] for i in range(n - LONGEST + 1)} <= inside
+    assert pieces("x" * PIECE) == ["x" * PIECE]
