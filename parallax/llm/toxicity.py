@@ -1,6 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words are byte strings between a start and an end mark. For the toxic and the ordinary class, n-grams of bytes of orders 4 to 6 keep the
+Words are byte strings between a start and an end mark; a run of over PIECE bytes without white space counts as several words, which
+cover all of its letters and digits. For the toxic and the ordinary class, n-grams of bytes of orders 4 to 6 keep the
 class's own document counts with absolute discounting; what a class has seen rarely or never backs off to orders 1 to 3, whose Kneser-Ney
 continuation counts (how many different bytes precede) are shared by both classes. A word's evidence is the difference of its two
 log-likelihoods over its bytes. A document's evidence is length-normalised: the mean over all its words, and the means over its
@@ -32,10 +33,29 @@ NGRAMS, ORDER, SHARED, DISCOUNT = 400_000, 6, 3, 0.75
 CUTOFF = 3
 THRESHOLD = 0.3
 EDGE = b".,;:!?\"'()[]*$%&#|-"
+#: Bytes of a word; longer runs without white space are cut into pieces, which are all counted and scored.
+PIECE = 48
+_SIGNS = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
 def bare(words: list[bytes]) -> list[bytes]:
-    return [w.strip(EDGE)[:48] for w in words]
+    return [w.strip(EDGE) for w in words]
+
+
+def split(text: bytes | None) -> list[bytes]:
+    """Words between white space. A run whose bare form is over PIECE bytes is cut at ASCII signs, and what is still longer into pieces
+    that overlap by ORDER - 1, so that every n-gram lies in one of them."""
+    words = (text or b"").lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out: list[bytes] = []
+    for w in words:
+        core = w.strip(EDGE) if len(w) > PIECE else w
+        if len(core) <= PIECE:
+            out.append(core)
+        else:
+            out += [r[i : i + PIECE] for r in core.translate(_SIGNS).split() for i in range(0, max(1, len(r) - ORDER + 1), PIECE - ORDER + 1)]
+    return out
 
 
 def ngram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +74,7 @@ def ngram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def word_counts(text: bytes) -> Counter:
     """Each word once: a count is a number of documents."""
-    return Counter(set(bare(text.lower().split())))
+    return Counter(set(bare(split(text))))
 
 
 class KneserNey:
@@ -146,7 +166,7 @@ class ToxicityModel:
         return WordTable(lambda ws: self.language.evidence(bare(ws)), 2)
 
     def features(self, words: WordTable, texts: list[bytes | None]) -> np.ndarray:
-        ids = words.ids([(t or b"").lower().split() for t in texts])
+        ids = words.ids([split(t) for t in texts])
         return np.array([features(words.values[i]) for i in ids]).reshape(len(texts), 3)
 
     def scores(self, words: WordTable | None, texts: list[bytes | None]) -> np.ndarray:

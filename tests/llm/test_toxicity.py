@@ -50,3 +50,20 @@ def test_query(spark, sf_dir):
     assert list(got.columns) == ["doc_id", "held_out", "score", "predicted"]
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert ((got.score >= 0.3) == (got.predicted == 1)).all()
+
+
+def test_runs_without_white_space_are_read_to_their_end(spark):
+    docs, labels = make_rows()
+    plain = "the weather is mild today and we walk along the river with our friends"
+    docs += [(2000 + i, j.join([*plain.split(), *TOXIC[:2]]), "x") for i, j in enumerate("-,_/")] + [(2100 + i, j.join(plain.split()), "x") for i, j in enumerate("-,_/")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    model = train_toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int, text string"))
+    got = {r.doc_id: r.score for r in score_toxicity(d, model, ["doc_id"]).collect()}
+    assert all(got[2000 + i] >= 0.3 > got[2100 + i] for i in range(4))
+    from parallax.llm.toxicity import ORDER, PIECE, split
+
+    run = bytes(np.random.default_rng(3).integers(128, 256, 500, np.uint8))
+    for n in (PIECE, PIECE + 1, PIECE + ORDER, 2 * PIECE, 500):
+        inside = {p[i : i + ORDER] for p in split(run[:n]) for i in range(len(p) - ORDER + 1)}
+        assert {run[i : i + ORDER] for i in range(n - ORDER + 1)} <= inside
+    assert split(b"a  " + b"-" * 90) == [b"a", b""]
