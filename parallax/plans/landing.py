@@ -89,7 +89,7 @@ def page_date(s, d):
         .when(n == 3, F.concat(F.lit("<p>"), german, F.lit("</p>")))
         .otherwise(F.lit(""))
     )
-    return landing.extract_date(read(s, d, "pages").select("page_id", F.concat(mark, F.substring("html", 1, 200)).alias("html")))
+    return landing.extract_date(read(s, d, "pages").select("page_id", F.concat(mark, "html").alias("html")))
 
 
 def feed_parse(s, d):
@@ -107,7 +107,7 @@ def feed_parse(s, d):
 
 def page_json_items(s, d):
     blob = F.concat(F.lit('<script data-listing>{"result": {"items": '), F.to_json(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int")), lambda i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("title"), F.concat("url", F.lit("#"), i.cast("string")).alias("url"), F.lit("2024-01-01").alias("date")))), F.lit("}}</script>"))
-    return landing.listing_items(read(s, d, "pages").select("page_id", F.concat(blob, F.substring("html", 1, 50)).alias("html")))
+    return landing.listing_items(read(s, d, "pages").select("page_id", F.concat(blob, "html").alias("html")))
 
 
 def collection_tier(s, d):

@@ -168,3 +168,20 @@ def test_quality(spark):
     assert got[1] is None and list(got[2]) == ["g"] and got[3] is None
     again = {r.event: r.stances for r in quality.cleanup_neutrals(quality.cleanup_neutrals(nested)).collect()}
     assert again == got
+
+
+def test_queries_read_whole_pages(spark, tmp_path):
+    """Dates and listings of the page itself, far behind the mark that the query puts in front."""
+    from parallax.plans import landing as plans
+
+    far = "<p>" + "word " * 100 + "</p>"
+    rows = [(4, "u4", far + '<time datetime="2025-03-04T00:00:00Z">x</time>'), (9, "u9", far + "<p>05.06.2025</p>"), (14, "u14", far), (5, "u5", far)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.date for r in plans.page_date(spark, str(tmp_path)).collect()}
+    assert got == {4: D(2025, 3, 4), 9: D(2025, 6, 5), 14: None, 5: D(2024, 1, 6)}
+    whole = plans.landing.listing_items
+    plans.landing.listing_items = lambda pages: pages.select("page_id", F.length("html").alias("n"))
+    try:
+        assert all(r.n > len(html) for r in plans.page_json_items(spark, str(tmp_path)).collect() for i, _, html in rows if i == r.page_id)
+    finally:
+        plans.landing.listing_items = whole
