@@ -1,7 +1,7 @@
 """Sequence packing by the online sum-of-squares rule.
 
 Windows hold SIZE tokens. N[h] counts the partially filled windows at fill level h. A document of s tokens (with its end id) first
-gives off whole windows while s > SIZE; what is left goes to the level h, or to a new window, for which the sum of N[h]**2 after the
+gives off whole windows while s >= SIZE; what is left goes to the level h, or to a new window, for which the sum of N[h]**2 after the
 move is least. Each task packs the documents of its own partition in order, with no shuffle, and names its windows by its partition, so
 a task that runs again gives the same rows. At the end of a partition the windows still open are poured together: pieces are cut to
 fill one window after the other, so that a partition pads one window at most.
@@ -21,22 +21,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, text_bytes
-from .word_cache import WordEncoder
+from .common import table
+from .word_cache import SLICE, WordEncoder
+from .word_index import byte_slices
 
 SIZE, END_ID = 4096, 2
-#: Open windows of a task beyond which they are poured together.
-MOST_OPEN = 2048
 
 
 class SumOfSquares:
     """place(item) for one partition; closed windows collect in done as lists of (document, start, ids, document tokens)."""
 
-    def __init__(self, size: int = SIZE, most_open: int = MOST_OPEN):
-        self.size, self.most_open = size, most_open
+    def __init__(self, size: int = SIZE):
+        self.size = size
         self.count = np.zeros(size + 1, np.int64)  # at 0 and size stays 0: neither is partially filled
         self.levels: dict[int, list[list[tuple]]] = defaultdict(list)
-        self.open = 0
         self.done: list[list[tuple]] = []
 
     def place(self, doc, ids: bytes) -> None:
@@ -58,7 +56,6 @@ class SumOfSquares:
         change[1:][n[1 : self.size - s + 1] == 0] = np.iinfo(np.int64).max
         h = int(change.argmin())
         window = self.levels[h].pop() if h else []
-        self.open += (h == 0) - (h + s == self.size)
         if h:
             n[h] -= 1
         window.append(item)
@@ -67,8 +64,6 @@ class SumOfSquares:
         else:
             n[h + s] += 1
             self.levels[h + s].append(window)
-            if self.open > self.most_open:
-                self.pour()
 
     def pour(self) -> None:
         """Cut the contents of the open windows to fill windows one after the other; the last is left as it is."""
@@ -86,14 +81,12 @@ class SumOfSquares:
                             window, filled = [], 0
         self.levels.clear()
         self.count[:] = 0
-        self.open = 0
         if window:
             self.done.append(window)
 
 
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     tail = int(end_id).to_bytes(4, "little")
 
@@ -118,10 +111,11 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            docs, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in slices(texts):
-                for doc, ids in zip(docs[a:b], words.encode(texts[a:b]), strict=True):
-                    packer.place(doc, ids + tail)
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in byte_slices(texts, SLICE):
+                ids, begins = words.ids(texts.slice(a, b - a))
+                for doc, x, y in zip(docs[a:b], begins[:-1], begins[1:], strict=True):
+                    packer.place(doc, ids[x:y].tobytes() + tail)
                 yield from flush()
         packer.pour()
         yield from flush()

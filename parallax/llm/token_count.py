@@ -12,13 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_texts, slices, small_batches, table, text_bytes
-from .word_cache import WordEncoder
+from .common import map_texts, table
+from .word_cache import SLICE, WordEncoder
+from .word_index import byte_lengths, byte_slices
 
 #: Characters of a chunk, of its first overlap, and the white space at which encodings are independent.
 CHUNK, OVERLAP, WHITE = 65_536, 1_024, frozenset(" \t\n\x0b\x0c\r")
@@ -50,22 +53,21 @@ def resync_ids(library: Tokenizer, text: str, chunk: int = CHUNK, overlap: int =
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens (without begin, end or added special tokens)."""
-    small_batches(df.sparkSession)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         words = WordEncoder.of(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = text_bytes(batch.column(1))
-            counts = [0] * len(texts)
-            for a, b in slices(texts):
-                short = [i for i in range(a, b) if len(texts[i]) <= chunk]
-                for i in range(a, b):
-                    if len(texts[i]) > chunk:
-                        counts[i] = len(resync_ids(words.library, texts[i].decode("utf-8", "replace"), chunk, overlap))
-                for i, x in zip(short, words.encode([texts[i] for i in short]), strict=True):
-                    counts[i] = len(x) // 4
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            texts = pc.fill_null(batch.column(1), "")
+            size = byte_lengths(texts)
+            counts = np.zeros(len(size), np.int64)
+            short = np.flatnonzero(size <= chunk)
+            rest = texts.take(pa.array(short))
+            for a, b in byte_slices(rest, SLICE):
+                counts[short[a:b]] = words.counts(rest.slice(a, b - a))
+            for i in np.flatnonzero(size > chunk).tolist():
+                counts[i] = len(resync_ids(words.library, texts[i].as_py(), chunk, overlap))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
         return step
 

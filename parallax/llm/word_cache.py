@@ -2,41 +2,56 @@
 
 The vocabulary's pre-tokenizer never matches across ASCII white space, and neither its normaliser nor its special strings reach
 across it, so the ids of a text are the ids of its white-space-separated chunks, one after the other. Chunks repeat; the library
-encodes each distinct one once, and a text's ids are joined from the cache. The cache has a fixed bound.
+encodes each distinct one once, and the ids of a slice of texts are gathered from the cache by array work. The cache has a fixed bound.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
-#: Chunks that a worker's cache holds before it is emptied, and the longest chunk that it keeps.
-CACHE_WORDS, CACHE_BYTES = 900_000, 64
-#: Small letters of ASCII and Latin-1 in UTF-8: the normaliser keeps them and they are one match of the pre-tokenizer.
-PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+from .word_index import Growing, WordIndex, byte_slices, split_words  # noqa: E402
+
+#: Bytes of texts that are encoded together, and words that go to the library as one text.
+SLICE, TOGETHER = 4_000_000, 500
+#: Letters of ASCII and Latin-1: they are one match of the pre-tokenizer, and the normaliser only makes them small.
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: Marks after a letter or digit that are a match of their own; none of them begins a special string or an ending such as 's.
+MARKS = ".,;:!?*%&$#)"
 _SHARED: dict[str, WordEncoder] = {}
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of pool, one after the other."""
+    ends = np.cumsum(lengths)
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class WordEncoder:
-    """encode(texts): for each UTF-8 text the ids as little-endian unsigned 32-bit integers."""
+    """encode(texts): for slices of texts their ids as one array, and where each text's ids begin."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # Plain words need no normaliser, and many of them go through the model as one text; the end mark of a word parts their ids.
         self.plain = Tokenizer(self.library.model)
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = getattr(self.library.model, "end_of_word_suffix", None)
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.last = np.array([bool(mark) and (self.library.id_to_token(i) or "").endswith(mark) for i in range(size)])
         for t in (self.library, self.plain):
             resize = getattr(t.model, "_resize_cache", None)
             if resize:
                 resize(0)  # this class keeps its own
-        self.cache: dict[bytes, bytes] = {}
-        self.long: list[bytes] = []
+        self.index = WordIndex()
+        self.start, self.length, self.pool = Growing(np.int64), Growing(np.int64), Growing(np.uint32)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -45,60 +60,80 @@ class WordEncoder:
             _SHARED[path] = cls(path)
         return _SHARED[path]
 
-    @staticmethod
-    def words(text: bytes) -> list[bytes]:
-        """Chunks between ASCII white space. Pure ASCII is lower-cased first, as the vocabulary does, unless a special string may occur."""
-        if text.isascii() and b"<|" not in text:
-            text = text.lower()
-        return text.split()
-
-    def _put(self, word: bytes, ids: bytes) -> None:
-        self.cache[word] = ids
-        if len(word) > CACHE_BYTES:
-            self.long.append(word)
-
-    def _library(self, words: list[bytes], tokenizer: Tokenizer) -> None:
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            self._put(w, array("I", e.ids).tobytes())
-
-    def learn(self, words: set[bytes]) -> None:
-        """Fill the cache for these chunks."""
-        cache = self.cache
-        tails: list[tuple[bytes, bytes, bytes]] = []
-        need: set[bytes] = set()
-        for w in words:
-            core = w.rstrip(b".,")
-            if core and core != w and core[-1:].isalnum():
-                # A letter or digit ends the core, so the marks after it are a match of their own.
-                tails.append((w, core, w[len(core) :]))
-                need.add(core)
-                need.add(w[len(core) :])
-            else:
-                need.add(w)
-        easy: list[bytes] = []
-        hard: list[bytes] = []
-        for w in need:
-            if w not in cache:
-                (easy if PLAIN(w) else hard).append(w)
-        if easy:
-            self._library(easy, self.plain)
-        if hard:
-            self._library(hard, self.library)
-        for w, core, tail in tails:
-            self._put(w, cache[core] + cache[tail])
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, one after the other, and how many each word has."""
+        texts = pc.utf8_lower(words).to_pylist()
+        groups = [texts[s : s + TOGETHER] for s in range(0, len(texts), TOGETHER)]
+        found = self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(texts) or (len(ends) and ends[-1] != len(ids)):  # a vocabulary without such a mark
+            return self._each(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the whole library, word by word."""
+        found = [e.ids for e in self.library.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64)
+
+    def learn(self, words: pa.Array, _first: int) -> None:
+        """Add the ids of these chunks: each is a core, and marks after a letter or digit as a piece of their own."""
+        core = pc.ascii_rtrim(words, MARKS)
+        core = pc.if_else(pc.match_substring_regex(core, "[0-9A-Za-z]$"), core, words)
+        cut = np.flatnonzero(pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        tails = [w[len(c) :] for w, c in zip(words.take(pa.array(cut)).to_pylist(), core.take(pa.array(cut)).to_pylist(), strict=True)]
+        pieces = pa.concat_arrays([core, pa.array(tails, core.type)]).dictionary_encode()
+        number, names = pieces.indices.to_numpy(), pieces.dictionary
+        plain = pc.match_substring_regex(names, PLAIN)
+        length = np.zeros(len(names), np.int64)
+        begin = np.zeros(len(names), np.int64)
+        pool, used = [], 0
+        for which, encode in ((plain, self._plain), (pc.invert(plain), self._each)):
+            at = np.flatnonzero(which.to_numpy(zero_copy_only=False))
+            if len(at):
+                ids, length[at] = encode(names.take(pa.array(at)))
+                begin[at] = used + np.cumsum(length[at]) - length[at]
+                pool.append(ids)
+                used += len(ids)
+        # The pieces of each word in order: its core, and its marks if it has some.
+        n = len(words)
+        owner = np.concatenate([np.arange(n), cut])
+        order = np.argsort(owner, kind="stable")
+        piece = number[order]
+        size = np.bincount(owner, length[number], n).astype(np.int64)
+        self.start.extend(self.pool.size + np.cumsum(size) - size)
+        self.length.extend(size)
+        self.pool.extend(gather(np.concatenate(pool), begin[piece], length[piece]))
+
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each chunk of the texts, and where each text's chunks begin."""
+        if self.index.full():
+            self.index.clear()
+            for held in (self.start, self.length, self.pool):
+                held.clear()
+        # Plain ASCII in small letters has fewer distinct chunks; the vocabulary ignores case but in special strings.
+        simple = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        words, begins = split_words(pc.if_else(simple, pc.ascii_lower(texts), texts), lower=False)
+        return self.index.rows(words, self.learn), begins
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        rows, begins = self.rows(texts)
+        total = np.concatenate([[0], np.cumsum(self.length.values[rows])])
+        return total[begins[1:]] - total[begins[:-1]]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin."""
+        rows, begins = self.rows(texts)
+        lengths = self.length.values[rows]
+        ids = gather(self.pool.values, self.start.values[rows], lengths)
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[begins]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        lists = [self.words(t) for t in texts]
-        get = self.cache.get
-        found = [list(map(get, ws)) for ws in lists]
-        new = {w for ws, ids in zip(lists, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
-        if new:
-            self.learn(new)
-        out = [b"".join(map(get, ws) if None in ids else ids) for ws, ids in zip(lists, found, strict=True)]
-        for w in set(self.long):
-            del self.cache[w]
-        self.long.clear()
+        """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_string())
+        for a, b in byte_slices(column, SLICE):
+            ids, begins = self.ids(column.slice(a, b - a))
+            out += [ids[x:y].tobytes() for x, y in zip(begins[:-1], begins[1:], strict=True)]
         return out
