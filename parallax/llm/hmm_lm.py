@@ -3,10 +3,12 @@
 Words are counted over all training documents by Spark; the counts stay a distributed table. The model's symbols are the TOP most
 frequent words and, for all others, SHAPES classes by the end of the word, so that a word's probability is that of its symbol given the
 latent state, times the word's smoothed share of its class: (count + 0.1) / (class tokens + 0.1 (class words + 1)), where the 1 stands
-for unseen words. Baum-Welch runs as Spark jobs: each task adds up expected counts over its segments, Spark sums them over the
-partitions, and the driver holds the bounded tables of STATES x symbols. Each of the ROUNDS rounds sees all training documents. Scoring runs the scaled forward recursion over each whole text, which gives the exact likelihood; long texts go
-through it as a product of per-segment operators, the same sum in another order. The counts of the KNOWN most frequent words are
-broadcast (a fixed bound); all other words of a text get theirs by a join.
+for unseen words. Baum-Welch runs as Spark jobs: each task adds up expected counts over its texts, Spark sums them over the
+partitions, and the driver holds the bounded tables of STATES x symbols. Each of the ROUNDS rounds sees all training documents whole.
+Scoring runs the scaled forward recursion over each whole text, which gives the exact likelihood. In both, a text of over LONG tokens is
+run as segments side by side, tied by the messages that pass between them: each segment's operator (where each state leads to) gives the
+message that enters it and the one that comes back, so that the sums are those of the whole text. The counts of the KNOWN most frequent
+words are broadcast (a fixed bound); all other words of a text get theirs by a join.
 
 Null and empty texts are the end token alone. Each row is scored for itself, repeated or null ids included; rows whose id is null belong
 to no training fold. With no training rows every probability is that of an empty count table. Other columns are ignored.
@@ -15,7 +17,6 @@ to no training fold. With no training rows every probability is that of an empty
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, small_batches, staged, table, text_bytes
+from .common import crc_mod, hash_share, staged, table
+from .word_index import Growing, WordIndex, byte_slices, split_words, sums
 
 STATES, TOP, SHAPES, KNOWN = 8, 4096, 1024, 150_000
 #: Rounds of Baum-Welch, each over all training documents.
 ROUNDS = 8
-#: Tokens of a training segment and of a scoring segment; sequences that go through the recursion together.
-SEGMENT, BATCH = 256, 512
+#: Tokens of a text that is run as segments, of a segment, and of all that runs together; steps between two scalings.
+LONG, SEGMENT, TOGETHER, RESCALE = 16_384, 512, 262_144, 8
 ADD = 0.1
 #: Stands for the end of a text in the count table; white space can't occur in a word.
 END = b"\n"
-FLUSH = 400_000
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+#: Distinct words that a counting task holds, and bytes of texts read at once.
+HELD, SLICE = 400_000, 4_000_000
 
 
 def shape(word: bytes) -> int:
@@ -47,25 +46,28 @@ def shape(word: bytes) -> int:
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(word, n) over all rows of (text): counted in each task, then summed."""
+    """(word, n) over all rows of (text), with END for each text: counted in each task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        words, total, texts = WordIndex(HELD), Growing(np.int64), 0
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+        def out(more: list[bytes], n: list[int]) -> pa.RecordBatch:
+            counts = np.concatenate([total.values[: total.size], np.array(n, np.int64)])
+            made = pa.RecordBatch.from_arrays([pa.array([*words.index, *more], pa.binary()), pa.array(counts)], ["word", "n"])
+            words.clear()
             total.clear()
             return made
 
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in slices(texts):
-                for t in texts[a:b]:
-                    total.update(words_of(t))
-                if len(total) > FLUSH:
-                    yield out()
-        if total:
-            yield out()
+            column = batch.column(0)
+            texts += len(column)
+            for a, b in byte_slices(column, SLICE):
+                at = words.rows(split_words(column.slice(a, b - a))[0], lambda new, _: total.extend(np.zeros(len(new), np.int64)))
+                total.values[: total.size] += np.bincount(at, minlength=total.size)
+                if words.full():
+                    yield out([], [])
+        if texts:
+            yield out([END], [texts])
 
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -76,21 +78,123 @@ class Lexicon:
     def __init__(self, words: list[bytes], counts: list[int], tokens: int, kinds: int, shape_tokens: np.ndarray, shape_kinds: np.ndarray):
         self.index = {w: i for i, w in enumerate(words)}
         self.tokens, self.kinds, self.shape_tokens, self.shape_kinds = tokens, kinds, shape_tokens, shape_kinds
-        self.counts = np.array(counts, np.float64)
-        self.symbol = np.array([i if i < TOP else TOP + shape(w) for i, w in enumerate(words)], np.int32)
-        self.base = np.log10((self.counts + ADD) / (tokens + ADD * (kinds + 1)))
-        cls = np.maximum(self.symbol - TOP, 0)
-        self.inner = np.where(self.symbol < TOP, 0.0, np.log10((self.counts + ADD) / (shape_tokens[cls] + ADD * (shape_kinds[cls] + 1)))) if words else np.zeros(0)
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols, the known words' rows (-1 for others), and the others."""
-        ids = list(map(self.index.get, words))
-        others = [w for w, i in zip(words, ids, strict=True) if i is None]
-        at = np.array([-1 if i is None else i for i in ids] if others else ids, np.int64)
-        symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)
-        if others:
-            symbols[at < 0] = [TOP + shape(w) for w in others]
-        return symbols, at, others
+        # The last place stands for words that are not among them.
+        self.symbol = np.array([*(i if i < TOP else TOP + shape(w) for i, w in enumerate(words)), 0], np.int32)
+        self.base, self.inner = self.logs(np.array([*counts, 0], np.float64), np.where(self.symbol < TOP, -1, self.symbol - TOP))
+        self.base[-1] = self.inner[-1] = 0.0
+
+    def logs(self, counts: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each word's base probability, and of its share of its class (0 for class -1, a word that is a symbol)."""
+        base = np.log10((counts + ADD) / (self.tokens + ADD * (self.kinds + 1)))
+        inner = np.log10((counts + ADD) / (self.shape_tokens[cls] + ADD * (self.shape_kinds[cls] + 1)))
+        return base, np.where(cls < 0, 0.0, inner)
+
+    def end(self) -> tuple[int, float, float, bool]:
+        """Symbol, base and inner logarithm of the end token, and whether training texts have it."""
+        i = self.index.get(END)
+        if i is not None:
+            return int(self.symbol[i]), float(self.base[i]), float(self.inner[i]), True
+        base, inner = self.logs(np.zeros(1), np.array([shape(END)]))
+        return TOP + shape(END), float(base[0]), float(inner[0]), False
+
+
+class Reader:
+    """A worker's words as rows of the lexicon and as symbols."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.words = WordIndex()
+        self.known, self.symbol = Growing(np.int64), Growing(np.int16)
+        self.end = lexicon.end()
+
+    def _learn(self, new: pa.Array, _first: int) -> None:
+        words = new.cast(pa.binary()).to_pylist()
+        at = np.array([self.lexicon.index.get(w, -1) for w in words], np.int64)
+        symbols = self.lexicon.symbol[at].astype(np.int16)
+        rare = np.flatnonzero(at < 0)
+        symbols[rare] = [TOP + shape(words[i]) for i in rare]
+        self.known.extend(at)
+        self.symbol.extend(symbols)
+
+    def read(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words, their numbers in this worker, and where each text's words begin."""
+        if self.words.full():
+            self.words.clear()
+            self.known.clear()
+            self.symbol.clear()
+        words, begins = split_words(texts)
+        return words, self.words.rows(words, self._learn), begins
+
+    def symbols(self, rows: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts, each closed by the end token, and where each text's begin."""
+        n = len(begins) - 1
+        bounds = begins + np.arange(n + 1)
+        out = np.empty(bounds[-1], np.int16)
+        ends = bounds[1:] - 1
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside], out[ends] = self.symbol.values[rows], self.end[0]
+        return out, bounds
+
+
+class Packed:
+    """Sequences side by side, the longest first: step t holds the symbols of the n[t] sequences that reach it, one step after the other."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        lengths = np.array(list(map(len, sequences)))
+        self.order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[self.order]
+        self.n = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+        self.begin = np.concatenate([[0], np.cumsum(self.n)])
+        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.x = np.empty(len(step), np.int64)
+        self.x[self.begin[step] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate([sequences[i] for i in self.order])
+        self.last = self.begin[lengths - 1] + np.arange(len(lengths))  # where each sequence ends
+
+    def forward(self, b: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward messages at each place, and the logarithm (base 10) of what was scaled away from each sequence."""
+        alpha = np.empty_like(b)
+        logs = np.zeros(len(first))
+        n, begin = self.n.tolist(), self.begin.tolist()
+        np.multiply(first, b[: n[0]], out=alpha[: n[0]])
+        for t in range(1, len(n)):
+            now = alpha[begin[t] : begin[t + 1]]
+            np.matmul(alpha[begin[t - 1] : begin[t - 1] + n[t]], move, out=now)
+            now *= b[begin[t] : begin[t + 1]]
+            if t % RESCALE == 0:
+                c = now.sum(1)
+                now /= c[:, None]
+                logs[: n[t]] += np.log10(c)
+        return alpha, logs
+
+    def backward(self, b: np.ndarray, last: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward messages at each place, up to a factor, and these times b."""
+        beta, after = np.empty_like(b), np.empty_like(b)
+        beta[self.last] = last
+        n, begin = self.n.tolist(), self.begin.tolist()
+        back = np.ascontiguousarray(move.T)
+        for t in range(len(n) - 1, 0, -1):
+            w = after[begin[t] : begin[t + 1]]
+            np.multiply(b[begin[t] : begin[t + 1]], beta[begin[t] : begin[t + 1]], out=w)
+            before = beta[begin[t - 1] : begin[t - 1] + n[t]]
+            np.matmul(w, back, out=before)
+            if t % RESCALE == 0:
+                before /= before.sum(1)[:, None]
+        np.multiply(b[: n[0]], beta[: n[0]], out=after[: n[0]])
+        return beta, after
+
+
+def together(sizes: list[int], most: int = TOGETHER) -> Iterator[list[int]]:
+    """Numbers of sequences in groups of like length and of about `most` tokens."""
+    group, total = [], 0
+    for i in sorted((i for i, s in enumerate(sizes) if s), key=lambda i: sizes[i]):
+        if group and total + sizes[i] > most:
+            yield group
+            group, total = [], 0
+        group.append(i)
+        total += sizes[i]
+    if group:
+        yield group
 
 
 class HiddenMarkov:
@@ -108,105 +212,101 @@ class HiddenMarkov:
         np.fill_diagonal(move, 0.9)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
 
+    def _operators(self, table_: np.ndarray, segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each segment where each state before its first symbol leads to, and the logarithm of the scale."""
+        out, scale = np.empty((len(segments), STATES, STATES)), np.empty(len(segments))
+        for group in together([STATES * len(s) for s in segments]):
+            p = Packed([segments[i] for i in group for _ in range(STATES)])
+            eye = np.tile(np.eye(STATES), (len(group), 1))[p.order]
+            alpha, logs = p.forward(table_[p.x], eye, self.move)
+            ends = alpha[p.last]
+            total = ends.sum(1)
+            logs = logs + np.log10(total)
+            back = np.argsort(p.order)
+            logs, ends = logs[back].reshape(-1, STATES), (ends / total[:, None])[back].reshape(-1, STATES, STATES)
+            top = logs.max(1)
+            out[group], scale[group] = 10 ** (logs - top[:, None])[:, :, None] * ends, top
+        return out, scale
+
+    @staticmethod
+    def _segments(s: np.ndarray) -> list[np.ndarray]:
+        return [s[p : p + SEGMENT] for p in range(0, len(s), SEGMENT)]
+
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts over sequences of at most SEGMENT symbols."""
+        """Baum-Welch counts over whole sequences."""
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.emit.shape[1]))
         table_ = np.ascontiguousarray(self.emit.T)
-        sequences = sorted(sequences, key=len)
-        for a in range(0, len(sequences), BATCH):
-            part = sequences[a : a + BATCH]
-            lengths = np.array([len(s) for s in part])
-            steps, n = int(lengths.max()), len(part)
-            x = np.zeros((steps, n), np.int64)
-            for i, s in enumerate(part):
-                x[: len(s), i] = s
-            live = np.arange(steps)[:, None] < lengths
-            b = table_[x]
-            b[~live] = 1.0
-            alpha = np.empty((steps, n, STATES))
-            scale = np.empty((steps, n))
-            now = self.start * b[0]
-            for t in range(steps):
-                if t:
-                    now = (now @ self.move) * b[t]
-                scale[t] = now.sum(1)
-                now = now / scale[t][:, None]
-                alpha[t] = now
-            beta = np.ones((n, STATES))
-            gamma = np.empty_like(alpha)
-            for t in range(steps - 1, -1, -1):
-                gamma[t] = alpha[t] * beta
-                if t:
-                    after = b[t] * beta / scale[t][:, None]
-                    after *= live[t][:, None]
-                    move += alpha[t - 1].T @ after
-                    beta = np.where(live[t][:, None], after @ self.move.T, 1.0)
-            gamma[~live] = 0
-            start += gamma[0].sum(0)
-            flat = x.ravel()
+        # What runs side by side: symbols, the message before the first of them (None at a text's start) and after the last.
+        parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
+        one = np.ones(STATES)
+        for s in sequences:
+            if len(s) <= LONG:
+                parts.append((s, None, one))
+                continue
+            segments = self._segments(s)
+            ops, _ = self._operators(table_, segments)
+            enter: list[np.ndarray | None] = [None]
+            for k, op in enumerate(ops[:-1]):
+                v = (self.start if k == 0 else enter[k] @ self.move) @ op
+                enter.append(v / v.sum())
+            leave = [one]
+            for op in ops[:0:-1]:
+                v = self.move @ (op @ leave[-1])
+                leave.append(v / v.sum())
+            parts += zip(segments, enter, leave[::-1], strict=True)
+        for group in together([len(s) for s, _, _ in parts]):
+            p = Packed([parts[i][0] for i in group])
+            chosen = [parts[group[i]] for i in p.order]
+            fresh = np.array([v is None for _, v, _ in chosen])
+            enter_ = np.array([one if v is None else v for _, v, _ in chosen])
+            first = np.where(fresh[:, None], self.start, enter_ @ self.move)
+            b = table_[p.x]
+            alpha, _ = p.forward(b, first, self.move)
+            beta, after = p.backward(b, np.array([v for _, _, v in chosen]), self.move)
+            n0 = p.n[0]
+            # Moves: from the message one step before, or at a cut from the one that enters.
+            before = alpha[np.arange(n0, len(b)) - np.repeat(p.n[:-1], p.n[1:])]
+            for source, w in ((before, after[n0:]), (enter_[~fresh], after[:n0][~fresh])):
+                if len(source):
+                    move += source.T @ (w / ((source @ self.move) * w).sum(1)[:, None])
+            alpha *= beta
+            alpha /= alpha.sum(1)[:, None]
+            start += alpha[:n0][fresh].sum(0)
             for k in range(STATES):
-                emit[k] += np.bincount(flat, gamma[:, :, k].ravel(), emit.shape[1])
+                emit[k] += np.bincount(p.x, alpha[:, k], emit.shape[1])
         return start, move * self.move, emit
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The log10 likelihood of each sequence, by the scaled forward recursion."""
         table_ = np.ascontiguousarray(self.emit.T)
         out = np.zeros(len(sequences))
-        long = [i for i, s in enumerate(sequences) if len(s) > 2 * SEGMENT]
-        short = sorted((i for i, s in enumerate(sequences) if 0 < len(s) <= 2 * SEGMENT), key=lambda i: len(sequences[i]))
-        for a in range(0, len(short), BATCH):
-            at = short[a : a + BATCH]
-            out[at] = self._forward(table_, [sequences[i] for i in at], None)[0]
-        # A long sequence: the operator of each segment (where each state leads to), applied one after the other.
-        pieces = [(i, sequences[i][p : p + SEGMENT]) for i in long for p in range(0, len(sequences[i]), SEGMENT)]
-        group = max(1, BATCH // STATES)
-        state: dict[int, np.ndarray] = {}
-        for a in range(0, len(pieces), group):
-            part = pieces[a : a + group]
-            logs, ends = self._forward(table_, [s for _, s in part for _ in range(STATES)], np.tile(np.eye(STATES), (len(part), 1)))
-            for j, (i, _) in enumerate(part):
-                lg, end = logs[j * STATES : (j + 1) * STATES], ends[j * STATES : (j + 1) * STATES]
-                v = state[i] @ self.move if i in state else self.start
-                top = lg.max()
-                v = (v * 10 ** (lg - top)) @ end
-                out[i] += top + np.log10(v.sum())
-                state[i] = v / v.sum()
+        for group in together([len(s) if len(s) <= LONG else 0 for s in sequences]):
+            p = Packed([sequences[i] for i in group])
+            alpha, logs = p.forward(table_[p.x], np.tile(self.start, (len(group), 1)), self.move)
+            out[np.array(group)[p.order]] = logs + np.log10(alpha[p.last].sum(1))
+        for i, s in enumerate(sequences):
+            if len(s) > LONG:
+                v = None
+                for op, scale in zip(*self._operators(table_, self._segments(s)), strict=True):
+                    v = (self.start if v is None else v @ self.move) @ op
+                    out[i] += scale + np.log10(v.sum())
+                    v = v / v.sum()
         return out
 
-    def _forward(self, table_: np.ndarray, part: list[np.ndarray], first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(s) for s in part])
-        steps, n = int(lengths.max()), len(part)
-        x = np.zeros((steps, n), np.int64)
-        for i, s in enumerate(part):
-            x[: len(s), i] = s
-        live = np.arange(steps)[:, None] < lengths
-        logs = np.zeros(n)
-        whole = int(lengths.min())
-        now = np.tile(self.start, (n, 1)) if first is None else first
-        for t in range(steps):
-            step = (now @ self.move if t else now) * table_[x[t]]
-            c = step.sum(1)
-            step /= c[:, None]
-            if t < whole:
-                now = step
-                logs += np.log10(c)
-            else:
-                now = np.where(live[t][:, None], step, now)
-                logs += np.where(live[t], np.log10(c), 0.0)
-        return logs, now
-
 
 def most_frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
-    """The words counted at least so often that there are `most` of them at the most: by a histogram of the counts, eight steps to each
-    doubling, so that no task has to gather candidates of all others."""
+    """The end token and the most frequent words, about `most` at the most: by a histogram of the counts, eight steps to each
+    doubling, so that no task has to gather candidates of all others. Of the step that doesn't fit whole, the first words by hash."""
     most = KNOWN if most is None else most
     step = F.floor(F.log2("n") * 8).cast("int")
-    total, least = 0, None
+    room, chosen = most, F.col("word") == F.lit(END)
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
-        if total + r["count"] > most:
+        share = room / r["count"]
+        chosen = chosen | ((step == r["step"]) & (F.lit(share >= 1) | (hash_share("word") < share)))
+        room -= r["count"]
+        if room <= 0:
             break
-        total, least = total + r["count"], r["step"]
-    return counts.filter(step >= least) if least is not None else counts.limit(0)
+    return counts.filter(chosen)
 
 
 class Trained:
@@ -251,9 +351,14 @@ def train_hmm(rows: DataFrame) -> Trained:
     held = spark.sparkContext.broadcast(lexicon)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(held.value)
         for batch in batches:
-            symbols = [held.value.encode(words_of(t))[0].astype(np.int16).tobytes() for t in text_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.binary())], ["symbols"])
+            column = batch.column(0)
+            for a, b in byte_slices(column, SLICE):
+                _, at, begins = reader.read(column.slice(a, b - a))
+                symbols, bounds = reader.symbols(at, begins)
+                made = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((2 * bounds).astype(np.int64)), pa.py_buffer(symbols)])
+                yield pa.RecordBatch.from_arrays([made.cast(pa.binary())], ["symbols"])
 
     encoded = staged(rows.mapInArrow(encode, "symbols binary"), "symbols")
     for _ in range(ROUNDS):
@@ -267,16 +372,12 @@ def baum_welch(encoded: DataFrame, model: HiddenMarkov, frequency: np.ndarray) -
     size = len(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: tuple | None = None
+        sums_: tuple | None = None
         for batch in batches:
-            segments: list[np.ndarray] = []
-            for raw in batch.column(0).to_pylist():
-                s = np.frombuffer(raw, np.int16)
-                segments += [s[p : p + SEGMENT] for p in range(0, len(s), SEGMENT)]
-            got = held.value.expected(segments)
-            sums = got if sums is None else tuple(x + y for x, y in zip(sums, got, strict=True))
-        if sums is not None:
-            flat = np.concatenate([x.ravel() for x in sums])
+            got = held.value.expected([np.frombuffer(raw, np.int16) for raw in batch.column(0).to_pylist()])
+            sums_ = got if sums_ is None else tuple(x + y for x, y in zip(sums_, got, strict=True))
+        if sums_ is not None:
+            flat = np.concatenate([x.ravel() for x in sums_])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "value"])
 
@@ -301,37 +402,34 @@ def score_texts(docs: DataFrame, trained: Trained, columns: list[str], text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = held.value
+        reader = Reader(lex)
+        _, end_base, end_inner, end_known = reader.end
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             cells = len(names)
-            texts = text_bytes(batch.column(cells))
-            for a, b in slices(texts, 6_000_000):
-                count, known, base, inner, sequences, keys, owners = [], [], [], [], [], [], []
-                for k in range(a, b):
-                    symbols, at, others = lex.encode(words_of(texts[k]))
-                    sequences.append(symbols)
-                    at = at[at >= 0]
-                    count.append(len(symbols))
-                    known.append(len(at))
-                    base.append(lex.base[at].sum())
-                    inner.append(lex.inner[at].sum())
-                    for w, c in Counter(others).items():
-                        keys.append(w)
-                        owners.append((uid + k - a, c, shape(w)))
-                logs = model.log10(sequences) + inner
+            for a, b in byte_slices(batch.column(cells), SLICE):
+                words, at, begins = reader.read(batch.column(cells).slice(a, b - a))
+                symbols, bounds = reader.symbols(at, begins)
+                row = reader.known.values[at]
                 n = b - a
+                logs = model.log10(np.split(symbols, bounds[1:-1])) + sums(lex.inner[row], begins) + end_inner
+                base = sums(lex.base[row], begins) + end_base
+                known = sums(row >= 0, begins).astype(np.int64) + end_known
                 # A row for each text, whose key no word equals, and one for each of its words that isn't broadcast.
-                mine = [b" %d" % (uid + i) for i in range(n)]
-                none = len(keys)
-                own = list(zip(*owners, strict=True)) if owners else [(), (), ()]
-                columns_ = [pa.concat_arrays([batch.column(i).slice(a, n), pa.nulls(none, batch.schema.field(i).type)]) for i in range(cells)]
+                rare = np.flatnonzero(row < 0)
+                own = np.searchsorted(begins, rare, "right") - 1
+                code, where, times = np.unique(own * reader.symbol.size + at[rare], return_index=True, return_counts=True)
+                none = len(code)
+                mine = pa.array([b" %d" % (uid + i) for i in range(n)], pa.binary())
+                pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(none, t)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*range(uid, uid + n), *own[0]], pa.int64()), pa.array(mine + keys, pa.binary()),
-                        pa.array([0] * n + list(own[1]), pa.int64()), pa.array([None] * n + list(own[2]), pa.int32()),
-                        pa.array(count + [0] * none, pa.int64()), pa.array(known + [0] * none, pa.int64()),
-                        pa.array(list(base) + [0.0] * none, pa.float64()), pa.array(list(logs) + [0.0] * none, pa.float64()),
-                        *columns_,
+                        pa.array(uid + np.concatenate([np.arange(n), own[where]])),
+                        pa.concat_arrays([mine, words.take(pa.array(rare[where])).cast(pa.binary())]),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), times])),
+                        pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(reader.symbol.values[at[rare[where]]].astype(np.int32) - TOP)]),
+                        pad(np.diff(bounds), pa.int64()), pad(known, pa.int64()), pad(base, pa.float64()), pad(logs, pa.float64()),
+                        *(pa.concat_arrays([batch.column(i).slice(a, n), pa.nulls(none, batch.schema.field(i).type)]) for i in range(cells)),
                     ],
                     ["uid", "word", "times", "shape", "n_tokens", "known", "base", "log", *names],
                 )
@@ -339,20 +437,19 @@ def score_texts(docs: DataFrame, trained: Trained, columns: list[str], text_col:
 
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.col(text_col).cast("string").alias("_text"))
     schema = "uid long, word binary, times long, shape int, n_tokens long, known long, base double, log double, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    parts = rows.mapInArrow(run, schema)
-    joined = parts.join(trained.counts.withColumnRenamed("n", "c"), "word", "left")
+    joined = rows.mapInArrow(run, schema).join(trained.counts.withColumnRenamed("n", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     # log10 of the class's denominator, from a bounded literal table
     denominators = F.array(*[F.lit(float(x)) for x in np.log10(lexicon.shape_tokens + ADD * (lexicon.shape_kinds + 1))])
     base = F.when(F.col("times") > 0, F.col("times") * (F.log10(c + ADD) - F.lit(float(np.log10(lexicon.tokens + ADD * (lexicon.kinds + 1)))))).otherwise(F.col("base"))
     log = F.when(F.col("times") > 0, F.col("times") * (F.log10(c + ADD) - F.get(denominators, F.col("shape")))).otherwise(F.col("log"))
-    summed = joined.select("uid", "n_tokens", (F.col("known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), base.alias("base"), log.alias("log"), F.struct((F.col("times") == 0).alias("own"), *names).alias("row"))
-    grouped = summed.groupBy("uid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log").alias("score"), F.max("row").alias("row"))
-    return grouped.select(*[F.col(f"row.{n}").alias(x) for n, x in zip(names, columns, strict=True)], "n_tokens", "n_known", F.lit(int(lexicon.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    found = F.when(F.col("times") > 0, F.when(F.col("c") > 0, F.col("times")).otherwise(0)).otherwise(F.col("known"))
+    own = [F.first(x, ignorenulls=True).alias(x) for x in names]  # only the text's own row has them
+    grouped = joined.groupBy("uid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(found).alias("n_known"), F.sum(base).alias("base_score"), F.sum(log).alias("score"), *own)
+    return grouped.select(*[F.col(n).alias(x) for n, x in zip(names, columns, strict=True)], "n_tokens", "n_known", F.lit(int(lexicon.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 2000)
     docs = table(spark, sf_dir, "documents")
     trained = train_hmm(docs.filter(crc_mod("doc_id", 10) != 0).select(F.col("text").cast("string").alias("text")))
     scored = score_texts(docs, trained, ["doc_id"])
