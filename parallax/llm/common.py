@@ -8,20 +8,14 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch sent to a Python worker, so that a batch of long texts stays small.
-ARROW_ROWS = 1000
-
+from .word_index import byte_slices
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Long texts: hold fewer of them at once in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(n)
@@ -75,13 +69,29 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def slices(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit bytes together; a longer text stands alone."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def attach(df: DataFrame, columns: list[str], text_col: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str, limit: int = 4_000_000) -> DataFrame:
+    """(row, *fields): row is a struct of `columns`, so that no names can clash, and the fields are what make()(texts) gives for a slice
+    of about `limit` bytes of texts. make() builds a worker's state once per task. Spark bounds a batch by its bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    names = ["row", *StructType.fromDDL(fields).names]
+    rows = df.select(F.struct(*[named(c) for c in columns] or [F.lit(1)]).alias("row"), named(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            for a, b in byte_slices(batch.column(1), limit):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *step(batch.column(1).slice(a, b - a))], names)
+
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *StructType.fromDDL(fields).fields]))
+
+
+def unpacked(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of found.row and the fields beside it; a column of row that has the name of a field (in any case) gives way to it."""
+    fields = [c for c in found.columns if c != "row"]
+    taken = {c.lower() for c in fields}
+    return found.select(*[F.col("row").getField(c).alias(c) for c in columns if c.lower() not in taken], *fields)

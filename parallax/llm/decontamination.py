@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, text_bytes
+from .common import slices, table, text_bytes
 from .shingles import mix, powers, word_hashes
 
 TOLERANCE, STRIDE, WALKS, REPEATS, SAMPLED, SHORT = 0.15, 4, 2, 6, 4, 8
@@ -188,7 +188,6 @@ class ItemIndex:
 def find_contamination(docs: DataFrame, items: DataFrame, columns: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`columns` and matches: an array of (item_id, start, edits); start counts words. Each row of docs gives one row."""
     spark = docs.sparkSession
-    small_batches(spark)
     listed = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null and id is not null")
     passes = max(1, -(-listed.count() // MOST_ITEMS))
     out, names = docs.select(*columns, F.col(text_col).cast("string").alias("_text")), []

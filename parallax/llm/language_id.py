@@ -6,10 +6,9 @@ the one with the greatest sum over all its words; ties go to the first name in o
 several words, which cover all of its letters.
 
 Learning uses a bounded sample: at most SAMPLE documents of each language, the first by the hash of their id, with copies of a text
-counted once, and of these the WORDS most frequent words and GRAMS most frequent n-grams of each language and length. Documents of the
-held-out fold, null languages and null texts are never learned from. A null text, or one without letters, is `und` with score 0; a text
+counted once; all of their words and n-grams are kept. Documents of the held-out fold, null languages and null texts are never learned from. A null text, or one without letters, is `und` with score 0; a text
 whose words are all unknown takes the first language with an even score; without training rows every text is `und`. Rows and their ids
-may repeat; other columns are ignored.
+may repeat; a carried column named lang_pred or score gives way to the result, other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,13 +18,15 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table
-from .word_table import WordTable, grouped_counts, per_group_sample, score_rows
+from .common import attach, crc_mod, named, table, unpacked
+from .word_index import WordTable, split_words, sums
+from .word_table import grouped_counts, per_group_sample
 
-SAMPLE, WORDS, GRAMS, LONGEST = 3000, 60_000, 20_000, 5
+#: Documents of each language that are learned from, and the longest n-gram.
+SAMPLE, LONGEST = 1500, 5
 #: Characters of a word; longer runs without white space are cut into pieces, which are all learned from and scored.
 PIECE = 40
 #: Added to each count, and the number of words whose mean evidence the score is read from.
@@ -60,23 +61,34 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def split(text: bytes | None) -> list[str]:
-    words = (text or b"").decode("utf-8", "replace").lower().split()
-    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > PIECE else words
+def word_counts(texts: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """The bare words of texts, and how often each occurs."""
+    found = split_words(texts, unicode=True)[0].value_counts()
+    total: Counter = Counter()
+    for w, n in zip(found.field("values").cast(pa.binary()).to_pylist(), found.field("counts").to_pylist(), strict=True):
+        for p in pieces(w.decode("utf-8", "replace")):
+            total[bare(p)] += n
+    total.pop("", None)
+    return [pa.array(list(total), pa.string())], np.array(list(total.values()), np.int64)
 
 
 class LanguageModel:
-    """words and grams: {key: counts by language}."""
+    """found: for each length of n-gram (0: words) the keys and their counts by language."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], by_length: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], found: dict[int, tuple[list[str], np.ndarray]]):
         self.languages = languages
-        self.levels = {n: self._logs(found) for n, found in ({0: words} | by_length).items() if found}
+        self.levels = {n: self._logs(keys, counts) for n, (keys, counts) in found.items() if len(keys)}
 
     @staticmethod
-    def _logs(found: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-        counts = np.stack(list(found.values())).astype(np.float64)
+    def _logs(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
         logs = np.log((counts + ALPHA) / (counts.sum(0) + ALPHA * len(counts)))
-        return {k: i for i, k in enumerate(found)}, (logs - logs.max(1, keepdims=True)).astype(np.float32)
+        return {k: i for i, k in enumerate(keys)}, (logs - logs.max(1, keepdims=True)).astype(np.float32)
+
+    def word_rows(self, words: list[bytes]) -> np.ndarray:
+        """For each run without white space the sum over its pieces: log frequency by language, less the greatest, and a one for letters."""
+        cut = [pieces(w.decode("utf-8", "replace")) for w in words]
+        begins = np.concatenate([[0], np.cumsum(list(map(len, cut)), dtype=np.int64)])
+        return sums(self.rows([p for ps in cut for p in ps]), begins)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """For each word its log frequency by language, less the greatest, and whether it has a letter."""
@@ -105,55 +117,53 @@ class LanguageModel:
             left = rest
         return out
 
-    def predict(self, seen: WordTable, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for ids in seen.ids([split(t) for t in texts]):
-            v = seen.values[ids] if ids else np.zeros((0, len(self.languages) + 1), np.float32)
-            total = v.sum(0, dtype=np.float64)
-            if not total[-1] or not self.languages:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            z = total[:-1]
-            best = int(z.argmax())
-            z = (z - z[best]) * min(1.0, SCORE_WORDS / total[-1])
-            names.append(self.languages[best])
-            scores.append(float(1 / np.exp(z).sum()))
-        return names, scores
+    def predict(self, seen: WordTable, texts: pa.Array) -> list[pa.Array]:
+        words, begins = split_words(texts, unicode=True)
+        rows = seen.read(words)
+        total = sums(seen.values.values[rows], begins)
+        n = total[:, -1]
+        if not self.languages:
+            return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))]
+        z = total[:, :-1]
+        best = z.argmax(1)
+        z = (z - z.max(1, keepdims=True)) * np.minimum(1.0, SCORE_WORDS / np.maximum(n, 1))[:, None]
+        names = [self.languages[i] if k else UNKNOWN for i, k in zip(best, n, strict=True)]
+        return [pa.array(names, pa.string()), pa.array(np.where(n > 0, 1 / np.exp(z).sum(1), 0.0))]
 
 
 def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
     """Learn from rows whose fold (crc32 of the id as text, mod 4) is not 2."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), named(lang_col).cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null and id is not null").filter(crc_mod("id", 4) != 2)
     chosen = per_group_sample(rows.select("id", "lang"), "lang", "id", sample).distinct()
-    learned = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["lang", "text"])
-    counted = grouped_counts(learned, "lang", "text", lambda t: {k.encode(): n for k, n in Counter(filter(None, map(bare, split(t)))).items()})
+    learned = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["lang", "text"])  # SAMPLE ids a language at most
+    counted = grouped_counts(learned, "lang", "text", word_counts, "word string")
 
     def parts(batches):
         for batch in batches:
             langs, words, n = (c.to_pylist() for c in batch.columns)
-            totals: dict = {}
+            totals: Counter = Counter()
             for g, w, c in zip(langs, words, n, strict=True):
-                w = w.decode()
-                for size in range(LONGEST + 1):
-                    for key in [w] if not size else grams(w, size):
-                        totals[g, size, key] = totals.get((g, size, key), 0) + c
-            keys = list(totals)
-            cols = [list(x) for x in zip(*keys, strict=True)] if keys else [[], [], []]
+                totals[g, 0, w] += c
+                for size in range(1, LONGEST + 1):
+                    for key in grams(w, size):
+                        totals[g, size, key] += c
+            cols = [list(x) for x in zip(*totals, strict=True)] if totals else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "size", "key", "n"])
 
-    sums = counted.mapInArrow(parts, "lang string, size int, key string, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "key"))
-    kept = sums.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("size") == 0, WORDS).otherwise(GRAMS)).drop("rank").toArrow()
-    langs, sizes, keys, n = (kept[c].to_pylist() for c in ("lang", "size", "key", "n"))
-    names = sorted(set(langs))
+    kept = counted.mapInArrow(parts, "lang string, size int, key string, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(kept["lang"].unique().to_pylist()))
     at = {x: i for i, x in enumerate(names)}
-    levels: dict[int, dict[str, np.ndarray]] = {k: {} for k in range(LONGEST + 1)}
-    for g, size, key, c in zip(langs, sizes, keys, n, strict=True):
-        levels[size].setdefault(key, np.zeros(len(names), np.int64))[at[g]] = c
-    return LanguageModel(names, levels.pop(0), levels)
+    size, n = kept["size"].to_numpy(), kept["n"].to_numpy()
+    lang = np.array([at[x] for x in kept["lang"].to_pylist()], np.int64)
+    found = {}
+    for k in range(LONGEST + 1):
+        here = np.flatnonzero(size == k)
+        keys = kept["key"].take(pa.array(here)).combine_chunks().dictionary_encode()
+        counts = np.zeros((len(keys.dictionary), len(names)))
+        counts[keys.indices.to_numpy(), lang[here]] = n[here]
+        found[k] = keys.dictionary.to_pylist(), counts
+    return LanguageModel(names, found)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -162,15 +172,10 @@ def identify_language(docs: DataFrame, model: LanguageModel, columns: list[str],
 
     def make():
         m = held.value
-        seen = WordTable(m.rows, len(m.languages) + 1)
-
-        def score(texts):
-            names, scores = m.predict(seen, texts)
-            return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-
-        return score
+        seen = WordTable(m.word_rows, len(m.languages) + 1)
+        return lambda texts: m.predict(seen, texts)
 
-    return score_rows(docs, columns, text_col, make, "lang_pred string, score double")
+    return unpacked(attach(docs, columns, text_col, make, "lang_pred string, score double"), columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

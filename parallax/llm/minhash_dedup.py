@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table, text_bytes
+from .common import staged, table, text_bytes
 from .components import connected_components
 from .shingles import shingles, similar
 
@@ -49,7 +49,6 @@ def set_key(values: np.ndarray) -> bytes:
 
 def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, n, key, sig) of each row; key and sig are null for an empty set."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_tagger import Tagger, char_ids, viterbi
-from .common import hash_share, small_batches, table
+from .common import hash_share, table
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -222,7 +222,6 @@ class PiiModel:
 
 def train_pii(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> PiiModel:
     """Learn from windows about digits and @ of the documents, and from plain windows."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +247,6 @@ def train_pii(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) ->
 
 def find_pii(docs: DataFrame, model: PiiModel, columns: list[str], text_col: str = "text") -> DataFrame:
     """`columns` and two arrays of (kind, start, end): base, and spans, which has the base and what the tagger adds."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     shape = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -267,7 +265,6 @@ def find_pii(docs: DataFrame, model: PiiModel, columns: list[str], text_col: str
 
 def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans become one mark. Null stays null."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     at = columns.index(text_col)

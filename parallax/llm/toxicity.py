@@ -1,36 +1,41 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words are byte strings between a start and an end mark; a run of over PIECE bytes without white space counts as several words, which
-cover all of its letters and digits. For the toxic and the ordinary class, n-grams of bytes of orders 4 to 6 keep the
-class's own document counts with absolute discounting; what a class has seen rarely or never backs off to orders 1 to 3, whose Kneser-Ney
-continuation counts (how many different bytes precede) are shared by both classes. A word's evidence is the difference of its two
-log-likelihoods over its bytes. A document's evidence is length-normalised: the mean over all its words, and the means over its
-strongest words; a logistic curve, fitted on training rows that the counts have not seen, maps them to 0..1.
-
-Learning uses a bounded sample: at most SAMPLE labelled documents of each class and part, the first by the hash of their id, and the
-NGRAMS most frequent n-grams of each order. Rows outside the training folds, null labels and null texts are never learned from.
-Null and empty texts get the score of a text with no evidence; with no training rows of both classes every score is the share of
-toxic rows (0 where there are none). Repeated ids or rows give one row each; if labels repeat an id, its largest label counts.
+Two models of each class, toxic and ordinary, see a text. One reads its words as byte strings between a start and an end mark: n-grams of
+bytes of orders 4 to 6 keep the class's own document counts with absolute discounting; what a class has seen rarely or never backs off to
+orders 1 to 3, whose Kneser-Ney continuation counts (how many different bytes precede) are shared by both classes. The other reads
+expressions, words after words: the class's own document counts of word pairs back off to the pairs of both classes together, and these
+to how many different words a word follows. Evidence is the difference of the two classes' log-likelihoods. A document's evidence is
+length-normalised: the mean over its bytes or its pairs, the strongest word or pair, and the mean of the four strongest; a logistic
+curve, fitted on training rows that the counts have not seen, maps these to 0..1. A run of over PIECE bytes without white space counts as
+several words, which cover all of its letters and digits.
+
+Learning uses a bounded sample: at most SAMPLE labelled documents of each class and part, the first by the hash of their id; all n-grams
+and pairs of the sample are kept. Rows outside the training folds, null labels and null texts are never learned from. Null and empty
+texts get the score of a text with no evidence; with no training rows of both classes every score is the share of toxic rows (0 where
+there are none). Repeated ids or rows give one row each; if labels repeat an id, its largest label counts. A carried column named score
+gives way to the result; other columns don't matter.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table
-from .word_table import WordTable, grouped_counts, per_group_sample, score_rows
+from .common import attach, crc_mod, named, table, unpacked
+from .shingles import mix
+from .word_index import Growing, WordIndex, split_words, sums
+from .word_table import grouped_counts, per_group_sample
 
 #: Documents learned from, of each class: in the counts and in the fit of the curve.
-SAMPLE = 4000
-#: n-grams kept of each order, order of the class models, highest order of the shared ones, and the discount.
-NGRAMS, ORDER, SHARED, DISCOUNT = 400_000, 6, 3, 0.75
-#: Orders above SHARED drop n-grams counted less often than this in both classes together.
-CUTOFF = 3
+SAMPLE = 1500
+#: Order of the class models, highest order of the shared ones, and the discount.
+ORDER, SHARED, DISCOUNT = 6, 3, 0.75
+#: Words or pairs whose mean evidence counts beside the whole text's.
+STRONGEST = 4
 THRESHOLD = 0.3
 EDGE = b".,;:!?\"'()[]*$%&#|-"
 #: Bytes of a word; longer runs without white space are cut into pieces, which are all counted and scored.
@@ -38,24 +43,28 @@ PIECE = 48
 _SIGNS = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
-def bare(words: list[bytes]) -> list[bytes]:
-    return [w.strip(EDGE) for w in words]
+def pieces(word: bytes) -> list[bytes]:
+    """The bare word. One of over PIECE bytes is cut at ASCII signs, and what is still longer into pieces that overlap by ORDER - 1, so
+    that every n-gram lies in one of them."""
+    core = word.strip(EDGE)
+    if len(core) <= PIECE:
+        return [core]
+    return [r[i : i + PIECE] for r in core.translate(_SIGNS).split() for i in range(0, max(1, len(r) - ORDER + 1), PIECE - ORDER + 1)]
 
 
-def split(text: bytes | None) -> list[bytes]:
-    """Words between white space. A run whose bare form is over PIECE bytes is cut at ASCII signs, and what is still longer into pieces
-    that overlap by ORDER - 1, so that every n-gram lies in one of them."""
-    words = (text or b"").lower().split()
-    if max(map(len, words), default=0) <= PIECE:
-        return words
-    out: list[bytes] = []
-    for w in words:
-        core = w.strip(EDGE) if len(w) > PIECE else w
-        if len(core) <= PIECE:
-            out.append(core)
-        else:
-            out += [r[i : i + PIECE] for r in core.translate(_SIGNS).split() for i in range(0, max(1, len(r) - ORDER + 1), PIECE - ORDER + 1)]
-    return out
+def word_code(word: bytes) -> int:
+    """A hash of 64 bits of the bare word."""
+    return int.from_bytes(hashlib.blake2b(word.strip(EDGE), digest_size=8).digest(), "little")
+
+
+def pair_codes(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of neighbouring words of one text: the pair's code, both words' codes, and where each text's pairs begin."""
+    inside = np.ones(max(0, len(codes) - 1), bool)
+    cuts = begins[1:-1]
+    inside[cuts[(cuts > 0) & (cuts < len(codes))] - 1] = False
+    left, right = codes[:-1][inside], codes[1:][inside]
+    bounds = np.concatenate([[0], np.cumsum(np.maximum(np.diff(begins) - 1, 0))])
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right), left, right, bounds
 
 
 def ngram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,9 +81,35 @@ def ngram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.n
     return key | (n << 56), inside, word
 
 
-def word_counts(text: bytes) -> Counter:
-    """Each word once: a count is a number of documents."""
-    return Counter(set(bare(split(text))))
+def word_counts(texts: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """The texts' distinct words (pieces of long runs), and in how many texts each occurs."""
+    words, begins = split_words(texts)
+    encoded = words.dictionary_encode()
+    known = encoded.dictionary.cast(pa.binary()).to_pylist()
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    own = [sorted(set(pieces(w))) for w in known]
+    names = pa.array([p for ps in own for p in ps], pa.binary()).dictionary_encode()
+    first = np.concatenate([[0], np.cumsum(list(map(len, own)), dtype=np.int64)])
+    met = np.unique(owner * max(1, len(known)) + encoded.indices.to_numpy())
+    text, word = met // max(1, len(known)), met % max(1, len(known))
+    size = np.diff(first)[word]
+    at = np.repeat(first[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    number = names.indices.to_numpy()[at]
+    met = np.unique(np.repeat(text, size) * max(1, len(names.dictionary)) + number)  # "x," and "x" are one word of a text
+    n = np.bincount(met % max(1, len(names.dictionary)), minlength=len(names.dictionary))
+    return [names.dictionary], n
+
+
+def pair_counts(texts: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """The texts' distinct word pairs, and in how many texts each occurs."""
+    words, begins = split_words(texts)
+    encoded = words.dictionary_encode()
+    codes = np.array([word_code(w) for w in encoded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    code, left, right, bounds = pair_codes(codes[encoded.indices.to_numpy()] if len(codes) else codes, begins)
+    distinct, first, number = np.unique(code, return_index=True, return_inverse=True)
+    met = np.unique(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * max(1, len(distinct)) + number)
+    n = np.bincount(met % max(1, len(distinct)), minlength=len(distinct))
+    return [pa.array(x.view(np.int64)) for x in (distinct, left[first], right[first])], n
 
 
 class KneserNey:
@@ -97,11 +132,10 @@ class KneserNey:
             total, kinds = np.zeros((len(head), 2)), np.zeros((len(head), 2))
             np.add.at(total, at, c)
             np.add.at(kinds, at, c > 0)
-            self.tables[n] = own, c, head, total, kinds
+            self.tables[n] = own, c.astype(np.float32), head, total.astype(np.float32), kinds.astype(np.float32)
 
-    def evidence(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros((0, 2), np.float32)
+    def probabilities(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each byte of the marked words its probability in both classes, and its word."""
         p = None
         for n in range(1, ORDER + 1):
             key, inside, word = ngram_keys(words, n)
@@ -122,6 +156,13 @@ class KneserNey:
             t = np.maximum(t, 1)
             q = np.maximum(count - DISCOUNT, 0) / t + DISCOUNT * kinds[h] / t * p[at]
             p[at] = np.where(known, q, p[at])
+        return p, word
+
+    def evidence(self, words: list[bytes]) -> np.ndarray:
+        """Of each word its log-likelihood in the toxic class less that in the ordinary one, and its bytes with the end mark."""
+        if not words:
+            return np.zeros((0, 2), np.float32)
+        p, word = self.probabilities(words)
         first = np.zeros(len(p), bool)
         first[np.cumsum([0] + [len(w) + 2 for w in words[:-1]])] = True
         gain = np.log(p[:, 1]) - np.log(p[:, 0])
@@ -132,13 +173,97 @@ class KneserNey:
         return out
 
 
-def features(values: np.ndarray) -> list[float]:
-    """Of a document's words (evidence, bytes): evidence per byte over all, of the strongest word, and the mean of the four strongest."""
+class PairKneserNey:
+    """gain(pairs): log-likelihood of a word after another under the toxic model less that under the ordinary one."""
+
+    def __init__(self, pair: np.ndarray, left: np.ndarray, right: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
+        order = np.argsort(pair)
+        self.pair, left, right = pair[order], left[order], right[order]
+        own = np.stack([ordinary[order], toxic[order]], 1).astype(np.float64)
+        self.count = np.c_[own, own.sum(1)].astype(np.float32)  # the classes, and both together
+        self.head, at = np.unique(left, return_inverse=True)
+        self.total, self.kinds = np.zeros((len(self.head), 3)), np.zeros((len(self.head), 3))
+        np.add.at(self.total, at, self.count)
+        np.add.at(self.kinds, at, self.count > 0)
+        self.word, self.follows = np.unique(right, return_counts=True)
+        self.floor = 1.0 / (len(self.pair) + len(self.word) + 1)
+
+    @staticmethod
+    def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """The place of each asked key, -1 where there is none."""
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, at, -1)
+
+    def gain(self, pair: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pair))
+        h = self._find(self.head, left)
+        some = np.flatnonzero(h >= 0)  # after a word that no class has seen both models say the same
+        if not len(some):
+            return out
+        h, p, w = h[some], self._find(self.pair, pair[some]), self._find(self.word, right[some])
+        count = np.where((p >= 0)[:, None], self.count[p], 0.0)
+        total, kinds = self.total[h], self.kinds[h]
+        low = np.where(w >= 0, self.follows[w] + 1.0, 1.0) * self.floor
+        shared = (np.maximum(count[:, 2] - DISCOUNT, 0) + DISCOUNT * kinds[:, 2] * low) / total[:, 2]
+        own = (np.maximum(count[:, :2] - DISCOUNT, 0) + DISCOUNT * kinds[:, :2] * shared[:, None]) / np.maximum(total[:, :2], 1)
+        own = np.where(total[:, :2] > 0, own, shared[:, None])
+        out[some] = np.log(own[:, 1]) - np.log(own[:, 0])
+        return out
+
+
+def strongest(values: np.ndarray) -> list[float]:
+    """The greatest value, and the mean of the STRONGEST greatest (missing ones are 0)."""
     if not len(values):
-        return [0.0, 0.0, 0.0]
-    e = values[:, 0]
-    top = np.sort(np.partition(e, -4)[-4:] if len(e) > 4 else e)[::-1]
-    return [float(e.sum(dtype=np.float64) / values[:, 1].sum(dtype=np.float64)), float(top[0]), float(top.sum() / 4)]
+        return [0.0, 0.0]
+    top = np.partition(values, -STRONGEST)[-STRONGEST:] if len(values) > STRONGEST else values
+    return [float(top.max()), float(np.sort(top)[::-1].sum(dtype=np.float64) / STRONGEST)]
+
+
+class Evidence:
+    """A worker's evidence of words and pairs; features(texts) has a row of six numbers for each text."""
+
+    def __init__(self, words: KneserNey, pairs: PairKneserNey):
+        self.words, self.pairs = words, pairs
+        self.index = WordIndex()
+        self.values, self.code, self.long = Growing(np.float32, 2), Growing(np.uint64), Growing(bool)
+        self.parts: dict[int, np.ndarray] = {}  # of long runs the evidence of each piece
+
+    def _learn(self, new: pa.Array, first: int) -> None:
+        words = new.cast(pa.binary()).to_pylist()
+        cut = [pieces(w) for w in words]
+        begins = np.concatenate([[0], np.cumsum(list(map(len, cut)), dtype=np.int64)])
+        found = self.words.evidence([p for ps in cut for p in ps])
+        several = np.diff(begins) > 1
+        for i in np.flatnonzero(several).tolist():
+            self.parts[first + i] = found[begins[i] : begins[i + 1], 0]
+        self.values.extend(sums(found, begins).astype(np.float32))
+        self.code.extend(np.array([word_code(w) for w in words], np.uint64))
+        self.long.extend(several)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        if self.index.full():
+            self.index.clear()
+            self.parts.clear()
+            for held in (self.values, self.code, self.long):
+                held.clear()
+        words, begins = split_words(texts)
+        at = self.index.rows(words, self._learn)
+        value, long = self.values.values[at], self.long.values[at]
+        pair, left, right, bounds = pair_codes(self.code.values[at], begins)
+        gain = self.pairs.gain(pair, left, right)
+        out = np.zeros((len(texts), 6))
+        total = sums(value, begins)
+        out[:, 0] = total[:, 0] / np.maximum(total[:, 1], 1)
+        out[:, 3] = sums(gain, bounds) / np.maximum(np.diff(bounds), 1)
+        mixed = np.zeros(len(texts), bool)
+        mixed[np.searchsorted(begins, np.flatnonzero(long), "right") - 1] = True
+        for i in range(len(texts)):
+            a, b = begins[i], begins[i + 1]
+            e = value[a:b, 0]
+            if mixed[i]:
+                e = np.concatenate([e[~long[a:b]], *(self.parts[k] for k in at[a:b][long[a:b]].tolist())])
+            out[i, 1:3], out[i, 4:6] = strongest(e), strongest(gain[bounds[i] : bounds[i + 1]])
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,38 +283,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 
 class ToxicityModel:
-    def __init__(self, language: KneserNey | None, curve: tuple | None, base: float):
-        self.language, self.curve, self.base = language, curve, base
+    """words and pairs: the Kneser-Ney models, or None; curve: the logistic curve, or None; base: the score without them."""
 
-    def table(self) -> WordTable:
-        assert self.language is not None
-        return WordTable(lambda ws: self.language.evidence(bare(ws)), 2)
+    def __init__(self, words: KneserNey | None, pairs: PairKneserNey | None, curve: tuple | None, base: float):
+        self.words, self.pairs, self.curve, self.base = words, pairs, curve, base
 
-    def features(self, words: WordTable, texts: list[bytes | None]) -> np.ndarray:
-        ids = words.ids([split(t) for t in texts])
-        return np.array([features(words.values[i]) for i in ids]).reshape(len(texts), 3)
+    def evidence(self) -> Evidence | None:
+        return Evidence(self.words, self.pairs) if self.words is not None and self.pairs is not None else None
 
-    def scores(self, words: WordTable | None, texts: list[bytes | None]) -> np.ndarray:
-        if words is None or self.curve is None:
+    def scores(self, evidence: Evidence | None, texts: pa.Array) -> np.ndarray:
+        if evidence is None or self.curve is None:
             return np.full(len(texts), self.base)
         w, mean, scale = self.curve
-        z = np.clip(np.c_[(self.features(words, texts) - mean) / scale, np.ones(len(texts))] @ w, -30, 30)
+        z = np.clip(np.c_[(evidence.features(texts) - mean) / scale, np.ones(len(texts))] @ w, -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
+def by_class(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, ordinary, toxic) from (group, *keys, n)."""
+    of = lambda k: F.sum(F.when(F.col("group") == k, F.col("n")).otherwise(0))
+    return counted.groupBy(*keys).agg(of(0).alias("ordinary"), of(1).alias("toxic"))
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Learn from labelled rows whose fold (crc32 of the id as text, mod 4) is 0 or 1 (counts) and 3 (curve)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    marked = marked.withColumn("fold", crc_mod(id_col, 4)).filter("fold <> 2").withColumn("part", F.when(F.col("fold") == 3, 2).otherwise(0) + F.col("label"))
-    chosen = per_group_sample(marked.select(id_col, "part"), "part", id_col, sample)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), id_col)
+    marked = labels.select(named(id_col).alias("id"), named(label_col).alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    marked = marked.groupBy("id").agg(F.max("label").cast("int").alias("label"))
+    marked = marked.withColumn("fold", crc_mod("id", 4)).filter("fold <> 2").withColumn("part", F.when(F.col("fold") == 3, 2).otherwise(0) + F.col("label"))
+    chosen = per_group_sample(marked.select("id", "part"), "part", "id", sample)
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "id")  # SAMPLE rows a part at most
     shares = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     base = shares.get(1, 0) / max(1, sum(shares.values()))
 
     counted_rows = rows.filter("part < 2").dropDuplicates(["part", "text"])  # copies count once
-    words = grouped_counts(counted_rows, "part", "text", word_counts)
+    words = grouped_counts(counted_rows, "part", "text", word_counts, "word binary")
 
     def grams(batches):
         for batch in batches:
@@ -197,43 +325,47 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for k in range(1, ORDER + 1):
                 key, inside, word = ngram_keys(ws, k)
                 key, count, kind = key[inside], n[word[inside]], part[word[inside]]
-                uniq, at = np.unique(key, return_inverse=True)
-                sums = np.zeros((len(uniq), 2), np.int64)
-                np.add.at(sums, (at, kind), count)
-                yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(np.full(len(uniq), k)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["key", "size", "ordinary", "toxic"])
-
-    counted = words.mapInArrow(grams, "key long, size long, ordinary long, toxic long").groupBy("size", "key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    counted = counted.filter((F.col("size") <= SHARED + 1) | (F.col("ordinary") + F.col("toxic") >= CUTOFF))
-    rank = F.row_number().over(Window.partitionBy("size").orderBy((F.col("ordinary") + F.col("toxic")).desc(), "key"))
-    kept = counted.withColumn("rank", rank).filter(F.col("rank") <= NGRAMS).select("key", "ordinary", "toxic").toArrow()
+                for g in (0, 1):
+                    uniq, at = np.unique(key[kind == g], return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uniq), g)), pa.array(uniq), pa.array(np.bincount(at, count[kind == g], len(uniq)).astype(np.int64))], ["group", "key", "n"])
+
+    kept = by_class(words.mapInArrow(grams, "group long, key long, n long"), ["key"]).toArrow()
     if not kept.num_rows or not sum(kept["toxic"].to_numpy()) or not sum(kept["ordinary"].to_numpy()):
-        return ToxicityModel(None, None, base)
+        return ToxicityModel(None, None, None, base)
     language = KneserNey(*(kept[c].to_numpy().astype(np.int64) for c in ("key", "ordinary", "toxic")))
-    raw = ToxicityModel(language, None, base)
-    held = spark.sparkContext.broadcast(raw)
+    seen = by_class(grouped_counts(counted_rows, "part", "text", pair_counts, "pair long, left long, right long"), ["pair", "left", "right"]).toArrow()
+    if not seen.num_rows:  # texts of one word: a pair that no text has
+        seen = pa.table({c: pa.array([0], pa.int64()) for c in ("pair", "left", "right", "ordinary", "toxic")})
+    pairs = PairKneserNey(*(seen[c].to_numpy().view(np.uint64) for c in ("pair", "left", "right")), seen["ordinary"].to_numpy(), seen["toxic"].to_numpy())
+    held = spark.sparkContext.broadcast(ToxicityModel(language, pairs, None, base))
 
     def make():
-        model = held.value
-        seen = model.table()
-        return lambda texts: [pa.array(list(c)) for c in model.features(seen, texts).T]
+        evidence = held.value.evidence()
+        return lambda texts: [pa.array(c) for c in evidence.features(texts).T]
 
-    got = score_rows(rows.filter("part >= 2"), ["part"], "text", make, "a double, b double, c double").toArrow()
+    names = list("abcdef")
+    got = attach(rows.filter("part >= 2"), ["part"], "text", make, ", ".join(f"{c} double" for c in names)).select("row.part", *names).toArrow()
     y = (got["part"].to_numpy() == 3).astype(float)
     if len(y) == 0 or y.min() == y.max():
-        return ToxicityModel(language, None, base)
-    return ToxicityModel(language, fit_logistic(np.stack([got[c].to_numpy() for c in "abc"], 1), y), base)
+        return ToxicityModel(language, pairs, None, base)
+    return ToxicityModel(language, pairs, fit_logistic(np.stack([got[c].to_numpy() for c in names], 1), y), base)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str], text_col: str = "text") -> DataFrame:
-    """`columns` and score: the probability that the text is toxic."""
+def scored_rows(docs: DataFrame, model: ToxicityModel, columns: list[str], text_col: str = "text") -> DataFrame:
+    """(row, score): row is a struct of `columns`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = held.value
-        seen = m.table() if m.language is not None else None
-        return lambda texts: [pa.array(m.scores(seen, texts))]
+        evidence = m.evidence()
+        return lambda texts: [pa.array(m.scores(evidence, texts))]
+
+    return attach(docs, columns, text_col, make, "score double")
+
 
-    return score_rows(docs, columns, text_col, make, "score double")
+def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str], text_col: str = "text") -> DataFrame:
+    """`columns` and score: the probability that the text is toxic."""
+    return unpacked(scored_rows(docs, model, columns, text_col), columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,8 @@ class WordEncoder:
 
     def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same by the whole library, word by word."""
-        found = [e.ids for e in self.library.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        texts = [w.decode("utf-8", "replace") for w in words.cast(pa.binary()).to_pylist()]
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64)
 
     def learn(self, words: pa.Array, _first: int) -> None:

@@ -33,10 +33,14 @@ def byte_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """All words between ASCII white space, one text after the other, and where each text's words begin (one place more than texts)."""
+def split_words(texts: pa.Array, lower: bool = True, unicode: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII (or Unicode) white space, one text after the other, and where each text's words begin (one place more
+    than texts); A-Z (or all letters) in small letters if asked for."""
     column = pc.fill_null(texts, "")
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    if unicode:
+        parts = pc.utf8_split_whitespace(pc.utf8_lower(column) if lower else column)
+    else:
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     words, begins = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     begins = begins - begins[0]
     filled = pc.greater(pc.binary_length(words), 0)
@@ -116,6 +120,8 @@ class WordTable:
 
 def sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Sums of values between neighbours of begins, 0 where they are equal, in double precision."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, 0, dtype=np.float64, out=total[1:])
-    return total[begins[1:]] - total[begins[:-1]]
+    out = np.zeros((len(begins) - 1, *values.shape[1:]), np.float64)
+    some = begins[1:] > begins[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(np.float64), begins[:-1][some], 0)
+    return out

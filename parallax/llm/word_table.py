@@ -1,45 +1,17 @@
-"""A worker's table of rows computed once for each distinct word, and the bounded samples of labelled documents that classifiers learn from."""
+"""The bounded samples of labelled documents that classifiers learn from, and counts over them."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share, map_texts, slices, text_bytes
-
-#: Distinct words that a worker keeps rows for before it starts anew.
-MOST_WORDS = 700_000
-
-
-class WordTable:
-    """rows(words): the row of each word, from compute(list of new words) -> array of shape (n, width)."""
-
-    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], width: int, most: int = MOST_WORDS):
-        self.compute, self.most = compute, most
-        self.index: dict[bytes, int] = {}
-        self.values = np.zeros((1024, width), np.float32)
-
-    def ids(self, lists: list[list[bytes]]) -> list[list[int]]:
-        """For each list of words the rows of values."""
-        if len(self.index) > self.most:
-            self.index.clear()
-        get = self.index.get
-        found = [list(map(get, ws)) for ws in lists]
-        new = list({w for ws, ids in zip(lists, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None})
-        if new:
-            at = len(self.index)
-            rows = self.compute(new)
-            if at + len(new) > len(self.values):
-                self.values = np.concatenate([self.values[:at], np.zeros((max(at, len(new)) + 1024, self.values.shape[1]), np.float32)])
-            self.values[at : at + len(new)] = rows
-            self.index.update(zip(new, range(at, at + len(new)), strict=True))
-            found = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(lists, found, strict=True)]
-        return found
+from .common import hash_share
+from .word_index import byte_slices
 
 
 def per_group_sample(df: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
@@ -54,42 +26,20 @@ def per_group_sample(df: DataFrame, group: str, id_col: str, most: int) -> DataF
     return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
 
 
-def grouped_counts(df: DataFrame, group: str, text_col: str, count: Callable[[bytes], Counter | dict], key_type: str = "binary") -> DataFrame:
-    """(group, key, n) over all rows: counted in each task first, then summed by Spark."""
+def grouped_counts(df: DataFrame, group: str, text_col: str, count: Callable[[pa.Array], tuple[list[pa.Array], np.ndarray]], keys: str) -> DataFrame:
+    """(group, *keys, n) over all rows: count(texts of one group) gives key columns and how often each key occurs, for a slice of texts in
+    a task; Spark sums up."""
     kind = df.schema[group].dataType.simpleString()
+    names = [k.split(" ")[0] for k in keys.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in slices(texts, 8_000_000):
-                totals: dict = {}
-                for g, t in zip(groups[a:b], texts[a:b], strict=True):
-                    totals.setdefault(g, Counter()).update(count(t))
-                for g, c in totals.items():
-                    keys = list(c)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([g] * len(keys), batch.schema.field(0).type), pa.array(keys, pa.binary() if key_type == "binary" else pa.int64()), pa.array(list(c.values()), pa.int64())],
-                        ["group", "key", "n"],
-                    )
-
-    parts = df.select(F.col(group).alias("group"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"group {kind}, key {key_type}, n long")
-    return parts.groupBy("group", "key").agg(F.sum("n").alias("n"))
-
-
-def score_rows(df: DataFrame, columns: list[str], text_col: str, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str) -> DataFrame:
-    """Keep `columns` and add what make()(texts) gives, a slice of texts at a time."""
-
-    def build() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        score = make()
-
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            n = batch.num_columns - 1
-            texts = [None if x is None else x for x in batch.column(n).cast(pa.large_binary()).to_pylist()]
-            for a, b in slices([t or b"" for t in texts]):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n)), *score(texts[a:b])], names)
-
-        return step
-
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    names = [*columns, *(x.strip().split(" ")[0] for x in schema.split(","))]
-    return map_texts(df.select(*columns, F.col(text_col).cast("string").alias("_text")), build, f"{kept}, {schema}")
+            groups = batch.column(0)
+            for g in groups.unique():
+                texts = batch.column(1).filter(pc.equal(groups, g))
+                for a, b in byte_slices(texts, 8_000_000):
+                    cells, n = count(texts.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * len(n), groups.type), *cells, pa.array(n, pa.int64())], ["group", *names, "n"])
+
+    parts = df.select(F.col(group).alias("group"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"group {kind}, {keys}, n long")
+    return parts.groupBy("group", *names).agg(F.sum("n").alias("n"))

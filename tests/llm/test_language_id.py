@@ -1,5 +1,9 @@
 """Language identification: held-out accuracy and odd rows."""
 
+import math
+import zlib
+from collections import Counter
+
 from parallax.llm.language_id import LanguageModel, identify_language, op5_language_id, train_language_model
 
 
@@ -27,7 +31,8 @@ def test_odd_rows(spark):
 def test_backs_off_to_the_longest_known():
     import numpy as np
 
-    m = LanguageModel(["a", "b"], {"word": np.array([9, 1]), "x": np.array([1, 9])}, {2: {"^w": np.array([1, 9]), "zq": np.array([9, 1])}, 3: {"orx": np.array([0, 5]), "aaa": np.array([5, 0])}})
+    level = lambda **found: (list(found), np.array(list(found.values()), float))
+    m = LanguageModel(["a", "b"], {0: level(word=[9, 1], x=[1, 9]), 2: level(**{"^w": [1, 9], "zq": [9, 1]}), 3: level(orx=[0, 5], aaa=[5, 0])})
     rows = m.rows(["word", "worx", "wolf", "...", "zz"])
     assert rows[0, 0] > rows[0, 1] and rows[1, 1] > rows[1, 0] and rows[2, 1] > rows[2, 0]
     assert rows[3].tolist() == [0, 0, 0] and rows[4].tolist() == [0, 0, 1]
@@ -46,3 +51,47 @@ def test_runs_without_white_space_are_read_to_their_end(spark):
         inside = {g for p in pieces(run[:n]) for g in grams(p, LONGEST)}
         assert {run[i : i + LONGEST] for i in range(n - LONGEST + 1)} <= inside
     assert pieces("x" * PIECE) == ["x" * PIECE]
+
+
+def test_query_equals_plain_dictionaries(spark, sf_dir):
+    """Every word and n-gram of the training folds counts; 200 documents, so that the sample is all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    train = {(r.lang, r.text) for r in docs if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    langs = sorted({x for x, _ in train})
+    strip = lambda w: w[next((i for i, c in enumerate(w) if c.isalpha()), len(w)) : len(w) - next((i for i, c in enumerate(reversed(w)) if c.isalpha()), len(w))]
+    words = lambda t: [w for w in map(strip, (t or "").lower().split()) if w]
+    parts = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)] if n else [w]
+    count = {(x, n): Counter(k for y, t in train if y == x for w in words(t) for k in parts(w, n)) for x in langs for n in range(6)}
+    size = {n: len(set().union(*(count[x, n] for x in langs))) for n in range(6)}
+    sums = {(x, n): sum(count[x, n].values()) for x in langs for n in range(6)}
+
+    def key_logs(key, n):
+        logs = [math.log((count[x, n][key] + 0.5) / (sums[x, n] + 0.5 * size[n])) for x in langs]
+        return [v - max(logs) for v in logs]
+
+    def word_logs(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [k for k in parts(w, n) if any(k in count[x, n] for x in langs)]
+            if known:
+                return [sum(v) / len(known) for v in zip(*(key_logs(k, n) for k in known))]
+        return [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in op5_language_id(spark, sf_dir).collect()}
+    for r in docs:
+        found = [word_logs(w) for w in words(r.text)]
+        if max(map(len, (r.text or "").split()), default=0) > 40:
+            continue  # runs that are cut have their own test
+        if not found:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = [sum(v) for v in zip(*found)]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        share = min(1.0, 12 / len(found))
+        score = 1 / sum(math.exp((v - total[best]) * share) for v in total)
+        assert got[r.doc_id].lang_pred == langs[best] and math.isclose(got[r.doc_id].score, score, rel_tol=1e-3)
+
+
+def test_carried_columns_of_the_same_name_give_way(spark):
+    df = spark.createDataFrame([(1, "the dog", "en", "x", 5)], "doc_id long, text string, lang string, lang_pred string, `Score` int")
+    got = identify_language(df, train_language_model(df), df.columns)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and got.count() == 1
