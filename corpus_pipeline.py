@@ -20,8 +20,7 @@ SHINGLE, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold, learned from the labelled ones."""
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs.withColumnRenamed("score", "_own_score"), model, docs.withColumnRenamed("score", "_own_score").columns)
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).drop("score").withColumnRenamed("_own_score", "score")
+    return toxicity.scored_rows(docs, model, docs.columns).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
