@@ -7,8 +7,10 @@ window without a digit or `@` has no span, as each kind has one of them. The win
 towards their ends, and one Viterbi pass over each stretch of adjoining windows decides for all of them together. A span of the tagger
 counts if it fits its kind (parts, digits) and touches no base span.
 
-Null and empty texts have no spans. Each row is read for itself, repeated or null ids included; other columns are ignored. Learning uses
-at most SAMPLE windows of the documents, the first by their hash. Offsets are code points, ends exclusive.
+Null and empty texts have no spans. Each row is read for itself, repeated or null ids included. A carried column named base or spans
+gives way to the result; other columns don't matter. Learning uses at most SAMPLE distinct windows of the documents, the first by their
+hash; such a window is the first 1.5 WINDOW characters of a stretch with a digit or `@`, or of a text that has none. Reading knows no such
+bound. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_tagger import Tagger, char_ids, viterbi
-from .common import hash_share, table
+from .common import attach, hash_share, named, table, unpacked
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -233,12 +235,13 @@ def train_pii(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) ->
                     found.append(t[:WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["window"])
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
+    texts = docs.select(named(text_col).cast("string").alias("text")).filter("length(text) > 0")
     windows = texts.mapInArrow(cut, "window string").withColumn("seeded", F.col("window").rlike("[0-9@]"))
-    # Counted first, so that only about the sample leaves the tasks; of the plain windows a few are enough.
-    counts = {r["seeded"]: r["count"] for r in windows.groupBy("seeded").count().collect()}
+    # Distinct ones are counted first, so that only about the sample leaves the tasks, however often one occurs; of the plain windows a
+    # few are enough.
+    counts = {r["seeded"]: r["n"] for r in windows.groupBy("seeded").agg(F.approx_count_distinct("window", 0.02).alias("n")).collect()}
     share = F.when(F.col("seeded"), F.lit(min(1.0, 2 * sample / max(1, counts.get(True, 0))))).otherwise(F.lit(min(1.0, sample / 4 / max(1, counts.get(False, 0)))))
-    kept = windows.withColumn("h", hash_share("window")).filter(F.col("h") <= share).collect()
+    kept = windows.withColumn("h", hash_share("window")).filter(F.col("h") <= share).distinct().collect()
     kept.sort(key=lambda r: (not r["seeded"], r["h"], r["window"]))
     seeded = [r["window"] for r in kept if r["seeded"]][:sample]
     plain = [r["window"] for r in kept if not r["seeded"]][: max(16, sample // 4)]
@@ -250,34 +253,34 @@ def find_pii(docs: DataFrame, model: PiiModel, columns: list[str], text_col: str
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     shape = "array<struct<kind:string,start:bigint,end:bigint>>"
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m = held.value
-        for batch in batches:
-            n = batch.num_columns - 1
-            found = m.spans([t or "" for t in batch.column(n).to_pylist()])
-            cols = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found], span) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *cols], [*columns, "base", "spans"])
 
-    return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{kinds}, base {shape}, spans {shape}")
+        def step(texts: pa.Array) -> list[pa.Array]:
+            found = m.spans([t or "" for t in texts.to_pylist()])
+            return [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found], span) for i in (0, 1)]
+
+        return step
+
+    return unpacked(attach(docs, columns, text_col, make, f"base {shape}, spans {shape}"), columns)
 
 
 def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans become one mark. Null stays null."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    at = columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out = [masked(t, spans) if spans else t for t, (_, spans) in zip(texts, held.value.spans([t or "" for t in texts]), strict=True)]
-            cells = batch.columns
-            cells[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cells, columns)
+    def make():
+        m = held.value
+
+        def step(texts: pa.Array) -> list[pa.Array]:
+            found = texts.to_pylist()
+            return [pa.array([masked(t, spans) if spans else t for t, (_, spans) in zip(found, m.spans([t or "" for t in found]), strict=True)], pa.string())]
+
+        return step
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    found = attach(docs, [c for c in docs.columns if c != text_col], text_col, make, "masked string")
+    return found.select(*[F.col("masked").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
