@@ -11,26 +11,27 @@ holds, bring the recall. Windows are item-sized in that the places lie within th
 verified exactly, by an alignment of the whole item with the stretch about the window; only that decides.
 
 Items of fewer than SHORT words allow no edit and are looked up whole. Items that are null or without words match nothing, as do null and
-empty texts. An item set over MOST_ITEMS is taken in several passes, each with a broadcast of bounded size. Rows may repeat. No shuffle.
+empty texts. An item set over MOST_ITEMS, or whose texts are over MOST_BYTES together, is taken in several passes one after the other,
+each with one broadcast of bounded size, whose matches are written to the shared folder. Rows may repeat. One pass needs no shuffle. A
+carried column named matches gives way to the result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes
+from .common import attach, named, staged, table, text_bytes, unpacked
 from .shingles import mix, powers, word_hashes
 
 TOLERANCE, STRIDE, WALKS, REPEATS, SAMPLED, SHORT = 0.15, 4, 2, 6, 4, 8
 #: Steps of the walk by the least length of an item; a walk of n steps passes about n / 2 words.
 CLASSES = [(32, 40), (16, 18), (SHORT, 7)]
-MOST_ITEMS = 20_000
+MOST_ITEMS, MOST_BYTES = 20_000, 32_000_000
 TABLE_BITS = 22
 _TABLE = bytes(ord(chr(i).lower()) if chr(i) in string.ascii_letters + string.digits else i if i >= 128 else 32 for i in range(256))
 WINDOW_BASE = 0xD6E8FEB86659FD93
@@ -185,36 +186,41 @@ class ItemIndex:
                 note(doc, k, got[0], lo + got[1] - (back[1] if back else len(item)) - int(begins[doc]))
 
 
+def contamination_rows(docs: DataFrame, items: DataFrame, columns: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(row, matches): row is a struct of `columns`, matches an array of (item_id, start, edits); start counts words."""
+    listed = items.select(named(item_id).cast("long").alias("id"), named(item_text).cast("string").alias("text")).filter("text is not null and id is not null").distinct()
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // MOST_ITEMS), -(-size["bytes"] // MOST_BYTES))
+    if passes == 1:
+        return _one_pass(docs, columns, text_col, listed)[0]
+    # Rows get a number that stays, since each pass reads them again.
+    kept = staged(docs.select(F.struct(*map(named, columns)).alias("row"), named(text_col).alias("text"), F.monotonically_increasing_id().alias("uid")), "numbered")
+    found = None
+    for n in range(passes):
+        out, held = _one_pass(kept, ["uid"], "text", listed.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == n))
+        done = staged(out.filter(F.size("matches") > 0).select("row.uid", "matches"), "matches")
+        held.unpersist()
+        found = done if found is None else found.unionByName(done)
+    matches = found.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return kept.drop("text").join(matches, "uid", "left").select("row", F.coalesce("matches", F.array().cast(matches.schema["matches"].dataType)).alias("matches"))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, columns: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`columns` and matches: an array of (item_id, start, edits); start counts words. Each row of docs gives one row."""
-    spark = docs.sparkSession
-    listed = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null and id is not null")
-    passes = max(1, -(-listed.count() // MOST_ITEMS))
-    out, names = docs.select(*columns, F.col(text_col).cast("string").alias("_text")), []
-    for n in range(passes):
-        part = listed.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == n).distinct().orderBy("id", "text").collect()
-        names.append(f"_matches{n}")
-        out = _one_pass(out, spark.sparkContext.broadcast(ItemIndex([r["id"] for r in part], [r["text"].encode() for r in part])), names[-1])
-    return out.select(*columns, (F.concat(*names) if passes > 1 else F.col(names[0])).alias("matches"))
+    return unpacked(contamination_rows(docs, items, columns, text_col, item_id, item_text), columns)
 
 
-def _one_pass(rows: DataFrame, held, name: str) -> DataFrame:
-    columns = rows.columns
-    at = columns.index("_text")
+def _one_pass(docs: DataFrame, columns: list[str], text_col: str, listed: DataFrame):
+    """(row, matches) for a bounded set of items, and the broadcast."""
+    part = listed.orderBy("id", "text").collect()
+    held = docs.sparkSession.sparkContext.broadcast(ItemIndex([r["id"] for r in part], [r["text"].encode() for r in part]))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int64())]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         index = held.value
-        for batch in batches:
-            texts = text_bytes(batch.column(at))
-            found: list = []
-            for a, b in slices(texts, 1_000_000):
-                found += index.matches(texts[a:b])
-            cells = [[{"item_id": i, "start": s, "edits": e} for i, s, e in f] for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, kind)], [*columns, name])
-
-    return rows.mapInArrow(run, f"{kinds}, `{name}` array<struct<item_id:bigint,start:bigint,edits:bigint>>")
+        return lambda texts: [pa.array([[{"item_id": i, "start": s, "edits": e} for i, s, e in f] for f in index.matches(text_bytes(texts))], kind)]
+
+    return attach(docs, columns, text_col, make, "matches array<struct<item_id:bigint,start:bigint,edits:bigint>>", 1_000_000), held
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
