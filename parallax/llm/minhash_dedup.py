@@ -8,7 +8,8 @@ shingles; a pair already connected needs no test. A family over BLOCK nodes is c
 none has to fit one task. Tasks return confirmed edges that connect, one for each node and task at most, never all pairs of a group.
 
 Texts that are null, empty or without words have an empty set and link with nothing. Rows may repeat, and so may ids, with the same text
-or another one; a null id is not a component's name while its component has an id. Other columns are ignored.
+or another one; a null id is not a component's name while its component has an id. Other columns are ignored. Keys with at least a
+thousandth of all rows (a thousand keys at most) are joined by broadcast, so that a group of copies of any size spreads over the tasks.
 """
 
 from __future__ import annotations
@@ -19,16 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_bytes
+from .common import attach, named, staged, table, text_bytes
 from .components import connected_components
 from .shingles import shingles, similar
 
 HASHES, BANDS = 160, 32
 ROWS = HASHES // BANDS
 LOOSE, BLOCK = 0.4, 1024
+#: A key is hot with at least this share of all rows.
+HOT = 0.001
+#: Stands for a null id where rows are joined.
+NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(20240229)
 #: Multiply-add-shift: a strongly universal family from 32 bits to 32 bits.
 FACTORS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,7 +65,7 @@ def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc", "n", "key", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc long, n long, key binary, sig binary")
 
 
@@ -149,9 +154,9 @@ def confirm(percent: int, size: int):
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(described, classes): the rows as (doc, n, key, sig), and for each key its least id, its group and the group's least id."""
+    """(described, classes): the rows as (doc, n, key, sig), and for each key its least id, rows, group and the group's least id."""
     described = staged(describe(docs, size, id_col, text_col), "signatures")
-    nodes = described.filter("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = described.filter("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     entries = bands(nodes)
@@ -164,8 +169,8 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, id_col: str =
     sizes = families.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("component", "blocks")
     members = families.join(sizes, "component").join(nodes, "node")
     members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = members.select(F.coalesce("doc", F.lit(-(1 << 63))).alias("id"), "key", "node", "component", "blocks", "mine", "n", "sig")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id")
+    wanted = members.select(F.coalesce("doc", F.lit(NO_ID)).alias("id"), "key", "node", "component", "blocks", "mine", "n", "sig")
+    texts = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("id"), named(text_col).cast("string").alias("text")).join(wanted, "id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text of each node; an id's other texts drop out by their key."""
@@ -181,39 +186,48 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, id_col: str =
     # Rows of one id and text come twice if they repeat; the second does nothing, as it is at once connected.
     edges = placed.select("component", "lo", "hi", "mine", "node", "n", "sig", "text").groupBy("component", "lo", "hi").applyInArrow(confirm(percent, size), "u long, v long")
     linked = connected_components(edges)
-    named = linked.join(nodes.select("node", "key", "doc"), "node")
-    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    classes = nodes.select("key", F.col("doc").alias("least_doc"), "node").join(named.join(least, "component").select("key", "component", "component_id"), "key", "left")
-    return described, classes.select("key", "least_doc", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "least_doc").alias("component_id"))
+    members_of = linked.join(nodes.select("node", "key", "doc"), "node")
+    least = members_of.groupBy("component").agg(F.min("doc").alias("component_id"))
+    classes = nodes.select("key", "copies", F.col("doc").alias("least_doc"), "node").join(members_of.join(least, "component").select("key", "component", "component_id"), "key", "left")
+    return described, classes.select("key", "copies", "least_doc", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "least_doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the least id. Texts without words all stay."""
+    """docs with one row of each group of near duplicates: that of the least id. Texts without words all stay; of equal rows one stays."""
     columns = docs.columns
-    _, classes = near_duplicates(docs, size, percent, id_col, text_col)
+    described, classes = near_duplicates(docs, size, percent, id_col, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index(text_col)
-        for batch in batches:
-            keys = [set_key(s) if len(s) else None for s in (shingles(t, size) for t in text_bytes(batch.column(at)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*columns, "_set_key"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    keyed = docs.mapInArrow(run, f"{kinds}, _set_key binary")
-    # Texts without words get a key that no other row has, so that they spread over the tasks of the join.
-    alone = F.concat(F.lit(b" "), F.monotonically_increasing_id().cast("string").cast("binary"))
-    keyed = keyed.withColumn("_alone", F.col("_set_key").isNull()).withColumn("_set_key", F.coalesce("_set_key", alone))
+    def make():
+        return lambda texts: [pa.array([set_key(s) if len(s) else None for s in (shingles(t, size) for t in text_bytes(texts))], pa.binary())]
+
+    keyed = attach(docs, columns, text_col, make, "key binary").withColumn("id", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(NO_ID)))
     order = F.struct(F.col("least_doc").isNull(), "least_doc", "key")
-    chosen = classes.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_set_key"), F.col("first.least_doc").alias("_doc"), F.lit(True).alias("_first"))
-    kept = keyed.join(chosen, "_set_key", "left").filter(F.col("_alone") | (F.col("_first") & F.col(id_col).cast("long").eqNullSafe(F.col("_doc"))))
-    turn = F.row_number().over(Window.partitionBy("_set_key").orderBy(F.lit(1)))
-    return kept.withColumn("_turn", turn).filter("_turn = 1").select(*columns)
+    first = classes.groupBy("group").agg(F.min(order).alias("first")).select("first.key", F.coalesce("first.least_doc", F.lit(NO_ID)).alias("id"), F.lit(True).alias("first"))
+    # Joined by id and key together: copies of a text have ids of their own, so no group meets in one task.
+    kept = keyed.join(first, ["id", "key"], "left").filter(F.col("key").isNull() | F.col("first"))
+    again = described.filter("key is not null").groupBy("doc", "key").count().filter("count > 1").select(F.coalesce("doc", F.lit(NO_ID)).alias("id"), "key", F.lit(True).alias("again"))
+    if again.isEmpty():
+        return kept.select("row.*")
+    kept = kept.join(again, ["id", "key"], "left")
+    once = kept.filter("again").dropDuplicates(["id", "key"])
+    return kept.filter("again is null").select("row.*").unionByName(once.select("row.*"))
+
+
+def by_key(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """described with the classes of its keys: hot keys by broadcast, rows without a key as they are."""
+    classes = staged(classes, "classes")
+    total = described.count()
+    hot = classes.filter(F.col("copies") >= max(2, HOT * total))  # 1 / HOT rows at most
+    warm = described.filter("key is not null").join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
+    cold = warm.filter("hot is null").drop("hot").join(classes, "key", "left")
+    many = described.join(F.broadcast(hot), "key")
+    return cold.unionByName(many).unionByName(described.filter("key is null"), allowMissingColumns=True)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     described, classes = near_duplicates(table(spark, sf_dir, "documents"), size=2)
     component = F.coalesce("component_id", "doc")
-    return described.join(classes, "key", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, component.isNull()).alias("kept"))
+    return by_key(described, classes).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, component.isNull()).alias("kept"))
 
 
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}
