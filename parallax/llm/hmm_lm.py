@@ -32,12 +32,12 @@ STATES, TOP, SHAPES, KNOWN = 8, 4096, 1024, 150_000
 #: Rounds of Baum-Welch, each over all training documents.
 ROUNDS = 8
 #: Tokens of a text that is run as segments, of a segment, and of all that runs together; steps between two scalings.
-LONG, SEGMENT, TOGETHER, RESCALE = 16_384, 512, 262_144, 8
+LONG, SEGMENT, TOGETHER, RESCALE = 16_384, 512, 1_048_576, 16
 ADD = 0.1
 #: Stands for the end of a text in the count table; white space can't occur in a word.
 END = b"\n"
 #: Distinct words that a counting task holds, and bytes of texts read at once.
-HELD, SLICE = 400_000, 4_000_000
+HELD, SLICE = 400_000, 8_000_000
 
 
 def shape(word: bytes) -> int:
@@ -145,43 +145,67 @@ class Packed:
         self.order = np.argsort(-lengths, kind="stable")
         lengths = lengths[self.order]
         self.n = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-        self.begin = np.concatenate([[0], np.cumsum(self.n)])
+        begin = np.concatenate([[0], np.cumsum(self.n)])
         step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.x = np.empty(len(step), np.int64)
-        self.x[self.begin[step] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate([sequences[i] for i in self.order])
-        self.last = self.begin[lengths - 1] + np.arange(len(lengths))  # where each sequence ends
-
-    def forward(self, b: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward messages at each place, and the logarithm (base 10) of what was scaled away from each sequence."""
-        alpha = np.empty_like(b)
-        logs = np.zeros(len(first))
-        n, begin = self.n.tolist(), self.begin.tolist()
-        np.multiply(first, b[: n[0]], out=alpha[: n[0]])
-        for t in range(1, len(n)):
-            now = alpha[begin[t] : begin[t + 1]]
-            np.matmul(alpha[begin[t - 1] : begin[t - 1] + n[t]], move, out=now)
-            now *= b[begin[t] : begin[t + 1]]
-            if t % RESCALE == 0:
-                c = now.sum(1)
-                now /= c[:, None]
-                logs[: n[t]] += np.log10(c)
-        return alpha, logs
-
-    def backward(self, b: np.ndarray, last: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward messages at each place, up to a factor, and these times b."""
-        beta, after = np.empty_like(b), np.empty_like(b)
-        beta[self.last] = last
-        n, begin = self.n.tolist(), self.begin.tolist()
-        back = np.ascontiguousarray(move.T)
-        for t in range(len(n) - 1, 0, -1):
-            w = after[begin[t] : begin[t + 1]]
-            np.multiply(b[begin[t] : begin[t + 1]], beta[begin[t] : begin[t + 1]], out=w)
-            before = beta[begin[t - 1] : begin[t - 1] + n[t]]
-            np.matmul(w, back, out=before)
-            if t % RESCALE == 0:
-                before /= before.sum(1)[:, None]
-        np.multiply(b[: n[0]], beta[: n[0]], out=after[: n[0]])
-        return beta, after
+        self.x[begin[step] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate([sequences[i] for i in self.order])
+
+    def steps(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For each step how many sequences reach it, how many go on, and the first ones' symbols."""
+        n = [*self.n.tolist(), 0]
+        at = 0
+        for t in range(len(n) - 1):
+            yield n[t], n[t + 1], self.x[at : at + n[t]]
+            at += n[t]
+
+    def forward(self, table_: np.ndarray, first: np.ndarray, move: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """The message at each sequence's end, the logarithm (base 10) of what was scaled away from it, and what was at each step of that.
+        keep is filled with the messages at all places. Messages and table_ have a row for each state."""
+        ends, logs, scales = np.empty_like(first), np.zeros(first.shape[1]), {}
+        onward = np.ascontiguousarray(move.T)
+        now = first
+        at = 0
+        for t, (n, rest, x) in enumerate(self.steps()):
+            if t:
+                now = onward @ now[:, :n]
+                now *= table_.take(x, 1)
+                if t % RESCALE == 0:
+                    scales[t] = c = now.sum(0)
+                    now /= c
+                    logs[:n] += np.log10(c)
+            else:
+                now = first * table_.take(x, 1)
+            if keep is not None:
+                keep[:, at : at + n] = now
+                at += n
+            if rest < n:
+                ends[:, rest:n] = now[:, rest:]
+        return ends, logs, scales
+
+    def backward(self, table_: np.ndarray, last: np.ndarray, move: np.ndarray, alpha: np.ndarray, scales: dict[int, np.ndarray], moves: np.ndarray) -> np.ndarray:
+        """Turns alpha, the messages of forward, into each place's share of the states; adds to moves (not yet times move) those between
+        steps. Returns the first step's backward message times its symbols' probabilities."""
+        beta = last.copy()
+        end = len(self.x)
+        w = beta
+        for t in range(len(self.n) - 1, -1, -1):
+            n = int(self.n[t])
+            here, b = alpha[:, end - n : end], beta[:, :n]
+            gamma = here * b
+            total = gamma.sum(0)
+            w = table_.take(self.x[end - n : end], 1)
+            w *= b
+            if t:
+                # alpha one step before, times moves and w, sums to total * scale
+                start = end - n - int(self.n[t - 1])
+                moves += alpha[:, start : start + n] @ (w / (total * scales[t] if t in scales else total)).T
+                b = move @ w
+                if t % RESCALE == 0:
+                    b /= b.sum(0)
+                beta[:, :n] = b
+            np.divide(gamma, total, out=here)
+            end -= n
+        return w
 
 
 def together(sizes: list[int], most: int = TOGETHER) -> Iterator[list[int]]:
@@ -212,18 +236,22 @@ class HiddenMarkov:
         np.fill_diagonal(move, 0.9)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """By state, of each symbol its probability over the greatest, so that messages need scaling only now and then; and the greatest."""
+        top = self.emit.max(0)
+        return np.ascontiguousarray(self.emit / top), np.log10(top)
+
     def _operators(self, table_: np.ndarray, segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each segment where each state before its first symbol leads to, and the logarithm of the scale."""
         out, scale = np.empty((len(segments), STATES, STATES)), np.empty(len(segments))
         for group in together([STATES * len(s) for s in segments]):
             p = Packed([segments[i] for i in group for _ in range(STATES)])
-            eye = np.tile(np.eye(STATES), (len(group), 1))[p.order]
-            alpha, logs = p.forward(table_[p.x], eye, self.move)
-            ends = alpha[p.last]
-            total = ends.sum(1)
+            eye = np.tile(np.eye(STATES), len(group))[:, p.order]
+            ends, logs, _ = p.forward(table_, eye, self.move)
+            total = ends.sum(0)
             logs = logs + np.log10(total)
             back = np.argsort(p.order)
-            logs, ends = logs[back].reshape(-1, STATES), (ends / total[:, None])[back].reshape(-1, STATES, STATES)
+            logs, ends = logs[back].reshape(-1, STATES), (ends / total).T[back].reshape(-1, STATES, STATES)
             top = logs.max(1)
             out[group], scale[group] = 10 ** (logs - top[:, None])[:, :, None] * ends, top
         return out, scale
@@ -235,7 +263,7 @@ class HiddenMarkov:
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts over whole sequences."""
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.emit.shape[1]))
-        table_ = np.ascontiguousarray(self.emit.T)
+        table_, _ = self._table()
         # What runs side by side: symbols, the message before the first of them (None at a text's start) and after the last.
         parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
         one = np.ones(STATES)
@@ -259,31 +287,26 @@ class HiddenMarkov:
             chosen = [parts[group[i]] for i in p.order]
             fresh = np.array([v is None for _, v, _ in chosen])
             enter_ = np.array([one if v is None else v for _, v, _ in chosen])
-            first = np.where(fresh[:, None], self.start, enter_ @ self.move)
-            b = table_[p.x]
-            alpha, _ = p.forward(b, first, self.move)
-            beta, after = p.backward(b, np.array([v for _, _, v in chosen]), self.move)
-            n0 = p.n[0]
-            # Moves: from the message one step before, or at a cut from the one that enters.
-            before = alpha[np.arange(n0, len(b)) - np.repeat(p.n[:-1], p.n[1:])]
-            for source, w in ((before, after[n0:]), (enter_[~fresh], after[:n0][~fresh])):
-                if len(source):
-                    move += source.T @ (w / ((source @ self.move) * w).sum(1)[:, None])
-            alpha *= beta
-            alpha /= alpha.sum(1)[:, None]
-            start += alpha[:n0][fresh].sum(0)
+            first = np.where(fresh[:, None], self.start, enter_ @ self.move).T.copy()
+            alpha = np.empty((STATES, len(p.x)))
+            _, _, scales = p.forward(table_, first, self.move, alpha)
+            w = p.backward(table_, np.array([v for _, _, v in chosen]).T, self.move, alpha, scales, move)
+            if not fresh.all():  # moves across cuts, from the messages that enter
+                source, w = enter_[~fresh], w.T[~fresh]
+                move += source.T @ (w / (source @ self.move * w).sum(1)[:, None])
+            start += alpha[:, : p.n[0]][:, fresh].sum(1)
             for k in range(STATES):
-                emit[k] += np.bincount(p.x, alpha[:, k], emit.shape[1])
+                emit[k] += np.bincount(p.x, alpha[k], emit.shape[1])
         return start, move * self.move, emit
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The log10 likelihood of each sequence, by the scaled forward recursion."""
-        table_ = np.ascontiguousarray(self.emit.T)
-        out = np.zeros(len(sequences))
+        table_, tops = self._table()
+        out = np.array([tops[s].sum() for s in sequences])
         for group in together([len(s) if len(s) <= LONG else 0 for s in sequences]):
             p = Packed([sequences[i] for i in group])
-            alpha, logs = p.forward(table_[p.x], np.tile(self.start, (len(group), 1)), self.move)
-            out[np.array(group)[p.order]] = logs + np.log10(alpha[p.last].sum(1))
+            ends, logs, _ = p.forward(table_, np.tile(self.start[:, None], len(group)), self.move)
+            out[np.array(group)[p.order]] += logs + np.log10(ends.sum(0))
         for i, s in enumerate(sequences):
             if len(s) > LONG:
                 v = None
@@ -299,14 +322,17 @@ def most_frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
     doubling, so that no task has to gather candidates of all others. Of the step that doesn't fit whole, the first words by hash."""
     most = KNOWN if most is None else most
     step = F.floor(F.log2("n") * 8).cast("int")
-    room, chosen = most, F.col("word") == F.lit(END)
+    room, last, share = most, None, 1.0
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
-        share = room / r["count"]
-        chosen = chosen | ((step == r["step"]) & (F.lit(share >= 1) | (hash_share("word") < share)))
+        last, share = r["step"], room / r["count"]
         room -= r["count"]
         if room <= 0:
             break
-    return counts.filter(chosen)
+    if last is None:
+        return counts.limit(0)
+    counts = counts.withColumn("_step", step)
+    chosen = (F.col("_step") > last) | ((F.col("_step") == last) & (F.lit(share >= 1) | (hash_share("word") < share)))
+    return counts.filter(chosen | (F.col("word") == F.lit(END))).drop("_step")
 
 
 class Trained:
