@@ -11,8 +11,10 @@ each vector's number of links and its least partner in the task; components come
 the same components are one entry with a multiplicity.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and keep a row of their own. Vectors of different
-lengths are never compared. Each row of the input gives one row; a repeated id counts as one more vector with that id. Labels and other
-columns are ignored.
+lengths are never compared. Each row of the input gives one row; a repeated id counts as one more vector with that id. Rows with a null
+id link as all others do, and a null id is not a component's name while its component has an id; where it has none, component_id is null
+and its rows are kept. Labels and other columns are ignored. Vectors with at least a thousandth of all rows (a thousand at most) get
+their results by broadcast, so that one very common vector spreads over the tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ VECTORS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 32, 32, 4096
 RADIUS, DENSE = 0.6, 8
 #: Added to a list's number for the ball of its pivot.
 BALL = 1 << 15
+#: A vector is hot with at least this share of all rows.
+HOT = 0.001
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -89,7 +93,8 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = df.sparkSession
     all_rows = staged(usable(df.select(F.col(id_col).cast("long").alias("vec_id"), vector), vector), "vectors")
-    distinct = staged(all_rows.filter("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).filter("rep is not null"), "distinct-vectors")
+    grouped = all_rows.filter("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    distinct = staged(grouped.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
     pivots = spark.sparkContext.broadcast(choose_pivots(distinct, distinct.count()))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))  # distance of two linked vectors at most
 
@@ -197,11 +202,16 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     found = staged(placed.select("list", "lo", "hi", "mine", "rep", "copies", "raw", "home", "prefix").groupBy("list", "lo", "hi").applyInArrow(compare, "rep long, links long, least long"), "vector-links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("rep").alias("u"), F.col("least").alias("v")))
-    known = distinct.join(totals, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = all_rows.join(known, "raw", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    named = distinct.join(totals, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = staged(named.join(least, "component").select("raw", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "vector-classes")
+    hot = known.filter(F.col("copies") >= max(2, HOT * all_rows.count()))  # 1 / HOT rows at most
+    warm = all_rows.filter("raw is not null").join(F.broadcast(hot.select("raw", F.lit(True).alias("hot"))), "raw", "left")
+    cold = warm.filter("hot is null").drop("hot").join(known, "raw")
+    alone = all_rows.filter("raw is null").withColumn("component_id", F.col("vec_id"))
+    joined = cold.unionByName(all_rows.join(F.broadcast(hot), "raw")).unionByName(alone, allowMissingColumns=True)
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
+    return joined.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", kept.alias("kept"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,21 @@ def test_every_link_of_a_dense_group(spark):
         df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
         got = {r.vec_id: r.n_links for r in link_vectors(df).collect()}
         assert [got[i] for i in range(len(x))] == degrees(x).tolist()
+
+
+def test_null_ids_link_as_others_do(spark):
+    one, two = [1.0, 0.5, 0.25, 0.0], [0.0, 1.0, 0.0, 2.0]
+    rows = [(None, one), (None, one), (None, two), (7, two), (9, None), (None, None)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, None, True)] * 2 + [(None, 1, 7, False), (7, 1, 7, True), (9, 0, 9, True), (None, 0, None, True)], key=str)
+
+
+def test_one_very_common_vector(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 16))
+    x[::3] = x[0]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(df).collect()}
+    assert [got[i][0] for i in range(len(x))] == degrees(x).tolist() and all(got[i][1] == 0 for i in range(0, 3000, 3))
