@@ -1,8 +1,8 @@
-"""Evaluation of predictions against gold cases: set, stance, abstention and rate metrics, flips, noise floors and gates.
+"""Evaluation of predictions against gold cases: set, stance, abstention, evidence and rate metrics, flips, noise floors and gates.
 
 Tables: gold_sets (case, field, values, scored), pred_sets (run, case, field, values), gold_stances (case, grouping, topic, expected, null
-for must be omitted), pred_asked (run, case, grouping, topic), pred_stances (run, case, grouping, topic, score), pred_cases (run, case,
-failed, attempts).
+for must be omitted), pred_asked (run, case, grouping, topic), pred_stances (run, case, grouping, topic, score, evidence), pred_cases
+(run, case, failed, attempts), texts (case, text), goals (grouping, topic, goal). Pairs and cases are unique in their tables.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.operators.classify import clean_evidence
+
 #: Metrics of which less is better.
 LOWER_IS_BETTER = ["stance_mae", "evidence_goal_copy", "retry_rate", "parse_failure_rate"]
 PAIR = ["case", "grouping", "topic"]
@@ -19,108 +21,163 @@ def _ratio(num: Column, den: Column) -> Column:
     return num / F.when(den > 0, den)
 
 
+def _ok(cases: DataFrame) -> DataFrame:
+    return cases.filter(~F.col("failed")).select("run", "case")
+
+
+def _long(df: DataFrame, **metrics: tuple[Column, Column]) -> DataFrame:
+    """(run, metric, value, n) from one row for each run: each metric's numerator over its denominator, where there is one."""
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), _ratio(num, den).cast("double").alias("value"), den.cast("long").alias("n")) for k, (num, den) in metrics.items()])
+    return df.select("run", F.explode(rows).alias("m")).select("run", "m.*").filter("value is not null")
+
+
 def set_metrics(gold: DataFrame, pred: DataFrame, cases: DataFrame) -> DataFrame:
     """(run, field, exact, n_exact, f1, n_f1) over cases that did not fail and fields that are scored."""
-    ok = cases.filter(~F.col("failed")).select("run", "case")
-    j = ok.join(gold.filter("scored").select("case", "field", F.col("values").alias("gold")), "case").join(pred.select("run", "case", "field", F.col("values").alias("pred")), ["run", "case", "field"], "left")
-    p = F.coalesce("pred", F.array().cast("array<string>"))
-    j = j.select("run", "field", (F.array_sort(F.array_distinct(p)) == F.array_sort(F.array_distinct("gold"))).cast("int").alias("same"), F.size(F.array_intersect(p, F.col("gold"))).alias("tp"), F.size(F.array_distinct(p)).alias("np"), F.size(F.array_distinct("gold")).alias("ng"))
-    g = j.groupBy("run", "field").agg(F.sum("same").alias("s"), F.count("*").alias("n_exact"), F.sum("tp").alias("tp"), F.sum("np").alias("np"), F.sum("ng").alias("ng"))
-    return g.select("run", "field", _ratio(F.col("s"), F.col("n_exact")).alias("exact"), "n_exact", _ratio(2 * F.col("tp"), F.col("np") + F.col("ng")).alias("f1"), F.col("ng").alias("n_f1"))
+    j = _ok(cases).join(gold.filter("scored").select("case", "field", F.col("values").alias("gold")), "case").join(pred.select("run", "case", "field", F.col("values").alias("pred")), ["run", "case", "field"], "left")
+    p = F.array_distinct(F.coalesce("pred", F.array().cast("array<string>")))
+    g = F.array_distinct("gold")
+    j = j.select("run", "field", (F.array_sort(p) == F.array_sort(g)).cast("int").alias("same"), F.size(F.array_intersect(p, g)).alias("tp"), F.size(p).alias("np"), F.size(g).alias("ng"))
+    t = j.groupBy("run", "field").agg(F.sum("same").alias("s"), F.count("*").alias("n_exact"), F.sum("tp").alias("tp"), F.sum("np").alias("np"), F.sum("ng").alias("ng"))
+    return t.select("run", "field", _ratio(F.col("s"), F.col("n_exact")).alias("exact"), "n_exact", _ratio(2 * F.col("tp"), F.col("np") + F.col("ng")).alias("f1"), F.col("ng").alias("n_f1"))
 
 
 def relevance_accuracy(gold: DataFrame, pred: DataFrame, cases: DataFrame, groupings: list[str], field: str = "relevant") -> DataFrame:
     """(run, accuracy, n): for each case and grouping whether membership agrees."""
-    ok = cases.filter(~F.col("failed")).select("run", "case")
     g = gold.filter(F.col("scored") & (F.col("field") == field)).select("case", F.col("values").alias("gold"))
     p = pred.filter(F.col("field") == field).select("run", "case", F.col("values").alias("pred"))
-    j = ok.join(g, "case").join(p, ["run", "case"], "left").withColumn("grouping", F.explode(F.array(*map(F.lit, groupings))))
+    j = _ok(cases).join(g, "case").join(p, ["run", "case"], "left").withColumn("grouping", F.explode(F.array(*map(F.lit, groupings))))
     same = F.array_contains("gold", F.col("grouping")) == F.coalesce(F.array_contains("pred", F.col("grouping")), F.lit(False))
     return j.groupBy("run").agg(F.avg(same.cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def _stance_pairs(gold: DataFrame, asked: DataFrame, pred: DataFrame) -> DataFrame:
-    """Each gold pair that was asked, with the score, null if omitted."""
-    return asked.join(gold, PAIR).join(pred.select("run", *PAIR, "score"), ["run", *PAIR], "left")
+def labelled_pairs(cases: DataFrame, gold: DataFrame, asked: DataFrame, pred: DataFrame) -> DataFrame:
+    """(run, case, grouping, topic, expected, asked, score): each gold pair of the cases that did not fail; score is null where omitted."""
+    j = _ok(cases).join(gold, "case").join(asked.select("run", *PAIR, F.lit(True).alias("asked")), ["run", *PAIR], "left")
+    return j.join(pred.select("run", *PAIR, "score"), ["run", *PAIR], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
+def stance_counts(pairs: DataFrame) -> DataFrame:
+    """(run, labelled, asked, rated, present, exact, within_1, error, sign, should, did, both): what the stance, abstention and coverage
+    metrics are made of. An omitted pair that should be rated counts among the rated ones, not among the present ones."""
+    asked, expected, score = F.col("asked"), F.col("expected"), F.col("score")
+    rated, present = asked & expected.isNotNull(), asked & expected.isNotNull() & score.isNotNull()
+    gap = F.abs(score - expected)
+    sign = ((score > 0) == (expected > 0)) & ((score < 0) == (expected < 0))
+    should, did = asked & expected.isNull(), asked & score.isNull()
+    return pairs.groupBy("run").agg(
+        F.count("*").alias("labelled"), F.count_if(asked).alias("asked"), F.count_if(rated).alias("rated"), F.count_if(present).alias("present"),
+        F.count_if(present & (gap == 0)).alias("exact"), F.count_if(present & (gap <= 1)).alias("within_1"),
+        F.coalesce(F.sum(F.when(present, gap)), F.lit(0)).alias("error"), F.count_if(present & sign).alias("sign"),
+        F.count_if(should).alias("should"), F.count_if(did).alias("did"), F.count_if(should & did).alias("both"),
+    )
 
 
-def stance_metrics(gold: DataFrame, asked: DataFrame, pred: DataFrame) -> DataFrame:
-    """(run, exact, within_1, n, mae, n_mae, sign, n_sign); an omitted pair that should be rated counts in exact and within_1 only."""
-    x = _stance_pairs(gold, asked, pred).filter("expected is not null")
-    d = F.abs(F.col("score") - F.col("expected"))
-    sign = (F.signum(F.col("score").cast("int")) == F.signum(F.col("expected").cast("int"))).cast("int")
-    g = x.groupBy("run").agg(F.count("*").alias("n"), F.count_if(d == 0).alias("e"), F.count_if(d <= 1).alias("w"), F.count("score").alias("n_mae"), F.sum(d).alias("d"), F.sum(F.when(F.col("expected") != 0, sign)).alias("s"), F.count(F.when(F.col("expected") != 0, F.col("score"))).alias("n_sign"))
-    return g.select("run", _ratio(F.col("e"), F.col("n")).alias("exact"), _ratio(F.col("w"), F.col("n")).alias("within_1"), "n", _ratio(F.col("d"), F.col("n_mae")).alias("mae"), "n_mae", _ratio(F.col("s"), F.col("n_sign")).alias("sign"), "n_sign")
+def stance_metrics(counts: DataFrame) -> DataFrame:
+    """(run, exact, within_1, n, mae, n_mae, sign, n_sign) from stance_counts; zero is a sign of its own."""
+    r = lambda num, den: _ratio(F.col(num), F.col(den))
+    return counts.select("run", r("exact", "rated").alias("exact"), r("within_1", "rated").alias("within_1"), F.col("rated").alias("n"), r("error", "present").alias("mae"), F.col("present").alias("n_mae"), r("sign", "present").alias("sign"), F.col("present").alias("n_sign"))
 
 
-def abstention(gold: DataFrame, asked: DataFrame, pred: DataFrame) -> DataFrame:
-    """(run, recall, n_recall, precision, n_precision) of omitting what should be omitted."""
-    x = _stance_pairs(gold, asked, pred)
-    should, did = F.col("expected").isNull(), F.col("score").isNull()
-    g = x.groupBy("run").agg(F.count_if(should & did).alias("b"), F.count_if(should).alias("n_recall"), F.count_if(did).alias("n_precision"))
-    return g.select("run", _ratio(F.col("b"), F.col("n_recall")).alias("recall"), "n_recall", _ratio(F.col("b"), F.col("n_precision")).alias("precision"), "n_precision")
+def abstention(counts: DataFrame) -> DataFrame:
+    """(run, recall, n_recall, precision, n_precision) of omitting what should be omitted, from stance_counts."""
+    return counts.select("run", _ratio(F.col("both"), F.col("should")).alias("recall"), F.col("should").alias("n_recall"), _ratio(F.col("both"), F.col("did")).alias("precision"), F.col("did").alias("n_precision"))
 
 
-def discrimination(gold: DataFrame, asked: DataFrame, pred: DataFrame) -> DataFrame:
+def discrimination(pairs: DataFrame) -> DataFrame:
     """(run, hits, n): topics of a case with different expectations by grouping, all asked, that got different answers; null is an answer."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    runs = asked.select("run").distinct()
-    x = gold.crossJoin(F.broadcast(runs)).join(asked.withColumn("_asked", F.lit(1)), ["run", *PAIR], "left").join(pred.select("run", *PAIR, "score"), ["run", *PAIR], "left")  # a few runs
-    g = x.groupBy("run", "case", "topic").agg(F.count_distinct(shown("expected")).alias("want"), F.count_distinct(shown("score")).alias("got"), F.count("*").alias("n"), F.count("_asked").alias("asked"))
-    g = g.filter("want >= 2 and asked = n")
-    return g.groupBy("run").agg(F.count_if(F.col("got") >= 2).alias("hits"), F.count("*").alias("n"))
+    g = pairs.groupBy("run", "case", "topic").agg(F.count_distinct(shown("expected")).alias("want"), F.count_distinct(shown("score")).alias("got"), F.bool_and("asked").alias("all"))
+    return g.filter(F.col("all") & (F.col("want") >= 2)).groupBy("run").agg(F.count_if(F.col("got") >= 2).alias("hits"), F.count("*").alias("n"))
+
+
+def rates(cases: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, parse_failure_rate, retry_rate, n, coverage, n_coverage): a failed case is no retried one; coverage over gold pairs of cases
+    that did not fail."""
+    by = cases.groupBy("run").agg(F.avg(F.col("failed").cast("int")).alias("parse_failure_rate"), F.avg((~F.col("failed") & (F.col("attempts") > 1)).cast("int")).alias("retry_rate"), F.count("*").alias("n"))
+    return by.join(counts.select("run", _ratio(F.col("asked"), F.col("labelled")).alias("coverage"), F.col("labelled").alias("n_coverage")), "run", "left")
+
+
+def squeezed(text: Column) -> Column:
+    """White space collapsed, in small letters."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+
+
+def evidence_checks(cases: DataFrame, pred: DataFrame, texts: DataFrame, goals: DataFrame) -> DataFrame:
+    """(run, n, verbatim, goal_copies) over all quotes of cases that did not fail: how many stand in the case's text, white space and case
+    aside, and how many copy the goal."""
+    quote = F.trim("evidence")
+    j = _ok(cases).join(pred.select("run", *PAIR, quote.alias("quote")).filter("quote <> ''"), ["run", "case"])
+    j = j.join(goals.select("grouping", "topic", "goal"), ["grouping", "topic"], "left").join(texts.select("case", "text"), "case", "left")
+    copied = clean_evidence(F.col("quote"), F.col("goal")) == ""
+    return j.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.contains(squeezed(F.col("text")), squeezed(F.col("quote")))).alias("verbatim"), F.count_if(copied).alias("goal_copies"))
 
 
-def rates(cases: DataFrame, gold: DataFrame, asked: DataFrame) -> DataFrame:
-    """(run, parse_failure_rate, retry_rate, coverage): coverage over gold pairs of cases that did not fail."""
-    by = cases.groupBy("run").agg(F.avg(F.col("failed").cast("int")).alias("parse_failure_rate"), F.avg((F.col("attempts") > 1).cast("int")).alias("retry_rate"))
-    ok = cases.filter(~F.col("failed")).select("run", "case")
-    cov = ok.join(gold, "case").join(asked.withColumn("_asked", F.lit(1)), ["run", *PAIR], "left").groupBy("run").agg(_ratio(F.count("_asked"), F.count("*")).alias("coverage"))
-    return by.join(cov, "run", "left")
+#: The two set fields whose metrics have names of their own, and which of them count.
+SET_NAMES = {"actors": ("actors_exact", "actors_f1"), "explicit_formats": ("formats_exact", None), "topics": (None, "topics_f1")}
 
 
-def all_metrics(gold_sets: DataFrame, pred_sets: DataFrame, cases: DataFrame, gold: DataFrame, asked: DataFrame, pred: DataFrame, groupings: list[str]) -> DataFrame:
-    """(run, metric, value): every metric that has a denominator."""
-    sets = set_metrics(gold_sets, pred_sets, cases)
-    long = lambda df, **m: df.select("run", F.stack(F.lit(len(m)), *[x for k, v in m.items() for x in (F.lit(k), F.col(v).cast("double"))]).alias("metric", "value"))
+def all_metrics(gold_sets: DataFrame, pred_sets: DataFrame, cases: DataFrame, gold: DataFrame, asked: DataFrame, pred: DataFrame, texts: DataFrame, goals: DataFrame, groupings: list[str]) -> DataFrame:
+    """(run, metric, value, n): the seventeen metrics, each that has decisions behind it, and how many."""
+    named = [F.struct(F.lit(f).alias("field"), F.lit(name).alias("metric"), F.lit(i).alias("which")) for f, names in SET_NAMES.items() for i, name in enumerate(names) if name]
+    sets = set_metrics(gold_sets.filter(F.col("field").isin(*SET_NAMES)), pred_sets, cases).withColumn("m", F.explode(F.filter(F.array(*named), lambda m: m["field"] == F.col("field"))))
+    first = F.col("m.which") == 0
+    sets = sets.select("run", "m.metric", F.when(first, F.col("exact")).otherwise(F.col("f1")).alias("value"), F.when(first, F.col("n_exact")).otherwise(F.col("n_f1")).cast("long").alias("n")).filter("value is not null")
+    c = F.col
+    pairs = labelled_pairs(cases, gold, asked, pred)
+    relevance = relevance_accuracy(gold_sets, pred_sets, cases, groupings)
     parts = [
-        sets.filter("field <> 'relevant'").select("run", F.explode(F.map_from_arrays(F.array(F.concat("field", F.lit("_exact")), F.concat("field", F.lit("_f1"))), F.array("exact", "f1"))).alias("metric", "value")),
-        long(relevance_accuracy(gold_sets, pred_sets, cases, groupings), relevance_accuracy="accuracy"),
-        long(stance_metrics(gold, asked, pred), stance_exact="exact", stance_within_1="within_1", stance_mae="mae", sign_agreement="sign"),
-        long(abstention(gold, asked, pred), abstention_recall="recall", abstention_precision="precision"),
-        long(discrimination(gold, asked, pred).withColumn("v", _ratio(F.col("hits"), F.col("n"))), goal_discrimination="v"),
-        long(rates(cases, gold, asked), parse_failure_rate="parse_failure_rate", retry_rate="retry_rate", stance_coverage="coverage"),
-    ]
+        sets,
+        _long(relevance.withColumn("hits", c("accuracy") * c("n")), relevance_accuracy=(c("hits"), c("n"))),
+        _long(
+            stance_counts(pairs), stance_exact=(c("exact"), c("rated")), stance_within_1=(c("within_1"), c("rated")), stance_mae=(c("error"), c("present")), sign_agreement=(c("sign"), c("present")),
+            abstention_recall=(c("both"), c("should")), abstention_precision=(c("both"), c("did")), stance_coverage=(c("asked"), c("labelled")),
+        ),
+        _long(discrimination(pairs), goal_discrimination=(c("hits"), c("n"))),
+        _long(evidence_checks(cases, pred, texts, goals), evidence_verbatim=(c("verbatim"), c("n")), evidence_goal_copy=(c("goal_copies"), c("n"))),
+        _long(
+            cases.groupBy("run").agg(F.count("*").alias("n"), F.count_if("failed").alias("f"), F.count_if(~c("failed") & (c("attempts") > 1)).alias("r")),
+            parse_failure_rate=(c("f"), c("n")), retry_rate=(c("r"), c("n")),
+        ),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.filter("value is not null")
+    return out
 
 
-def flip_rate(pred_sets: DataFrame, asked: DataFrame, pred: DataFrame) -> DataFrame:
-    """(decisions, flips, rate): decisions over repeated runs with more than one answer; an omission is an answer."""
-    sets = pred_sets.select("run", "case", F.col("field").alias("what"), F.array_join(F.array_sort("values"), ",").alias("answer"))
-    st = asked.join(pred.select("run", *PAIR, "score"), ["run", *PAIR], "left").select("run", "case", F.concat_ws("/", "grouping", "topic").alias("what"), F.coalesce(F.col("score").cast("string"), F.lit("-")).alias("answer"))
-    g = sets.unionByName(st).groupBy("case", "what").agg(F.count_distinct("answer").alias("answers"), F.count_distinct("run").alias("runs")).filter("runs > 1")
-    return g.agg(F.count("*").alias("decisions"), F.count_if(F.col("answers") > 1).alias("flips"), F.avg((F.col("answers") > 1).cast("int")).alias("rate"))
+def flip_rate(gold_sets: DataFrame, pred_sets: DataFrame, gold: DataFrame, pred: DataFrame, runs: DataFrame) -> DataFrame:
+    """(decisions, flips, rate): scored fields and labelled pairs with more than one answer over all of `runs` (run). A missing answer, also
+    that of a failed case, is an answer: no values, or an omission. With fewer than two runs the rate is null."""
+    fields = gold_sets.filter("scored").select("case", "field").join(pred_sets.select("run", "case", "field", F.array_join(F.array_sort("values"), ",").alias("answer")), ["case", "field"], "left")
+    stances = gold.select(*PAIR).join(pred.select("run", *PAIR, F.col("score").cast("string").alias("answer")), PAIR, "left")
+    what = ["case", "field", "grouping", "topic"]
+    both = fields.unionByName(stances, allowMissingColumns=True)
+    # Runs without an answer count as one answer more, but for fields whose other answers are empty too.
+    g = both.groupBy(*what).agg(F.count_distinct("run").alias("answered"), F.count_distinct(F.when(F.col("answer") != "", F.col("answer"))).alias("answers"), F.count_if((F.col("answer") == "") & F.col("run").isNotNull()).alias("empty"))
+    total = runs.select("run").distinct().agg(F.count("*").alias("total"))
+    g = g.crossJoin(F.broadcast(total))  # one row
+    distinct = F.col("answers") + ((F.col("empty") > 0) | (F.col("answered") < F.col("total"))).cast("int")
+    flips = F.count_if(distinct > 1)
+    return g.agg(F.count("*").alias("decisions"), flips.alias("flips"), F.when(F.max("total") > 1, flips / F.count("*")).alias("rate"))
 
 
 def over_repeats(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """(metric, mean, least, most, n): n is the mean number of decisions."""
+    return metrics.groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("n").alias("n"))
 
 
 def compare(metrics: DataFrame, baselines: DataFrame, version: str, flip: float) -> DataFrame:
-    """(metric, mean, base, floor, verdict): floor is the flip rate or one decision, whichever is more."""
-    b = baselines.filter(F.col("version") == version).select("metric", F.col("value").alias("base"), "n")
+    """(metric, mean, base, floor, verdict): floor is the flip rate or one decision of this run, whichever is more."""
+    b = baselines.filter(F.col("version") == version).select("metric", F.col("value").alias("base"))
     gain = F.when(F.col("metric").isin(LOWER_IS_BETTER), F.col("base") - F.col("mean")).otherwise(F.col("mean") - F.col("base"))
-    floor = F.greatest(F.lit(flip), 1 / F.col("n"))
+    floor = F.greatest(F.lit(flip), 1 / F.when(F.col("n") > 0, F.col("n")))
     verdict = F.when(F.col("base").isNull(), "new").when(F.abs(gain) <= F.col("floor"), "within noise").when(gain > 0, "better").otherwise("worse")
     return metrics.join(b, "metric", "left").withColumn("floor", floor).select("metric", "mean", "base", "floor", verdict.alias("verdict"))
 
 
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Metrics whose mean is below its threshold."""
-    return metrics.join(F.broadcast(thresholds), "metric").filter("mean < threshold")  # a threshold for each metric at most
+    return metrics.join(thresholds, "metric").filter("mean < threshold")
 
 
 def upsert_baseline(baselines: DataFrame, metrics: DataFrame, version: str) -> DataFrame:
