@@ -46,6 +46,22 @@ def fmt_stance(score: Column) -> Column:
     return F.format_string("%+.1f", score.cast("double"))
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space at its ends."""
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string of ASCII characters alone: others by their UTF-16 units, as \\u and four small hex digits."""
+    short = {"000A": "\\n", "000D": "\\r", "0009": "\\t", "0008": "\\b", "000C": "\\f", "0022": '\\"', "005C": "\\\\"}
+    names = F.create_map(*[F.lit(x) for p in short.items() for x in p])
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"))
+    plain = lambda u: F.chr(F.conv(u, 16, 10).cast("long"))
+    one = lambda u: F.coalesce(F.try_element_at(names, u), F.when(u.between("0020", "007E"), plain(u)), F.concat(F.lit("\\u"), F.lower(u)))
+    quick = ~text.rlike(r'[^ !#-\[\]-~]')
+    return F.concat(F.lit('"'), F.when(quick, text).otherwise(F.array_join(F.transform(units, one), "")), F.lit('"'))
+
+
 def content_hash(url: Column, title: Column) -> Column:
     """First eight hex digits of the sha256 of url and title, with nothing between."""
     return F.substring(F.sha2(F.concat(url, title), 256), 1, 8)

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallax.functions.columns import agreement_color, fmt_stance, half_up, json_string
 from parallax.operators.stance import actor_means, spread_of_means
 
 
+def drop_other(areas: Column | str) -> Column:
+    """Areas without `other`, which stands for none."""
+    return F.filter(areas, lambda a: a != "other")
+
+
+def explode_areas(events: DataFrame, sources: DataFrame, topics: DataFrame, areas: str = "areas") -> DataFrame:
+    """A row for each listed area of an event, as topic, with the actor of its source. Events of unmapped sources, areas that topics
+    (topic) doesn't list and `other` drop out; an area that an event names twice counts twice."""
+    rows = events.withColumn("topic", F.explode(drop_other(areas))).drop(areas)
+    return rows.join(sources.select("source", "actor"), "source").join(topics.select("topic"), "topic", "left_semi")
+
+
 def fold_anchors(days: str, gap_days: int, newest_first: bool = True) -> str:
     """SQL: of sorted days the ones that begin a cluster, each more than gap_days past the one before."""
     gap = "datediff(element_at(acc, -1), x)" if newest_first else "datediff(x, element_at(acc, -1))"
@@ -55,10 +68,21 @@ def score_clusters(items: DataFrame) -> DataFrame:
     return spread_of_means(actor_means(items.filter("score is not null"), "topic", "anchor"), "topic", "anchor")
 
 
+def convergence(items: DataFrame) -> DataFrame:
+    """(topic, anchor, per_actor, spread, overall, display, label, color, n) of the clusters with two scored actors: spread to one digit,
+    overall to two; per_actor is an array of (actor, stance, n)."""
+    means = actor_means(items.filter("score is not null"), "topic", "anchor")
+    each = means.groupBy("topic", "anchor").agg(F.array_sort(F.collect_list(F.struct("actor", half_up(F.col("mean"), 1).alias("stance"), "n"))).alias("per_actor"))  # an entry for each actor
+    s = spread_of_means(means, "topic", "anchor").drop("per_actor").join(each, ["topic", "anchor"])
+    return s.select("topic", "anchor", "per_actor", half_up(F.col("spread_raw"), 1).alias("spread"), half_up(F.col("overall_raw"), 2).alias("overall"), fmt_stance(half_up(F.col("overall_raw"), 1)).alias("display"), "label", agreement_color(F.col("label")).alias("color"), F.col("n_events").alias("n"))
+
+
 def cluster_keys(items: DataFrame, path: str = "path") -> DataFrame:
-    """(topic, anchor, cluster_key): 12 hex digits of the sha256 of the JSON array of the sorted paths."""
-    g = items.groupBy("topic", "anchor").agg(F.array_sort(F.collect_list(path)).alias("paths"))
-    text = F.concat(F.lit('["'), F.array_join("paths", '", "'), F.lit('"]'))
+    """(topic, anchor, cluster_key): 12 hex digits of the sha256 of the JSON array of the sorted paths.
+
+    The key is that of one text, so the paths of a cluster, which is one topic's within a window, are gathered."""
+    g = items.filter(F.col(path) != "").groupBy("topic", "anchor").agg(F.array_sort(F.collect_list(path)).alias("paths"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("paths", json_string), ", "), F.lit("]"))
     return g.select("topic", "anchor", F.substring(F.sha2(text, 256), 1, 12).alias("cluster_key"))
 
 
@@ -70,7 +94,19 @@ def representative_positions(items: DataFrame) -> DataFrame:
     return first.join(enough, ["topic", "anchor"])
 
 
-def nest_by_actor(items: DataFrame) -> DataFrame:
-    """(topic, anchor, actor -> event ids in order)."""
-    per = items.groupBy("topic", "anchor", "actor").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return per.groupBy("topic", "anchor").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("actor", "ids")))).alias("by_actor"))
+def cluster_rows(items: DataFrame, actors: list[str]) -> DataFrame:
+    """(topic, anchor, actor_rank, actor, date, event_id, score): a cluster's items as rows, whatever their number; actors in the order
+    given, an actor's items to be read by date, newest first."""
+    rank = F.array_position(F.array(*map(F.lit, actors)), F.col("actor")) - 1
+    return items.select("topic", "anchor", rank.alias("actor_rank"), "actor", "date", "event_id", "score")
+
+
+def nest_by_actor(items: DataFrame, actors: list[str]) -> DataFrame:
+    """(topic, anchor, by_actor): for a report an array of (actor, items), actors in the order given and items of (event_id, score) from
+    the newest on; score is null for unrated ones. cluster_rows gives the same without gathering a cluster."""
+    item = F.struct((-F.unix_date("date")).alias("age"), "event_id", "score")
+    per = items.groupBy("topic", "anchor", "actor").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rank = F.array_position(F.array(*map(F.lit, actors)), F.col("actor"))
+    plain = F.transform("items", lambda i: F.struct(i["event_id"].alias("event_id"), i["score"].alias("score")))
+    nested = per.groupBy("topic", "anchor").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "actor", plain.alias("items")))).alias("a"))
+    return nested.select("topic", "anchor", F.transform("a", lambda a: F.struct(a["actor"].alias("actor"), a["items"].alias("items"))).alias("by_actor"))

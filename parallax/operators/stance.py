@@ -104,11 +104,20 @@ def divergence_leaderboard(weekly: DataFrame, topics: DataFrame) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy("quiet", F.desc("spread"), "topic_rank")))  # one row a topic
 
 
-def weekly_counts(rows: DataFrame, as_of: dt.date) -> DataFrame:
-    """Rows of the last week per actor and per source: (kind, name, n)."""
+def topic_order(leaderboard: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic, place): `overall` first, then the ranked topics, then the others in the order of topics (topic, topic_rank)."""
+    j = topics.select("topic", "topic_rank").join(leaderboard.select("topic", "rank"), "topic", "left")
+    listed = j.select("topic", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "topic_rank")).alias("place"))  # one row a topic
+    return listed.unionByName(topics.sparkSession.createDataFrame([("overall", 0)], "topic string, place int"))
+
+
+def weekly_counts(rows: DataFrame, as_of: dt.date, actors: list[str]) -> DataFrame:
+    """Rows of the last week per actor and per source: (kind, name, n). Each of `actors` has a row, with 0 if need be."""
     week = rows.filter((F.col("date") >= F.lit(as_of - dt.timedelta(7))) & (F.col("date") <= F.lit(as_of)))
-    g = week.groupingSets([["actor"], ["source"]], "actor", "source").agg(F.count("*").alias("n"))
-    return g.select(F.when(F.col("actor").isNull(), "source").otherwise("actor").alias("kind"), F.coalesce("actor", F.col("source").cast("string")).alias("name"), "n")
+    g = week.groupingSets([["actor"], ["source"]], "actor", "source").agg(F.count("*").alias("n"), F.grouping("actor").alias("by_source"))
+    found = g.filter((F.col("by_source") == 1) | F.col("actor").isin(actors)).select(F.when(F.col("by_source") == 1, "source").otherwise("actor").alias("kind"), F.when(F.col("by_source") == 1, F.col("source").cast("string")).otherwise(F.col("actor")).alias("name"), "n")
+    zero = rows.sparkSession.createDataFrame([("actor", a, 0) for a in actors], "kind string, name string, n long")
+    return found.unionByName(zero).groupBy("kind", "name").agg(F.sum("n").alias("n"))
 
 
 def pair_agreement(rows: DataFrame, as_of: dt.date, actors: list[str], days: int = 14) -> DataFrame:
@@ -134,12 +143,35 @@ def hub_badge(overall: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def latest_topic_pill(clusters: DataFrame, topics: DataFrame, today: dt.date, days: int = 7) -> DataFrame:
-    """The newest scored cluster of each topic that reaches into the last days; null for the others."""
+    """(topic, label, color, overall, display, date_to) of the newest scored cluster of each topic that reaches into the last days; null for
+    the others."""
     fresh = clusters.filter((F.col("date_to") >= F.lit(today - dt.timedelta(days))) & F.col("label").isNotNull())
-    best = fresh.groupBy("topic").agg(F.max_by("label", "date_to").alias("label"), F.max("date_to").alias("date_to"))
+    shown = ["label", "color", "overall", "display", "date_to"]
+    best = fresh.groupBy("topic").agg(F.max_by(F.struct(*shown), "date_to").alias("c")).select("topic", "c.*")
     return topics.select("topic").join(best, "topic", "left")
 
 
+def stance_rows(events: DataFrame, sources: DataFrame, topics: list[str], grouping: str, column: str = "stances") -> DataFrame:
+    """(event_id, date, actor, topic, score) from a map grouping -> topic -> (score, ..): rated topics that are listed, of mapped sources."""
+    rated = events.select("event_id", "date", "source", F.explode(F.map_entries(F.col(column)[grouping])).alias("e"))
+    rows = rated.select("event_id", "date", "source", F.col("e.key").alias("topic"), F.col("e.value.score").alias("score"))
+    return rows.filter(F.col("topic").isin(topics) & F.col("score").isNotNull()).join(sources.select("source", "actor"), "source").drop("source")
+
+
+def event_feed(rows: DataFrame, cutoff: dt.date) -> DataFrame:
+    """Rows up to the cutoff, the newest first: one sort over ranges of dates, with no task that holds a topic."""
+    return relevant_as_of(rows, cutoff).orderBy(F.col("date").desc_nulls_last(), "event_id")
+
+
+def totals(events: DataFrame, relevant: DataFrame, meetings: DataFrame, sources: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(relevant, all_rows, meetings, sources, clusters): how many rows each table has."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    out = count(relevant, "relevant")
+    for df, name in ((events, "all_rows"), (meetings, "meetings"), (sources, "sources"), (clusters, "clusters")):
+        out = out.crossJoin(count(df, name))  # one row each
+    return out
+
+
 def with_stances(rows: DataFrame, column: str, key: Column | str) -> DataFrame:
     """stances[key], or an empty map."""
     return rows.withColumn("stances", F.coalesce(F.col(column)[key], F.map_from_arrays(F.array(), F.array())))

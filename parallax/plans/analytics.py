@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parallax.functions.columns import agreement, agreement_color, agreement_sql, fmt_stance, half_up_sql, stance_norm
-from parallax.operators import stance
+from parallax.operators import history, stance
 from parallax.sources.adapters import ACTORS, AS_OF, STATEMENTS, TOPICS, read, source_dim, statements, topic_dim
 
 D = f"DATE '{AS_OF}'"
@@ -28,7 +28,7 @@ current_ AS (SELECT topic, {half_up_sql("(band_hi - band_lo) * 4", 2)} AS spread
 leaderboard AS (SELECT d.topic, d.topic_rank, coalesce(spread, -1.0) AS spread, label, coalesce(n_events, 0) AS n, spread IS NULL AS quiet, coalesce(n_events, 0) < 4 AS low_confidence,
   row_number() OVER (ORDER BY spread IS NULL, coalesce(spread, -1.0) DESC, d.topic_rank) AS rank FROM topic_dim d LEFT JOIN current_ c ON c.topic = d.topic WHERE d.topic IN (SELECT topic FROM topic_weekly WHERE stance_avg IS NOT NULL)),
 week_rows AS (SELECT * FROM rows_ WHERE date >= {D} - 7),
-weekly_counts AS (SELECT 'actor' AS kind, actor AS name, count(*) AS n FROM week_rows GROUP BY actor UNION ALL SELECT 'source', CAST(source AS VARCHAR), count(*) FROM week_rows GROUP BY source)
+weekly_counts AS (SELECT 'actor' AS kind, a.name, count(w.actor) AS n FROM (VALUES ('DE'), ('FR'), ('PL'), ('XX')) a(name) LEFT JOIN week_rows w ON w.actor = a.name GROUP BY a.name UNION ALL SELECT 'source', CAST(source AS VARCHAR), count(*) FROM week_rows GROUP BY source)
 """
 CELLS = f"""WITH {STATEMENTS},
 age AS (SELECT *, date_diff('day', date, {D}) AS a FROM statements),
@@ -61,15 +61,18 @@ def stance_format(spark, sf):
 
 
 def totals(spark, sf):
+    """Statements, the non-neutral ones, orders as meetings, the sources, and the days of each topic as clusters."""
     s = statements(spark, sf)
-    return s.agg(F.count_if(F.col("score") != 0).alias("relevant"), F.count("*").alias("all_rows"), F.countDistinct("source").alias("sources"), F.countDistinct("topic", "date").alias("topic_days"))
+    return stance.totals(s, s.filter("score <> 0"), read(spark, sf, "orders"), source_dim(spark), s.select("topic", "date").distinct())
 
 
 def stance_rows(spark, sf):
-    """Rows of mapped sources and listed topics with a score."""
-    dims = F.broadcast(source_dim(spark).filter("source <> 5"))  # six rows
-    s = statements(spark, sf).drop("actor").filter(F.col("topic").isin(TOPICS[:4]))
-    return s.join(dims, "source").select("date", "actor", "topic", "score", "event_id")
+    """Rows of mapped sources and listed topics with a score, from ratings nested by grouping and topic."""
+    s = statements(spark, sf).drop("actor")
+    rating = lambda score: F.struct(score.alias("score"), F.lit("q").alias("evidence"))
+    own = F.create_map("topic", rating(F.when(F.col("k") % 6 != 5, F.col("score"))), F.lit("elsewhere"), rating(F.lit(1)))
+    nested = F.when(F.col("k") % 9 == 8, F.create_map(F.lit("h"), own)).when(F.col("k") % 9 != 7, F.create_map(F.lit("g"), own))
+    return stance.stance_rows(s.withColumn("stances", nested), source_dim(spark).filter("source <> 5"), TOPICS[:4], "g")
 
 
 def week_spine(spark, sf):
@@ -77,15 +80,14 @@ def week_spine(spark, sf):
 
 
 def event_feed(spark, sf):
-    from pyspark.sql import Window
-
-    s = stance.relevant_as_of(statements(spark, sf), AS_OF)
-    return s.select("event_id", "date", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("date"), "event_id")).alias("place"), "topic")
+    return stance.event_feed(statements(spark, sf), AS_OF).select("event_id", "date", "topic")
 
 
 def relevant_events(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", "lang")
-    return docs.join(read(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    """Documents with a map of flags from their labels: good ones are relevant to g, toxic ones to h."""
+    flags = F.create_map(F.lit("g"), F.col("quality") == 1, F.lit("h"), F.col("toxic") == 1)
+    side = read(spark, sf, "labels").select("doc_id", flags.alias("relevant"))
+    return history.relevant(history.merge_sidecar(read(spark, sf, "documents").select("doc_id", "lang"), side, "doc_id"), "g").select("doc_id", "lang")
 
 
 def recent_events(spark, sf):
@@ -110,19 +112,25 @@ def position_pick(spark, sf):
     return s.select("event_id", stance.pick_position(positions, F.col("topic"), F.lit("overall")).alias("position"))
 
 
+def topic_order(spark, sf):
+    """Two topics have no rows and so no rank."""
+    weekly = stance.topic_weekly(statements(spark, sf).filter("topic not in ('click', 'view')"), AS_OF)
+    return stance.topic_order(stance.divergence_leaderboard(weekly, topic_dim(spark)), topic_dim(spark))
+
+
 QUERIES = {
     "stances_of": stances_of,
     "position_pick": position_pick,
     "topic_weekly": _weekly,
     "overall_weekly": lambda s, d: stance.overall_weekly(_weekly(s, d)),
     "divergence_leaderboard": lambda s, d: stance.divergence_leaderboard(_weekly(s, d), topic_dim(s)),
-    "topic_order": lambda s, d: stance.divergence_leaderboard(_weekly(s, d), topic_dim(s)).select("topic", "rank"),
+    "topic_order": topic_order,
     "score_density": _cells,
     "density_cells": lambda s, d: stance.density_margins(_cells(s, d)),
-    "weekly_counts": lambda s, d: stance.weekly_counts(statements(s, d), AS_OF),
+    "weekly_counts": lambda s, d: stance.weekly_counts(statements(s, d), AS_OF, [*ACTORS, "XX"]),
     "pair_agreement": lambda s, d: stance.pair_agreement(statements(s, d), AS_OF, ACTORS),
     "staleness": lambda s, d: stance.staleness(statements(s, d), AS_OF),
-    "hub_badge": lambda s, d: stance.hub_badge(stance.overall_weekly(_weekly(s, d)), stance.weekly_counts(statements(s, d), AS_OF)),
+    "hub_badge": lambda s, d: stance.hub_badge(stance.overall_weekly(_weekly(s, d)), stance.weekly_counts(statements(s, d), AS_OF, [*ACTORS, "XX"])),
     "agreement_labels": agreement_labels,
     "stance_format": stance_format,
     "totals": totals,
@@ -141,7 +149,8 @@ ORACLE = {
     "topic_weekly": WEEKLY + "SELECT * FROM topic_weekly",
     "overall_weekly": WEEKLY + "SELECT * FROM overall_weekly",
     "divergence_leaderboard": WEEKLY + "SELECT * FROM leaderboard",
-    "topic_order": WEEKLY + "SELECT topic, rank FROM leaderboard",
+    "topic_order": WEEKLY.replace("rows_ AS (SELECT * FROM statements WHERE", "rows_ AS (SELECT * FROM statements WHERE topic NOT IN ('click', 'view') AND")
+    + "SELECT d.topic, CAST(row_number() OVER (ORDER BY rank NULLS LAST, d.topic_rank) AS INT) AS place FROM topic_dim d LEFT JOIN leaderboard l ON l.topic = d.topic UNION ALL SELECT 'overall', 0",
     "score_density": CELLS + "SELECT * FROM density",
     "density_cells": CELLS
     + f""", m AS (SELECT *, sum(n) OVER (PARTITION BY actor, topic, score) AS rt, sum(n) OVER (PARTITION BY actor, topic) AS grand, max(n) OVER (PARTITION BY actor, topic) AS most FROM density)
@@ -160,10 +169,10 @@ s AS (SELECT topic, date, max(mean) - min(mean) AS spread, avg(mean) AS overall
 l AS (SELECT topic, date, {agreement_sql("spread", "overall")} AS label, round(spread, 6) AS spread FROM s)
 SELECT *, CASE WHEN label LIKE 'Aligned%' THEN 'green' WHEN label = 'Noncommittal' THEN 'grey' WHEN label = 'Mixed' THEN 'amber' ELSE 'red' END AS color FROM l""",
     "stance_format": f"WITH {STATEMENTS} SELECT event_id, (score + 2) / 4 AS norm, CASE WHEN score < 0 THEN '-' ELSE '+' END || CAST(abs(score) AS VARCHAR) || '.0' AS shown FROM statements",
-    "totals": f"WITH {STATEMENTS} SELECT count(*) FILTER (score <> 0) AS relevant, count(*) AS all_rows, count(DISTINCT source) AS sources, count(DISTINCT topic || CAST(date AS VARCHAR)) AS topic_days FROM statements",
-    "stance_rows": f"WITH {STATEMENTS} SELECT date, actor, topic, score, event_id FROM statements WHERE source <> 5 AND topic IN ({', '.join(repr(t) for t in TOPICS[:4])})",
+    "totals": f"WITH {STATEMENTS} SELECT count(*) FILTER (score <> 0) AS relevant, count(*) AS all_rows, (SELECT count(*) FROM orders) AS meetings, 6 AS sources, count(DISTINCT topic || CAST(date AS VARCHAR)) AS clusters FROM statements",
+    "stance_rows": f"WITH {STATEMENTS} SELECT date, actor, topic, score, event_id FROM statements WHERE source <> 5 AND topic IN ({', '.join(repr(t) for t in TOPICS[:4])}) AND k % 6 <> 5 AND k % 9 NOT IN (7, 8)",
     "week_spine": WEEKLY + "SELECT week FROM week_spine",
-    "event_feed": f"WITH {STATEMENTS} SELECT event_id, date, topic, row_number() OVER (PARTITION BY topic ORDER BY date DESC, event_id) AS place FROM statements WHERE date <= {D}",
+    "event_feed": f"WITH {STATEMENTS} SELECT event_id, date, topic FROM statements WHERE date IS NULL OR date <= {D} ORDER BY date DESC, event_id",
     "relevant_events": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "as_of_events": f"WITH {STATEMENTS} SELECT event_id, date, topic, score FROM statements WHERE date IS NULL OR date <= {D}",
     "recent_events": f"WITH {STATEMENTS} SELECT event_id, date, actor FROM statements WHERE date BETWEEN {D} - 10 AND {D}",

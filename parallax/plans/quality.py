@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parallax.operators import quality, votes
+from parallax.operators import history, quality, votes
 from parallax.plans.classification import RELEVANT, stance_topics
 from parallax.sources.adapters import GROUPINGS, RATINGS, groupings, ratings, read, taggings
 
@@ -12,10 +12,9 @@ TTL = 7 * 86400
 
 
 def load_events(s, d):
-    """Documents with their labels, the label's side winning where it has a row."""
-    lab = read(s, d, "labels").select("doc_id", "quality", F.lit("labelled").alias("source"))
-    j = read(s, d, "documents").select("doc_id", F.col("source").alias("raw_source"), "lang").join(lab, "doc_id", "left")
-    return j.select("doc_id", F.coalesce("source", "raw_source").alias("source"), "lang", "quality")
+    """Documents with their labels: the label's side holds where it has a row, also where it says null."""
+    lab = read(s, d, "labels").select("doc_id", "quality", F.when(F.col("doc_id") % 3 != 0, "labelled").alias("source"))
+    return history.merge_sidecar(read(s, d, "documents").select("doc_id", "source", "lang"), lab, "doc_id")
 
 
 def schema_violations(s, d):
@@ -97,43 +96,30 @@ def backfill_provenance(s, d):
     return quality.backfill_provenance(raw, versions).select("doc_id", "method")
 
 
-def vocabulary(s, d):
-    """Topics over all groupings, in the order in which they first appear."""
-    g = groupings(s, d).select("grouping", F.posexplode("topics").alias("pos", "topic"))
-    return g.groupBy("topic").agg(F.min(F.struct("grouping", "pos")).alias("first")).select("topic", F.col("first.grouping").alias("grouping"), F.col("first.pos").alias("pos"))
-
-
 def _source_runs(s, d):
     return read(s, d, "events").select(F.to_date("ts").alias("run_date"), F.col("event_id").alias("pos"), F.col("user_id").alias("source"), F.when(F.col("event_type") == "error", F.concat(F.lit("boom "), F.col("event_id").cast("string"))).alias("error"))
 
 
-def source_health(s, d):
-    """Last run without an error; the error and its date only where the latest run failed."""
-    r = _source_runs(s, d)
-    g = r.groupBy("source").agg(F.max(F.when(F.col("error").isNull(), F.col("run_date"))).alias("last_ok"), F.max_by(F.struct("run_date", "error"), F.struct("run_date", "pos")).alias("last"))
-    failed = F.col("last.error").isNotNull()
-    return g.select("source", "last_ok", F.when(failed, F.substring("last.error", 1, 200)).alias("last_error"), F.when(failed, F.col("last.run_date")).alias("error_date"))
-
-
-def latest_run(s, d):
-    r = _source_runs(s, d)
-    last = r.agg(F.max("run_date").alias("run_date"))
-    return r.join(F.broadcast(last), "run_date").groupBy("run_date", "source").agg(F.count("*").alias("runs"), F.count("error").alias("errors"))
+def _meetings(s, d):
+    """Orders as meetings: eras of two years, urgent ones as summits."""
+    era = F.concat(F.lit("era"), F.floor((F.year("o_orderdate") - 1995) / 2).cast("string"))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Summit").otherwise(F.col("o_orderpriority"))
+    return read(s, d, "orders").select(F.col("o_orderkey").alias("meeting"), F.year("o_orderdate").alias("year"), era.alias("era"), kind.alias("type"))
 
 
 def era_summary(s, d):
-    """Orders as meetings: eras of two years, urgent ones as summits."""
-    o = read(s, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority", "o_orderstatus")
-    o = o.withColumn("era", F.concat(F.lit("era"), F.floor((F.col("year") - 1995) / 2).cast("string")))
-    g = o.groupBy("era").agg(F.count("*").alias("meetings"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("summits"), F.array_join(F.transform(F.array_sort(F.collect_set("year")), lambda y: y.cast("string")), ",").alias("years"))
-    return g
+    """Every year counts, also those of two eras to come, of which the last has not even years; orders over 300,000 are milestones."""
+    m = _meetings(s, d)
+    years = s.range(1991, 2003).select(F.col("id").cast("int").alias("year"), F.concat(F.lit("era"), F.floor((F.col("id") - 1995) / 2).cast("string")).alias("era"), (F.col("id") % 7).cast("double").alias("score"))
+    annual = years.join(m.groupBy("year").agg(F.count("*").alias("meetings")), "year", "left").withColumn("meetings", F.coalesce("meetings", F.lit(0)))
+    eras = years.select("era").distinct().unionByName(s.createDataFrame([("era9",)], "era string"))
+    stones = read(s, d, "orders").filter("o_totalprice > 300000").select(F.concat(F.lit("era"), F.floor((F.year("o_orderdate") - 1995) / 2).cast("string")).alias("era"))
+    out = history.era_summary(eras, m, annual, stones)
+    return out.withColumn("years", F.array_join(F.transform("years", lambda y: F.concat_ws(":", y["year"].cast("string"), y["meetings"].cast("string"))), ","))
 
 
 def meeting_filter(s, d):
-    """The meetings of one era and type, with how many of how many."""
-    o = read(s, d, "orders")
-    hit = (F.year("o_orderdate") == 1996) & (F.col("o_orderpriority") == "2-HIGH")
-    return o.agg(F.count_if(hit).alias("shown"), F.count("*").alias("total"))
+    return history.filter_meetings(_meetings(s, d), "era0", "2-HIGH").select("meeting", "shown", "total")
 
 
 def _votes(s, d):
@@ -187,9 +173,9 @@ QUERIES = {
     "backfill_provenance": backfill_provenance,
     "strip_computed": lambda s, d: quality.strip_computed(read(s, d, "documents"), ["doc_id", "lang", "source"]),
     "drop_obsolete": lambda s, d: read(s, d, "documents").drop("text", "n_chars"),
-    "vocabulary": vocabulary,
-    "source_health": source_health,
-    "latest_run": latest_run,
+    "vocabulary": lambda s, d: history.vocabulary(groupings(s, d)),
+    "source_health": lambda s, d: history.source_health(_source_runs(s, d)),
+    "latest_run": lambda s, d: history.latest_run(_source_runs(s, d)),
     "era_summary": era_summary,
     "meeting_filter": meeting_filter,
     "vote_tally": vote_tally,
@@ -208,7 +194,7 @@ counted(slug, ip, ts) AS (SELECT slug, ip, min(ts) FROM votes GROUP BY ALL
 tally AS (SELECT slug, count(*) AS votes FROM counted GROUP BY slug)"""
 NO_FORMAT = RELEVANT.replace("e.format IS NOT DISTINCT FROM s.grouping_key OR ", "")
 ORACLE = {
-    "load_events": "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE source END AS source, lang, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "load_events": "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN source WHEN d.doc_id % 3 <> 0 THEN 'labelled' END AS source, lang, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "schema_violations": "SELECT c_custkey AS key, 'negative balance' AS rule FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'unknown segment' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') UNION ALL SELECT c_custkey, 'no name' FROM customer WHERE coalesce(c_name, '') = ''",
     "unknown_fields": "SELECT event_id AS key, 'extra' AS field FROM events WHERE event_id % 5 = 2",
     "corrupt_records": "SELECT event_id AS key, CASE event_id % 5 WHEN 0 THEN 'empty' ELSE 'invalid' END AS reason FROM events WHERE event_id % 5 < 2",
@@ -232,8 +218,13 @@ SELECT grouping, topic, CASE WHEN n % 5 = 0 THEN 'missing goal' ELSE 'empty goal
 l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY run_date DESC, pos DESC) = 1), k AS (SELECT source, max(run_date) FILTER (error IS NULL) AS last_ok FROM r GROUP BY source)
 SELECT k.source, last_ok, error AS last_error, CASE WHEN error IS NOT NULL THEN run_date END AS error_date FROM k JOIN l ON l.source = k.source""",
     "latest_run": "SELECT CAST(ts AS DATE) AS run_date, user_id AS source, count(*) AS runs, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY ALL",
-    "era_summary": "SELECT 'era' || CAST(CAST(floor((year(o_orderdate) - 1995) / 2) AS INT) AS VARCHAR) AS era, count(*) AS meetings, count(*) FILTER (o_orderpriority = '1-URGENT') AS summits, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS years FROM orders GROUP BY 1",
-    "meeting_filter": "SELECT count(*) FILTER (year(o_orderdate) = 1996 AND o_orderpriority = '2-HIGH') AS shown, count(*) AS total FROM orders",
+    "era_summary": """WITH m AS (SELECT year(o_orderdate) AS year, 'era' || CAST(floor((year(o_orderdate) - 1995) / 2) AS INT) AS era, o_orderpriority AS p, o_totalprice AS t FROM orders),
+y AS (SELECT CAST(n AS INT) AS year, 'era' || CAST(floor((n - 1995) / 2) AS INT) AS era, CAST(n % 7 AS DOUBLE) AS score, (SELECT count(*) FROM m WHERE m.year = n) AS meetings FROM (SELECT unnest(generate_series(1991, 2002)) AS n)),
+a AS (SELECT era, avg(score) AS score, count(*) FILTER (meetings = 0) AS silent, string_agg(year || ':' || meetings, ',' ORDER BY year) AS years FROM y GROUP BY era),
+c AS (SELECT era, count(*) AS meetings, count(*) FILTER (p = '1-URGENT') AS summits, count(*) FILTER (t > 300000) AS milestones FROM m GROUP BY era)
+SELECT e.era, coalesce(meetings, 0) AS meetings, coalesce(summits, 0) AS summits, coalesce(score, 0) AS score, coalesce(milestones, 0) AS milestones, coalesce(silent, 0) AS silent, years
+FROM (SELECT DISTINCT era FROM y UNION ALL SELECT 'era9') e LEFT JOIN a ON a.era = e.era LEFT JOIN c ON c.era = e.era""",
+    "meeting_filter": "WITH h AS (SELECT o_orderkey AS meeting FROM orders WHERE year(o_orderdate) IN (1995, 1996) AND o_orderpriority = '2-HIGH') SELECT meeting, (SELECT count(*) FROM h) AS shown, (SELECT count(*) FROM orders) AS total FROM h",
     "vote_tally": f"WITH RECURSIVE {VOTES} SELECT * FROM tally",
     "vote_ranking": f"WITH RECURSIVE {VOTES}, j AS (SELECT s.slug, coalesce(votes, 0) AS votes FROM (VALUES ('click'), ('view'), ('signup'), ('nobody')) s(slug) LEFT JOIN tally t ON t.slug = s.slug) SELECT slug, votes, row_number() OVER (ORDER BY votes DESC, slug) AS rank, CAST(sum(votes) OVER () AS BIGINT) AS total FROM j",
     "vote_env_split": "SELECT CASE WHEN user_id % 3 = 0 THEN 'preview' ELSE 'production' END AS env, event_type AS slug, count(*) AS n FROM events GROUP BY ALL",
