@@ -67,11 +67,29 @@ def content_hash(url: Column, title: Column) -> Column:
     return F.substring(F.sha2(F.concat(url, title), 256), 1, 8)
 
 
+#: Named entities beside the numbered ones; `amp` last, as what it gives is not read again.
+ENTITIES = {
+    "nbsp": " ", "middot": "·", "copy": "©", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bdquo": "„", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß",
+    "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "acirc": "â", "ccedil": "ç", "ocirc": "ô", "euro": "€", "amp": "&",
+}
+
+
+def read_entities(text: Column) -> Column:
+    """Named and numbered character references as characters; unknown ones stay."""
+    code = lambda p: F.coalesce(F.regexp_extract(p, "^&#([0-9]{1,7});", 1).try_cast("int"), F.conv(F.regexp_extract(p, "(?i)^&#x([0-9a-f]{1,6});", 1), 16, 10).try_cast("int"))
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    known = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    one = lambda p: F.when(known(code(p)), F.concat(char(code(p)), F.regexp_replace(p, "^&#[0-9A-Fa-fxX]+;", ""))).otherwise(p)
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "(?=&#)"), one), "")).otherwise(text)
+    for name, char_ in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char_))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
 def strip_html(html: Column) -> Column:
     """Text without scripts, styles, comments and tags, entities read, white space collapsed."""
     x = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(x, r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(read_entities(x), r"[ \t\n\r]+", " "))

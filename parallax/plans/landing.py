@@ -66,6 +66,46 @@ def _raw_dates(s, d):
     return o.select("id", "d", raw.alias("raw"))
 
 
+def parse_dates(s, d):
+    """Each source's texts in its own forms: s0 has few, s1 cleans first, s2 others; s3 isn't listed."""
+    forms = {"s0": ["day", "dotted"], "s1": ["day", "dotted", "month_day", "month_plain"], "s2": ["mail", "month_day"]}
+    rows = _raw_dates(s, d).withColumn("source", F.concat(F.lit("s"), (F.floor(F.col("id") / 6) % 4).cast("string")))
+    return dates.dates_by_source(rows, "raw", "source", forms, TODAY, cleaned=("s1",)).select("id", "date")
+
+
+def preferred_dates(s, d):
+    """A date in the URL for most orders, one on the page for some, and one on the list for others."""
+    o = read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"))
+    url = F.when(F.col("id") % 5 != 0, F.concat(F.lit("https://x/"), F.date_format("day", "yyyy/MM/dd/a")))
+    page, listed = F.when(F.col("id") % 3 == 0, F.date_add("day", 1)), F.when(F.col("id") % 7 != 0, F.date_add("day", 2))
+    return o.select("id", dates.prefer_dates(dates.url_date(url, TODAY), page, listed).alias("date"))
+
+
+def url_topn(s, d):
+    """Every ninth URL ends in a word."""
+    tail = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit("x"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "/").otherwise("")))
+    return landing.top_candidates(read(s, d, "documents").select("doc_id", F.concat(F.lit("https://x/"), tail).alias("url"))).select("doc_id", "content_id")
+
+
+def url_top_dated(s, d):
+    o = read(s, d, "orders")
+    day = F.when(F.col("o_orderkey") % 5 == 0, F.lit("news/")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd/"))
+    url = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "http").otherwise("https"), F.lit("://x/"), day, F.floor(F.col("o_orderkey") / 3).cast("string"), F.lit("?q="), F.col("o_orderkey").cast("string"))
+    return landing.top_dated(o.select(url.alias("url")), TODAY)
+
+
+def sink_twice(s, d):
+    """New items written twice to the shared folder, as a repeated run would, and read again."""
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", "") or s.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    new = append_new(s, d)
+    for _ in range(2):
+        landing.write_events(new, path)
+    return s.read.schema(new.schema).parquet(path).select(*new.columns)
+
+
 def url_date(s, d):
     o = read(s, d, "orders")
     url = F.concat(F.lit("https://x/en/"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("news/")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd/")), F.col("o_orderkey").cast("string"))
@@ -126,7 +166,10 @@ QUERIES = {
     "known_counts": lambda s, d: landing.known_counts(_offered(s, d), _stored(s, d)),
     "append_new": append_new,
     "url_dedup": lambda s, d: landing.dedup_by_url(_channels(s, d), "channel").select("clean_url", "channel", "item"),
-    "url_topn": lambda s, d: landing.top_candidates(read(s, d, "documents").select("doc_id", F.concat(F.lit("https://x/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "/").otherwise("")).alias("url")), 40).select("doc_id", "content_id"),
+    "url_topn": url_topn,
+    "url_top_dated": url_top_dated,
+    "sink_twice": sink_twice,
+    "preferred_dates": preferred_dates,
     "url_filter": lambda s, d: landing.filter_article_urls(read(s, d, "pages").select("page_id", "url"), "http://", r"/(fr|de)/[0-9]+").select("page_id"),
     "since_filter": lambda s, d: landing.since(_day(raw_items(s, d)), dt.date(2024, 1, 1)).select("doc_id", "date"),
     "dateless_stats": lambda s, d: landing.dateless(_day(raw_items(s, d)), "source_name"),
@@ -140,7 +183,7 @@ QUERIES = {
     "page_json_items": page_json_items,
     "feed_parse": feed_parse,
     "clean_dates": lambda s, d: _raw_dates(s, d).select("id", dates.clean_date(F.col("raw")).alias("clean")),
-    "parse_dates": lambda s, d: _raw_dates(s, d).select("id", dates.lenient_date(F.col("raw"), TODAY).alias("date")),
+    "parse_dates": parse_dates,
     "strict_dates": lambda s, d: _raw_dates(s, d).select("id", dates.strict_date(F.col("raw"), TODAY).alias("date"), dates.strict_date(F.col("raw"), None).alias("unranged")),
     "url_date": url_date,
     "month_spine": lambda s, d: dates.month_spine(read(s, d, "orders"), "o_orderdate", TODAY),
@@ -148,9 +191,9 @@ QUERIES = {
 
 _STRIP = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g'))"
 _CLEAN = "regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
-BODY = f"""scoped AS (SELECT page_id, html, CASE WHEN regexp_extract(c, '(?is)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(c, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE c END AS s FROM (SELECT *, {_CLEAN} AS c FROM pages)),
+BODY = f"""scoped AS (SELECT page_id, html, CASE WHEN regexp_extract(c, '(?is)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(c, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE '' END AS s FROM (SELECT *, {_CLEAN} AS c FROM pages)),
 parts AS (SELECT page_id, unnest(regexp_extract_all(s, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1)) AS p, generate_subscripts(regexp_extract_all(s, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), 1) AS i FROM scoped),
-bodies AS (SELECT s.page_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (length(t) > 40), '') AS body FROM scoped s LEFT JOIN (SELECT page_id, i, {_STRIP("p")} AS t FROM parts) x ON x.page_id = s.page_id GROUP BY s.page_id)"""
+bodies AS (SELECT s.page_id, coalesce(string_agg(t, ' ' ORDER BY i) FILTER (length(t) > 40), '') AS body FROM scoped s LEFT JOIN (SELECT page_id, i, {_STRIP("p")} AS t FROM parts) x ON x.page_id = s.page_id GROUP BY s.page_id)"""
 _MONTH = "monthname(o_orderdate)"
 _DAY = "CAST(extract(day FROM o_orderdate) AS VARCHAR)"
 _END = "CASE WHEN extract(day FROM o_orderdate) IN (11, 12, 13) THEN 'th' WHEN extract(day FROM o_orderdate) % 10 = 1 THEN 'st' WHEN extract(day FROM o_orderdate) % 10 = 2 THEN 'nd' WHEN extract(day FROM o_orderdate) % 10 = 3 THEN 'rd' ELSE 'th' END"
@@ -163,9 +206,14 @@ ORACLE = {
     "known_counts": f"WITH {STORED} SELECT o.source_name, count(*) AS offered, count(s.hash) AS known FROM offered o LEFT JOIN stored s ON s.source_name = o.source_name AND s.hash = o.hash GROUP BY o.source_name",
     "append_new": f"""WITH {STORED}, dayed AS (SELECT *, {DAYED} FROM hashed), keyed AS (SELECT *, coalesce(strftime(date, '%Y-%m'), 'unknown') AS month FROM dayed)
 SELECT source_name, month, date, hash, doc_id FROM (SELECT * FROM keyed WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY source_name, month, date, hash ORDER BY doc_id) = 1) k
+WHERE NOT EXISTS (SELECT 1 FROM keyed s WHERE s.doc_id % 3 = 0 AND s.source_name = k.source_name AND s.month = k.month AND s.hash = k.hash AND s.date IS NOT DISTINCT FROM k.date)""",
+    "sink_twice": f"""WITH {STORED}, dayed AS (SELECT *, {DAYED} FROM hashed), keyed AS (SELECT *, coalesce(strftime(date, '%Y-%m'), 'unknown') AS month FROM dayed)
+SELECT source_name, month, date, hash, doc_id FROM (SELECT * FROM keyed WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY source_name, month, date, hash ORDER BY doc_id) = 1) k
 WHERE NOT EXISTS (SELECT 1 FROM keyed s WHERE s.doc_id % 3 = 0 AND s.source_name = k.source_name AND s.month = k.month AND s.hash = k.hash AND s.date IS NOT DISTINCT FROM k.date)""",
     "url_dedup": f"WITH {CHANNELS} SELECT regexp_replace(regexp_replace(url, '[?].*$', ''), '^http://', 'https://') AS clean_url, channel, item FROM channels QUALIFY row_number() OVER (PARTITION BY clean_url ORDER BY channel, item) = 1",
-    "url_topn": "SELECT doc_id, doc_id AS content_id FROM documents ORDER BY doc_id DESC LIMIT 40",
+    "url_topn": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE doc_id END AS content_id FROM documents ORDER BY content_id DESC, 'https://x/x' || doc_id || 'x' LIMIT 400",
+    "url_top_dated": f"WITH u AS (SELECT DISTINCT 'https://x/' || CASE WHEN o_orderkey % 5 = 0 THEN 'news/' ELSE strftime(o_orderdate, '%Y/%m/%d/') END || CAST(floor(o_orderkey / 3) AS BIGINT) AS url, CASE WHEN o_orderkey % 5 <> 0 THEN {_RANGE} END AS date FROM orders) SELECT * FROM u ORDER BY date DESC NULLS LAST, url LIMIT 500",
+    "preferred_dates": f"WITH x AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 5 <> 0 THEN {_RANGE} END AS u FROM orders) SELECT id, CAST(CASE WHEN u IS NOT NULL THEN u WHEN id % 3 = 0 THEN d + 1 WHEN id % 7 <> 0 THEN d + 2 END AS DATE) AS date FROM x",
     "url_filter": "SELECT page_id FROM pages WHERE starts_with(url, 'http://') AND regexp_matches(url, '/(fr|de)/[0-9]+')",
     "since_filter": f"WITH {RAW_ITEMS}, x AS (SELECT doc_id, {DAYED} FROM raw_items) SELECT * FROM x WHERE date >= DATE '2024-01-01'",
     "dateless_stats": f"WITH {RAW_ITEMS}, x AS (SELECT source_name, {DAYED} FROM raw_items) SELECT source_name, count(date) AS kept, count(*) FILTER (date IS NULL) AS dropped FROM x GROUP BY source_name",
@@ -182,8 +230,8 @@ SELECT source, fetched, new, skipped, known, CAST(errors AS BIGINT) AS errors FR
     "feed_parse": "SELECT lang AS source_name, 'Title ' || CAST(doc_id AS VARCHAR) AS title, 'https://x/' || CAST(doc_id AS VARCHAR) AS url, CAST(least(5000, length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS INT) AS n_chars, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS DATE) AS date FROM documents WHERE doc_id % 11 <> 0",
     "clean_dates": f"""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 2 THEN {_MONTH} || ' ' || {_DAY} || ', ' || CAST(year(o_orderdate) AS VARCHAR)
   WHEN 3 THEN {_MONTH} || ' ' || {_DAY} || ' ' || CAST(year(o_orderdate) AS VARCHAR) WHEN 4 THEN {_DAY} || ' ' || substring({_MONTH}, 1, 3) || ' ' || CAST(year(o_orderdate) AS VARCHAR) || ' 09:30:00 +0000' ELSE 'no date here' END AS clean FROM orders""",
-    "parse_dates": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 5 THEN {_T} ELSE CAST(o_orderdate AS DATE) END AS date FROM orders",
-    "strict_dates": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE {_RANGE} END AS date, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 6 = 3 AND length('On : ' || {_MONTH} || ' ' || {_DAY} || {_END} || ' 2000') <= 19 THEN CAST(o_orderdate AS DATE) END AS unranged FROM orders",
+    "parse_dates": f"SELECT o_orderkey AS id, CASE WHEN CASE CAST(floor(o_orderkey / 6) AS BIGINT) % 4 WHEN 0 THEN o_orderkey % 6 IN (0, 1) WHEN 1 THEN o_orderkey % 6 IN (0, 1, 2, 3) WHEN 2 THEN o_orderkey % 6 IN (2, 4) ELSE false END THEN CAST(o_orderdate AS DATE) ELSE {_T} END AS date FROM orders",
+    "strict_dates": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN {_RANGE} END AS date, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN CAST(o_orderdate AS DATE) END AS unranged FROM orders",
     "url_date": f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE {_RANGE} END AS date FROM orders",
     "month_spine": f"SELECT CAST(unnest(generate_series(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP), CAST({_T} AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM orders",
 }
