@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.functions.columns import strip
+
 
 def normalize_actors(raw: Column, aliases: dict[str, str], order: list[str], country: Column, known: Column) -> Column:
     """Codes in canonical order: trimmed, upper-cased, through the aliases, with a known source's own country; unknown names drop out."""
@@ -27,21 +29,35 @@ def grouping_relevance(tags: DataFrame, groupings: DataFrame) -> DataFrame:
 
     Named as a format, or all its members present; or two members and a tracked topic; or a member as source and a tracked topic.
     """
-    x = tags.crossJoin(F.broadcast(groupings))  # a few dozen configured groupings
+    x = tags.crossJoin(groupings)  # a few dozen configured groupings
     members = F.size(F.array_intersect("actors", "members"))
     topic = F.arrays_overlap("topics", F.col("tracked"))
     explicit = F.array_contains("formats", F.col("grouping")) | ((F.size("members") > 0) & (members == F.size("members")))
     return x.filter(explicit | ((members >= 2) & topic) | (F.array_contains("members", F.col("source_country")) & topic))
 
 
+def backfill_flags(tags: DataFrame, groupings: DataFrame) -> DataFrame:
+    """tags with `flags`, the groupings that an event is relevant to by its stored tags alone, where flags is null; others keep theirs."""
+    open_ = tags.filter("flags is null").withColumn("formats", F.array().cast("array<string>"))
+    found = grouping_relevance(open_, groupings).groupBy("event").agg(F.array_sort(F.collect_set("grouping")).alias("_found"))  # a few configured groupings
+    filled = tags.join(found, "event", "left")
+    return filled.withColumn("flags", F.coalesce("flags", "_found", F.array().cast("array<string>"))).drop("_found")
+
+
 def wanted_topics(relevant: DataFrame) -> DataFrame:
     """(event, grouping, topic): the tracked topics of the groupings an event is relevant to."""
     return relevant.select("event", "grouping", F.explode(F.array_intersect("topics", "tracked")).alias("topic"))
 
 
+def unfenced(raw: Column) -> Column:
+    """What stands between the first fence and the next one, without a language tag, where the text begins with a fence; else the text."""
+    inner = F.get(F.split(raw, "```"), F.lit(1))
+    return strip(F.when(raw.startswith("```"), F.regexp_replace(inner, "^json", "")).otherwise(raw))
+
+
 def parse_responses(df: DataFrame, schema: str, column: str = "raw") -> DataFrame:
-    """Adds parsed and status (ok, error): JSON inside an optional fence, with or without a language tag."""
-    body = F.regexp_replace(F.trim(column), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+    """Adds parsed and status (ok, error): a JSON object, in a fence or not; what follows the closing fence doesn't matter."""
+    body = unfenced(F.col(column))
     parsed = F.from_json(body, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
     out = df.withColumn("_parsed", parsed)
     bad = F.col("_parsed").isNull() | F.col("_parsed._corrupt_record").isNotNull() | ~body.startswith("{")
@@ -55,6 +71,11 @@ def flat_strings(value: Column, path: str) -> Column:
     return v.isNull() | kind.isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
 
 
+def response_shape(value: Column, fields: tuple[str, ...] = ("actors", "explicit_formats")) -> Column:
+    """Null for a response whose fields are flat arrays of strings, or the first field that isn't."""
+    return F.coalesce(*[F.when(~flat_strings(value, f"$.{f}"), F.lit(f)) for f in fields])
+
+
 def build_positions(topics: Column, positions: Column) -> tuple[Column, Column]:
     """(map of positions, status): every topic but `other` needs a position with text, or the whole item fails."""
     needed = F.filter(topics, lambda t: t != "other")
@@ -63,16 +84,18 @@ def build_positions(topics: Column, positions: Column) -> tuple[Column, Column]:
 
 
 def clean_stance(raw: Column) -> tuple[Column, Column]:
-    """(score, error): whole numbers by truncation of numbers, null for what is none; outside -2..2 is an error."""
-    text = F.trim(raw)
-    number = F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int")))
-    return F.when(number.between(-2, 2), number), F.coalesce(~number.between(-2, 2), F.lit(False))
+    """(score, error): a whole number from -2 to 2; null for what is none; any other whole number, however large, is an error."""
+    text = strip(raw)
+    number = text.try_cast("decimal(38,0)")
+    whole = text.rlike(r"^[+-]?[0-9]+$")
+    fits = F.coalesce(whole & number.between(-2, 2), F.lit(False))
+    return F.when(fits, number).cast("int"), F.coalesce(whole & ~fits, F.lit(False))
 
 
 def clean_evidence(evidence: Column, goal: Column) -> Column:
     """Trimmed; empty if it holds the goal or lies in it. A missing goal is the empty text, which every quote holds."""
-    e, g = F.trim(F.coalesce(evidence, F.lit(""))), F.trim(F.coalesce(goal, F.lit("")))
-    return F.when(F.contains(g, e) | F.contains(e, g), "").otherwise(e)
+    e, g = strip(F.coalesce(evidence, F.lit(""))), F.coalesce(goal, F.lit(""))
+    return F.when(F.contains(g, e) | F.contains(e, strip(g)), "").otherwise(e)
 
 
 def drop_blank_neutrals(ratings: DataFrame) -> DataFrame:
@@ -88,6 +111,19 @@ def merge_ratings(old: DataFrame, new: DataFrame, stamp: str) -> DataFrame:
     return best.select(*keys, "r.*")
 
 
+def rating_outcomes(events: DataFrame, merged: DataFrame) -> DataFrame:
+    """(event, outcome) of events (event, failed): error where scoring failed or the raw event is missing, empty where nothing is rated, which
+    is no failure, else ok."""
+    rated = merged.select("event").distinct().withColumn("_rated", F.lit(True))
+    outcome = F.when(F.col("failed"), "error").when(F.col("_rated"), "ok").otherwise("empty")
+    return events.join(rated, "event", "left").select("event", outcome.alias("outcome"))
+
+
+def status_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n)."""
+    return rows.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def render_prompts(df: DataFrame, template: str, **columns: Column) -> DataFrame:
     """Adds prompt: the template with {name} filled from columns."""
     text = F.lit(template)

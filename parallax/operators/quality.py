@@ -12,6 +12,24 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.explode(found).alias("rule"))
 
 
+#: Kinds of JSON values by the start of their variant's schema.
+KINDS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+
+
+def typed_violations(df: DataFrame, key: str, json: str, fields: dict[str, tuple[str, bool]]) -> DataFrame:
+    """(key, rule) of JSON objects against fields: name -> (kind, required). A required field that is absent or null is missing; a value
+    of another kind is named. Records that are no JSON object break one rule, `not an object`."""
+    v = F.try_parse_json(json)
+    found = []
+    for name, (kind, required) in fields.items():
+        shape = F.schema_of_variant(F.variant_get(v, f"$.{name}", "variant"))
+        absent = shape.isNull() | (shape == "VOID")
+        found.append(F.when(absent, F.lit(f"{name} is missing") if required else F.lit(None)).when(~shape.rlike(f"^{KINDS[kind]}"), F.lit(f"{name} is not {kind}")))
+    whole = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    rules = F.when(whole, F.array_compact(F.array(*found))).otherwise(F.array(F.lit("not an object")))
+    return df.select(F.col(key).alias("key"), F.explode(rules).alias("rule"))
+
+
 def unknown_fields(df: DataFrame, key: str, json: str, allowed: list[str]) -> DataFrame:
     """(key, field): keys of a JSON object that the schema doesn't have."""
     keys = F.map_keys(F.from_json(json, "map<string,string>"))
@@ -45,13 +63,21 @@ def goal_mismatch(topics: DataFrame, goals: DataFrame) -> DataFrame:
     return both.select("grouping", "topic", problem.alias("problem")).filter("problem is not null")
 
 
-def config_violations(groupings: DataFrame) -> DataFrame:
-    """(grouping, problem): cards without members, and topics whose goal two groupings share word for word."""
-    bare = groupings.filter(F.size("members") == 0).select("grouping", F.lit("no members").alias("problem"))
+def config_violations(groupings: DataFrame, tracked: list[str], statuses: list[str]) -> DataFrame:
+    """(grouping, problem) of configured groupings (grouping, members, topics, goals, tags, purpose, agreed, status): cards without members,
+    purpose or agreed line, or of an unknown status; tags without an objective; topics of groupings that aren't tracked; and topics whose
+    goal two groupings share word for word."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = {
+        "no members": F.size("members") == 0, "no purpose": blank("purpose"), "no agreed line": blank("agreed"), "unknown status": ~F.coalesce(F.col("status").isin(statuses), F.lit(False)),
+        "topics but not tracked": (F.size("topics") > 0) & ~F.col("grouping").isin(tracked), "goals but no topics": (F.size("topics") == 0) & (F.size("goals") > 0),
+    }
+    cards = violations(groupings, "grouping", rules).select(F.col("key").alias("grouping"), F.col("rule").alias("problem"))
+    tags = groupings.select("grouping", F.explode("tags").alias("tag", "goal")).filter(blank(F.col("goal"))).select("grouping", F.concat(F.lit("no objective for "), "tag").alias("problem"))
     goals = groupings.select("grouping", F.explode("goals").alias("topic", "goal"))
-    same = goals.groupBy("topic", "goal").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = goals.join(F.broadcast(same), ["topic", "goal"]).select("grouping", F.concat(F.lit("same goal for "), "topic").alias("problem"))
-    return bare.unionByName(shared)
+    same = goals.groupBy("topic", F.trim("goal").alias("goal")).agg(F.count("*").alias("n")).filter("n > 1")
+    shared = goals.withColumn("goal", F.trim("goal")).join(same, ["topic", "goal"]).select("grouping", F.concat(F.lit("same goal for "), "topic").alias("problem"))
+    return cards.unionByName(tags).unionByName(shared)
 
 
 def row_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -64,12 +90,23 @@ def row_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Da
     return new.join(o, key).filter(~same)
 
 
-def outcome_counts(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(outcome, n): changed, unchanged, dropped, added."""
+def outcome_counts(old: DataFrame, new: DataFrame, key: str, columns: list[str], failed: DataFrame | None = None) -> DataFrame:
+    """(outcome, n): changed, unchanged, dropped, added; failed for the keys in `failed`, whatever else they are."""
     o = old.select(key, F.struct(*columns).alias("_old"))
     n = new.select(key, F.struct(*columns).alias("_new"))
     out = F.when(F.col("_new").isNull(), "dropped").when(F.col("_old").isNull(), "added").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("changed")
-    return o.join(n, key, "full_outer").groupBy(out.alias("outcome")).agg(F.count("*").alias("n"))
+    j = o.join(n, key, "full_outer")
+    if failed is not None:
+        j = j.join(failed.select(key, F.lit(True).alias("_failed")).distinct(), key, "left")
+        out = F.when(F.col("_failed"), "failed").otherwise(out)
+    return j.groupBy(out.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def ratings_by_grouping(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(grouping, before, after, dropped): ratings of each grouping, and how many fewer there are."""
+    count = lambda df, name: df.groupBy("grouping").agg(F.count("*").alias(name))
+    j = count(old, "before").join(count(new, "after"), "grouping", "full_outer").select("grouping", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
+    return j.withColumn("dropped", F.greatest(F.col("before") - F.col("after"), F.lit(0)))
 
 
 def rekey_stances(flat: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -94,6 +131,11 @@ def strip_computed(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in fields])
 
 
-def backfill_provenance(raw: DataFrame, versions: DataFrame) -> DataFrame:
-    """method where it is missing: seed for the cohort before the first version, else by the version of the prompt's hash."""
-    return raw.join(F.broadcast(versions), "prompt_hash", "left").withColumn("method", F.coalesce("method", F.when(F.col("version").isNull(), "seed").otherwise(F.concat(F.lit("auto-v"), F.col("version").cast("string")))))
+def backfill_provenance(raw: DataFrame, languages: DataFrame, methods: DataFrame, versions: DataFrame, fields: list[str]) -> DataFrame:
+    """raw with collection, collection_method and prompt_version where they are missing, in the order of `fields`, of which absent ones are
+    left out. languages (source_name, language): native where the language is the row's, else fallback, null for other sources; methods
+    (source_name, seeded, method): by source and cohort; versions (prompt_hash, version): an unknown hash stands for itself."""
+    j = raw.join(languages, "source_name", "left").join(methods, ["source_name", "seeded"], "left").join(versions, "prompt_hash", "left")
+    tier = F.when(F.col("language").isNull(), None).when(F.col("language") == F.col("source_lang"), "native").otherwise("fallback")
+    filled = {"collection": F.coalesce("collection", tier), "collection_method": F.coalesce("collection_method", "method"), "prompt_version": F.coalesce("prompt_version", "version", "prompt_hash")}
+    return j.withColumns(filled).select(*[f for f in fields if f in raw.columns or f in filled])

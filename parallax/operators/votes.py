@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def valid_votes(votes: DataFrame, slugs: DataFrame) -> DataFrame:
-    return votes.join(F.broadcast(slugs.select("slug").distinct()), "slug", "left_semi")  # configured slugs, a few dozen
+    return votes.join(slugs.select("slug").distinct(), "slug", "left_semi")
 
 
 def split_env(votes: DataFrame, host: str) -> DataFrame:
@@ -17,11 +20,29 @@ def split_env(votes: DataFrame, host: str) -> DataFrame:
 def counted_votes(votes: DataFrame, ttl_seconds: int) -> DataFrame:
     """(slug, ip, ts) of the votes that count: the first of a key, then each first one at least ttl after the last that counted.
 
-    A key gathers its distinct times, and repeats shrink before the shuffle; the streaming form keeps one time for each key.
+    Repeats shrink before the shuffle. A task reads its keys' times in order, one batch at a time, and holds one time of the current key
+    alone, so that a key may have any number of them; the streaming form keeps the same.
     """
-    keys = votes.groupBy("slug", "ip").agg(F.array_sort(F.collect_set("ts")).alias("times"))
-    fold = f"aggregate(times, cast(array() as array<timestamp>), (acc, x) -> CASE WHEN size(acc) = 0 OR x >= element_at(acc, -1) + make_dt_interval(0, 0, 0, {ttl_seconds}) THEN concat(acc, array(x)) ELSE acc END)"
-    return keys.select("slug", "ip", F.explode(F.expr(fold)).alias("ts"))
+    kind = votes.schema["ts"].dataType
+    times = votes.select("slug", "ip", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).filter("t is not null").distinct()
+    ttl = ttl_seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, due = None, 0
+        for batch in batches:
+            slugs, ips, t = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            keep, i = [], 0
+            while i < len(t):
+                if (slugs[i], ips[i]) != key:
+                    key, due = (slugs[i], ips[i]), t[i]
+                if t[i] >= due:
+                    keep.append(i)
+                    due = t[i] + ttl
+                i += 1
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    ordered = times.repartition("slug", "ip").sortWithinPartitions("slug", "ip", "t")
+    return ordered.mapInArrow(run, ordered.schema).select("slug", "ip", F.timestamp_micros("t").cast(kind).alias("ts"))
 
 
 def vote_tally(votes: DataFrame, ttl_seconds: int) -> DataFrame:
@@ -45,10 +66,10 @@ def vote_ranking(tallies: DataFrame, slugs: DataFrame) -> DataFrame:
     """All slugs with their votes, zeros too, with rank (votes desc, slug asc) and total."""
     from pyspark.sql import Window
 
-    joined = slugs.join(F.broadcast(tallies), "slug", "left").select("slug", F.coalesce("votes", F.lit(0)).alias("votes"))
+    joined = slugs.join(tallies, "slug", "left").select("slug", F.coalesce("votes", F.lit(0)).alias("votes"))
     return joined.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("votes"), "slug")), "total": F.sum("votes").over(Window.partitionBy())})  # a row for each configured slug
 
 
 def reset(votes: DataFrame, slugs: DataFrame) -> DataFrame:
     """votes without those of the slugs."""
-    return votes.join(F.broadcast(slugs), "slug", "left_anti")
+    return votes.join(slugs, "slug", "left_anti")

@@ -60,10 +60,11 @@ RESPONSE = "concat('{\"actors\": [\"', role, '\"], \"score\": ', turn, '}')"
 
 def _responses(s, d):
     c = read(s, d, "conversations").select("conv_id", "turn", "role", F.expr(RESPONSE).alias("json"))
-    n = F.col("conv_id") % 4
+    n = F.col("conv_id") % 5
     fence = F.lit("```")
     nl = F.lit("\n")
-    raw = F.when(n == 0, F.col("json")).when(n == 1, F.concat(fence, nl, "json", nl, fence)).when(n == 2, F.concat(fence, F.lit("json"), nl, "json", nl, fence)).otherwise(F.concat(F.lit("Sorry, "), "json"))
+    after = F.concat(fence, F.lit("json"), nl, "json", nl, fence, nl, F.lit("I hope that helps. ``` {}"))
+    raw = F.when(n == 0, F.col("json")).when(n == 1, F.concat(fence, nl, "json", nl, fence)).when(n == 2, F.concat(fence, F.lit("json"), nl, "json", nl, fence)).when(n == 3, F.concat(F.lit("Sorry, "), "json")).otherwise(after)
     return c.withColumn("raw", raw)
 
 
@@ -73,11 +74,12 @@ def parse_responses(s, d):
 
 
 def shape_check(s, d):
-    """Actors as an array of strings, of arrays, a text, or absent."""
+    """Actors as an array of strings, of arrays, a text, or absent; explicit formats as numbers for some."""
     c = read(s, d, "conversations").select("conv_id", "turn", "role")
     n = F.col("conv_id") % 4
-    value = F.when(n == 0, F.concat(F.lit('{"actors": ["'), "role", F.lit('"]}'))).when(n == 1, F.concat(F.lit('{"actors": [["'), "role", F.lit('"]]}'))).when(n == 2, F.concat(F.lit('{"actors": "'), "role", F.lit('"}'))).otherwise("{}")
-    return c.select("conv_id", "turn", classify.flat_strings(value, "$.actors").alias("ok"))
+    actors = F.when(n == 0, F.concat(F.lit('"actors": ["'), "role", F.lit('"], '))).when(n == 1, F.concat(F.lit('"actors": [["'), "role", F.lit('"]], '))).when(n == 2, F.concat(F.lit('"actors": "'), "role", F.lit('", '))).otherwise("")
+    formats = F.when(F.col("turn") % 3 == 0, '"explicit_formats": [1]').when(F.col("turn") % 3 == 1, '"explicit_formats": null').otherwise('"explicit_formats": ["x", "y"]')
+    return c.select("conv_id", "turn", classify.response_shape(F.concat(F.lit("{"), actors, formats, F.lit("}"))).alias("wrong"))
 
 
 def positions_build(s, d):
@@ -90,7 +92,7 @@ def positions_build(s, d):
 
 def clean_stance(s, d):
     t = statements(s, d)
-    raw = F.when(F.col("k") % 8 == 0, "n/a").when(F.col("k") % 8 == 1, F.concat(F.col("score").cast("string"), F.lit(".5"))).when(F.col("k") % 8 == 2, "7").otherwise(F.concat(F.lit(" "), F.col("score").cast("string")))
+    raw = F.when(F.col("k") % 8 == 0, "n/a").when(F.col("k") % 8 == 1, F.concat(F.col("score").cast("string"), F.lit(".5"))).when(F.col("k") % 8 == 2, F.when(F.col("k") % 16 == 2, "7").otherwise(F.lit("9" * 50))).otherwise(F.concat(F.lit(" "), F.col("score").cast("string")))
     score, error = classify.clean_stance(raw)
     return t.select("event_id", score.alias("score"), error.alias("error"))
 
@@ -107,9 +109,16 @@ def _merged(s, d):
     return classify.merge_ratings(old, new, "v2")
 
 
+def stance_report(s, d):
+    """Outcomes of rating each statement's event: a tenth fails, and ratings without a quote are dropped first."""
+    rated = classify.drop_blank_neutrals(ratings(s, d))
+    events = statements(s, d).select(F.col("event_id").alias("event"), (F.col("k") % 10 == 4).alias("failed"))
+    return classify.status_counts(classify.rating_outcomes(events, rated), "outcome")
+
+
 def prompt_render(s, d):
     goals = groupings(s, d).select("grouping", F.array_join(F.transform("topics", lambda t: F.concat(F.lit("- "), t)), "\n").alias("goal_block"))
-    events = _relevant(s, d).select("event", "grouping", "source_country").join(F.broadcast(goals), "grouping")
+    events = _relevant(s, d).select("event", "grouping", "source_country").join(goals, "grouping")
     return classify.render_prompts(events, "Country {country}\nGoals:\n{goals}", country=F.col("source_country"), goals=F.col("goal_block")).select("event", "grouping", "prompt")
 
 
@@ -144,10 +153,11 @@ QUERIES = {
     "drop_blank_neutral": lambda s, d: classify.drop_blank_neutrals(ratings(s, d)).groupBy("grouping", "topic", "score").count().withColumnRenamed("count", "n"),
     "merge_ratings": _merged,
     "prompt_render": prompt_render,
+    "stance_report": stance_report,
     "batch_score": batch_score,
-    "enrich_report": lambda s, d: parse_responses(s, d).groupBy("status").agg(F.count("*").alias("n")),
+    "enrich_report": lambda s, d: classify.status_counts(parse_responses(s, d), "status"),
 }
-_RESP = "CASE WHEN conv_id % 4 = 3 THEN 'error' ELSE 'ok' END"
+_RESP = "CASE WHEN conv_id % 5 = 3 THEN 'error' ELSE 'ok' END"
 ORACLE = {
     "normalize_actors": f"""WITH {TAGGINGS}, a AS (SELECT event, actor FROM tag_actor WHERE actor <> 'NATION_4' UNION SELECT event, source_country FROM tag_event WHERE event % 2 = 0)
 SELECT e.event, coalesce(string_agg(a.actor, ',' ORDER BY CAST(substring(a.actor, 8) AS INT)), '') AS actors FROM tag_event e LEFT JOIN a ON a.event = e.event GROUP BY e.event""",
@@ -156,8 +166,9 @@ SELECT e.event, coalesce(string_agg(a.actor, ',' ORDER BY CAST(substring(a.actor
     "stance_topics": RELEVANT + "SELECT * FROM wanted",
     "pending_enrich": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id DESC LIMIT 50",
     "pending_stances": RELEVANT + "SELECT DISTINCT event FROM wanted WHERE (event + CAST(regexp_extract(topic, '([0-9]+)', 1) AS INT)) % 3 <> 0",
-    "parse_responses": f"SELECT conv_id, turn, {_RESP} AS status, CASE WHEN conv_id % 4 < 3 THEN CAST(turn AS INT) END AS score, CASE WHEN conv_id % 4 < 3 THEN role END AS actor FROM conversations",
-    "shape_check": "SELECT conv_id, turn, conv_id % 4 IN (0, 3) AS ok FROM conversations",
+    "parse_responses": f"SELECT conv_id, turn, {_RESP} AS status, CASE WHEN conv_id % 5 <> 3 THEN CAST(turn AS INT) END AS score, CASE WHEN conv_id % 5 <> 3 THEN role END AS actor FROM conversations",
+    "shape_check": "SELECT conv_id, turn, CASE WHEN conv_id % 4 IN (1, 2) THEN 'actors' WHEN turn % 3 = 0 THEN 'explicit_formats' END AS wrong FROM conversations",
+    "stance_report": f"WITH {RATINGS}, e AS (SELECT DISTINCT event FROM ratings WHERE NOT (score = 0 AND coalesce(evidence, '') = '')) SELECT CASE WHEN k % 10 = 4 THEN 'error' WHEN e.event IS NULL THEN 'empty' ELSE 'ok' END AS outcome, count(*) AS n FROM statements s LEFT JOIN e ON e.event = s.event_id GROUP BY 1",
     "positions_build": f"WITH {RATINGS} SELECT event_id, CASE WHEN k % 10 <> 0 THEN 'pos ' || CAST(k AS VARCHAR) END AS position, CASE WHEN k % 10 <> 0 THEN 'ok' ELSE 'error' END AS status FROM statements",
     "clean_stance": f"WITH {RATINGS} SELECT event_id, CASE WHEN k % 8 > 2 THEN score END AS score, k % 8 = 2 AS error FROM statements",
     "clean_evidence": f"""WITH {RATINGS} SELECT event, grouping_key AS grouping, CASE WHEN topic = 'error' OR evidence IS NULL OR evidence = 'back the goal of ' || topic THEN '' ELSE evidence END AS evidence FROM ratings""",

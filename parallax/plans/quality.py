@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parallax.operators import history, quality, votes
+from parallax.operators import classify, history, quality, votes
 from parallax.plans.classification import RELEVANT, stance_topics
 from parallax.sources.adapters import GROUPINGS, RATINGS, groupings, ratings, read, taggings
 
@@ -37,9 +37,25 @@ def goal_mismatch(s, d):
     return quality.goal_mismatch(g, goals.unionByName(extra))
 
 
+def typed_violations(s, d):
+    """Events with k missing, null, as a text, or as a fraction, and records that are no object."""
+    n = F.col("event_id") % 7
+    raw = F.when(n == 0, "{}").when(n == 1, '{"k": null, "t": "x"}').when(n == 2, '{"k": "5", "t": 3}').when(n == 3, '{"k": 1.5}').when(n == 4, "[1]").when(n == 5, "{broken").otherwise(F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit(', "t": "x"}')))
+    return quality.typed_violations(read(s, d, "events").select("event_id", raw.alias("json")), "event_id", "json", {"k": ("integer", True), "t": ("string", False)})
+
+
 def config_violations(s, d):
-    g = groupings(s, d).select("grouping", F.when(F.col("grouping") == "g1", F.array().cast("array<string>")).otherwise(F.col("members")).alias("members"), F.create_map(F.lit("peace"), F.when(F.col("grouping").isin("g2", "g3", "g4"), "keep the peace").otherwise(F.col("grouping"))).alias("goals"))
-    return quality.config_violations(g)
+    """Eight groupings, each with faults of its own."""
+    is_ = lambda *names: F.col("grouping").isin(*names)
+    g = groupings(s, d).select(
+        "grouping",
+        F.when(is_("g1"), F.array().cast("array<string>")).otherwise(F.col("members")).alias("members"),
+        F.when(is_("g5", "g6"), F.array().cast("array<string>")).otherwise(F.array(F.lit("peace"))).alias("topics"),
+        F.when(is_("g6"), F.expr("cast(map() as map<string, string>)")).otherwise(F.create_map(F.lit("peace"), F.when(is_("g2", "g3", "g4"), F.concat(F.lit("keep the peace"), F.when(is_("g3"), " ").otherwise(""))).otherwise(F.col("grouping")))).alias("goals"),
+        F.create_map(F.lit("trade"), F.when(is_("g0"), "  ").otherwise("more of it"), F.lit("travel"), F.when(~is_("g7"), "easier")).alias("tags"),
+        F.when(~is_("g4"), "to meet").alias("purpose"), F.when(is_("g2"), " ").otherwise("at a table").alias("agreed"), F.when(is_("g3"), "asleep").otherwise("active").alias("status"),
+    )
+    return quality.config_violations(g, [f"g{i}" for i in range(7)], ["active", "inactive"])
 
 
 def _nested(s, d):
@@ -54,12 +70,11 @@ def cleanup_neutrals(s, d):
 
 
 def backfill_flags(s, d):
-    """Relevance flags from stored tags alone, with no formats named."""
-    from parallax.operators.classify import grouping_relevance
-
-    t = taggings(s, d).withColumn("formats", F.array().cast("array<string>"))
-    flags = grouping_relevance(t, groupings(s, d).withColumnRenamed("topics", "tracked")).groupBy("event").agg(F.array_join(F.array_sort(F.collect_set("grouping")), ",").alias("flags"))
-    return t.select("event").join(flags, "event", "left").select("event", F.coalesce("flags", F.lit("")).alias("flags"))
+    """Relevance flags from stored tags alone, with no formats named; rows that have flags keep them, so that a second run changes nothing."""
+    t = taggings(s, d).withColumn("flags", F.when(F.col("event") % 6 == 0, F.array(F.lit("legacy"))))
+    g = groupings(s, d).withColumnRenamed("topics", "tracked")
+    once = classify.backfill_flags(t, g)
+    return classify.backfill_flags(once, g).select("event", F.array_join("flags", ",").alias("flags"))
 
 
 def rekey_stances(s, d):
@@ -81,7 +96,13 @@ def resync_areas(s, d):
 def migration_report(s, d):
     old = ratings(s, d).filter("grouping = 'a'").select("event", "score", "evidence")
     new = old.filter("event % 10 <> 3").withColumn("score", F.when(F.col("event") % 10 == 1, 2).otherwise(F.col("score")))
-    return quality.outcome_counts(old, new, "event", ["score", "evidence"])
+    return quality.outcome_counts(old, new, "event", ["score", "evidence"], old.filter("event % 10 = 7").select("event"))
+
+
+def migration_ratings(s, d):
+    """Ratings before and after the topics that a grouping doesn't track drop out."""
+    r = ratings(s, d)
+    return quality.ratings_by_grouping(r, r.filter("not (grouping = 'b' and topic in ('view', 'click'))").unionByName(r.filter("grouping = 'a' and event % 3 = 0").withColumn("grouping", F.lit("c"))))
 
 
 def row_diff(s, d):
@@ -91,9 +112,16 @@ def row_diff(s, d):
 
 
 def backfill_provenance(s, d):
-    raw = read(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "manual").alias("method"), F.concat(F.lit("h"), (F.col("doc_id") % 6).cast("string")).alias("prompt_hash"))
-    versions = s.createDataFrame([(f"h{i}", i) for i in range(4)], "prompt_hash string, version int")
-    return quality.backfill_provenance(raw, versions).select("doc_id", "method")
+    """Documents of twelve sources, of which two have no language and four no method; some rows carry their own values."""
+    n = F.col("doc_id")
+    raw = read(s, d, "documents").select(
+        F.concat(F.lit("h"), (n % 6).cast("string")).alias("prompt_hash"), "doc_id", F.col("source").alias("source_name"), F.col("lang").alias("source_lang"), (n % 2 == 0).alias("seeded"),
+        F.when(n % 5 == 0, "manual").alias("collection"), F.when(n % 3 == 0, "by hand").alias("collection_method"), F.when(n % 7 == 0, "0").alias("prompt_version"),
+    )
+    languages = s.createDataFrame([(f"src{i}", ["de", "en", "es", "fr"][i % 4]) for i in range(10)], "source_name string, language string")
+    methods = s.createDataFrame([(f"src{i}", seeded, "backfill" if seeded else "rss") for i in range(8) for seeded in (True, False)], "source_name string, seeded boolean, method string")
+    versions = s.createDataFrame([(f"h{i}", str(i)) for i in range(4)], "prompt_hash string, version string")
+    return quality.backfill_provenance(raw, languages, methods, versions, ["doc_id", "source_name", "collection", "collection_method", "nowhere", "prompt_version"])
 
 
 def _source_runs(s, d):
@@ -148,15 +176,18 @@ def signups(s, d):
 
 def quote_verbatim(s, d):
     """For each statement in a grouping whether its evidence is in its document's text, white space and case aside."""
+    from parallax.operators.evaluate import squeezed
+
     r = read(s, d, "documents").select("doc_id", "text", F.lower(F.substring("text", 5, 25)).alias("quote"))
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " ")))
     shuffled = F.when(F.col("doc_id") % 3 == 0, F.reverse("quote")).otherwise(F.col("quote"))
-    return r.select("doc_id", F.contains(norm(F.col("text")), norm(shuffled)).alias("verbatim"))
+    return r.select("doc_id", F.contains(squeezed(F.col("text")), squeezed(shuffled)).alias("verbatim"))
 
 
 QUERIES = {
     "load_events": load_events,
     "schema_violations": schema_violations,
+    "typed_violations": typed_violations,
+    "migration_ratings": migration_ratings,
     "unknown_fields": lambda s, d: quality.unknown_fields(_props(s, d), "event_id", "json", ["k"]),
     "corrupt_records": lambda s, d: quality.corrupt_records(_props(s, d), "event_id", "json", "k int"),
     "vocab_violations": lambda s, d: quality.vocabulary_violations(taggings(s, d), "event", F.col("actors"), [f"NATION_{i}" for i in range(20)]),
@@ -203,14 +234,20 @@ ORACLE = {
     "violations_under_path": "SELECT page_id FROM pages WHERE contains(url, '/fr/')",
     "goal_mismatch": f"""WITH {GROUPINGS}, t AS (SELECT grouping_key AS grouping, topic, CAST(regexp_extract(topic, '([0-9]+)', 1) AS INT) AS n FROM grouping_topic)
 SELECT grouping, topic, CASE WHEN n % 5 = 0 THEN 'missing goal' ELSE 'empty goal' END AS problem FROM t WHERE n % 5 = 0 OR n % 3 = 0 UNION ALL SELECT DISTINCT grouping, 'other', 'goal without topic' FROM t""",
-    "config_violations": "SELECT * FROM (VALUES ('g1', 'no members'), ('g2', 'same goal for peace'), ('g3', 'same goal for peace'), ('g4', 'same goal for peace')) t(grouping, problem)",
+    "config_violations": """SELECT * FROM (VALUES ('g1', 'no members'), ('g4', 'no purpose'), ('g2', 'no agreed line'), ('g3', 'unknown status'), ('g7', 'topics but not tracked'), ('g5', 'goals but no topics'),
+  ('g0', 'no objective for trade'), ('g7', 'no objective for travel'), ('g2', 'same goal for peace'), ('g3', 'same goal for peace'), ('g4', 'same goal for peace')) t(grouping, problem) WHERE grouping IN (SELECT 'g' || (n_nationkey % 8) FROM nation)""",
+    "typed_violations": "SELECT event_id AS key, unnest(CASE event_id % 7 WHEN 0 THEN ['k is missing'] WHEN 1 THEN ['k is missing'] WHEN 2 THEN ['k is not integer', 't is not string'] WHEN 3 THEN ['k is not integer'] WHEN 6 THEN [] ELSE ['not an object'] END) AS rule FROM events",
+    "migration_ratings": f"WITH {RATINGS} SELECT grouping_key AS grouping, count(*) AS before, count(*) FILTER (NOT (grouping_key = 'b' AND topic IN ('view', 'click'))) AS after, count(*) FILTER (grouping_key = 'b' AND topic IN ('view', 'click')) AS dropped FROM ratings GROUP BY 1 UNION ALL SELECT 'c', 0, count(*), 0 FROM ratings WHERE grouping_key = 'a' AND event % 3 = 0",
     "cleanup_neutrals": f"WITH {RATINGS} SELECT event, coalesce(string_agg(grouping_key, ',' ORDER BY grouping_key) FILTER (NOT (score = 0 AND coalesce(evidence, '') = '')), 'none') AS groupings FROM ratings GROUP BY event",
-    "backfill_flags": NO_FORMAT + "SELECT e.event, coalesce(string_agg(DISTINCT grouping, ',' ORDER BY grouping), '') AS flags FROM tag_event e LEFT JOIN relevant r ON r.event = e.event GROUP BY e.event",
+    "backfill_flags": NO_FORMAT + "SELECT e.event, CASE WHEN e.event % 6 = 0 THEN 'legacy' ELSE coalesce(string_agg(DISTINCT grouping, ',' ORDER BY grouping), '') END AS flags FROM tag_event e LEFT JOIN relevant r ON r.event = e.event GROUP BY e.event",
     "rekey_stances": RELEVANT + "SELECT event, grouping, topic, CAST(event % 5 - 2 AS INT) AS score FROM wanted WHERE grouping <> 'g0'",
     "resync_areas": RELEVANT + "SELECT event, string_agg(topic, ',' ORDER BY topic) AS areas, event % 4 = 0 AND count(*) > 1 AS changed FROM tag_topic WHERE event IN (SELECT event FROM tag_event) GROUP BY event",
-    "migration_report": f"WITH {RATINGS} SELECT CASE WHEN event % 10 = 3 THEN 'dropped' WHEN event % 10 = 1 AND score <> 2 THEN 'changed' ELSE 'unchanged' END AS outcome, count(*) AS n FROM ratings WHERE grouping_key = 'a' GROUP BY 1",
+    "migration_report": f"WITH {RATINGS} SELECT CASE WHEN event % 10 = 7 THEN 'failed' WHEN event % 10 = 3 THEN 'dropped' WHEN event % 10 = 1 AND score <> 2 THEN 'changed' ELSE 'unchanged' END AS outcome, count(*) AS n FROM ratings WHERE grouping_key = 'a' GROUP BY 1",
     "row_diff": f"WITH {RATINGS} SELECT event, 2 AS score FROM ratings WHERE grouping_key = 'a' AND event % 10 = 1 AND score <> 2",
-    "backfill_provenance": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'manual' WHEN doc_id % 6 < 4 THEN 'auto-v' || CAST(doc_id % 6 AS VARCHAR) ELSE 'seed' END AS method FROM documents",
+    "backfill_provenance": """WITH x AS (SELECT doc_id, source AS source_name, lang, CAST(substring(source, 4) AS INT) AS i FROM documents)
+SELECT doc_id, source_name, CASE WHEN doc_id % 5 = 0 THEN 'manual' WHEN i >= 10 THEN NULL WHEN ['de', 'en', 'es', 'fr'][i % 4 + 1] = lang THEN 'native' ELSE 'fallback' END AS collection,
+  CASE WHEN doc_id % 3 = 0 THEN 'by hand' WHEN i >= 8 THEN NULL WHEN doc_id % 2 = 0 THEN 'backfill' ELSE 'rss' END AS collection_method,
+  CASE WHEN doc_id % 7 = 0 THEN '0' WHEN doc_id % 6 < 4 THEN CAST(doc_id % 6 AS VARCHAR) ELSE 'h' || (doc_id % 6) END AS prompt_version FROM x""",
     "strip_computed": "SELECT doc_id, lang, source FROM documents",
     "drop_obsolete": "SELECT doc_id, lang, source FROM documents",
     "vocabulary": f"WITH {GROUPINGS}, p AS (SELECT grouping_key AS grouping, topic, CAST(row_number() OVER (PARTITION BY grouping_key ORDER BY topic) - 1 AS INT) AS pos FROM grouping_topic) SELECT topic, grouping, pos FROM p QUALIFY row_number() OVER (PARTITION BY topic ORDER BY grouping, pos) = 1",

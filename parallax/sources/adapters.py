@@ -53,7 +53,7 @@ def groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = read(spark, sf_dir, "nation").groupBy((F.col("n_nationkey") % 8).alias("key")).agg(F.array_sort(F.collect_set("n_name")).alias("members"))
     brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
     topics = read(spark, sf_dir, "part").groupBy((brand % 8).alias("key")).agg(F.array_sort(F.collect_set("p_brand")).alias("topics"))
-    return members.join(F.broadcast(topics), "key", "left").select(F.concat(F.lit("g"), F.col("key").cast("string")).alias("grouping"), "members", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
+    return members.join(topics, "key", "left").select(F.concat(F.lit("g"), F.col("key").cast("string")).alias("grouping"), "members", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
 
 
 GROUPINGS = """
