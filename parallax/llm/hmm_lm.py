@@ -32,7 +32,7 @@ STATES, TOP, SHAPES, KNOWN = 8, 4096, 1024, 150_000
 #: Rounds of Baum-Welch, each over all training documents.
 ROUNDS = 8
 #: Tokens of a text that is run as segments, of a segment, and of all that runs together; steps between two scalings.
-LONG, SEGMENT, TOGETHER, RESCALE = 16_384, 512, 1_048_576, 16
+LONG, SEGMENT, TOGETHER, RESCALE = 16_384, 512, 2_097_152, 8
 ADD = 0.1
 #: Stands for the end of a text in the count table; white space can't occur in a word.
 END = b"\n"
@@ -261,8 +261,9 @@ class HiddenMarkov:
         return [s[p : p + SEGMENT] for p in range(0, len(s), SEGMENT)]
 
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts over whole sequences."""
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.emit.shape[1]))
+        """Baum-Welch counts over whole sequences: messages in single precision, sums in double; sequences that run together and leave the
+        range of single precision are run again in double."""
+        sums_ = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.emit.shape[1]))
         table_, _ = self._table()
         # What runs side by side: symbols, the message before the first of them (None at a text's start) and after the last.
         parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
@@ -283,21 +284,32 @@ class HiddenMarkov:
                 leave.append(v / v.sum())
             parts += zip(segments, enter, leave[::-1], strict=True)
         for group in together([len(s) for s, _, _ in parts]):
-            p = Packed([parts[i][0] for i in group])
-            chosen = [parts[group[i]] for i in p.order]
-            fresh = np.array([v is None for _, v, _ in chosen])
-            enter_ = np.array([one if v is None else v for _, v, _ in chosen])
-            first = np.where(fresh[:, None], self.start, enter_ @ self.move).T.copy()
-            alpha = np.empty((STATES, len(p.x)))
-            _, _, scales = p.forward(table_, first, self.move, alpha)
-            w = p.backward(table_, np.array([v for _, _, v in chosen]).T, self.move, alpha, scales, move)
-            if not fresh.all():  # moves across cuts, from the messages that enter
-                source, w = enter_[~fresh], w.T[~fresh]
-                move += source.T @ (w / (source @ self.move * w).sum(1)[:, None])
-            start += alpha[:, : p.n[0]][:, fresh].sum(1)
-            for k in range(STATES):
-                emit[k] += np.bincount(p.x, alpha[k], emit.shape[1])
-        return start, move * self.move, emit
+            for kind in (np.float32, np.float64):
+                with np.errstate(all="ignore"):
+                    found = self._counts([parts[i] for i in group], table_.astype(kind))
+                if all(np.isfinite(x).all() for x in found):
+                    break
+            for total, x in zip(sums_, found, strict=True):
+                total += x
+        return sums_[0], sums_[1] * self.move, sums_[2]
+
+    def _counts(self, parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]], table_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of starts, moves (not yet times move) and symbols of sequences that run together."""
+        kind = table_.dtype
+        p = Packed([s for s, _, _ in parts])
+        parts = [parts[i] for i in p.order]
+        fresh = np.array([v is None for _, v, _ in parts])
+        enter = np.array([np.ones(STATES) if v is None else v for _, v, _ in parts])
+        first = np.where(fresh[:, None], self.start, enter @ self.move).T.astype(kind)
+        move, moves = self.move.astype(kind), np.zeros((STATES, STATES))
+        alpha = np.empty((STATES, len(p.x)), kind)
+        _, _, scales = p.forward(table_, first, move, alpha)
+        w = p.backward(table_, np.array([v for _, _, v in parts]).T.astype(kind), move, alpha, scales, moves)
+        if not fresh.all():  # moves across cuts, from the messages that enter
+            source, w = enter[~fresh], w.T[~fresh]
+            moves += source.T @ (w / (source @ self.move * w).sum(1)[:, None])
+        start = alpha[:, : p.n[0]][:, fresh].sum(1, dtype=np.float64)
+        return start, moves, np.stack([np.bincount(p.x, alpha[k], self.emit.shape[1]) for k in range(STATES)])
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The log10 likelihood of each sequence, by the scaled forward recursion."""

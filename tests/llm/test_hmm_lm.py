@@ -62,7 +62,18 @@ def test_whole_sequences_equal_plain_loops(monkeypatch, long, segment, together)
     sequences = [rng.integers(0, 30, n) for n in (1, 2, 7, 40, 41, 255, 16, 17, 613, 3, 3)]
     assert np.allclose(model.log10(sequences), [plain_log10(model, s) for s in sequences], rtol=1e-10)
     for got, want in zip(model.expected(sequences), map(sum, zip(*(plain_counts(model, s) for s in sequences), strict=True)), strict=True):
-        assert np.allclose(got, want, rtol=1e-8, atol=1e-12)
+        assert np.allclose(got, want, rtol=2e-4, atol=1e-5)
+
+
+def test_counts_beyond_single_precision():
+    """A symbol that only one state can give, which the others hardly reach, and that state's rare symbols in a row."""
+    model = random_model(30)
+    model.emit[:, 0] = 1e-30
+    model.emit[0, 0] = 0.5
+    model.emit[0, 1] = 1e-40
+    sequence = np.array([0, 1] * 40 + [2, 3])
+    for got, want in zip(model.expected([sequence]), plain_counts(model, sequence), strict=True):
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-6, atol=1e-9)
 
 
 def test_likelihood_of_very_long_texts():
@@ -78,10 +89,10 @@ def test_baum_welch_counts_raise_likelihood():
     before = model.log10(sequences).sum()
     for _ in range(5):
         start, move, emit = model.expected(sequences)
-        assert math.isclose(emit.sum(), 60 * 40, rel_tol=1e-9) and math.isclose(move.sum(), 59 * 40, rel_tol=1e-9)
+        assert math.isclose(emit.sum(), 60 * 40, rel_tol=1e-4) and math.isclose(move.sum(), 59 * 40, rel_tol=1e-4)
         model = HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), (emit + 1e-9) / (emit + 1e-9).sum(1, keepdims=True))
         after = model.log10(sequences).sum()
-        assert after > before - 1e-6
+        assert after > before - 1e-2
         before = after
 
 
