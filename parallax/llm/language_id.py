@@ -135,7 +135,7 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Learn from rows whose fold (crc32 of the id as text, mod 4) is not 2."""
     rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), named(lang_col).cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null and id is not null").filter(crc_mod("id", 4) != 2)
-    chosen = per_group_sample(rows.select("id", "lang"), "lang", "id", sample).distinct()
+    chosen = per_group_sample(rows.select("id", "lang"), "lang", "id", sample)
     learned = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["lang", "text"])  # SAMPLE ids a language at most
     counted = grouped_counts(learned, "lang", "text", word_counts, "word string")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_share
@@ -15,15 +15,18 @@ from .word_index import byte_slices
 
 
 def per_group_sample(df: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
-    """At most `most` rows of each group, the first by the hash of their id: the same at every run.
+    """(group, id): at most `most` ids of each group, the first by their hash: the same at every run.
 
-    Groups are counted first, and rows whose hash is too great to be chosen are dropped where they are read, so that what is shuffled
-    and ranked is about twice the sample, however large the group.
+    Groups are counted first, and rows whose hash is too great to be chosen are dropped where they are read, so that what leaves the tasks is
+    about twice the sample of each group (a class or a language), however large it is; of these the first are taken.
     """
-    share = df.groupBy(group).agg((2.0 * most / F.count("*")).alias("_share"))
-    near = df.join(F.broadcast(share), group).filter((hash_share(id_col) < F.col("_share")) | (F.col("_share") >= 1)).drop("_share")  # a row for each class or language
-    order = Window.partitionBy(group).orderBy(hash_share(id_col), F.col(id_col))
-    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+    share = df.groupBy(group).agg((2.0 * most / F.approx_count_distinct(id_col, 0.02)).alias("_share"))
+    near = df.select(group, id_col, hash_share(id_col).alias("_hash")).join(F.broadcast(share), group).filter((F.col("_hash") < F.col("_share")) | (F.col("_share") >= 1))  # a row for each group
+    left: dict = {}
+    for g, i, h in near.select(group, id_col, "_hash").distinct().collect():
+        left.setdefault(g, []).append((h, i))
+    chosen = [(g, i) for g, rows in left.items() for _, i in sorted(rows)[:most]]
+    return df.sparkSession.createDataFrame(chosen, df.select(group, id_col).schema)
 
 
 def grouped_counts(df: DataFrame, group: str, text_col: str, count: Callable[[pa.Array], tuple[list[pa.Array], np.ndarray]], keys: str) -> DataFrame:
