@@ -6,8 +6,9 @@ the file's root, each node hashing its children's places and digests in their or
 the children of nodes that differ are looked at next, down to the records. A record is `changed`, `missing` from the second replica, or
 `extra` in it.
 
-Null payloads and addresses count as empty. Records without an id are kept in a file of their own; records that share an id in a file
-keep their order by digest, and are compared in that order. Empty tables give no rows; other columns are ignored.
+Null payloads and addresses count as empty. Records without an id are kept in LOOSE_FILES files of their own, numbered below zero, by their
+address, so that no file holds all of them; records that share an id in a file keep their order by digest, and are compared in that
+order. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .common import staged, table
 RANGE, FANOUT, LEVELS = 65_536, 16, 4
 #: Records of a WARC file.
 FILE_RECORDS = 500
+LOOSE_FILES = 4096
 
 
 def warc_record(url: Column, payload: Column) -> Column:
@@ -32,7 +34,7 @@ def warc_record(url: Column, payload: Column) -> Column:
 def digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
     """(file, id, turn, length, digest): turn numbers the records of one id in a file by their digest."""
     record = warc_record(F.col(url_col).cast("string"), F.col(payload_col).cast("string"))
-    rows = pages.select(F.coalesce(F.floor(F.col(id_col).cast("long") / file_records), F.lit(-1)).alias("file"), F.col(id_col).cast("long").alias("id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+    rows = pages.select(F.coalesce(F.floor(F.col(id_col).cast("long") / file_records), -1 - F.pmod(F.xxhash64(F.coalesce(F.col(url_col).cast("string"), F.lit(""))), F.lit(LOOSE_FILES))).alias("file"), F.col(id_col).cast("long").alias("id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy("file", "id").orderBy("digest")))
 
 

@@ -102,3 +102,16 @@ def test_item_without_its_first_words_at_the_head_of_a_batch():
         text = " ".join([*item[lost:], *(f"tail{i}" for i in range(9))]).encode()
         for texts, at in (([text], 0), ([text, b"other words"], 0), ([b"other words stand here", text], 1)):
             assert index.matches(texts)[at] == [(1, 0, lost)]
+
+
+def test_passes_give_the_same_matches(spark, sf_dir, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.withColumn("matches", docs.doc_id)
+    rows = lambda: sorted((r.doc_id, sorted(map(tuple, r.matches))) for r in find_contamination(docs, items, ["doc_id", "matches"]).collect())
+    one = rows()
+    assert len(one) == docs.count() and any(m for _, m in one)
+    monkeypatch.setattr(decontamination, "MOST_ITEMS", 50)
+    assert rows() == one
+    monkeypatch.setattr(decontamination, "MOST_ITEMS", 20_000)
+    monkeypatch.setattr(decontamination, "MOST_BYTES", 3_000)
+    assert rows() == one

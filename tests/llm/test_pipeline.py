@@ -45,3 +45,29 @@ def test_keep_one_of_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, text), (3, ""), (4, ""), (4, ""), (0, "x y z v w u"), (5, "x y z v w u t"), (6, "other words here")])
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+ODD = ["matches", "base", "spans", "score", "_text", "row", "key", "id", "uid", "masked", "a.b", "again", "first"]
+
+
+def test_stages_carry_columns_of_any_name(spark, sf_dir):
+    """Names that the stages use themselves, with repeated rows, null ids, null and empty texts, and a long one; and no rows at all."""
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(9001, None), (9002, ""), (None, "write to a.b@c.org now"), (9003, "word " * 60_000), (9003, "word " * 60_000)], "doc_id long, text string")
+    docs = base.unionByName(odd, allowMissingColumns=True)
+    for n in ODD:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        docs = corpus_pipeline.staged(stage(spark, docs, sf_dir), name)
+        if name == "packing":
+            break
+        assert docs.columns == [*base.columns, *ODD], name
+        rows = docs.collect()
+        assert all(r[n] == f"own {n}" for r in rows for n in ODD), name
+        ids = [r.doc_id for r in rows]
+        assert {9001, 9002, None} <= set(ids) and ids.count(9003) == (2 if name == "toxicity" else 1), name
+    whole = {r.doc_id: r.doc_tokens for r in docs.collect()}
+    assert whole[9001] == whole[9002] == 1 and sum(r.length for r in docs.collect()) >= sum(whole.values())

@@ -113,3 +113,22 @@ def test_sum_of_squares_picks_the_least_sum():
             options[h] = int((n**2).sum())
         packer.place(doc, b"\1\0\0\0" * s)
         assert int((packer.count**2).sum()) == min(options.values())
+
+
+def test_the_rule_holds_for_any_number_of_open_windows():
+    """Documents that never share a window: each opens one, and the rule goes on until the partition ends."""
+    packer = SumOfSquares(64)
+    for i in range(3000):
+        packer.place(i, b"\1\0\0\0" * 33)
+    assert not packer.done and packer.count.sum() == 3000 and packer.count[33] == 3000
+    packer.pour()
+    assert len(packer.done) == -(-3000 * 33 // 64) and sum(len(x[2]) for w in packer.done for x in w) == 3000 * 33 * 4
+
+
+def test_a_full_cache_starts_anew(library):
+    from parallax.llm.word_index import WordIndex
+
+    encoder = WordEncoder(PATH)
+    encoder.index = WordIndex(most_words=3)
+    for text in ("one two three four five.", "six one two seven eight", "nine, Ten; eleven!"):
+        assert array("I", encoder.encode([text.encode()])[0]).tolist() == library.encode(text, add_special_tokens=False).ids
