@@ -3,12 +3,13 @@
 Pivots are a bounded sample of the vectors, spread apart: one within RADIUS of a pivot already kept is dropped. A pivot that drops at
 least DENSE others stands in a dense place. A vector within RADIUS of a dense pivot has the nearest one as its home, and all that may
 link with it lies, by the triangle inequality, in the home's ball; there every pair is compared, so that no link of such a vector is
-missed. Each other vector is described by its PREFIX nearest pivots in order; an inverted list for each pivot holds the vectors that name
-it. Vectors of a list that share at least SHARED pivots are candidates. The cosine in double precision decides. A pair is looked at in
-the ball of its first home, or without one in the list of the first pivot that both name, so it counts once. A list longer than BLOCK is cut
-into blocks whose pairs are separate tasks, so no list has to fit one task and no candidate is left out. Tasks give back, not pairs, but
-each vector's number of links and its least partner in the task; components come from these by large-star and small-star. Vectors with
-the same components are one entry with a multiplicity.
+missed. Each other vector is described by its PREFIX nearest pivots in order. The inverted lists are those of pairs of pivots: a vector
+stands in the list of each pair of its pivots, so that the vectors of a list share two at least, which is what makes candidates; a list
+is short, as pairs are many. The cosine in double precision decides. A pair is looked at in the ball of its first home, or without one in
+the list of the first two pivots that both name, so it counts once. Short lists go to the tasks in BUNDLEs of many; a list longer than
+BLOCK, as the balls are, is cut into blocks whose pairs are separate tasks, so no list has to fit one task and no candidate is left out.
+Tasks give back, not pairs, but each vector's number of links and its least partner in the task; components come from these by large-star
+and small-star. Vectors with the same components are one entry with a multiplicity.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and keep a row of their own. Vectors of different
 lengths are never compared. Each row of the input gives one row; a repeated id counts as one more vector with that id. Rows with a null
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 from .common import hash_share, staged, table
 from .components import connected_components
 
-PREFIX, SHARED, BLOCK = 12, 2, 1024
+PREFIX, BLOCK, BUNDLE = 7, 1024, 16_384
 #: One pivot for so many distinct vectors, within bounds.
 VECTORS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 32, 32, 4096
 #: Distance of unit vectors within which a pivot stands for others, and the number of sampled ones that make it dense.
 RADIUS, DENSE = 0.6, 8
-#: Added to a list's number for the ball of its pivot.
-BALL = 1 << 15
+#: The list of two pivots a < b is a * PIVOT + b; 0 holds all vectors of its length; from BALL on stand the balls of pivots. Then comes the
+#: length of the vectors.
+PIVOT, BALL, LENGTH = 1 << 12, 1 << 24, 1 << 25
 #: A vector is hot with at least this share of all rows.
 HOT = 0.001
 
@@ -89,6 +91,52 @@ def choose_pivots(vectors: DataFrame, count: int) -> dict[int, tuple[np.ndarray,
     return {n: spread(unit(raw)) for n, raw in by_length.items()}
 
 
+def first_list(code: np.ndarray | int, home: np.ndarray, named: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the pairs i, j of the lists `code` count there: a ball of two homes is that of the first, and a list of two pivots the one
+    whose first pivot is the only shared one before its second."""
+    code = np.broadcast_to(code, i.shape)
+    own = np.where(home < 0, PIVOT, home)
+    out = np.minimum(own[i], own[j]) == code - BALL
+    out |= code == 0
+    listed = np.flatnonzero((code > 0) & (code < BALL))
+    for s in range(0, len(listed), 65536):
+        k = listed[s : s + 65536]
+        a, b = (np.stack([np.frombuffer(named[r], np.int16) for r in side[k]]) for side in (i, j))
+        before = (a[:, :, None] == b[:, None, :]) & (a < (code[k] % PIVOT)[:, None])[:, :, None]
+        out[k] = before.sum((1, 2)) == 1
+    return out
+
+
+def list_pairs(x: np.ndarray, code: np.ndarray, threshold: float, chunk: int = 131_072) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows of one list each, of rows sorted by list."""
+    ends = np.searchsorted(code, code, "right")
+    partners = np.cumsum(ends - 1 - np.arange(len(code)))
+    for n in range(0, int(partners[-1]), chunk):
+        k = np.arange(n, min(n + chunk, int(partners[-1])))
+        i = np.searchsorted(partners, k, "right")
+        j = ends[i] - (partners[i] - k)
+        near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+        yield i[near], j[near]
+
+
+def block_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of left and right rows, each once where these are the same."""
+    for s in range(0, len(left), 512):
+        a = left[s : s + 512]
+        cosine = x[a] @ x[right].T
+        i, j = np.nonzero(cosine >= threshold - 1e-9)
+        sure = cosine[i, j] >= threshold + 1e-9
+        i, j = a[i], right[j]
+        if left is right:
+            i, j, sure = i[i < j], j[i < j], sure[i < j]
+        for c in range(0, len(i), 65536):
+            p, q = i[c : c + 65536], j[c : c + 65536]
+            ok = sure[c : c + 65536].copy()
+            close = np.flatnonzero(~ok)
+            ok[close] = np.einsum("ij,ij->i", x[p[close]], x[q[close]]) >= threshold
+            yield p[ok], q[ok]
+
+
 def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = df.sparkSession
@@ -106,7 +154,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
 
             def put(at: np.ndarray, codes: np.ndarray, home: np.ndarray, named: list[bytes], size: int) -> None:
                 owners.append(at)
-                lists.append(codes.astype(np.int64) + int(size) * (1 << 16))
+                lists.append(codes.astype(np.int64) + int(size) * LENGTH)
                 homes.append(home.astype(np.int32))
                 prefixes.extend(named)
 
@@ -127,8 +175,10 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
                     put(at[i], dense[j] + BALL, home[i], [b""] * len(i), size)
                 free = np.flatnonzero(home < 0)
                 m = min(PREFIX, len(found))
-                near = np.argsort(-cosine[free], axis=1, kind="stable")[:, :m].astype(np.int16)
-                put(np.repeat(at[free], m), near.ravel(), np.full(near.size, -1), [p.tobytes() for p in near for _ in range(m)], size)
+                near = np.sort(np.argsort(-cosine[free], axis=1, kind="stable")[:, :m], axis=1)
+                i, j = np.triu_indices(m, 1)
+                codes = near[:, i] * PIVOT + near[:, j] if m > 1 else np.zeros((len(free), 1), np.int64)
+                put(np.repeat(at[free], codes.shape[1]), codes.ravel(), np.full(codes.size, -1), [p.tobytes() for p in near.astype(np.int16) for _ in range(codes.shape[1])], size)
             own = pa.array(np.concatenate(owners))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(lists)), *(batch.column(i).take(own) for i in (1, 2, 0)), pa.array(np.concatenate(homes)), pa.array(prefixes, pa.binary())],
@@ -136,70 +186,59 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
             )
 
     entries = distinct.select("raw", "rep", "copies").mapInArrow(describe, "list long, rep long, copies long, raw binary, home int, prefix binary")
-    sizes = entries.groupBy("list").count()
-    # Blocks of a list: each entry meets the entries of every block, in the task of the two blocks.
-    blocks = F.broadcast(sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))  # twice MOST_PIVOTS rows at most for each length of vector
-    placed = entries.join(blocks, "list").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = entries.groupBy("list").count().filter("count > 1")
+    # Blocks of a long list: each entry meets the entries of every block, in the task of the two blocks. Lists of one entry drop out.
+    blocks = sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    total = F.broadcast(sizes.filter(F.col("count") <= BLOCK).agg(F.greatest(F.lit(1), F.ceil(F.sum("count") / BUNDLE)).alias("bundles")))  # one row
+    placed = entries.join(blocks, "list").crossJoin(total).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    task = F.when(F.col("blocks") > 1, F.xxhash64("list", "lo", "hi")).otherwise(F.pmod(F.xxhash64("list"), F.coalesce("bundles", F.lit(1))))
 
     def compare(group: pa.Table) -> pa.Table:
-        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        mine = group["mine"].to_numpy()
-        rep, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
-        x = unit(group["raw"].to_pylist())
-        here = group["list"][0].as_py() % (1 << 16)
-        ball = here >= BALL
-        if ball:
-            home = group["home"].to_numpy()
-            home = np.where(home < 0, BALL, home)
-        else:
-            prefix = np.stack([np.frombuffer(p, np.int16) for p in group["prefix"].to_pylist()])
-            need = min(SHARED, prefix.shape[1])
-            names, code = np.unique(prefix, return_inverse=True)
-            code = code.reshape(prefix.shape)
-            bag = np.zeros((len(rep), len(names)), np.float32)
-            bag[np.arange(len(rep))[:, None], code] = 1
-            earlier = bag[:, names < here]
-        left = np.flatnonzero(mine == lo)
-        right = left if lo == hi else np.flatnonzero(mine == hi)
-        links, least = np.zeros(len(rep), np.int64), rep.copy()
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        for s in range(0, len(left), 512):
-            a = left[s : s + 512]
-            if ball:  # of a pair of two homes the ball of the first
-                cosine = x[a] @ x[right].T
-                i, j = np.nonzero((cosine >= threshold - 1e-9) & (np.minimum(home[a][:, None], home[right]) == here - BALL))
-                sure = cosine[i, j] >= threshold + 1e-9
+        """Links of one bundle of short lists, or of two blocks of a long one."""
+        group = group.take(pa.array(np.argsort(group["list"].to_numpy(), kind="stable")))
+        lists, rep, copies, home = (group[c].to_numpy() for c in ("list", "rep", "copies", "home"))
+        raw, named = group["raw"].to_pylist(), group["prefix"].to_pylist()
+        links, kept = np.zeros(len(rep), np.int64), []
+        mine, lo, hi = (group[c].to_numpy() for c in ("mine", "lo", "hi"))
+        long = group["blocks"].to_numpy() > 1
+        # By length of vector, the long lists' blocks apart from the bundle.
+        part = np.stack([lists // LENGTH, np.where(long, lists, 0), np.where(long, lo, 0), np.where(long, hi, 0)])
+        for at in np.split(np.lexsort(part[::-1]), np.flatnonzero((np.diff(part[:, np.lexsort(part[::-1])]) != 0).any(0)) + 1):
+            x = unit([raw[i] for i in at])
+            code = lists[at] % LENGTH
+            if long[at[0]]:
+                own = mine[at]
+                left = np.flatnonzero(own == lo[at[0]])
+                right = left if lo[at[0]] == hi[at[0]] else np.flatnonzero(own == hi[at[0]])
+                pairs = block_pairs(x, left, right, threshold)
             else:
-                shared = bag[a] @ bag[right].T
-                shared[(earlier[a] @ earlier[right].T) > 0] = 0  # seen in the list of an earlier pivot
-                i, j = np.nonzero(shared >= need)
-                sure = np.zeros(len(i), bool)
-            i, j = a[i], right[j]
-            if lo == hi:
-                i, j, sure = i[i < j], j[i < j], sure[i < j]
-            for c in range(0, len(i), 65536):
-                p, q = i[c : c + 65536], j[c : c + 65536]
-                ok = sure[c : c + 65536].copy()
-                near = np.flatnonzero(~ok)
-                ok[near] = np.einsum("ij,ij->i", x[p[near]], x[q[near]]) >= threshold
-                p, q = p[ok], q[ok]
-                np.add.at(links, p, copies[q])
-                np.add.at(links, q, copies[p])
-                if len(p):
-                    kept.append((p, q))
-        while True:  # the least of each component of this task
+                pairs = list_pairs(x, code, threshold)
+            for i, j in pairs:
+                ok = first_list(int(code[0]) if long[at[0]] else code[i], home[at], [named[k] for k in at], i, j)
+                i, j = at[i[ok]], at[j[ok]]
+                if len(i):
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    kept.append((i, j))
+        # The least of each component of this task; a vector may stand in several of its lists.
+        name, number = np.unique(rep, return_inverse=True)
+        least = name.copy()
+        while True:
             before = least.copy()
-            for p, q in kept:
+            for i, j in kept:
+                p, q = number[i], number[j]
                 m = np.minimum(least[p], least[q])
                 np.minimum.at(least, p, m)
                 np.minimum.at(least, q, m)
             if (before == least).all():
                 break
-        got = np.flatnonzero(links)
-        return pa.table({"rep": pa.array(rep[got]), "links": pa.array(links[got]), "least": pa.array(least[got])})
+        total = np.zeros(len(name), np.int64)
+        np.add.at(total, number, links)
+        got = np.flatnonzero(total)
+        return pa.table({"rep": pa.array(name[got]), "links": pa.array(total[got]), "least": pa.array(least[got])})
 
-    found = staged(placed.select("list", "lo", "hi", "mine", "rep", "copies", "raw", "home", "prefix").groupBy("list", "lo", "hi").applyInArrow(compare, "rep long, links long, least long"), "vector-links")
+    found = staged(placed.withColumn("task", task).select("task", "list", "lo", "hi", "mine", "blocks", "rep", "copies", "raw", "home", "prefix").groupBy("task").applyInArrow(compare, "rep long, links long, least long"), "vector-links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     named = distinct.join(totals, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
