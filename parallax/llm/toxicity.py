@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of each class, toxic and ordinary, see a text. One reads its words as byte strings between a start and an end mark: n-grams of
-bytes of orders 4 to 6 keep the class's own document counts with absolute discounting; what a class has seen rarely or never backs off to
+bytes of orders 4 to 6 keep the class's own document counts with absolute discounting (by count: 1, 2, more); what a class has seen rarely or never backs off to
 orders 1 to 3, whose Kneser-Ney continuation counts (how many different bytes precede) are shared by both classes. The other reads
 expressions, words after words: the class's own document counts of word pairs back off to the pairs of both classes together, and these
 to how many different words a word follows. Evidence is the difference of the two classes' log-likelihoods. A document's evidence is
@@ -30,10 +30,11 @@ from .shingles import mix
 from .word_index import Growing, WordIndex, split_words, sums
 from .word_table import grouped_counts, per_group_sample
 
-#: Documents learned from, of each class: in the counts and in the fit of the curve.
-SAMPLE = 1500
-#: Order of the class models, highest order of the shared ones, and the discount.
-ORDER, SHARED, DISCOUNT = 6, 3, 0.75
+#: Documents learned from, of each class: in the counts and in the fit of the curve; and words whose evidence is computed together.
+SAMPLE, CHUNK = 1200, 16_384
+#: Order of the class models, highest order of the shared ones, and the discounts of counts of 1, of 2, and of 3 or more: what was seen in one
+#: document or two says little of its class, and most of it goes to the backoff.
+ORDER, SHARED, DISCOUNTS = 6, 3, (0.97, 1.8, 2.2)
 #: Words or pairs whose mean evidence counts beside the whole text's.
 STRONGEST = 4
 THRESHOLD = 0.3
@@ -43,6 +44,10 @@ PIECE = 48
 _SIGNS = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
+def discount(c: np.ndarray) -> np.ndarray:
+    return np.where(c >= 3, DISCOUNTS[2], np.where(c >= 2, DISCOUNTS[1], np.where(c >= 1, DISCOUNTS[0], 0.0)))
+
+
 def pieces(word: bytes) -> list[bytes]:
     """The bare word. One of over PIECE bytes is cut at ASCII signs, and what is still longer into pieces that overlap by ORDER - 1, so
     that every n-gram lies in one of them."""
@@ -118,7 +123,7 @@ class KneserNey:
     def __init__(self, keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
         self.tables: dict[int, tuple] = {}
         order = np.argsort(keys)
-        keys, both = keys[order], np.stack([ordinary[order], toxic[order]], 1).astype(np.float64)
+        keys, both = keys[order], np.stack([ordinary[order], toxic[order]], 1).astype(np.float32)
         length = keys >> 56
         for n in range(1, ORDER + 1):
             own, c = keys[length == n], both[length == n]
@@ -126,13 +131,13 @@ class KneserNey:
                 # Continuations: different bytes before the n-gram, over both classes.
                 longer = keys[length == n + 1] & ((1 << (8 * n)) - 1) | (n << 56)
                 own, kinds = np.unique(longer, return_counts=True)
-                c = np.repeat(kinds[:, None].astype(np.float64), 2, 1)
+                c = np.repeat(kinds[:, None].astype(np.float32), 2, 1)
             context = (own & ((1 << 56) - 1)) >> 8 | (n << 56)
             head, at = np.unique(context, return_inverse=True)
-            total, kinds = np.zeros((len(head), 2)), np.zeros((len(head), 2))
+            total, given = np.zeros((len(head), 2)), np.zeros((len(head), 2))
             np.add.at(total, at, c)
-            np.add.at(kinds, at, c > 0)
-            self.tables[n] = own, c.astype(np.float32), head, total.astype(np.float32), kinds.astype(np.float32)
+            np.add.at(given, at, discount(c))
+            self.tables[n] = own, c.astype(np.float32), head, total.astype(np.float32), given.astype(np.float32)
 
     def probabilities(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each byte of the marked words its probability in both classes, and its word."""
@@ -141,7 +146,7 @@ class KneserNey:
             key, inside, word = ngram_keys(words, n)
             if p is None:
                 p = np.full((len(key), 2), 1 / 256)
-            own, c, head, total, kinds = self.tables[n]
+            own, c, head, total, given = self.tables[n]
             if not len(own):
                 continue
             at = np.flatnonzero(inside)
@@ -154,14 +159,15 @@ class KneserNey:
             t = total[h]
             known = t > 0
             t = np.maximum(t, 1)
-            q = np.maximum(count - DISCOUNT, 0) / t + DISCOUNT * kinds[h] / t * p[at]
+            q = (count - discount(count)) / t + given[h] / t * p[at]
             p[at] = np.where(known, q, p[at])
         return p, word
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
         """Of each word its log-likelihood in the toxic class less that in the ordinary one, and its bytes with the end mark."""
-        if not words:
-            return np.zeros((0, 2), np.float32)
+        return np.concatenate([self._evidence(words[s : s + CHUNK]) for s in range(0, len(words), CHUNK)] or [np.zeros((0, 2), np.float32)])
+
+    def _evidence(self, words: list[bytes]) -> np.ndarray:
         p, word = self.probabilities(words)
         first = np.zeros(len(p), bool)
         first[np.cumsum([0] + [len(w) + 2 for w in words[:-1]])] = True
@@ -179,12 +185,12 @@ class PairKneserNey:
     def __init__(self, pair: np.ndarray, left: np.ndarray, right: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
         order = np.argsort(pair)
         self.pair, left, right = pair[order], left[order], right[order]
-        own = np.stack([ordinary[order], toxic[order]], 1).astype(np.float64)
+        own = np.stack([ordinary[order], toxic[order]], 1).astype(np.float32)
         self.count = np.c_[own, own.sum(1)].astype(np.float32)  # the classes, and both together
         self.head, at = np.unique(left, return_inverse=True)
-        self.total, self.kinds = np.zeros((len(self.head), 3)), np.zeros((len(self.head), 3))
+        self.total, self.given = np.zeros((len(self.head), 3), np.float32), np.zeros((len(self.head), 3), np.float32)
         np.add.at(self.total, at, self.count)
-        np.add.at(self.kinds, at, self.count > 0)
+        np.add.at(self.given, at, discount(self.count))
         self.word, self.follows = np.unique(right, return_counts=True)
         self.floor = 1.0 / (len(self.pair) + len(self.word) + 1)
 
@@ -202,10 +208,10 @@ class PairKneserNey:
             return out
         h, p, w = h[some], self._find(self.pair, pair[some]), self._find(self.word, right[some])
         count = np.where((p >= 0)[:, None], self.count[p], 0.0)
-        total, kinds = self.total[h], self.kinds[h]
+        total, given = self.total[h], self.given[h]
         low = np.where(w >= 0, self.follows[w] + 1.0, 1.0) * self.floor
-        shared = (np.maximum(count[:, 2] - DISCOUNT, 0) + DISCOUNT * kinds[:, 2] * low) / total[:, 2]
-        own = (np.maximum(count[:, :2] - DISCOUNT, 0) + DISCOUNT * kinds[:, :2] * shared[:, None]) / np.maximum(total[:, :2], 1)
+        shared = (count[:, 2] - discount(count[:, 2]) + given[:, 2] * low) / total[:, 2]
+        own = (count[:, :2] - discount(count[:, :2]) + given[:, :2] * shared[:, None]) / np.maximum(total[:, :2], 1)
         own = np.where(total[:, :2] > 0, own, shared[:, None])
         out[some] = np.log(own[:, 1]) - np.log(own[:, 0])
         return out

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from parallax.llm.toxicity import DISCOUNT, EDGE, ORDER, PIECE, SHARED, Evidence, KneserNey, PairKneserNey, ngram_keys, op8_toxicity, pair_counts, pieces, score_toxicity, train_toxicity, word_counts
+from parallax.llm.toxicity import DISCOUNTS, EDGE, ORDER, PIECE, SHARED, Evidence, KneserNey, PairKneserNey, ngram_keys, op8_toxicity, pair_counts, pieces, score_toxicity, train_toxicity, word_counts
 
 ORDINARY = "the weather is mild today and we walk along the river with our friends".split()
 TOXIC = "blargface snotwit grumblescum".split()
@@ -41,6 +41,10 @@ def plain_counts(texts):
     return grams, pairs
 
 
+def off(count):
+    return DISCOUNTS[min(count, 3) - 1] if count else 0
+
+
 def plain_byte(grams, c, gram):
     """The interpolated probability of the last byte of gram in class c, by plain recursion."""
     if not gram:
@@ -53,7 +57,7 @@ def plain_byte(grams, c, gram):
         counts = grams[c][n]
     after = {g: k for g, k in counts.items() if g[:-1] == gram[:-1]}
     total = sum(after.values())
-    return below if not total else max(after.get(gram, 0) - DISCOUNT, 0) / total + DISCOUNT * len(after) / total * below
+    return below if not total else (after.get(gram, 0) - off(after.get(gram, 0))) / total + sum(map(off, after.values())) / total * below
 
 
 def plain_pair(pairs, u, v):
@@ -61,7 +65,7 @@ def plain_pair(pairs, u, v):
     after = lambda counts: {y: k for (x, y), k in counts.items() if x == u}
     if not after(both):
         return 0.0
-    mix = lambda found, below: below if not found else (max(found.get(v, 0) - DISCOUNT, 0) + DISCOUNT * len(found) * below) / sum(found.values())
+    mix = lambda found, below: below if not found else (found.get(v, 0) - off(found.get(v, 0)) + sum(map(off, found.values())) * below) / sum(found.values())
     low = (sum(y == v for _, y in both) + 1) / (len(both) + len({y for _, y in both}) + 1)
     shared = mix(after(both), low)
     return math.log(mix(after(pairs[1]), shared)) - math.log(mix(after(pairs[0]), shared))
