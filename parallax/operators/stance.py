@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.functions.columns import agreement, half_up, stance_norm
+from parallax.functions.columns import agreement, agreement_color, fmt_stance, half_up, stance_norm
 
 LOW_CONFIDENCE = 4
 
@@ -97,9 +97,9 @@ def divergence_leaderboard(weekly: DataFrame, topics: DataFrame) -> DataFrame:
     """Topics that were ever scored, by the spread of the latest scored week; quiet ones last with -1; ties in the order of topics."""
     scored = weekly.filter("stance_avg is not null")
     now = scored.agg(F.max("week").alias("week"))
-    current = scored.join(F.broadcast(now), "week").select("topic", half_up((F.col("band_hi") - F.col("band_lo")) * 4, 2).alias("spread"), "label", "n_events")
+    current = scored.join(F.broadcast(now), "week").select("topic", half_up((F.col("band_hi") - F.col("band_lo")) * 4, 2).alias("spread"), "label", "stance_avg", fmt_stance(half_up(F.col("stance_avg"), 1)).alias("display"), agreement_color(F.col("label")).alias("color"), "n_events")
     joined = topics.join(scored.select("topic").distinct(), "topic", "left_semi").join(F.broadcast(current), "topic", "left")  # one row a topic
-    ranked = joined.select("topic", "topic_rank", F.coalesce("spread", F.lit(-1.0)).alias("spread"), "label", F.coalesce("n_events", F.lit(0)).alias("n"), F.col("spread").isNull().alias("quiet"))
+    ranked = joined.select("topic", "topic_rank", F.coalesce("spread", F.lit(-1.0)).alias("spread"), "label", "stance_avg", "display", "color", F.coalesce("n_events", F.lit(0)).alias("n"), F.col("spread").isNull().alias("quiet"))
     ranked = ranked.withColumn("low_confidence", F.col("n") < LOW_CONFIDENCE)
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy("quiet", F.desc("spread"), "topic_rank")))  # one row a topic
 

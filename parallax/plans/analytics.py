@@ -24,8 +24,9 @@ overall_parts AS (SELECT week, avg(CAST(round(stance_avg * 1000) AS BIGINT)) / 1
   avg(CAST(round(band_hi * 1000) AS BIGINT) - CAST(round(band_lo * 1000) AS BIGINT)) * 4 / 1000 AS spread, CAST(sum(n_events) AS BIGINT) AS n_events FROM topic_weekly WHERE stance_avg IS NOT NULL GROUP BY week),
 overall_weekly AS (SELECT week, {half_up_sql("(a + 2) / 4", 3)} AS overall, {half_up_sql("a", 2)} AS stance_avg, {half_up_sql("lo", 3)} AS band_lo, {half_up_sql("hi", 3)} AS band_hi, {agreement_sql("spread", "a")} AS label, n_events FROM overall_parts),
 {TOPIC_RANK},
-current_ AS (SELECT topic, {half_up_sql("(band_hi - band_lo) * 4", 2)} AS spread, label, n_events FROM topic_weekly WHERE week = (SELECT max(week) FROM topic_weekly WHERE stance_avg IS NOT NULL) AND stance_avg IS NOT NULL),
-leaderboard AS (SELECT d.topic, d.topic_rank, coalesce(spread, -1.0) AS spread, label, coalesce(n_events, 0) AS n, spread IS NULL AS quiet, coalesce(n_events, 0) < 4 AS low_confidence,
+current_ AS (SELECT topic, {half_up_sql("(band_hi - band_lo) * 4", 2)} AS spread, label, stance_avg, format('{{:+.1f}}', {half_up_sql("stance_avg", 1)}) AS display,
+  CASE WHEN label LIKE 'Aligned%' THEN 'green' WHEN label = 'Noncommittal' THEN 'grey' WHEN label = 'Mixed' THEN 'amber' ELSE 'red' END AS color, n_events FROM topic_weekly WHERE week = (SELECT max(week) FROM topic_weekly WHERE stance_avg IS NOT NULL) AND stance_avg IS NOT NULL),
+leaderboard AS (SELECT d.topic, d.topic_rank, coalesce(spread, -1.0) AS spread, label, stance_avg, display, color, coalesce(n_events, 0) AS n, spread IS NULL AS quiet, coalesce(n_events, 0) < 4 AS low_confidence,
   row_number() OVER (ORDER BY spread IS NULL, coalesce(spread, -1.0) DESC, d.topic_rank) AS rank FROM topic_dim d LEFT JOIN current_ c ON c.topic = d.topic WHERE d.topic IN (SELECT topic FROM topic_weekly WHERE stance_avg IS NOT NULL)),
 week_rows AS (SELECT * FROM rows_ WHERE date >= {D} - 7),
 weekly_counts AS (SELECT 'actor' AS kind, a.name, count(w.actor) AS n FROM (VALUES ('DE'), ('FR'), ('PL'), ('XX')) a(name) LEFT JOIN week_rows w ON w.actor = a.name GROUP BY a.name UNION ALL SELECT 'source', CAST(source AS VARCHAR), count(*) FROM week_rows GROUP BY source)
