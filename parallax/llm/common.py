@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from .word_index import byte_slices
 
@@ -79,13 +79,17 @@ def attach(df: DataFrame, columns: list[str], text_col: str, make: Callable[[],
     of about `limit` bytes of texts. make() builds a worker's state once per task. Spark bounds a batch by its bytes
     (spark.sql.execution.arrow.maxBytesPerBatch)."""
     names = ["row", *StructType.fromDDL(fields).names]
-    rows = df.select(F.struct(*[named(c) for c in columns] or [F.lit(1)]).alias("row"), named(text_col).cast("string").alias("text"))
+    row = F.struct(*[named(c) for c in columns] or [F.lit(1)]).alias("row")
+    at = columns.index(text_col) if text_col in columns and df.schema[text_col].dataType == StringType() else None
+    # A text that is carried along anyway goes to the task once.
+    rows = df.select(row) if at is not None else df.select(row, named(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for a, b in byte_slices(batch.column(1), limit):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *step(batch.column(1).slice(a, b - a))], names)
+            texts = batch.column(1) if at is None else batch.column(0).field(at)
+            for a, b in byte_slices(texts, limit):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *step(texts.slice(a, b - a))], names)
 
     return rows.mapInArrow(run, StructType([rows.schema["row"], *StructType.fromDDL(fields).fields]))
 

@@ -30,8 +30,8 @@ from .shingles import mix
 from .word_index import Growing, WordIndex, split_words, sums
 from .word_table import grouped_counts, per_group_sample
 
-#: Documents learned from, of each class: in the counts and in the fit of the curve; and words whose evidence is computed together.
-SAMPLE, CHUNK = 1200, 16_384
+#: Documents learned from, of each class: in the counts and in the fit of the curve; words whose evidence is computed together, and held.
+SAMPLE, CHUNK, HELD = 1200, 16_384, 400_000
 #: Order of the class models, highest order of the shared ones, and the discounts of counts of 1, of 2, and of 3 or more: what was seen in one
 #: document or two says little of its class, and most of it goes to the backoff.
 ORDER, SHARED, DISCOUNTS = 6, 3, (0.97, 1.8, 2.2)
@@ -230,7 +230,7 @@ class Evidence:
 
     def __init__(self, words: KneserNey, pairs: PairKneserNey):
         self.words, self.pairs = words, pairs
-        self.index = WordIndex()
+        self.index = WordIndex(HELD)
         self.values, self.code, self.long = Growing(np.float32, 2), Growing(np.uint64), Growing(bool)
         self.parts: dict[int, np.ndarray] = {}  # of long runs the evidence of each piece
 
