@@ -74,22 +74,25 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def attach(df: DataFrame, columns: list[str], text_col: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str, limit: int = 4_000_000) -> DataFrame:
+def attach(df: DataFrame, columns: list[str], text_col: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str, limit: int = 4_000_000, beside: str | None = None) -> DataFrame:
     """(row, *fields): row is a struct of `columns`, so that no names can clash, and the fields are what make()(texts) gives for a slice
-    of about `limit` bytes of texts. make() builds a worker's state once per task. Spark bounds a batch by its bytes
+    of about `limit` bytes of texts; with `beside`, the name of a column, make()(texts, its values as strings). make() builds a worker's state once per task. Spark bounds a batch by its bytes
     (spark.sql.execution.arrow.maxBytesPerBatch)."""
     names = ["row", *StructType.fromDDL(fields).names]
     row = F.struct(*[named(c) for c in columns] or [F.lit(1)]).alias("row")
     at = columns.index(text_col) if text_col in columns and df.schema[text_col].dataType == StringType() else None
     # A text that is carried along anyway goes to the task once.
-    rows = df.select(row) if at is not None else df.select(row, named(text_col).cast("string").alias("text"))
+    more = [named(beside).cast("string").alias("beside")] if beside else []
+    rows = df.select(row, *more) if at is not None else df.select(row, *more, named(text_col).cast("string").alias("text"))
+    before = len(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            texts = batch.column(1) if at is None else batch.column(0).field(at)
+            texts = batch.column(1 + before) if at is None else batch.column(0).field(at)
             for a, b in byte_slices(texts, limit):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *step(texts.slice(a, b - a))], names)
+                others = [c.slice(a, b - a) for c in batch.columns[1 : 1 + before]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *step(texts.slice(a, b - a), *others)], names)
 
     return rows.mapInArrow(run, StructType([rows.schema["row"], *StructType.fromDDL(fields).fields]))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontamination", "embedding_dedup", "hmm_lm", "language_id", "merkle_manifest", "minhash_dedup", "packing", "pii", "spelling_variants", "token_count", "toxicity", "warc_fixity"]
+MODULES = ["decontamination", "embedding_dedup", "hmm_lm", "language_id", "merkle_manifest", "minhash_dedup", "packing", "pii", "quality_rules", "spelling_variants", "token_count", "toxicity", "warc_fixity"]
 
 
 def _collect(what: str) -> dict:
