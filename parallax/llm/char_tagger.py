@@ -135,27 +135,63 @@ def crf_gradients(e: np.ndarray, move: np.ndarray, y: np.ndarray, live: np.ndarr
     return de, dmove
 
 
-def viterbi(regions: list[np.ndarray], move: np.ndarray, batch: int = 256) -> list[np.ndarray]:
-    """The best tags of each region, from its emissions (length, tags)."""
+def viterbi(regions: list[np.ndarray], move: np.ndarray, cells: int = 400_000) -> list[np.ndarray]:
+    """The best tags of each region, from its emissions (length, tags). Regions of like length are decoded side by side, so many that they
+    have about `cells` places together with what they are padded by."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(regions)
-    order = sorted(range(len(regions)), key=lambda i: len(regions[i]))
-    for s in range(0, len(order), batch):
-        part = order[s : s + batch]
+    order = sorted(range(len(regions)), key=lambda i: -len(regions[i]))
+    s = 0
+    while s < len(order):
+        part = order[s : s + max(1, cells // max(1, len(regions[order[s]])))]
+        s += len(part)
         lengths = np.array([len(regions[i]) for i in part])
         steps, n, k = int(lengths.max()), len(part), move.shape[0]
-        e = np.zeros((steps, n, k))
+        e = np.zeros((steps, n, k), np.float32)
         for j, i in enumerate(part):
             e[: lengths[j], j] = regions[i]
-        best, back = e[0], np.zeros((steps, n, k), np.int8)
-        for t in range(1, steps):
-            way = best[:, :, None] + move
-            back[t] = way.argmax(1)
-            best = np.where((t < lengths)[:, None], way.max(1) + e[t], best)
-        last = best.argmax(1)
+        best, back = forward(e, move, None, lengths)
         for j, i in enumerate(part):
-            path = np.zeros(lengths[j], np.int64)
-            path[-1] = last[j]
-            for t in range(lengths[j] - 1, 0, -1):
-                path[t - 1] = back[t, j, path[t]]
-            out[i] = path
+            out[i] = trace(back[: lengths[j], j], int(best[j].argmax()))
     return out
+
+
+def forward(e: np.ndarray, move: np.ndarray, best: np.ndarray | None, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best scores after emissions (steps, rows, tags), from those before (None at the beginning), and where each came from."""
+    back = np.zeros(e.shape, np.int8)
+    for t in range(len(e)):
+        if best is None:
+            best = e[0].astype(float)
+            continue
+        way = best[:, :, None] + move
+        back[t] = way.argmax(1)
+        best = np.where((t < lengths)[:, None], way.max(1) + e[t], best)
+    return best, back
+
+
+def trace(back: np.ndarray, last: int) -> np.ndarray:
+    """The path that ends with tag `last`."""
+    path = np.zeros(len(back), np.int64)
+    path[-1] = last
+    for t in range(len(back) - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
+def viterbi_long(length: int, emissions, move: np.ndarray, piece: int) -> np.ndarray:
+    """The best tags of one region of any length, emissions(a, b) giving those of its places a to b. Forward only the scores at the
+    beginning of each piece are kept; backward each piece is run again for its own way."""
+    begins = list(range(0, length, piece))
+    scores: list[np.ndarray | None] = []
+    best = None
+    for a in begins:
+        scores.append(best)
+        e = emissions(a, min(length, a + piece))
+        best, _ = forward(e[:, None], move, best, np.array([len(e)]))
+    path = np.zeros(length, np.int64)
+    last = int(best[0].argmax())
+    for a, before in zip(reversed(begins), reversed(scores), strict=True):
+        e = emissions(a, min(length, a + piece))
+        _, back = forward(e[:, None], move, before, np.array([len(e)]))
+        path[a : a + len(e)] = trace(back[:, 0], last)
+        last = int(back[0, 0, path[a]])
+    return path

@@ -16,14 +16,15 @@ bound. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .char_tagger import Tagger, char_ids, viterbi
+from .char_tagger import Tagger, char_ids, viterbi, viterbi_long
 from .common import attach, hash_share, named, table, unpacked
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -36,6 +37,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEED = re.compile(r"[0-9@]")
 WINDOW, SAMPLE, TAGS = 96, 3000, 1 + 2 * len(KINDS)
+#: Characters of stretches that are decoded together; a longer stretch is decoded piece by piece.
+PIECE = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -167,20 +170,71 @@ def acceptable(kind: str, text: str) -> bool:
     return 9 <= len(d) <= 15 and len(re.findall("[0-9]+", text)) >= 3
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of what spans cover, in order."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
+def free(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether a to b touches none of what is taken."""
+    k = bisect_left(taken[0], b)
+    return k == 0 or taken[1][k - 1] <= a
+
+
 class PiiModel:
     def __init__(self, windows: list[str]):
         self.tagger = Tagger(TAGS)
         self.tagger.train(examples(windows))
 
-    def added(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """The spans of each text that the tagger decides on, before they are held against the base."""
+    def blended(self, ids: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Emissions of the places a to b of a stretch: those of its windows, each by its weight."""
         half = WINDOW // 2
-        regions = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
-        if not regions:
-            return [[] for _ in texts]
-        ids = [char_ids(texts[i][a:b]) for i, a, b in regions]
-        total = [np.zeros((len(x), TAGS)) for x in ids]
-        weight = [np.zeros(len(x)) for x in ids]
+        total, weight = np.zeros((b - a, TAGS), np.float32), np.zeros(b - a, np.float32)
+        begins = [p for p in range(max(0, (a - WINDOW) // half * half), b, half) if p + WINDOW > a and (p < len(ids) - half or p == 0)]
+        for s in range(0, len(begins), 256):
+            part = [(p, min(len(ids), p + WINDOW)) for p in begins[s : s + 256]]
+            x = np.full((max(q - p for p, q in part), len(part)), -1)
+            for j, (p, q) in enumerate(part):
+                x[: q - p, j] = ids[p:q]
+            e = self.tagger.emissions(x)
+            for j, (p, q) in enumerate(part):
+                w = np.minimum(np.arange(1, q - p + 1), np.arange(q - p, 0, -1)).astype(np.float32)
+                lo, hi = max(a, p), min(b, q)
+                total[lo - a : hi - a] += e[lo - p : hi - p, j] * w[lo - p : hi - p, None]
+                weight[lo - a : hi - a] += w[lo - p : hi - p]
+        return total / weight[:, None]
+
+    def paths(self, stretches_: list[str]) -> list[np.ndarray]:
+        """The tags of each stretch. Short ones are decoded side by side, about PIECE characters together, a longer one piece by piece."""
+        move = self.tagger.p["move"].astype(float)
+        out: list[np.ndarray] = []
+        s = 0
+        while s < len(stretches_):
+            ids = char_ids(stretches_[s])
+            if len(ids) > PIECE:
+                out.append(viterbi_long(len(ids), lambda a, b, x=ids: self.blended(x, a, b), move, PIECE // 2))
+                s += 1
+                continue
+            pack, held = [], 0
+            while s < len(stretches_) and len(stretches_[s]) <= PIECE and (not pack or held + len(stretches_[s]) <= PIECE):
+                pack.append(char_ids(stretches_[s]))
+                held += len(pack[-1])
+                s += 1
+            out += viterbi(self._emissions(pack), move)
+        return out
+
+    def _emissions(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        half = WINDOW // 2
+        total = [np.zeros((len(x), TAGS), np.float32) for x in ids]
+        weight = [np.zeros(len(x), np.float32) for x in ids]
         windows = [(r, p, min(len(x), p + WINDOW)) for r, x in enumerate(ids) for p in range(0, max(1, len(x) - half), half)]
         for s in range(0, len(windows), 256):
             part = windows[s : s + 256]
@@ -189,10 +243,15 @@ class PiiModel:
                 x[: b - a, j] = ids[r][a:b]
             e = self.tagger.emissions(x)
             for j, (r, a, b) in enumerate(part):
-                w = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1)).astype(float)
+                w = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1)).astype(np.float32)
                 total[r][a:b] += e[: b - a, j] * w[:, None]
                 weight[r][a:b] += w
-        paths = viterbi([t / w[:, None] for t, w in zip(total, weight, strict=True)], self.tagger.p["move"].astype(float))
+        return [t / w[:, None] for t, w in zip(total, weight, strict=True)]
+
+    def added(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """The spans of each text that the tagger decides on, before they are held against the base."""
+        regions = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
+        paths = self.paths([texts[i][a:b] for i, a, b in regions])
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         for (i, a, _), path in zip(regions, paths, strict=True):
             t = 0
@@ -217,7 +276,8 @@ class PiiModel:
         seeded = [i for i, t in enumerate(texts) if SEED.search(t)]
         for i, extra in zip(seeded, self.added([texts[i] for i in seeded]), strict=True):
             base = base_spans(texts[i])
-            more = [(k, a, b) for k, a, b in extra if acceptable(k, texts[i][a:b]) and not any(a < y and x < b for _, x, y in base)]
+            taken = merged((x, y) for _, x, y in base)
+            more = [(k, a, b) for k, a, b in extra if acceptable(k, texts[i][a:b]) and free(taken, a, b)]
             out[i] = base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
         return out
 

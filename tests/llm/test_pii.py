@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from parallax.llm import pii
-from parallax.llm.char_tagger import Tagger, logsum, viterbi
+from parallax.llm.char_tagger import Tagger, logsum, viterbi, viterbi_long
 from parallax.llm.pii import base_spans, find_pii, luhn, op1_pii, train_pii, written_otherwise
 
 PLAIN = {
@@ -79,6 +79,17 @@ def test_viterbi_is_the_best_path():
         assert tuple(got) == max(itertools.product(range(3), repeat=len(e)), key=lambda p: value(e, p))
 
 
+def test_viterbi_by_pieces_and_by_cells():
+    rng = np.random.default_rng(2)
+    regions, move = [rng.standard_normal((n, 4)).astype(np.float32) for n in (1, 2, 63, 64, 65, 300)], rng.standard_normal((4, 4))
+    want = viterbi(regions, move)
+    for cells in (1, 70, 500):
+        assert all((a == b).all() for a, b in zip(viterbi(regions, move, cells), want, strict=True))
+    for piece in (1, 7, 64, 1000):
+        for e, path in zip(regions, want, strict=True):
+            assert (viterbi_long(len(e), lambda a, b, e=e: e[a:b], move, piece) == path).all()
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return train_pii(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
@@ -96,6 +107,27 @@ def test_tagger_adds_other_forms(model):
     assert [s for _, s in model.spans(clean)] == [[], [], [], []]
 
 
+def test_long_stretches_by_pieces(model, monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["4111 1111 1111 1111", "10.0.0.1", "a@b.cd", "+49 30 1234567", "1234.5", "12", "(030) 555-1234"]) for _ in range(400))
+    want = model.spans(["no digits", text, "x 12 y"])
+    monkeypatch.setattr(pii, "PIECE", 500)
+    assert model.spans(["no digits", text, "x 12 y"]) == want
+
+
+def test_half_a_million_digits_in_bounded_memory(model):
+    import tracemalloc
+
+    rng = random.Random(9)
+    digits = "".join(rng.choice("0123456789 ") for _ in range(500_000))
+    tracemalloc.start()
+    spans = model.spans([f"call {i} or +49 30 {1234567 + i}" for i in range(300)] + [digits])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) == 301 and spans[-1][0] == plain(digits)
+    assert peak < 250_000_000
+
+
 def test_odd_rows(spark, model):
     long = "word " * 30000 + "call +49 30 1234567 now " + "word " * 30000 + "a.b@c.de"
     rows = [(1, None, "s"), (2, "", "s"), (3, long, "s"), (None, "x@y.org", "s"), (3, long, "s"), (4, "1.2.3.4 ßé a@b.cd", None)]
