@@ -23,7 +23,9 @@ def _folder(spark: SparkSession) -> str:
 def stream_landing(s, d):
     docs = streams.read_stream(s, f"{d}/documents.parquet")
     items = docs.select(F.col("lang").alias("source_name"), F.concat(F.lit("https://x/"), F.md5("text")).alias("url"), F.substring("text", 1, 80).alias("title"))
-    return streams.run_to_table(streams.stream_landing(items), _folder(s)).select("source_name", "hash")
+    path = f"{_folder(s).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    streams.land_new(items, f"{path}/table", f"{path}/checkpoint", ["url", "title"]).awaitTermination()
+    return s.read.parquet(f"{path}/table").select("source_name", "hash")
 
 
 def stream_votes(s, d):

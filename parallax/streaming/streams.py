@@ -8,6 +8,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parallax.functions.columns import content_hash
 
@@ -17,42 +20,80 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a file
 
 
-def stream_landing(items: DataFrame, delay: str | None = None, event_time: str = "ts") -> DataFrame:
-    """Items (source_name, url, title, ...) whose (source_name, hash) the stream has not given before.
+def stream_landing(items: DataFrame, delay: str, event_time: str = "ts") -> DataFrame:
+    """Items (source_name, url, title, ...) whose (source_name, hash) the stream has not given before, as far back as the watermark keeps
+    them: the state is bounded by the delay, and a copy that comes later than that passes again. `land_new` is the exact form."""
+    hashed = items.withColumn("hash", content_hash(F.col("url"), F.col("title")))
+    return hashed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["source_name", "hash"])
+
 
-    With a delay the state is bounded by the watermark, and a copy that comes later than that passes again; without one the state keeps
-    every hash and the result is exact.
+def append_batch(batch: DataFrame, number: int, path: str, keys: list[str], order: list[str]) -> None:
+    """Write the rows of a micro-batch whose keys no earlier batch has written, one for each key, the first by `order`, to the folder of the
+    batch's number.
+
+    A batch that runs again after a failure replaces what it had written and looks at the batches before it alone, so that it writes the
+    same rows once. Keys are looked up in the stored table; there is no state besides.
     """
+    spark = batch.sparkSession
+    places = F.struct(*order)
+    first = batch.groupBy(*keys).agg(F.min(places).alias("_first"))
+    chosen = batch.withColumn("_first", places).join(first, [*keys, "_first"], "left_semi").drop("_first").dropDuplicates(keys)
+    if number > 0 and stored_batches(spark, path):
+        stored = spark.read.schema(StructType([*(batch.schema[k] for k in keys), StructField("batch", LongType())])).option("basePath", path).parquet(path).filter(F.col("batch") < number).select(*keys)
+        # Of the stored keys those of the batch are read out first, which are few; Spark broadcasts the batch's if they are small.
+        known = stored.join(first.select(*keys), keys, "left_semi").distinct()
+        chosen = chosen.join(known, keys, "left_anti")
+    chosen.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def stored_batches(spark: SparkSession, path: str) -> bool:
+    """Whether the table has any batch yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def land_new(items: DataFrame, path: str, checkpoint: str, order: list[str], once: bool = True) -> StreamingQuery:
+    """A running query that lands the items (source_name, url, title, ...) of a stream whose (source_name, hash) isn't stored yet: exact,
+    idempotent by the number of the batch, and without state. With `once` it ends when it has read what there is."""
     hashed = items.withColumn("hash", content_hash(F.col("url"), F.col("title")))
-    if delay is None:
-        return hashed.dropDuplicates(["source_name", "hash"])
-    return hashed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["source_name", "hash"])
+    sink = lambda batch, number: append_batch(batch, number, path, ["source_name", "hash"], order)
+    writer = hashed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_vote_tally(votes: DataFrame, ttl_seconds: int) -> DataFrame:
+def stream_vote_tally(votes: DataFrame, ttl_seconds: int, delay: str = "1 hour") -> DataFrame:
     """(slug, ip, ts) of the votes that count, with one value of state for each key: the time of the last that did.
 
-    The votes of a key are taken in the order of their times within a micro-batch; a vote that comes later but is older than the last
-    counted one of its key is dropped. Event time decides, so a rerun gives the same result.
+    The state of a key ends when the watermark has passed its last counted vote by the TTL: every vote that still can come counts then
+    anyway, so nothing is lost by forgetting, and the state holds the keys of one TTL and delay at most. Votes of a key are taken in the
+    order of their times within a micro-batch; one that comes later but is older than the last counted one of its key is dropped, as is one
+    older than the watermark. Event time decides, so a rerun gives the same result.
     """
+    import numpy as np
     import pandas as pd
 
-    ttl = pd.Timedelta(seconds=ttl_seconds)
+    ttl = ttl_seconds * 1_000_000
 
-    def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        times = sorted(t for part in parts for t in part["ts"])
+    def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = np.sort(np.concatenate([part["ts"].to_numpy("datetime64[us]").astype("int64") for part in parts]))
+        due = state.get[0] + ttl if state.exists else int(times[0])
         counted = []
-        for t in times:
-            if last is None or t - last >= ttl:
-                counted.append(t)
-                last = t
-        if last is not None:
-            state.update((int(last.value // 1000),))
-        yield pd.DataFrame({"slug": [key[0]] * len(counted), "ip": [key[1]] * len(counted), "ts": pd.Series(counted, dtype="datetime64[us]")})
-
-    grouped = votes.select("slug", "ip", F.col("ts").cast("timestamp_ntz").alias("ts")).groupBy("slug", "ip")
-    return grouped.applyInPandasWithState(step, "slug string, ip string, ts timestamp_ntz", "last long", "append", "NoTimeout")
+        at = int(np.searchsorted(times, due))
+        while at < len(times):
+            counted.append(int(times[at]))
+            at = int(np.searchsorted(times, counted[-1] + ttl))
+        if counted:
+            state.update((counted[-1],))
+        # A timer must lie beyond the watermark; the state of a vote that is older than a TTL by then goes at the next batch.
+        ends = max((state.get[0] + ttl) // 1000, state.getCurrentWatermarkMs() + 1)
+        state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame({"slug": [key[0]] * len(counted), "ip": [key[1]] * len(counted), "ts": pd.Series(np.array(counted, "int64").view("datetime64[us]"))})
+
+    timed = votes.select("slug", "ip", F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", delay)
+    return timed.groupBy("slug", "ip").applyInPandasWithState(step, "slug string, ip string, ts timestamp_ntz", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_density(rows: DataFrame, delay: str, offset: str, days: int = 7) -> DataFrame:
