@@ -25,6 +25,7 @@ FORMS = {
 #: Forms of a strict date, with and without a range check.
 STRICT = ["iso_zone", "iso", "day", "dotted", "day_month", "month_day"]
 UNRANGED = ["iso", "day", "dotted", "day_month", "month_day"]
+UNRANGED_SLASHED = ["iso", "day", "day_month", "month_day", "slashed"]
 #: Forms of the times in feeds; a weekday before a comma is cut off first.
 STAMPS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"]
 EARLIEST = dt.date(1995, 1, 1)
@@ -68,11 +69,12 @@ def dates_by_source(rows: DataFrame, raw: str, source: str, forms: dict[str, lis
     return rows.withColumn("_text", text).withColumn("date", F.coalesce(by, F.lit(today))).drop("_text")
 
 
-def strict_date(raw: Column, today: dt.date | None) -> Column:
-    """The date, or null; with today, also null outside EARLIEST < date <= today; without it only the first 19 characters count."""
+def strict_date(raw: Column, today: dt.date | None, forms: list[str] | None = None) -> Column:
+    """The date in one of the forms (STRICT, or UNRANGED without today), or null; with today, also null outside EARLIEST < date <= today;
+    without it only the first 19 characters count."""
     if today is None:
-        return parse_date(F.substring(strip(raw), 1, 19), UNRANGED)
-    d = parse_date(strip(raw), STRICT)
+        return parse_date(F.substring(strip(raw), 1, 19), UNRANGED if forms is None else forms)
+    d = parse_date(strip(raw), STRICT if forms is None else forms)
     return F.when((d > F.lit(EARLIEST)) & (d <= F.lit(today)), d)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parallax.functions import dates
 from parallax.functions.columns import content_hash, strip_html
-from parallax.sources import landing
+from parallax.sources import landing, pages
 from parallax.sources.adapters import AS_OF, RAW_ITEMS, raw_items, read
 
 TODAY = dt.date(2000, 6, 30)
@@ -117,19 +117,44 @@ def _runs(s, d):
     return e.select(F.col("user_id").cast("string").alias("source"), F.lit(1).alias("fetched"), (F.col("event_type") == "click").cast("int").alias("new"), (F.col("event_type") == "view").cast("int").alias("skipped"), (F.col("event_type") == "signup").cast("int").alias("known"), F.when((F.col("event_type") == "error") & (F.col("user_id") % 4 == 0), "boom").alias("error"))
 
 
+def _day_text(column="page_id", form="yyyy-MM-dd"):
+    return F.date_format(F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col(column) % 28).cast("int")), form)
+
+
 def page_date(s, d):
-    """Pages that get a date put in, in four forms, or none."""
-    n = F.col("page_id") % 5
-    day = F.date_format(F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("page_id") % 28).cast("int")), "yyyy-MM-dd")
-    german = F.date_format(F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("page_id") % 28).cast("int")), "dd.MM.yyyy")
+    """Pages that get a date put in, in ten forms, some beside a worse one, or none."""
+    n, day, german = F.col("page_id") % 11, _day_text(), _day_text(form="dd.MM.yyyy")
+    forms = {
+        0: ('<time datetime="', day, 'T10:00:00Z">x</time>'),
+        1: ("<META content='", day, "' name=date>"),
+        2: ('<script type="application/ld+json">{"datePublished": "', day, 'T08:00:00Z"}</script>'),
+        3: ("<p>", german, "</p>"),
+        5: ('<meta itemprop="datePublished" content="', day, '">'),
+        6: ('<meta name="DC.date.issued" content="', day, '">'),
+        7: ('<meta property="article:published_time" content="2023-05-05"><meta name="date" content="', day, '">'),
+        8: ('<script type="application/ld+json">{broken</script><script type="application/ld+json">[1, {"datePublished": 3}, {"datePublished": "', day, '"}]</script>'),
+        9: ('<time datetime="2099-01-01">x</time><meta name="date" content="', day, '">'),
+        10: ("<time> ", german, "</time>"),
+    }
+    mark = F.lit("")
+    for k, (before, text, behind) in forms.items():
+        mark = F.when(n == k, F.concat(F.lit(before), text, F.lit(behind))).otherwise(mark)
+    return landing.extract_date(read(s, d, "pages").select("page_id", F.concat(mark, "html").alias("html")), AS_OF)
+
+
+def page_title(s, d):
+    """Pages with titles put in: an og:title, boilerplate, a dash, a site's name, none but a heading of the article or of main."""
+    n = F.col("page_id") % 7
     mark = (
-        F.when(n == 0, F.concat(F.lit('<time datetime="'), day, F.lit('T10:00:00Z">'), F.lit("x</time>")))
-        .when(n == 1, F.concat(F.lit('<meta name="date" content="'), day, F.lit('">')))
-        .when(n == 2, F.concat(F.lit('<script type="application/ld+json">{"datePublished": "'), day, F.lit('"}</script>')))
-        .when(n == 3, F.concat(F.lit("<p>"), german, F.lit("</p>")))
-        .otherwise(F.lit(""))
+        F.when(n == 1, F.concat(F.lit("<meta content='Og "), F.col("page_id").cast("string"), F.lit("' property=og:title>")))
+        .when(n == 2, '<meta property="og:title" content=" Welcome ">')
+        .when(n == 3, "<title>Summit - what comes next</title>")
+        .when(n == 4, "<title>Summit news – The Office</title>")
+        .when(n >= 5, "<title>Home</title>")
+        .otherwise("")
     )
-    return landing.extract_date(read(s, d, "pages").select("page_id", F.concat(mark, "html").alias("html")))
+    body = F.when(n == 6, F.regexp_replace(F.regexp_replace("html", "(?i)<article>", "<main><h1>willkommen</h1>"), "(?i)</article>", "</main>")).otherwise(F.col("html"))
+    return landing.extract_title(read(s, d, "pages").select("page_id", F.concat(mark, body).alias("html")), suffixes=("The Office",))
 
 
 def feed_parse(s, d):
@@ -178,22 +203,29 @@ QUERIES = {
     "ingest_run_log": lambda s, d: landing.run_summary(_runs(s, d)),
     "strip_html": lambda s, d: read(s, d, "pages").select("page_id", strip_html(F.col("html")).alias("text")),
     "page_body": lambda s, d: landing.extract_body(read(s, d, "pages")),
-    "page_title": lambda s, d: landing.extract_title(read(s, d, "pages")),
+    "page_title": page_title,
+    "page_elements": lambda s, d: pages.page_elements(read(s, d, "pages")).groupBy("page_id", "name").agg(F.count("*").alias("n")).filter("name in ('a', 'article', 'br', 'h1', 'li', 'p', 'script', 'title')"),
     "page_date": page_date,
     "page_json_items": page_json_items,
     "feed_parse": feed_parse,
     "clean_dates": lambda s, d: _raw_dates(s, d).select("id", dates.clean_date(F.col("raw")).alias("clean")),
     "parse_dates": parse_dates,
-    "strict_dates": lambda s, d: _raw_dates(s, d).select("id", dates.strict_date(F.col("raw"), TODAY).alias("date"), dates.strict_date(F.col("raw"), None).alias("unranged")),
+    "strict_dates": lambda s, d: _raw_dates(s, d).select("id", dates.strict_date(F.col("raw"), TODAY).alias("date"), dates.strict_date(F.col("raw"), None).alias("unranged"), dates.strict_date(F.when(F.col("id") % 4 == 0, F.date_format("d", "dd/MM/yyyy")).otherwise(F.col("raw")), None, dates.UNRANGED_SLASHED).alias("slashed")),
     "url_date": url_date,
     "month_spine": lambda s, d: dates.month_spine(read(s, d, "orders"), "o_orderdate", TODAY),
 }
 
 _STRIP = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g'))"
 _CLEAN = "regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
-BODY = f"""scoped AS (SELECT page_id, html, CASE WHEN regexp_extract(c, '(?is)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(c, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE '' END AS s FROM (SELECT *, {_CLEAN} AS c FROM pages)),
-parts AS (SELECT page_id, unnest(regexp_extract_all(s, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1)) AS p, generate_subscripts(regexp_extract_all(s, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), 1) AS i FROM scoped),
-bodies AS (SELECT s.page_id, coalesce(string_agg(t, ' ' ORDER BY i) FILTER (length(t) > 40), '') AS body FROM scoped s LEFT JOIN (SELECT page_id, i, {_STRIP("p")} AS t FROM parts) x ON x.page_id = s.page_id GROUP BY s.page_id)"""
+_READ = lambda x: f"replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_EDGE = "^[\\s\\x{A0}]+|[\\s\\x{A0}]+$"
+_NODES = lambda x: f"list_filter(list_transform(regexp_split_to_array({x}, '<[^>]*>'), lambda y: regexp_replace({_READ('y')}, '{_EDGE}', '', 'g')), lambda y: y <> '')"
+_PARAGRAPH = _NODES("regexp_split_to_array(x, '(?i)</p>')[1]")
+BODY = f"""scoped AS (SELECT page_id, regexp_extract({_CLEAN}, '(?is)<article[^>]*>(.*?)</article>', 1) AS s FROM pages),
+parts AS (SELECT page_id, list_transform(regexp_split_to_array(s, '(?i)<p(?:\\s[^>]*)?>')[2:], lambda x: {_PARAGRAPH}) AS ps FROM scoped),
+bodies AS (SELECT page_id, array_to_string(list_transform(list_filter(ps, lambda x: length(array_to_string(x, '')) > 40), lambda x: array_to_string(x, ' ')), ' ') AS body FROM parts)"""
+_TITLE_OF = _NODES("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_HEAD_OF = _NODES("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
 _MONTH = "monthname(o_orderdate)"
 _DAY = "CAST(extract(day FROM o_orderdate) AS VARCHAR)"
 _END = "CASE WHEN extract(day FROM o_orderdate) IN (11, 12, 13) THEN 'th' WHEN extract(day FROM o_orderdate) % 10 = 1 THEN 'st' WHEN extract(day FROM o_orderdate) % 10 = 2 THEN 'nd' WHEN extract(day FROM o_orderdate) % 10 = 3 THEN 'rd' ELSE 'th' END"
@@ -224,14 +256,15 @@ WHERE NOT EXISTS (SELECT 1 FROM keyed s WHERE s.doc_id % 3 = 0 AND s.source_name
 SELECT source, fetched, new, skipped, known, CAST(errors AS BIGINT) AS errors FROM r UNION ALL SELECT 'TOTAL', CAST(sum(fetched) AS BIGINT), CAST(sum(new) AS BIGINT), CAST(sum(skipped) AS BIGINT), CAST(sum(known) AS BIGINT), CAST(sum(errors) AS BIGINT) FROM r""",
     "strip_html": f"SELECT page_id, {_STRIP('html')} AS text FROM pages",
     "page_body": f"WITH {BODY} SELECT * FROM bodies",
-    "page_title": f"""WITH t AS (SELECT page_id, {_STRIP("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+[-–|]\\s+[^-–|]*$', '')")} AS title FROM pages) SELECT * FROM t""",
-    "page_date": "SELECT page_id, CASE WHEN page_id % 5 < 4 THEN CAST(DATE '2024-01-01' + CAST(page_id % 28 AS INT) AS DATE) END AS date FROM pages",
+    "page_title": f"SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'Og ' || page_id WHEN 3 THEN 'Summit - what comes next' WHEN 4 THEN 'Summit news' WHEN 5 THEN array_to_string({_HEAD_OF}, ' ') WHEN 6 THEN array_to_string({_HEAD_OF}, ' ') ELSE array_to_string({_TITLE_OF}, ' ') END AS title FROM pages",
+    "page_elements": "SELECT page_id, lower(name) AS name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(a|article|br|h1|li|p|script|title)[\\s>]', 1)) AS name FROM pages) GROUP BY ALL",
+    "page_date": "SELECT page_id, CASE WHEN page_id % 11 <> 4 THEN CAST(DATE '2024-01-01' + CAST(page_id % 28 AS INT) AS DATE) END AS date FROM pages",
     "page_json_items": "SELECT page_id, 't' || CAST(i AS VARCHAR) AS title, url || '#' || CAST(i AS VARCHAR) AS url, '2024-01-01' AS date FROM (SELECT page_id, url, unnest(generate_series(0, page_id % 3)) AS i FROM pages)",
     "feed_parse": "SELECT lang AS source_name, 'Title ' || CAST(doc_id AS VARCHAR) AS title, 'https://x/' || CAST(doc_id AS VARCHAR) AS url, CAST(least(5000, length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS INT) AS n_chars, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS DATE) AS date FROM documents WHERE doc_id % 11 <> 0",
     "clean_dates": f"""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 2 THEN {_MONTH} || ' ' || {_DAY} || ', ' || CAST(year(o_orderdate) AS VARCHAR)
   WHEN 3 THEN {_MONTH} || ' ' || {_DAY} || ' ' || CAST(year(o_orderdate) AS VARCHAR) WHEN 4 THEN {_DAY} || ' ' || substring({_MONTH}, 1, 3) || ' ' || CAST(year(o_orderdate) AS VARCHAR) || ' 09:30:00 +0000' ELSE 'no date here' END AS clean FROM orders""",
     "parse_dates": f"SELECT o_orderkey AS id, CASE WHEN CASE CAST(floor(o_orderkey / 6) AS BIGINT) % 4 WHEN 0 THEN o_orderkey % 6 IN (0, 1) WHEN 1 THEN o_orderkey % 6 IN (0, 1, 2, 3) WHEN 2 THEN o_orderkey % 6 IN (2, 4) ELSE false END THEN CAST(o_orderdate AS DATE) ELSE {_T} END AS date FROM orders",
-    "strict_dates": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN {_RANGE} END AS date, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN CAST(o_orderdate AS DATE) END AS unranged FROM orders",
+    "strict_dates": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN {_RANGE} END AS date, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN CAST(o_orderdate AS DATE) END AS unranged, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 6 IN (0, 2) THEN CAST(o_orderdate AS DATE) END AS slashed FROM orders",
     "url_date": f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE {_RANGE} END AS date FROM orders",
     "month_spine": f"SELECT CAST(unnest(generate_series(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP), CAST({_T} AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM orders",
 }

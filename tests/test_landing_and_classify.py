@@ -64,10 +64,10 @@ def test_feeds(spark):
 
 
 def test_pages(spark):
-    html = '<html><head><meta property="og:title" content="Welcome"><title>Real title here - Site</title><script>var t="</p>";</script></head><body><article><time datetime="2026-05-04T10:00">x</time><p>' + "long enough " * 5 + "</p><p>short</p><!-- <p>" + "hidden " * 9 + "</p> --></article></body></html>"
+    html = '<html><head><meta property="og:title" content="Welcome"><title>Real title here - Site</title><script>var t="</p>";</script></head><body><article><time datetime="2026-05-04T10:00:00">x</time><p>' + "long enough " * 5 + "</p><p>short</p><!-- <p>" + "hidden " * 9 + "</p> --></article></body></html>"
     bare = "<main><p>" + "seven words are in this short body text of mine to be cut off here" + " am 03.02.2024</p></main>"
     df = spark.createDataFrame([(1, html), (2, bare), (3, "")], "page_id long, html string")
-    title = {r.page_id: r.title for r in landing.extract_title(df).collect()}
+    title = {r.page_id: r.title for r in landing.extract_title(df, suffixes=("Site",)).collect()}
     twice = landing.extract_title(df.unionByName(df)).collect()
     assert len(twice) == 6 and sorted(r.page_id for r in twice) == [1, 1, 2, 2, 3, 3]
     turned = "<head><meta content='Turned about' property=og:title><title>x</title></head>"
@@ -80,10 +80,33 @@ def test_pages(spark):
     assert landing.extract_body(spark.createDataFrame([(1, f"<p>{long}</p>")], "page_id long, html string")).first().body == ""
     assert title[1] == "Real title here" and title[2] == "seven words are in this short body text of mine to be…" and title[3] is None
     assert {r.page_id: r.body for r in landing.extract_body(df).collect()}[1] == ("long enough " * 5).strip()
-    assert {r.page_id: r.date for r in landing.extract_date(df).collect()} == {1: D(2026, 5, 4), 2: D(2024, 2, 3), 3: None}
+    assert {r.page_id: r.date for r in landing.extract_date(df, TODAY).collect()} == {1: D(2026, 5, 4), 2: D(2024, 2, 3), 3: None}
     assert spark.createDataFrame([("<b>a</b>&amp;<i>b</i>\n c",)], "h string").select(strip_html(F.col("h")).alias("t")).first().t == "a & b c"
 
 
+def test_page_index():
+    from parallax.sources.pages import Page, dates_of
+
+    p = Page("<!DOCTYPE html><ul class=a><li>one<li id='x y' ID=z>two <b>b</b> c</ul><p>first <i>in<p>second<div>d</div></p>a < b &amp; c<script>if (a<b) '<p>'</script><br/>end<!-- <p> --><td>t")
+    assert [(e.name, e.depth) for e in p.elements] == [("ul", 0), ("li", 1), ("li", 1), ("b", 2), ("p", 0), ("i", 1), ("p", 0), ("div", 0), ("script", 0), ("br", 0), ("td", 0)]
+    assert [p.text(e) for e in p.elements] == ["one two b c", "one", "two b c", "b", "first in", "in", "second", "d", "", "", "t"]
+    assert p.elements[2].attributes == {"id": "x y"} and p.text(None).endswith("a < b & c end t")
+    assert Page("").text(None) == "" and Page("a < b").elements == [] and Page('<a href="x>y').elements == []
+    deep = Page("<div>" * 20_000 + "x" + "</div>" * 20_000)
+    assert len(deep.elements) == 20_000 and deep.text(deep.elements[-1]) == "x"
+    assert dates_of(Page('<time>3 May 2024</time><script type="application/ld+json">{</script><meta name="date">')) == ["3 May 2024"]
+
+
+def test_page_container_scopes(spark):
+    long = "more than forty characters of text stand in this paragraph"
+    page = f"<div class='rich'><p>{long} banner</p></div><main><div class='c-rich x'><p>{long} body</p></div><p>{long} other</p></main>"
+    one = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    body = lambda **k: {r.page_id: r.body for r in landing.extract_body(one, **k).collect()}
+    assert body(classes=("rich",)) == {1: f"{long} banner", 2: ""}
+    assert body(classes=("rich",), scopes=("main",)) == {1: f"{long} body", 2: ""}
+    assert body(classes=("none",), scopes=("main",)) == {1: f"{long} body {long} other", 2: ""}
+
+
 def test_known_items(spark):
     existing = landing.with_hash(spark.createDataFrame([("s", "u1", "t1"), ("other", "u2", "t2")], "source_name string, url string, title string"))
     offered = spark.createDataFrame([("s", "u1", "t1"), ("s", "u2", "t2")], "source_name string, url string, title string")
@@ -234,10 +257,10 @@ def test_queries_read_whole_pages(spark, tmp_path):
     from parallax.plans import landing as plans
 
     far = "<p>" + "word " * 100 + "</p>"
-    rows = [(4, "u4", far + '<time datetime="2025-03-04T00:00:00Z">x</time>'), (9, "u9", far + "<p>05.06.2025</p>"), (14, "u14", far), (5, "u5", far)]
+    rows = [(4, "u4", far + '<time datetime="2023-03-04T00:00:00Z">x</time>'), (15, "u15", far + "<p>05.06.2023</p>"), (26, "u26", far), (5, "u5", far)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: r.date for r in plans.page_date(spark, str(tmp_path)).collect()}
-    assert got == {4: D(2025, 3, 4), 9: D(2025, 6, 5), 14: None, 5: D(2024, 1, 6)}
+    assert got == {4: D(2023, 3, 4), 15: D(2023, 6, 5), 26: None, 5: D(2024, 1, 6)}
     whole = plans.landing.listing_items
     plans.landing.listing_items = lambda pages: pages.select("page_id", F.length("html").alias("n"))
     try:
