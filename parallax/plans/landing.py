@@ -157,17 +157,24 @@ def page_title(s, d):
     return landing.extract_title(read(s, d, "pages").select("page_id", F.concat(mark, body).alias("html")), suffixes=("The Office",))
 
 
+def _payloads(s, d):
+    """Documents wrapped as RSS and Atom: links of other relations, entities in links, prefixes, contents in CDATA, feeds cut off."""
+    n, id_ = F.col("doc_id"), F.col("doc_id").cast("string")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    # What is escaped twice is a text with marks in it, which stay marks when the XML is read.
+    twice = F.replace(escaped, F.lit("&"), F.lit("&amp;"))
+    text = F.when(n % 5 == 1, F.concat(F.lit("<![CDATA[<p>"), escaped, F.lit("</p>]]>"))).otherwise(twice)
+    title = F.when(n % 11 == 0, F.lit("")).when(n % 7 == 0, F.concat(F.lit("<![CDATA[Title "), id_, F.lit("]]>"))).otherwise(F.concat(F.lit("Title "), id_))
+    url = F.concat(F.lit("https://x/"), id_, F.when(n % 3 == 0, "?a=1&amp;b=2").otherwise(""))
+    other = F.when(n % 4 < 2, F.concat(F.lit('<atom:link xmlns:atom="http://www.w3.org/2005/Atom" rel="edit" href="https://edit/'), id_, F.lit('"/>'))).otherwise("")
+    atom = F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><link href="https://feed"/><entry><title>'), title, F.lit("</title>"), other, F.lit('<link rel="alternate" href="'), url, F.lit('"/><summary>short</summary><content>'), text, F.lit("</content><updated>"), _day_text("doc_id"), F.lit("T08:00:00Z</updated></entry></feed>"))
+    rss = F.concat(F.lit("<rss><channel><link>https://channel</link><item><title>"), title, F.lit("</title>"), other, F.lit("<link>"), url, F.lit("</link><description>"), F.when(n % 2 == 1, text).otherwise("short"), F.lit("</description><pubDate>"), _day_text("doc_id", "d MMM yyyy"), F.lit(" 08:00:00 +0000</pubDate></item></channel></rss>"))
+    body = F.when(n % 2 == 0, atom).otherwise(rss)
+    return read(s, d, "documents").select("doc_id", F.col("lang").alias("source_name"), F.when(n % 13 == 5, F.substring_index(body, "</title>", 1)).otherwise(body).alias("body"))
+
+
 def feed_parse(s, d):
-    """Documents wrapped as RSS and Atom payloads, and parsed again."""
-    day = F.date_format(F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("doc_id") % 28).cast("int")), "yyyy-MM-dd")
-    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    title = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("Title "), F.col("doc_id").cast("string")))
-    url = F.concat(F.lit("https://x/"), F.col("doc_id").cast("string"))
-    atom = F.concat(F.lit("<feed><entry><title>"), title, F.lit('</title><link href="'), url, F.lit('"/><summary>short</summary><content>'), text, F.lit("</content><updated>"), day, F.lit("T08:00:00Z</updated></entry></feed>"))
-    rss = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><description>"), text, F.lit("</description><pubDate>"), F.date_format(F.to_date(day), "d MMM yyyy"), F.lit(" 08:00:00 +0000</pubDate></item></channel></rss>"))
-    even = F.col("doc_id") % 2 == 0
-    payloads = read(s, d, "documents").select(F.col("lang").alias("source_name"), F.when(even, "atom").otherwise("rss").alias("format"), F.when(even, atom).otherwise(rss).alias("body"))
-    return landing.parse_feeds(payloads, AS_OF).select("source_name", "title", "url", F.length("text").alias("n_chars"), F.col("published").cast("date").alias("date"))
+    return landing.parse_feeds(_payloads(s, d), AS_OF).select("source_name", "title", "url", F.length("text").alias("n_chars"), F.col("published").cast("date").alias("date"))
 
 
 def page_json_items(s, d):
@@ -208,6 +215,7 @@ QUERIES = {
     "page_date": page_date,
     "page_json_items": page_json_items,
     "feed_parse": feed_parse,
+    "feed_broken": lambda s, d: landing.broken_feeds(_payloads(s, d)).select("doc_id"),
     "clean_dates": lambda s, d: _raw_dates(s, d).select("id", dates.clean_date(F.col("raw")).alias("clean")),
     "parse_dates": parse_dates,
     "strict_dates": lambda s, d: _raw_dates(s, d).select("id", dates.strict_date(F.col("raw"), TODAY).alias("date"), dates.strict_date(F.col("raw"), None).alias("unranged"), dates.strict_date(F.when(F.col("id") % 4 == 0, F.date_format("d", "dd/MM/yyyy")).otherwise(F.col("raw")), None, dates.UNRANGED_SLASHED).alias("slashed")),
@@ -260,7 +268,8 @@ SELECT source, fetched, new, skipped, known, CAST(errors AS BIGINT) AS errors FR
     "page_elements": "SELECT page_id, lower(name) AS name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(a|article|br|h1|li|p|script|title)[\\s>]', 1)) AS name FROM pages) GROUP BY ALL",
     "page_date": "SELECT page_id, CASE WHEN page_id % 11 <> 4 THEN CAST(DATE '2024-01-01' + CAST(page_id % 28 AS INT) AS DATE) END AS date FROM pages",
     "page_json_items": "SELECT page_id, 't' || CAST(i AS VARCHAR) AS title, url || '#' || CAST(i AS VARCHAR) AS url, '2024-01-01' AS date FROM (SELECT page_id, url, unnest(generate_series(0, page_id % 3)) AS i FROM pages)",
-    "feed_parse": "SELECT lang AS source_name, 'Title ' || CAST(doc_id AS VARCHAR) AS title, 'https://x/' || CAST(doc_id AS VARCHAR) AS url, CAST(least(5000, length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS INT) AS n_chars, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS DATE) AS date FROM documents WHERE doc_id % 11 <> 0",
+    "feed_parse": "SELECT lang AS source_name, 'Title ' || CAST(doc_id AS VARCHAR) AS title, 'https://x/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '?a=1&b=2' ELSE '' END AS url, CAST(least(5000, length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS INT) AS n_chars, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS DATE) AS date FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 5",
+    "feed_broken": "SELECT doc_id FROM documents WHERE doc_id % 13 = 5",
     "clean_dates": f"""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 2 THEN {_MONTH} || ' ' || {_DAY} || ', ' || CAST(year(o_orderdate) AS VARCHAR)
   WHEN 3 THEN {_MONTH} || ' ' || {_DAY} || ' ' || CAST(year(o_orderdate) AS VARCHAR) WHEN 4 THEN {_DAY} || ' ' || substring({_MONTH}, 1, 3) || ' ' || CAST(year(o_orderdate) AS VARCHAR) || ' 09:30:00 +0000' ELSE 'no date here' END AS clean FROM orders""",
     "parse_dates": f"SELECT o_orderkey AS id, CASE WHEN CASE CAST(floor(o_orderkey / 6) AS BIGINT) % 4 WHEN 0 THEN o_orderkey % 6 IN (0, 1) WHEN 1 THEN o_orderkey % 6 IN (0, 1, 2, 3) WHEN 2 THEN o_orderkey % 6 IN (2, 4) ELSE false END THEN CAST(o_orderdate AS DATE) ELSE {_T} END AS date FROM orders",
