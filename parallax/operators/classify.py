@@ -65,10 +65,12 @@ def parse_responses(df: DataFrame, schema: str, column: str = "raw") -> DataFram
 
 
 def flat_strings(value: Column, path: str) -> Column:
-    """Whether the JSON value at path is absent, null, or an array of strings only."""
+    """Whether the JSON value at path is absent, null, or an array of strings only, without nulls."""
     v = F.variant_get(F.try_parse_json(value), path, "variant")
     kind = F.schema_of_variant(v)
-    return v.isNull() | kind.isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    listed = kind.isin("ARRAY<STRING>", "ARRAY<VOID>")  # an array of nulls alone is one of VOID, too
+    full = ~F.exists(F.when(listed, F.try_variant_get(v, "$", "array<string>")), lambda x: x.isNull())
+    return v.isNull() | (kind == "VOID") | (listed & F.coalesce(full, F.lit(False)))
 
 
 def response_shape(value: Column, fields: tuple[str, ...] = ("actors", "explicit_formats")) -> Column:
@@ -83,9 +85,13 @@ def build_positions(topics: Column, positions: Column) -> tuple[Column, Column]:
     return F.when(got, F.map_from_entries(F.transform(needed, lambda t: F.struct(t, F.trim(positions[t]))))), F.when(got, "ok").otherwise("error")
 
 
-def clean_stance(raw: Column) -> tuple[Column, Column]:
-    """(score, error): a whole number from -2 to 2; null for what is none; any other whole number, however large, is an error."""
+def clean_stance(raw: Column, is_number: Column | None = None) -> tuple[Column, Column]:
+    """(score, error): a whole number from -2 to 2; null for what is none; any other whole number, however large, is an error. A value
+    that the response gives as a number, not as a text (is_number), loses its fraction first."""
     text = strip(raw)
+    if is_number is not None:
+        cut = F.regexp_replace(text, r"^([+-]?[0-9]+)\.[0-9]*$", "$1")
+        text = F.when(F.coalesce(is_number, F.lit(False)), cut).otherwise(text)
     number = text.try_cast("decimal(38,0)")
     whole = text.rlike(r"^[+-]?[0-9]+$")
     fits = F.coalesce(whole & number.between(-2, 2), F.lit(False))

@@ -71,8 +71,10 @@ def overall_weekly(weekly: DataFrame) -> DataFrame:
 
 
 def score_density(rows: DataFrame, today: dt.date, topics: list[str], actors: list[str], window_days: int = 7, weeks: int = 12) -> DataFrame:
-    """Counts by {ALL, actor} x {overall, topic} x score x bin, bins of window_days ending today; every cell, zeros too."""
+    """Counts by {ALL, actor} x {overall, topic} x score x bin, bins of window_days ending today; every cell, zeros too. Rows of actors,
+    topics and scores that aren't listed count nowhere."""
     spark = rows.sparkSession
+    rows = rows.filter(F.col("actor").isin(actors) & F.col("topic").isin(topics) & F.col("score").between(-2, 2))
     age = F.datediff(F.lit(today), "date")
     inside = rows.filter((age >= 0) & (age < weeks * window_days)).withColumn("back", F.floor(age / window_days).cast("int"))
     counted = inside.cube("actor", "topic", "score", "back").agg(F.count("*").alias("n"), F.grouping_id().alias("gid")).filter("gid % 4 = 0").drop("gid")
@@ -80,7 +82,7 @@ def score_density(rows: DataFrame, today: dt.date, topics: list[str], actors: li
     cells = spark.createDataFrame([(a, t, s) for a in ["ALL", *actors] for t in ["overall", *topics] for s in range(-2, 3)], "actor string, topic string, score int")
     bins = rows.filter(age >= 0).agg(F.least(F.floor(F.max(age) / window_days) + 1, F.lit(weeks)).cast("int").alias("bins"))
     spine = cells.crossJoin(F.broadcast(bins)).withColumn("back", F.explode(F.expr("sequence(0, bins - 1)")))
-    full = spine.join(F.broadcast(counted), ["actor", "topic", "score", "back"], "left")  # at most 4 x 7 x 5 x weeks rows
+    full = spine.join(F.broadcast(counted), ["actor", "topic", "score", "back"], "left")  # a row for each listed cell at most
     return full.select("actor", "topic", "score", (F.col("bins") - 1 - F.col("back")).alias("bin"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -123,7 +125,7 @@ def weekly_counts(rows: DataFrame, as_of: dt.date, actors: list[str]) -> DataFra
 def pair_agreement(rows: DataFrame, as_of: dt.date, actors: list[str], days: int = 14) -> DataFrame:
     """For each pair of actors 100 * mean over shared topics of 1 - |difference of means| / 4; null without a shared topic."""
     spark = rows.sparkSession
-    means = actor_means(recent(rows, as_of, days), "topic")
+    means = actor_means(recent(rows.filter(F.col("actor").isin(actors)), as_of, days), "topic")
     a, b = (means.select("topic", F.col("actor").alias(f"actor_{x}"), F.col("mean").alias(f"mean_{x}")) for x in "ab")
     shared = a.join(b, "topic").filter("actor_a < actor_b").groupBy("actor_a", "actor_b").agg(F.avg(1 - F.abs(F.col("mean_a") - F.col("mean_b")) / 4).alias("agree"), F.count("*").alias("topics"))
     names = sorted(actors)

@@ -74,11 +74,11 @@ def parse_responses(s, d):
 
 
 def shape_check(s, d):
-    """Actors as an array of strings, of arrays, a text, or absent; explicit formats as numbers for some."""
+    """Actors as an array of strings, of arrays, a text, or absent; explicit formats as numbers, null, empty or with nulls in them for some."""
     c = read(s, d, "conversations").select("conv_id", "turn", "role")
     n = F.col("conv_id") % 4
     actors = F.when(n == 0, F.concat(F.lit('"actors": ["'), "role", F.lit('"], '))).when(n == 1, F.concat(F.lit('"actors": [["'), "role", F.lit('"]], '))).when(n == 2, F.concat(F.lit('"actors": "'), "role", F.lit('", '))).otherwise("")
-    formats = F.when(F.col("turn") % 3 == 0, '"explicit_formats": [1]').when(F.col("turn") % 3 == 1, '"explicit_formats": null').otherwise('"explicit_formats": ["x", "y"]')
+    formats = F.when(F.col("turn") % 3 == 0, '"explicit_formats": [1]').when(F.col("turn") % 3 == 1, '"explicit_formats": null').when(F.col("turn") % 12 == 2, '"explicit_formats": [null]').when(F.col("turn") % 12 == 5, '"explicit_formats": ["x", null]').when(F.col("turn") % 12 == 8, '"explicit_formats": []').otherwise('"explicit_formats": ["x", "y"]')
     return c.select("conv_id", "turn", classify.response_shape(F.concat(F.lit("{"), actors, formats, F.lit("}"))).alias("wrong"))
 
 
@@ -94,7 +94,8 @@ def clean_stance(s, d):
     t = statements(s, d)
     raw = F.when(F.col("k") % 8 == 0, "n/a").when(F.col("k") % 8 == 1, F.concat(F.col("score").cast("string"), F.lit(".5"))).when(F.col("k") % 8 == 2, F.when(F.col("k") % 16 == 2, "7").otherwise(F.lit("9" * 50))).otherwise(F.concat(F.lit(" "), F.col("score").cast("string")))
     score, error = classify.clean_stance(raw)
-    return t.select("event_id", score.alias("score"), error.alias("error"))
+    of_number, _ = classify.clean_stance(raw, F.lit(True))
+    return t.select("event_id", score.alias("score"), error.alias("error"), of_number.alias("of_number"))
 
 
 def clean_evidence(s, d):
@@ -167,10 +168,10 @@ SELECT e.event, coalesce(string_agg(a.actor, ',' ORDER BY CAST(substring(a.actor
     "pending_enrich": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id DESC LIMIT 50",
     "pending_stances": RELEVANT + "SELECT DISTINCT event FROM wanted WHERE (event + CAST(regexp_extract(topic, '([0-9]+)', 1) AS INT)) % 3 <> 0",
     "parse_responses": f"SELECT conv_id, turn, {_RESP} AS status, CASE WHEN conv_id % 5 <> 3 THEN CAST(turn AS INT) END AS score, CASE WHEN conv_id % 5 <> 3 THEN role END AS actor FROM conversations",
-    "shape_check": "SELECT conv_id, turn, CASE WHEN conv_id % 4 IN (1, 2) THEN 'actors' WHEN turn % 3 = 0 THEN 'explicit_formats' END AS wrong FROM conversations",
+    "shape_check": "SELECT conv_id, turn, CASE WHEN conv_id % 4 IN (1, 2) THEN 'actors' WHEN turn % 3 = 0 OR turn % 12 IN (2, 5) THEN 'explicit_formats' END AS wrong FROM conversations",
     "stance_report": f"WITH {RATINGS}, e AS (SELECT DISTINCT event FROM ratings WHERE NOT (score = 0 AND coalesce(evidence, '') = '')) SELECT CASE WHEN k % 10 = 4 THEN 'error' WHEN e.event IS NULL THEN 'empty' ELSE 'ok' END AS outcome, count(*) AS n FROM statements s LEFT JOIN e ON e.event = s.event_id GROUP BY 1",
     "positions_build": f"WITH {RATINGS} SELECT event_id, CASE WHEN k % 10 <> 0 THEN 'pos ' || CAST(k AS VARCHAR) END AS position, CASE WHEN k % 10 <> 0 THEN 'ok' ELSE 'error' END AS status FROM statements",
-    "clean_stance": f"WITH {RATINGS} SELECT event_id, CASE WHEN k % 8 > 2 THEN score END AS score, k % 8 = 2 AS error FROM statements",
+    "clean_stance": f"WITH {RATINGS} SELECT event_id, CASE WHEN k % 8 > 2 THEN score END AS score, k % 8 = 2 AS error, CASE WHEN k % 8 > 2 OR k % 8 = 1 THEN score END AS of_number FROM statements",
     "clean_evidence": f"""WITH {RATINGS} SELECT event, grouping_key AS grouping, CASE WHEN topic = 'error' OR evidence IS NULL OR evidence = 'back the goal of ' || topic THEN '' ELSE evidence END AS evidence FROM ratings""",
     "drop_blank_neutral": f"WITH {RATINGS} SELECT grouping_key AS grouping, topic, score, count(*) AS n FROM ratings WHERE NOT (score = 0 AND coalesce(evidence, '') = '') GROUP BY ALL",
     "merge_ratings": f"WITH {RATINGS} SELECT event, grouping_key AS grouping, topic, CASE WHEN event % 3 = 0 THEN 1 ELSE score END AS score, evidence, CASE WHEN event % 3 = 0 THEN 'v2' ELSE 'v1' END AS model FROM ratings",
