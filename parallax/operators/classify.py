@@ -24,16 +24,29 @@ def normalize_formats(raw: Column, keys: list[str]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(named, lambda f: f.isin(*keys))))
 
 
+def grouping_postings(groupings: DataFrame) -> DataFrame:
+    """(kind, value, grouping): by which actors, sources, topics and names an event may come to a grouping."""
+    listed = lambda kind, values: F.transform(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    every = F.concat(listed("actor", F.col("members")), listed("source", F.col("members")), listed("topic", F.col("tracked")), listed("format", F.array("grouping")))
+    return groupings.select("grouping", F.explode(every).alias("p")).select("p.kind", "p.value", "grouping")
+
+
 def grouping_relevance(tags: DataFrame, groupings: DataFrame) -> DataFrame:
-    """(event, grouping) for each grouping an event is relevant to.
+    """tags and groupings side by side, for each grouping an event is relevant to; an event has one row of tags.
 
-    Named as a format, or all its members present; or two members and a tracked topic; or a member as source and a tracked topic.
+    Named as a format, or all its members present; or two members and a tracked topic; or a member as source and a tracked topic. What an
+    event says is looked up in the groupings' postings, so that it meets those groupings alone that share something with it, however many
+    there are.
     """
-    x = tags.crossJoin(groupings)  # a few dozen configured groupings
-    members = F.size(F.array_intersect("actors", "members"))
-    topic = F.arrays_overlap("topics", F.col("tracked"))
-    explicit = F.array_contains("formats", F.col("grouping")) | ((F.size("members") > 0) & (members == F.size("members")))
-    return x.filter(explicit | ((members >= 2) & topic) | (F.array_contains("members", F.col("source_country")) & topic))
+    listed = lambda kind, values: F.transform(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    every = F.concat(listed("actor", F.col("actors")), listed("source", F.array("source_country")), listed("topic", F.col("topics")), listed("format", F.col("formats")))
+    said = tags.select("event", F.explode(every).alias("p")).select("event", "p.kind", "p.value")
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    met = said.join(grouping_postings(groupings), ["kind", "value"]).groupBy("event", "grouping").agg(*[of(k).alias(f"_{k}") for k in ("actor", "source", "topic", "format")])
+    sized = met.join(groupings.select("grouping", F.size("members").alias("_size")), "grouping")
+    holds = (F.col("_format") > 0) | ((F.col("_size") > 0) & (F.col("_actor") == F.col("_size"))) | ((F.col("_topic") > 0) & ((F.col("_actor") >= 2) | (F.col("_source") > 0)))
+    found = sized.filter(holds).select("event", "grouping")
+    return tags.join(found, "event").join(groupings, "grouping").select(*tags.columns, *groupings.columns)
 
 
 def backfill_flags(tags: DataFrame, groupings: DataFrame) -> DataFrame:
