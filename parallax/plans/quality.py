@@ -175,12 +175,14 @@ def signups(s, d):
 
 
 def quote_verbatim(s, d):
-    """For each statement in a grouping whether its evidence is in its document's text, white space and case aside."""
-    from parallax.operators.evaluate import squeezed
+    """Three quotes of each document, some turned round, some said to be another document's: whether each is in its text, white space and
+    case aside."""
+    from parallax.operators.evaluate import quotes_in_texts
 
-    r = read(s, d, "documents").select("doc_id", "text", F.lower(F.substring("text", 5, 25)).alias("quote"))
-    shuffled = F.when(F.col("doc_id") % 3 == 0, F.reverse("quote")).otherwise(F.col("quote"))
-    return r.select("doc_id", F.contains(squeezed(F.col("text")), squeezed(shuffled)).alias("verbatim"))
+    r = read(s, d, "documents").select("doc_id", "text")
+    cut = lambda at: F.lower(F.substring("text", at, 25))
+    quotes = r.select((F.col("doc_id") - F.col("doc_id") % 2).alias("doc_id"), F.explode(F.array(F.when(F.col("doc_id") % 3 == 0, F.reverse(cut(5))).otherwise(cut(5)), cut(40), cut(5))).alias("quote"))
+    return quotes_in_texts(quotes, r, "doc_id")
 
 
 QUERIES = {
@@ -268,6 +270,6 @@ FROM (SELECT DISTINCT era FROM y UNION ALL SELECT 'era9') e LEFT JOIN a ON a.era
     "vote_bursts": "SELECT CAST(user_id AS VARCHAR) AS ip, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
     "vote_reset": f"WITH RECURSIVE {VOTES} SELECT * FROM tally WHERE slug <> 'view'",
     "signups": "SELECT event_type AS slug, 'user' || CAST(user_id % 50 AS VARCHAR) || '@x.org' AS email, max(ts) AS ts FROM events WHERE event_id % 4 <> 0 GROUP BY ALL",
-    "quote_verbatim": """WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS t, CASE WHEN doc_id % 3 = 0 THEN reverse(lower(substring(text, 5, 25))) ELSE lower(substring(text, 5, 25)) END AS q FROM documents)
-SELECT doc_id, contains(t, lower(trim(regexp_replace(q, '[ \\t\\n\\r]+', ' ', 'g')))) AS verbatim FROM n""",
+    "quote_verbatim": """WITH q AS (SELECT DISTINCT doc_id - doc_id % 2 AS doc_id, unnest([CASE WHEN doc_id % 3 = 0 THEN reverse(lower(substring(text, 5, 25))) ELSE lower(substring(text, 5, 25)) END, lower(substring(text, 40, 25)), lower(substring(text, 5, 25))]) AS quote FROM documents)
+SELECT doc_id, quote, contains(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))), lower(trim(regexp_replace(quote, '[ \\t\\n\\r]+', ' ', 'g')))) AS verbatim FROM q JOIN documents USING (doc_id)""",
 }
