@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parallax.functions.columns import agreement_color, fmt_stance, half_up, json_string
 from parallax.operators.stance import actor_means, spread_of_means
@@ -80,10 +85,36 @@ def convergence(items: DataFrame) -> DataFrame:
 def cluster_keys(items: DataFrame, path: str = "path") -> DataFrame:
     """(topic, anchor, cluster_key): 12 hex digits of the sha256 of the JSON array of the sorted paths.
 
-    The key is that of one text, so the paths of a cluster, which is one topic's within a window, are gathered."""
-    g = items.filter(F.col(path) != "").groupBy("topic", "anchor").agg(F.array_sort(F.collect_list(path)).alias("paths"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("paths", json_string), ", "), F.lit("]"))
-    return g.select("topic", "anchor", F.substring(F.sha2(text, 256), 1, 12).alias("cluster_key"))
+    A task reads its clusters' paths in order and feeds the digest with them, batch by batch, so that it holds one digest and one batch,
+    whatever the number of paths.
+    """
+    rows = items.filter(F.col(path) != "").select("topic", "anchor", F.col(path).alias("path"), json_string(F.col(path)).alias("text"))
+    shape = StructType([rows.schema["topic"], rows.schema["anchor"], StructField("cluster_key", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate((*kinds, pa.string()))], shape.names)
+
+        for batch in batches:
+            kinds = [batch.column(i).type for i in (0, 1)]
+            done = []
+            for topic, anchor, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                if digest is None or now != (topic, anchor):
+                    if digest is not None:
+                        digest.update(b"]")
+                        done.append((*now, digest.hexdigest()[:12]))
+                    now, digest = (topic, anchor), hashlib.sha256(b"[")
+                else:
+                    digest.update(b", ")
+                digest.update(text.encode())
+            yield out(done)
+        if digest is not None:
+            digest.update(b"]")
+            yield out([(*now, digest.hexdigest()[:12])])
+
+    return rows.repartition("topic", "anchor").sortWithinPartitions("topic", "anchor", "path").mapInArrow(run, shape)
 
 
 def representative_positions(items: DataFrame) -> DataFrame:

@@ -267,3 +267,23 @@ def test_queries_read_whole_pages(spark, tmp_path):
         assert all(r.n > len(html) for r in plans.page_json_items(spark, str(tmp_path)).collect() for i, _, html in rows if i == r.page_id)
     finally:
         plans.landing.listing_items = whole
+
+
+def test_relevance_by_postings_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    names = [f"n{i}" for i in range(30)]
+    groupings = [(f"g{i}", rng.sample(names, rng.randint(0, 5)), rng.sample(["t1", "t2", "t3"], rng.randint(0, 2))) for i in range(60)]
+    events = [(k, rng.choice([None, *names]), rng.sample(names, rng.randint(0, 6)), rng.choice([None, [], [f"g{rng.randint(0, 59)}"]]), rng.choice([None, ["t1"], ["t2", "t3"]])) for k in range(200)]
+
+    def related(source, actors, formats, topics, name, members, tracked):
+        met, topic = len(set(actors) & set(members)), bool(set(topics or []) & set(tracked))
+        return name in (formats or []) or bool(members) and met == len(members) or met >= 2 and topic or source in members and topic
+
+    want = {(k, g) for k, s, a, f, t in events for g, m, x in groupings if related(s, a, f, t, g, m, x)}
+    tags = spark.createDataFrame(events, "event long, source_country string, actors array<string>, formats array<string>, topics array<string>")
+    found = classify.grouping_relevance(tags, spark.createDataFrame(groupings, "grouping string, members array<string>, tracked array<string>"))
+    rows = found.collect()
+    assert {(r.event, r.grouping) for r in rows} == want and len(rows) == len(want)
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()

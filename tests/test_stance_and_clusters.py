@@ -175,3 +175,27 @@ def test_stream_tally_over_micro_batches(spark, tmp_path):
     items.write.parquet(f"{tmp_path}/items")
     stream = streams.read_stream(spark, f"{tmp_path}/items")
     assert streams.run_to_table(streams.stream_landing(stream, "1 hour"), str(tmp_path)).count() == 2
+
+
+def test_cluster_key_of_many_paths(spark):
+
+    paths = [f"p/{i}/é\"{'x' * (i % 7)}" for i in range(5000)]
+    rows = [("t", dt.date(2026, 1, 1), p) for p in paths] + [("t", dt.date(2026, 1, 8), "only"), ("t", dt.date(2026, 1, 9), ""), (None, None, "z"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "topic string, anchor date, path string").repartition(5)
+    got = {(r.topic, r.anchor): r.cluster_key for r in cluster.cluster_keys(df).collect()}
+    key = lambda ps: hashlib.sha256(json.dumps(sorted(ps)).encode()).hexdigest()[:12]
+    assert got == {("t", dt.date(2026, 1, 1)): key(paths), ("t", dt.date(2026, 1, 8)): key(["only"]), (None, None): key(["y", "z"])}
+    assert cluster.cluster_keys(df.limit(0)).count() == 0
+
+
+def test_quotes_in_texts_by_pairs(spark):
+
+    from parallax.operators.evaluate import quotes_in_texts
+
+    rng = random.Random(3)
+    texts = {k: " ".join(rng.choice(["ab", "A", "b\n", "ba", "é"]) for _ in range(40)) for k in "pqr"}
+    quotes = [(rng.choice("pqrs"), " ".join(rng.choice(["ab", "a", "B", "ba"]) for _ in range(rng.randint(0, 4)))) for _ in range(300)]
+    flat = lambda x: " ".join(x.split()).lower()
+    want = {(k, q): k in texts and flat(q) in flat(texts[k]) for k, q in quotes}
+    got = quotes_in_texts(spark.createDataFrame(quotes, "case string, quote string"), spark.createDataFrame(list(texts.items()), "case string, text string")).collect()
+    assert {(r["case"], r.quote): r.verbatim for r in got} == want and len(got) == len(want)
