@@ -40,6 +40,22 @@ def actor_means(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "actor").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
 
 
+def windowed_means(rows: DataFrame, today: dt.date, window_days: int = 14) -> DataFrame:
+    """(topic, week, actor, mean, n) of the rows in each trailing window that ends on a Monday, as actor_means(to_weeks(...)) has them.
+
+    Rows are summed up by day first; a range frame over the days of a topic and actor then has each window's sums, so that the cost doesn't
+    grow with the window, and no more than a row for each day of a topic and actor is sorted.
+    """
+    keys = ["topic", "actor"]
+    days = rows.groupBy(*keys, "date").agg(F.sum("score").alias("s"), F.count("score").alias("c"), F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    marks = days.select(*keys).distinct().crossJoin(F.broadcast(week_spine(rows, today))).select(*keys, F.col("week").alias("date"), none.alias("s"), none.alias("c"), none.alias("n"), F.lit(True).alias("mark"))  # weeks are few
+    all_ = days.withColumn("mark", F.lit(False)).unionByName(marks).withColumn("day", F.unix_date("date"))
+    trailing = Window.partitionBy(*keys).orderBy("day").rangeBetween(-window_days, 0)
+    summed = all_.select(*keys, F.col("date").alias("week"), "mark", *[F.sum(c).over(trailing).alias(c) for c in "scn"]).filter("mark and n > 0")
+    return summed.select("topic", "week", "actor", (F.col("s") / F.when(F.col("c") > 0, F.col("c"))).alias("mean"), "n")
+
+
 def spread_of_means(means: DataFrame, *keys: str) -> DataFrame:
     """Where two actors or more are scored: the unweighted mean of their means, the band, the spread and the label."""
     g = means.groupBy(*keys).agg(F.count("*").alias("actors"), F.avg("mean").alias("overall_raw"), F.min("mean").alias("lo"), F.max("mean").alias("hi"), F.sum("n").alias("n_events"), F.sort_array(F.collect_list(F.struct("actor", half_up(F.col("mean"), 1).alias("mean")))).alias("per_actor"))
@@ -50,7 +66,7 @@ def spread_of_means(means: DataFrame, *keys: str) -> DataFrame:
 def topic_weekly(rows: DataFrame, today: dt.date, window_days: int = 14) -> DataFrame:
     """Weekly agreement of a topic over a trailing window; weeks without two scored actors are kept as nulls; topics without rows are absent."""
     rows = rows.filter(F.col("date") <= F.lit(today))
-    scored = spread_of_means(actor_means(to_weeks(rows, today, window_days), "topic", "week"), "topic", "week")
+    scored = spread_of_means(windowed_means(rows, today, window_days), "topic", "week")
     scored = scored.select(
         "topic", "week", "label", half_up(stance_norm(F.col("overall_raw")), 3).alias("overall"), half_up(F.col("overall_raw"), 2).alias("stance_avg"),
         half_up(stance_norm(F.col("lo")), 3).alias("band_lo"), half_up(stance_norm(F.col("hi")), 3).alias("band_hi"),

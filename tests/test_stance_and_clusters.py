@@ -199,3 +199,14 @@ def test_quotes_in_texts_by_pairs(spark):
     want = {(k, q): k in texts and flat(q) in flat(texts[k]) for k, q in quotes}
     got = quotes_in_texts(spark.createDataFrame(quotes, "case string, quote string"), spark.createDataFrame(list(texts.items()), "case string, text string")).collect()
     assert {(r["case"], r.quote): r.verbatim for r in got} == want and len(got) == len(want)
+
+
+def test_windowed_means_equal_rows_by_weeks(spark):
+    rng = random.Random(11)
+    today = dt.date(2026, 7, 1)
+    rows = [(today - dt.timedelta(rng.randint(0, 200)), rng.choice("ABC"), rng.choice("xy"), rng.choice([-2, -1, 0, 1, 2, None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "date date, actor string, topic string, score int")
+    plain = lambda d: sorted((r.topic, r.week, r.actor, r.mean, r.n) for r in d.select("topic", "week", "actor", "mean", "n").collect())
+    for days in (0, 6, 14, 90):
+        assert plain(stance.windowed_means(df, today, days).fillna(9.5, "mean")) == plain(stance.actor_means(stance.to_weeks(df, today, days), "topic", "week").fillna(9.5, "mean"))
+    assert stance.windowed_means(df.limit(0), today).count() == 0
