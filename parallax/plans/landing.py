@@ -106,6 +106,15 @@ def sink_twice(s, d):
     return s.read.schema(new.schema).parquet(path).select(*new.columns)
 
 
+def counted_landing(s, d):
+    """Dated items written to the shared folder, and counted as they are."""
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", "") or s.conf.get("spark.sql.warehouse.dir")
+    items = _day(raw_items(s, d)).select("doc_id", "source_name", "date")
+    return landing.write_counted(items, F.col("date").isNotNull(), f"{base.rstrip('/')}/counted-{uuid.uuid4().hex}", ["de", "en", "es", "fr", "none"])
+
+
 def url_date(s, d):
     o = read(s, d, "orders")
     url = F.concat(F.lit("https://x/en/"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("news/")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd/")), F.col("o_orderkey").cast("string"))
@@ -205,6 +214,7 @@ QUERIES = {
     "url_filter": lambda s, d: landing.filter_article_urls(read(s, d, "pages").select("page_id", "url"), "http://", r"/(fr|de)/[0-9]+").select("page_id"),
     "since_filter": lambda s, d: landing.since(_day(raw_items(s, d)), dt.date(2024, 1, 1)).select("doc_id", "date"),
     "dateless_stats": lambda s, d: landing.dateless(_day(raw_items(s, d)), "source_name"),
+    "counted_landing": counted_landing,
     "channel_fallback": channel_fallback,
     "collection_tier": collection_tier,
     "ingest_run_log": lambda s, d: landing.run_summary(_runs(s, d)),
@@ -257,6 +267,7 @@ WHERE NOT EXISTS (SELECT 1 FROM keyed s WHERE s.doc_id % 3 = 0 AND s.source_name
     "url_filter": "SELECT page_id FROM pages WHERE starts_with(url, 'http://') AND regexp_matches(url, '/(fr|de)/[0-9]+')",
     "since_filter": f"WITH {RAW_ITEMS}, x AS (SELECT doc_id, {DAYED} FROM raw_items) SELECT * FROM x WHERE date >= DATE '2024-01-01'",
     "dateless_stats": f"WITH {RAW_ITEMS}, x AS (SELECT source_name, {DAYED} FROM raw_items) SELECT source_name, count(date) AS kept, count(*) FILTER (date IS NULL) AS dropped FROM x GROUP BY source_name",
+    "counted_landing": f"WITH {RAW_ITEMS}, x AS (SELECT source_name, {DAYED} FROM raw_items), n AS (SELECT unnest(['de', 'en', 'es', 'fr', 'none', 'TOTAL']) AS name) SELECT name AS source_name, count(source_name) AS fetched, count(date) AS new, count(source_name) - count(date) AS skipped FROM n LEFT JOIN x ON name IN (source_name, 'TOTAL') GROUP BY name",
     "channel_fallback": "SELECT source AS source_name, doc_id, CAST(CASE WHEN source IN ('src0', 'src1', 'src2') THEN 1 ELSE 2 END AS INT) AS channel FROM documents",
     "collection_tier": "SELECT doc_id, CASE WHEN CAST(substring(source, 4) AS INT) >= 12 THEN NULL WHEN ['de', 'en', 'es', 'fr'][CAST(substring(source, 4) AS INT) % 4 + 1] = lang THEN 'native' ELSE 'fallback' END AS collection FROM documents",
     "ingest_run_log": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS source, count(*) AS fetched, count(*) FILTER (event_type = 'click') AS new, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'signup') AS known,
