@@ -170,7 +170,22 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, id_col: str =
     members = families.join(sizes, "component").join(nodes, "node")
     members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = members.select(F.coalesce("doc", F.lit(NO_ID)).alias("id"), "key", "node", "component", "blocks", "mine", "n", "sig")
-    texts = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("id"), named(text_col).cast("string").alias("text")).join(wanted, "id")
+    rows = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("id"), named(text_col).cast("string").alias("text"))
+    several = wanted.groupBy("id").count().filter("count > 1").select("id")
+    if several.isEmpty():
+        texts = rows.join(wanted, "id")
+    else:
+        # Ids with several texts, null ones above all: a text joins by its key, too, and copies go once, so that none meets all the others.
+        several = staged(several, "several")
+
+        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shingles(t, size) for t in text_bytes(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(s) if len(s) else None for s in found], pa.binary())], ["id", "text", "key"])
+
+        keyed = rows.join(several, "id", "left_semi").mapInArrow(key, "id long, text string, key binary").filter("key is not null").dropDuplicates(["id", "key"])
+        plain = rows.join(several, "id", "left_anti").join(wanted, "id")
+        texts = plain.unionByName(keyed.join(wanted, ["id", "key"]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text of each node; an id's other texts drop out by their key."""

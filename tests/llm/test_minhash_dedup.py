@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from parallax.llm import minhash_dedup
-from parallax.llm.minhash_dedup import near_duplicates, op7_minhash_dedup
-from parallax.llm.shingles import word_hashes
+from parallax.llm.minhash_dedup import by_key, near_duplicates, op7_minhash_dedup, set_key
+from parallax.llm.shingles import shingles, similar, word_hashes
 
 
 def plain_set(text, size):
@@ -95,3 +95,26 @@ def test_sql_gives_the_same_rows(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.execute(minhash_dedup.ORACLE["op7_minhash_dedup"]).fetchall()
     assert sorted(want) == sorted(tuple(r) for r in op7_minhash_dedup(spark, sf).collect())
+
+
+def test_a_third_of_ids_null_and_one_id_with_many_texts(spark):
+    rng = random.Random(12)
+    base = [" ".join(rng.choice("abcdefghij") for _ in range(60)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 9])):
+            words[rng.randrange(60)] = rng.choice("klmn")
+        rows.append((None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    described, classes = near_duplicates(df, 2)
+    found = {(r.doc, bytes(r.key)): r.group for r in by_key(described, classes).collect()}
+    sets = [shingles(t.encode(), 2) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(sets[i], sets[j], 80):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    mine = [found[d, set_key(s)] for (d, _), s in zip(rows, sets, strict=True)]
+    assert all((mine[i] == mine[j]) == (group[i] == group[j]) for i in range(len(rows)) for j in range(i))
