@@ -8,7 +8,7 @@ it begins at a sequence's start and nothing can, how often it occurs. The three
 follow from how many n-grams have counts of one to four. What they take away goes to the next lower order, in the end to an even chance.
 
 For each order there is one sorted array of keys, with the n-gram's own share of the probability and, as a context, the weight of
-what lies below. A look-up is a binary search.
+what lies below. A look-up begins where the key's first bits say.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import mix
+from .common import staged
+from .hash_array import HashArray
+from .shingles import BASE, INVERSE, mix, powers
 from .word_index import sums
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -34,8 +36,17 @@ def name_code(name: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little"))
 
 
-def word_code(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def word_codes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+    lists = words.cast(pa.large_binary())
+    ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+    if not len(lists):
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(lists.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    at = ends - ends[0]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, max(1, len(raw)))[: len(raw)], out=total[1:])
+    return mix((total[at[1:]] - total[at[:-1]]) * powers(INVERSE, len(raw) + 1)[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
 def padded(codes: np.ndarray, begins: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,18 +99,16 @@ def ddl_of(order: int) -> str:
 
 
 class NgramTables:
-    """Per order: sorted keys, the n-grams' own shares, and as contexts the weights of the lower order; `even` is the lowest chance."""
+    """Per order: sorted keys, the n-grams' own shares, and as contexts the weights of the lower order; for each model the lowest chance
+    and its weight."""
 
-    def __init__(self, order: int, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], even: dict[int, float]):
-        self.order, self.tables, self.even = order, tables, even
+    def __init__(self, order: int, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], even: dict[int, float], weight: dict[int, float]):
+        self.order, self.tables, self.even, self.weight = order, tables, even, weight
+        self.keys = [HashArray(keys) for keys, _, _ in tables]
 
     def find(self, order: int, keys: np.ndarray) -> np.ndarray:
         """The places of keys of an order (1 first), -1 where there is none."""
-        own = self.tables[order - 1][0]
-        if not len(own):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        return np.where(own[at] == keys, at, -1)
+        return self.keys[order - 1].find(keys)
 
     def log_probabilities(self, codes: np.ndarray, begins: np.ndarray, model: np.uint64) -> np.ndarray:
         """Natural logarithm of each token's probability in its sequence."""
@@ -107,24 +116,18 @@ class NgramTables:
         keys = chain(code, model, self.order)
         at = np.flatnonzero(token)
         found = [self.find(i, keys[i - 1]) for i in range(1, self.order)] + [None]
-        root = self.tables[0]
-        p = np.full(len(at), self.even.get(int(model), 1e-9))
+        p = np.full(len(at), self.even.get(int(model), 1e-9) * self.weight.get(int(model), 1.0))
         for i in range(1, self.order + 1):
-            _, share, _ = self.tables[i - 1]
+            share = self.tables[i - 1][1]
             here = found[i - 1][at] if i < self.order else self.find(i, keys[-1][at])
-            if i == 1:
-                below = np.full(len(at), self._root_weight(model, root))
-            else:
+            if i > 1:
                 context = found[i - 2][at - 1]
-                below = np.where(context >= 0, self.tables[i - 2][2][context], np.float32(1)) if len(self.tables[i - 2][2]) else np.ones(len(at))
-            own = np.where(here >= 0, share[here], np.float32(0)) if len(share) else np.zeros(len(at))
-            p = own + below * p
+                lower = self.tables[i - 2][2]
+                p = p * np.where(context >= 0, lower[context], np.float32(1)) if len(lower) else p
+            if len(share):
+                p = p + np.where(here >= 0, share[here], np.float32(0))
         return np.log(np.maximum(p, 1e-30))
 
-    def _root_weight(self, model: np.uint64, root: tuple) -> float:
-        at = self.find(1, np.array([mix(np.array([model]))[0]], np.uint64))[0]
-        return float(root[2][at]) if at >= 0 else 1.0
-
     def sequence_sums(self, codes: np.ndarray, begins: np.ndarray, model: np.uint64) -> np.ndarray:
         return sums(self.log_probabilities(codes, begins, model), begins)
 
@@ -137,9 +140,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return max(0.1, 1 - 2 * y * n2 / n1), max(0.2, 2 - 3 * y * n3 / n2), max(0.3, 3 - 4 * y * n4 / n3)
 
 
-def count_ngrams(rows: DataFrame, order: int, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> NgramTables:
+def count_ngrams(rows: DataFrame, order: int, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], least: int = 1) -> NgramTables:
     """The tables from what make()(batch) gives by ngram_rows for the batches of rows. What comes to the driver are the distinct n-grams of
-    rows, so that these must be bounded."""
+    rows, so that these must be bounded. N-grams of the highest order seen fewer than `least` times are counted, but not kept: their share
+    goes to the lower orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -148,54 +152,48 @@ def count_ngrams(rows: DataFrame, order: int, make: Callable[[], Callable[[pa.Re
                 yield from step(batch)
 
     others = [c for c in names_of(order) if c not in ("model", f"k{order}", "n")]
-    top = rows.mapInArrow(run, ddl_of(order)).groupBy("model", f"k{order}").agg(*[F.first(c).alias(c) for c in others], F.sum("n").alias("n")).persist()
-    levels = []
+    level = rows.mapInArrow(run, ddl_of(order)).groupBy("model", f"k{order}").agg(*[F.first(c).alias(c) for c in others], F.sum("n").alias("n"))
+    top = level = level.withColumn("adjusted", F.col("n")).persist()
+    shares, weights = {}, {}
+    even: dict[int, float] = {}
     for i in range(order, 0, -1):
-        level = top if i == order else _lower(top, i)
-        context = F.col(f"c{i}") if i > 1 else F.lit(None).cast("long")
-        levels.append(level.select("model", F.col(f"k{i}").alias("key"), context.alias("context"), "n").toArrow())
+        context = F.col(f"c{i}") if i > 1 else F.col("model")
+        shares[i], weights[i], sizes = _shares(level.select("model", F.col(f"k{i}").alias("key"), context.alias("context"), F.col("adjusted").alias("n")), least if i == order > 1 else 1)
+        even = {np.uint64(m & (1 << 64) - 1).item(): 1.0 / (n + 1) for m, n in sizes.items()}
+        if i > 1:
+            kept = [f"k{k}" for k in range(1, i - 1)] + [f"c{k}" for k in range(2, i)] + ["free"]
+            # Before a sequence's first tokens nothing stands: such an n-gram counts as often as it occurs.
+            adjusted = F.when(F.first("free") < i - 1, F.sum("n")).otherwise(F.count("*"))
+            level = level.groupBy("model", f"k{i - 1}").agg(*[F.first(c).alias(c) for c in kept], F.sum("n").alias("n"), adjusted.alias("adjusted"))
+            level = staged(level, "ngrams")
     top.unpersist()
-    return tables_of(order, levels[::-1])
-
-
-def _lower(top: DataFrame, i: int) -> DataFrame:
-    """N-grams of order i: counted over the distinct ones of order i + 1."""
-    longer = top.groupBy("model", f"k{i + 1}").agg(*[F.first(c).alias(c) for c in ([f"k{i}", f"c{i}"] if i > 1 else [f"k{i}"])], F.first("free").alias("free"), F.sum("n").alias("n"))
-    adjusted = F.when(F.first("free") < i, F.sum("n")).otherwise(F.count("*"))
-    return longer.groupBy("model", f"k{i}").agg(*([F.first(f"c{i}").alias(f"c{i}")] if i > 1 else []), adjusted.alias("n"))
-
-
-def tables_of(order: int, levels: list[pa.Table]) -> NgramTables:
-    """levels, lowest first: (model, key, context, n)."""
-    shares: list[tuple[np.ndarray, np.ndarray]] = []
-    weights: list[tuple[np.ndarray, np.ndarray]] = []
-    even: dict[int, float] = {}
-    for i, level in enumerate(levels, 1):
-        model, key, n = (level[c].to_numpy() for c in ("model", "key", "n"))
-        model, key = model.view(np.uint64), key.view(np.uint64)
-        context = level["context"].to_numpy().view(np.uint64) if i > 1 else mix(model)
-        cut = np.zeros((len(n), 1))[:, 0]
-        for m in np.unique(model):
-            mine = model == m
-            d = discounts(*(int((n[mine] == c).sum()) for c in (1, 2, 3, 4)))
-            cut[mine] = np.where(n[mine] >= 3, d[2], np.where(n[mine] == 2, d[1], d[0]))
-            if i == 1:
-                even[int(m)] = 1.0 / (int(mine.sum()) + 1)
-        head, at = np.unique(context, return_inverse=True)
-        total, left = np.bincount(at, n, len(head)), np.bincount(at, cut, len(head))
-        shares.append((key, (n - cut) / total[at] if len(at) else np.zeros(0)))
-        weights.append((head, left / np.maximum(total, 1)))
-    tables = []
-    for i in range(order):
-        # As contexts the keys of order i + 1 serve the next order; the roots of the models stand with the lowest.
-        heads = [weights[i + 1]] if i + 1 < order else []
-        if i == 0:
-            heads.append(weights[0])
-        own, share = shares[i]
-        keys = np.unique(np.concatenate([own, *[h for h, _ in heads]])) if len(own) else own
-        a, g = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32)
-        a[np.searchsorted(keys, own)] = share
-        for h, w in heads:
-            g[np.searchsorted(keys, h)] = w
-        tables.append((keys, a, g))
-    return NgramTables(order, tables, even)
+    root, weight = weights[1]
+    return NgramTables(order, [_table(*shares[i], *weights.get(i + 1, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))) for i in range(1, order + 1)], even, dict(zip(root.tolist(), weight.tolist(), strict=True)))
+
+
+def _shares(level: DataFrame, least: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], dict[int, int]]:
+    """Of the n-grams of an order (model, key, context, n): the keys and shares of those kept, the contexts and weights, and how many
+    n-grams each model has. Spark sums up; a key and a number for each comes to the driver."""
+    of = lambda k: F.count_if(F.col("n") == k)
+    found = level.groupBy("model").agg(F.count("*").alias("size"), *[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()
+    cuts = [F.lit(x) for r in found for x in (r["model"], F.array(*map(F.lit, discounts(*(r[f"n{k}"] for k in (1, 2, 3, 4))))))]
+    cut = F.create_map(*cuts)[F.col("model")][F.least(F.col("n"), F.lit(3)).cast("int") - 1] if cuts else F.lit(0.0)
+    rows = level.select("key", "context", "n", F.when(F.col("n") < least, F.col("n").cast("double")).otherwise(cut).alias("cut"))
+    contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
+    kept = rows.filter(F.col("n") >= least).join(contexts.select("context", "total"), "context")
+    pairs = []
+    for df, k, v in ((kept, "key", (F.col("n") - F.col("cut")) / F.col("total")), (contexts, "context", F.col("left") / F.col("total"))):
+        got = df.select(k, v.cast("float").alias("v")).toArrow()
+        pairs.append((got[k].to_numpy().view(np.uint64).copy(), got["v"].to_numpy().copy()))
+        del got
+        pa.default_memory_pool().release_unused()
+    return pairs[0], pairs[1], {r["model"]: r["size"] for r in found}
+
+
+def _table(keys: np.ndarray, share: np.ndarray, heads: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One sorted array of an order's n-grams and of those that are contexts of the next order, with shares and weights."""
+    own = np.unique(np.concatenate([keys, heads]))
+    a, g = np.zeros(len(own), np.float32), np.ones(len(own), np.float32)
+    a[np.searchsorted(own, keys)] = share
+    g[np.searchsorted(own, heads)] = weight
+    return own, a, g
