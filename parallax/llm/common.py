@@ -88,11 +88,13 @@ def attach(df: DataFrame, columns: list[str], text_col: str, make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
+        pool = pa.default_memory_pool()  # keeps what is freed, unless it is asked for it
         for batch in batches:
             texts = batch.column(1 + before) if at is None else batch.column(0).field(at)
             for a, b in byte_slices(texts, limit):
                 others = [c.slice(a, b - a) for c in batch.columns[1 : 1 + before]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *step(texts.slice(a, b - a), *others)], names)
+            pool.release_unused()
 
     return rows.mapInArrow(run, StructType([rows.schema["row"], *StructType.fromDDL(fields).fields]))
 

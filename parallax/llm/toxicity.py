@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of each class, toxic and ordinary, see a text. One reads its words as byte strings between a start and an end mark: n-grams of
-bytes of orders 4 to 6 keep the class's own document counts with absolute discounting (by count: 1, 2, more); what a class has seen rarely or never backs off to
+bytes of orders 4 to 6 keep the class's own document counts with three absolute discounts (of counts of 1, 2 and more), which follow from the counts of counts; what a class has seen rarely or never backs off to
 orders 1 to 3, whose Kneser-Ney continuation counts (how many different bytes precede) are shared by both classes. The other reads
 expressions, words after words: the class's own document counts of word pairs back off to the pairs of both classes together, and these
 to how many different words a word follows. Evidence is the difference of the two classes' log-likelihoods. A document's evidence is
@@ -18,23 +18,25 @@ gives way to the result; other columns don't matter.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import attach, crc_mod, named, table, unpacked
+from .hash_array import HashArray
+from .ngram_tables import discounts, word_codes
 from .shingles import mix
 from .word_index import Growing, WordIndex, split_words, sums
 from .word_table import grouped_counts, per_group_sample
 
 #: Documents learned from, of each class: in the counts and in the fit of the curve; words whose evidence is computed together, and held.
-SAMPLE, CHUNK, HELD = 1200, 16_384, 400_000
-#: Order of the class models, highest order of the shared ones, and the discounts of counts of 1, of 2, and of 3 or more: what was seen in one
-#: document or two says little of its class, and most of it goes to the backoff.
-ORDER, SHARED, DISCOUNTS = 6, 3, (0.97, 1.8, 2.2)
+SAMPLE, CHUNK, HELD = 1500, 8192, 300_000
+#: Bytes of texts that a worker reads at once.
+SLICE = 1_000_000
+#: Order of the class models, and highest order of the shared ones.
+ORDER, SHARED = 6, 3
 #: Words or pairs whose mean evidence counts beside the whole text's.
 STRONGEST = 4
 THRESHOLD = 0.3
@@ -44,8 +46,14 @@ PIECE = 48
 _SIGNS = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
-def discount(c: np.ndarray) -> np.ndarray:
-    return np.where(c >= 3, DISCOUNTS[2], np.where(c >= 2, DISCOUNTS[1], np.where(c >= 1, DISCOUNTS[0], 0.0)))
+def discounts_of(c: np.ndarray) -> np.ndarray:
+    """For each column of counts the discounts of counts of 0 (none), 1, 2, and more, from how many counts of one to four it has."""
+    return np.array([[0.0, *discounts(*(int((x == n).sum()) for n in (1, 2, 3, 4)))] for x in c.T], np.float32)
+
+
+def discount(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What is taken from counts (rows, columns), d having a row for each column."""
+    return d[np.arange(c.shape[1]), np.minimum(c, 3).astype(np.int64)]
 
 
 def pieces(word: bytes) -> list[bytes]:
@@ -57,9 +65,9 @@ def pieces(word: bytes) -> list[bytes]:
     return [r[i : i + PIECE] for r in core.translate(_SIGNS).split() for i in range(0, max(1, len(r) - ORDER + 1), PIECE - ORDER + 1)]
 
 
-def word_code(word: bytes) -> int:
-    """A hash of 64 bits of the bare word."""
-    return int.from_bytes(hashlib.blake2b(word.strip(EDGE), digest_size=8).digest(), "little")
+def bare_codes(words: pa.Array) -> np.ndarray:
+    """A hash of 64 bits of each bare word."""
+    return word_codes(pc.ascii_trim(words, EDGE.decode()))
 
 
 def pair_codes(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +80,10 @@ def pair_codes(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + right), left, right, bounds
 
 
+def hashed(keys: np.ndarray) -> np.ndarray:
+    return mix(keys.view(np.uint64))
+
+
 def ngram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the n-grams that end at each byte of each marked word, whether the n-gram lies in its word, and the word of each byte."""
     joined = b"".join(b"\x02" + w + b"\x03" for w in words)
@@ -109,7 +121,7 @@ def pair_counts(texts: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
     """The texts' distinct word pairs, and in how many texts each occurs."""
     words, begins = split_words(texts)
     encoded = words.dictionary_encode()
-    codes = np.array([word_code(w) for w in encoded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    codes = bare_codes(encoded.dictionary)
     code, left, right, bounds = pair_codes(codes[encoded.indices.to_numpy()] if len(codes) else codes, begins)
     distinct, first, number = np.unique(code, return_index=True, return_inverse=True)
     met = np.unique(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * max(1, len(distinct)) + number)
@@ -122,6 +134,7 @@ class KneserNey:
 
     def __init__(self, keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
         self.tables: dict[int, tuple] = {}
+        self.cut: dict[int, np.ndarray] = {}
         order = np.argsort(keys)
         keys, both = keys[order], np.stack([ordinary[order], toxic[order]], 1).astype(np.float32)
         length = keys >> 56
@@ -132,34 +145,40 @@ class KneserNey:
                 longer = keys[length == n + 1] & ((1 << (8 * n)) - 1) | (n << 56)
                 own, kinds = np.unique(longer, return_counts=True)
                 c = np.repeat(kinds[:, None].astype(np.float32), 2, 1)
-            context = (own & ((1 << 56) - 1)) >> 8 | (n << 56)
+            # Keys are held by their hashes, which are spread evenly.
+            context = hashed((own & ((1 << 56) - 1)) >> 8 | (n << 56))
+            order = np.argsort(hashed(own))
+            own, c, context = hashed(own)[order], c[order], context[order]
             head, at = np.unique(context, return_inverse=True)
             total, given = np.zeros((len(head), 2)), np.zeros((len(head), 2))
             np.add.at(total, at, c)
-            np.add.at(given, at, discount(c))
-            self.tables[n] = own, c.astype(np.float32), head, total.astype(np.float32), given.astype(np.float32)
+            self.cut[n] = discounts_of(c)
+            np.add.at(given, at, discount(c, self.cut[n]))
+            self.tables[n] = HashArray(own), c.astype(np.float32), HashArray(head), total.astype(np.float32), given.astype(np.float32)
 
     def probabilities(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each byte of the marked words its probability in both classes, and its word."""
-        p = None
+        joined = b"".join(b"\x02" + w + b"\x03" for w in words)
+        raw = np.frombuffer(joined, np.uint8).astype(np.int64)
+        size = np.array([len(w) + 2 for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+        p = np.full((len(raw), 2), 1 / 256)
+        key = np.zeros(len(raw), np.int64)
         for n in range(1, ORDER + 1):
-            key, inside, word = ngram_keys(words, n)
-            if p is None:
-                p = np.full((len(key), 2), 1 / 256)
+            key[n - 1 :] |= raw[: len(raw) - n + 1] << (8 * (n - 1))
+            at = np.flatnonzero(place >= n - 1)  # those that lie in their word
             own, c, head, total, given = self.tables[n]
-            if not len(own):
+            if not len(own.keys):
                 continue
-            at = np.flatnonzero(inside)
-            context = (key[at] & ((1 << 56) - 1)) >> 8 | (n << 56)
-            h = np.minimum(np.searchsorted(head, context), len(head) - 1)
-            seen = head[h] == context
-            at, h = at[seen], h[seen]
-            g = np.minimum(np.searchsorted(own, key[at]), len(own) - 1)
-            count = np.where((own[g] == key[at])[:, None], c[g], 0.0)
+            h = head.find(hashed(key[at] >> 8 | (n << 56)))
+            at, h = at[h >= 0], h[h >= 0]
+            g = own.find(hashed(key[at] | (n << 56)))
+            count = np.where((g >= 0)[:, None], c[g], np.float32(0))
             t = total[h]
             known = t > 0
             t = np.maximum(t, 1)
-            q = (count - discount(count)) / t + given[h] / t * p[at]
+            q = (count - discount(count, self.cut[n])) / t + given[h] / t * p[at]
             p[at] = np.where(known, q, p[at])
         return p, word
 
@@ -190,28 +209,25 @@ class PairKneserNey:
         self.head, at = np.unique(left, return_inverse=True)
         self.total, self.given = np.zeros((len(self.head), 3), np.float32), np.zeros((len(self.head), 3), np.float32)
         np.add.at(self.total, at, self.count)
-        np.add.at(self.given, at, discount(self.count))
+        self.cut = discounts_of(self.count)
+        np.add.at(self.given, at, discount(self.count, self.cut))
         self.word, self.follows = np.unique(right, return_counts=True)
         self.floor = 1.0 / (len(self.pair) + len(self.word) + 1)
-
-    @staticmethod
-    def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """The place of each asked key, -1 where there is none."""
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return np.where(keys[at] == asked, at, -1)
+        self.pair, self.head, self.word = map(HashArray, (self.pair, self.head, self.word))
 
     def gain(self, pair: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pair))
-        h = self._find(self.head, left)
+        h = self.head.find(left)
         some = np.flatnonzero(h >= 0)  # after a word that no class has seen both models say the same
         if not len(some):
             return out
-        h, p, w = h[some], self._find(self.pair, pair[some]), self._find(self.word, right[some])
+        h, p, w = h[some], self.pair.find(pair[some]), self.word.find(right[some])
         count = np.where((p >= 0)[:, None], self.count[p], 0.0)
         total, given = self.total[h], self.given[h]
         low = np.where(w >= 0, self.follows[w] + 1.0, 1.0) * self.floor
-        shared = (count[:, 2] - discount(count[:, 2]) + given[:, 2] * low) / total[:, 2]
-        own = (count[:, :2] - discount(count[:, :2]) + given[:, :2] * shared[:, None]) / np.maximum(total[:, :2], 1)
+        kept = count - discount(count, self.cut)
+        shared = (kept[:, 2] + given[:, 2] * low) / total[:, 2]
+        own = (kept[:, :2] + given[:, :2] * shared[:, None]) / np.maximum(total[:, :2], 1)
         own = np.where(total[:, :2] > 0, own, shared[:, None])
         out[some] = np.log(own[:, 1]) - np.log(own[:, 0])
         return out
@@ -243,7 +259,7 @@ class Evidence:
         for i in np.flatnonzero(several).tolist():
             self.parts[first + i] = found[begins[i] : begins[i + 1], 0]
         self.values.extend(sums(found, begins).astype(np.float32))
-        self.code.extend(np.array([word_code(w) for w in words], np.uint64))
+        self.code.extend(bare_codes(new))
         self.long.extend(several)
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -350,7 +366,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return lambda texts: [pa.array(c) for c in evidence.features(texts).T]
 
     names = list("abcdef")
-    got = attach(rows.filter("part >= 2"), ["part"], "text", make, ", ".join(f"{c} double" for c in names)).select("row.part", *names).toArrow()
+    got = attach(rows.filter("part >= 2"), ["part"], "text", make, ", ".join(f"{c} double" for c in names), SLICE).select("row.part", *names).toArrow()
     y = (got["part"].to_numpy() == 3).astype(float)
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel(language, pairs, None, base)
@@ -366,7 +382,7 @@ def scored_rows(docs: DataFrame, model: ToxicityModel, columns: list[str], text_
         evidence = m.evidence()
         return lambda texts: [pa.array(m.scores(evidence, texts))]
 
-    return attach(docs, columns, text_col, make, "score double")
+    return attach(docs, columns, text_col, make, "score double", SLICE)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str], text_col: str = "text") -> DataFrame:

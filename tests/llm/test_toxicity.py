@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from parallax.llm.toxicity import DISCOUNTS, EDGE, ORDER, PIECE, SHARED, Evidence, KneserNey, PairKneserNey, ngram_keys, op8_toxicity, pair_counts, pieces, score_toxicity, train_toxicity, word_counts
+from parallax.llm.ngram_tables import discounts
+from parallax.llm.toxicity import EDGE, ORDER, PIECE, SHARED, Evidence, KneserNey, PairKneserNey, ngram_keys, op8_toxicity, pair_counts, pieces, score_toxicity, train_toxicity, word_counts
 
 ORDINARY = "the weather is mild today and we walk along the river with our friends".split()
 TOXIC = "blargface snotwit grumblescum".split()
@@ -41,8 +42,10 @@ def plain_counts(texts):
     return grams, pairs
 
 
-def off(count):
-    return DISCOUNTS[min(count, 3) - 1] if count else 0
+def off(counts):
+    """What is taken from a count, by the counts of counts."""
+    d = discounts(*(sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)))
+    return lambda count: d[min(count, 3) - 1] if count else 0
 
 
 def plain_byte(grams, c, gram):
@@ -55,9 +58,10 @@ def plain_byte(grams, c, gram):
         counts = Counter(g[1:] for g in both)
     else:
         counts = grams[c][n]
+    cut = off(counts)
     after = {g: k for g, k in counts.items() if g[:-1] == gram[:-1]}
     total = sum(after.values())
-    return below if not total else (after.get(gram, 0) - off(after.get(gram, 0))) / total + sum(map(off, after.values())) / total * below
+    return below if not total else (after.get(gram, 0) - cut(after.get(gram, 0))) / total + sum(map(cut, after.values())) / total * below
 
 
 def plain_pair(pairs, u, v):
@@ -65,10 +69,10 @@ def plain_pair(pairs, u, v):
     after = lambda counts: {y: k for (x, y), k in counts.items() if x == u}
     if not after(both):
         return 0.0
-    mix = lambda found, below: below if not found else (found.get(v, 0) - off(found.get(v, 0)) + sum(map(off, found.values())) * below) / sum(found.values())
+    mix = lambda found, below, cut: below if not found else (found.get(v, 0) - cut(found.get(v, 0)) + sum(map(cut, found.values())) * below) / sum(found.values())
     low = (sum(y == v for _, y in both) + 1) / (len(both) + len({y for _, y in both}) + 1)
-    shared = mix(after(both), low)
-    return math.log(mix(after(pairs[1]), shared)) - math.log(mix(after(pairs[0]), shared))
+    shared = mix(after(both), low, off(both))
+    return math.log(mix(after(pairs[1]), shared, off(pairs[1]))) - math.log(mix(after(pairs[0]), shared, off(pairs[0])))
 
 
 def models(ordinary, toxic):
