@@ -15,7 +15,7 @@ def normalize_actors(raw: Column, aliases: dict[str, str], order: list[str], cou
     table = F.create_map(*[F.lit(x) for p in aliases.items() for x in p])
     codes = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda a: F.coalesce(table[F.upper(F.trim(a))], F.upper(F.trim(a))))
     codes = F.array_union(codes, F.when(known & country.isNotNull(), F.array(country)).otherwise(F.array().cast("array<string>")))
-    return F.filter(F.array(*map(F.lit, order)), lambda c: F.array_contains(codes, c))
+    return F.array_intersect(F.array(*map(F.lit, order)), codes)  # in the order of the first; the codes are made once
 
 
 def normalize_formats(raw: Column, keys: list[str]) -> Column:

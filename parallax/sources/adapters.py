@@ -68,7 +68,8 @@ def taggings(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")).join(nation, "n_nationkey").select("l_suppkey", "n_name")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    tags = line.join(supplier, "l_suppkey").join(part, "l_partkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("n_name")).alias("actors"), F.array_sort(F.collect_set("p_brand")).alias("topics"))
+    # Dealt out first, so that sets, of few lines each, aren't begun and sorted before the shuffle.
+    tags = line.join(supplier, "l_suppkey").join(part, "l_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("n_name")).alias("actors"), F.array_sort(F.collect_set("p_brand")).alias("topics"))
     customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey").select("o_custkey", F.col("n_name").alias("source_country"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, "o_custkey")
     formats = F.when(F.col("o_orderkey") % 50 == 0, F.array(F.concat(F.lit("g"), (F.col("o_orderkey") % 8).cast("string")))).otherwise(F.array().cast("array<string>"))
