@@ -90,10 +90,14 @@ def stream_vote_tally(votes: DataFrame, ttl_seconds: int, delay: str = "1 hour")
         # A timer must lie beyond the watermark; the state of a vote that is older than a TTL by then goes at the next batch.
         ends = max((state.get[0] + ttl) // 1000, state.getCurrentWatermarkMs() + 1)
         state.setTimeoutTimestamp(ends)
-        yield pd.DataFrame({"slug": [key[0]] * len(counted), "ip": [key[1]] * len(counted), "ts": pd.Series(np.array(counted, "int64").view("datetime64[us]"))})
+        if counted:
+            yield pd.DataFrame({"key": np.full(len(counted), key[0], object), "ts": np.array(counted, "int64").view("datetime64[us]")}, copy=False)
 
-    timed = votes.select("slug", "ip", F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", delay)
-    return timed.groupBy("slug", "ip").applyInPandasWithState(step, "slug string, ip string, ts timestamp_ntz", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    # The key is one column, since what a key costs is mostly that Spark turns each column of it, in and out, to pandas by itself.
+    timed = votes.select(F.to_json(F.struct("slug", "ip")).alias("key"), F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", delay)
+    counted = timed.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp_ntz", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = ", ".join(f"{c} {votes.schema[c].dataType.simpleString()}" for c in ("slug", "ip"))
+    return counted.select(F.from_json("key", kinds).alias("key"), "ts").select("key.slug", "key.ip", "ts")
 
 
 def stream_density(rows: DataFrame, delay: str, offset: str, days: int = 7) -> DataFrame:

@@ -103,3 +103,15 @@ def test_replayed_batch_writes_once(spark, tmp_path):
 def test_bounded_landing_needs_a_delay(spark, tmp_path):
     with pytest.raises(TypeError):
         streams.stream_landing(spark.createDataFrame([], ITEMS))
+
+
+def test_vote_keys_are_one_column(spark, tmp_path):
+    """Keys with quotes, commas and nulls come through whole; Python is given a key and a time alone."""
+    folder = str(tmp_path)
+    rows = [('a"b', "x,y", T0), ('a"b', "x", T0), ('a"b,x', "y", T0), (None, "x", T0), ("é\n", None, T0), ("é\n", None, T0 + dt.timedelta(seconds=5))]
+    put(spark, f"{folder}/votes", rows, VOTES)
+    run_votes(spark, folder, 10, "1 hour")
+    got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("slug", "ip", "ts").collect()}
+    assert got == {r for r in rows if r[2] == T0}
+    tally = streams.stream_vote_tally(spark.readStream.schema(VOTES).parquet(f"{folder}/votes"), 10)
+    assert "[key#" in next(x for x in tally._jdf.queryExecution().analyzed().toString().split("\n") if "FlatMapGroupsInPandasWithState" in x)
