@@ -3,14 +3,17 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from parallax.llm.ngram_tables import PAD, count_ngrams, discounts, name_code, ngram_rows, word_codes
+from parallax.llm import quality_rules
+from parallax.llm.ngram_tables import PAD, chain, count_ngrams, discounts, name_code, ngram_rows, word_codes
 from parallax.llm.quality_rules import QualityModel, Words, band, judge, op12_quality_rules, train_quality
+from parallax.llm.word_ngrams import UNIT, count_records, frequent_of, trigram_rows
 
 
 def plain_counts(text):
@@ -147,3 +150,98 @@ def test_query_keeps_good_documents(spark):
             met[quality[r.doc_id], r.kept] += 1
     assert met[1, True] >= 0.98 * (met[1, True] + met[1, False])
     assert met[0, False] >= 0.7 * (met[0, True] + met[0, False])
+
+
+class PlainWords(PlainModel):
+    """The same over words, with a chance of its own for each word below the single words; n-grams of the highest order seen once are given up."""
+
+    def __init__(self, sequences, order, base):
+        super().__init__(sequences, order)
+        self.base = base
+        for h in self.total[order]:
+            self.left[order][h] = sum(1 if c < 2 else self.cut(order, c) for g, c in self.counts[order].items() if g[:-1] == h)
+
+    def p(self, context, token):
+        out = self.base(token)
+        for n in range(1, self.order + 1):
+            h = tuple(context[len(context) - n + 1 :])
+            t = self.total[n].get(h, 0)
+            if t:
+                c = self.counts[n].get((*h, token), 0)
+                c = 0 if n == self.order and c < 2 else c
+                out = ((c - self.cut(n, c)) / t if c else 0) + self.left[n][h] / t * out
+        return out
+
+
+@pytest.mark.parametrize("most", [0, 7, 10_000])
+def test_joined_records_equal_plain_dictionaries(spark, most):
+    rng = random.Random(3)
+    sequences = [[rng.choice([1, 1, 1, 2, 3, 4, 5 + k % 9]) for _ in range(rng.randint(1, 30))] for k in range(60)]
+    model, base = name_code("xx"), lambda w: 0.001 / w
+    df = spark.createDataFrame([(s,) for s in sequences], "s array<long>").repartition(3)
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column(0).to_pylist()
+            yield trigram_rows(np.array([x for s in lists for x in s], np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in lists])]), model, 0)
+
+    keys = {w: int(chain(np.array([w], np.uint64), model, 1)[0][0].view(np.int64)) for w in range(1, 14)}
+    spelled = spark.createDataFrame([(k, math.log(base(w))) for w, k in keys.items()], "z long, spelled double")
+    records, left = count_records(df.mapInArrow(rows, "m int, first boolean, u long, v long, w long, n long"), spelled, 2)
+    frequent, rest = frequent_of(records, most)
+    assert len(frequent.keys.keys) <= most
+    others = {r.key: (r.share, r.weight) for r in rest.collect()}
+    assert records.count() == len(others) + len(frequent.keys.keys)
+    want = PlainWords(sequences, 3, base)
+    asked_for = [sequences[0], [1, 2, 99, 1, 1], [99], [], [3, 3, 3, 5, 6, 7, 1, 1, 1]]
+    total, (owner, key, own, context) = frequent.read(np.array([x for s in asked_for for x in s], np.uint64), np.concatenate([[0], np.cumsum(list(map(len, asked_for)))]), model)
+    for o, k, a, c in zip(owner.tolist(), key.view(np.int64).tolist(), own.tolist(), context.tolist(), strict=True):
+        share, weight = others.get(k, (0, 0))
+        total[o] += share * a + weight * c
+    for s, got in zip(asked_for, total.tolist(), strict=True):
+        padded = ["<s>", "<s>", *s]
+        plain = sum(math.log(want.p(padded[i : i + 2], x)) for i, x in enumerate(s))
+        assert math.isclose(got / UNIT + sum(math.log(base(x)) + left[0] for x in s), plain, abs_tol=1e-3)
+
+
+def test_every_labelled_document_counts(spark, monkeypatch):
+    # Each language's texts are far more than 2 MB and its good documents of fold 3 more than 1500: words of each single one must be known.
+    crc = lambda i: zlib.crc32(str(i).encode()) % 4
+    text = lambda i: " ".join(f"w{i}x{k}" + "y" * 20 for k in range(12))
+    ids = range(13_000)
+    docs = spark.createDataFrame([(i, text(i), "xx") for i in ids], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_rules, "count_records", lambda trigrams, spelled, least: seen.append((trigrams, spelled)) or count_records(trigrams, spelled, least))
+    fitted = []
+    monkeypatch.setattr(quality_rules, "fit_bands", lambda scored, marked: fitted.append(scored.join(marked, "id").groupBy("part").count().collect()) or {})
+    model = train_quality(docs, labels)
+    learned = [i for i in ids if crc(i) < 2]
+    assert sum(len(text(i)) for i in learned) > 2_000_000 and sum(crc(i) == 3 for i in ids) > 1500
+    assert seen[0][0].agg({"n": "sum"}).first()[0] == 12 * len(learned) and seen[0][1].count() == 12 * len(learned)
+    assert {r["part"]: r["count"] for r in fitted[0]} == {2: len(learned), 1: sum(crc(i) == 3 for i in ids)}
+    monkeypatch.undo()
+    bits = {r.doc_id: r.bits for r in judge(docs, model, ["doc_id"]).collect()}
+    # Those learned from are known word by word; others are spelled.
+    assert max(bits[i] for i in learned) < min(bits[i] for i in ids if crc(i) == 2)
+
+
+def test_rows_without_a_language_have_a_model_of_all(spark):
+    rng = random.Random(9)
+    words = {"aa": ["on", "the", "hill", "a", "tree", "stood"], "bb": ["im", "tal", "ein", "haus", "am", "bach"]}
+    rows = [(i, " ".join(rng.choices(words[x], k=20)), x if i % 3 else None) for i in range(1200) for x in [("aa", "bb")[i % 2]]]
+    rows += [(5000 + i, " ".join("".join(rng.choices("qxzjv", k=7)) for _ in range(20)), None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 5000)) for i, _, _ in rows], "doc_id long, quality int")
+    model = train_quality(docs, labels)
+    assert sorted(model.bands) == ["", "aa", "bb"]
+    kept = {r.doc_id: r.kept for r in judge(docs, model, ["doc_id"]).collect()}
+    good, bad = [kept[i] for i in kept if i < 5000], [kept[i] for i in kept if i >= 5000]
+    assert sum(good) > 0.5 * len(good) and not any(bad)
+
+
+def test_band_of_counts_equals_band_of_values():
+    rng = np.random.default_rng(4)
+    good, bad, learned = (np.round(rng.normal(m, 0.3, n), 1) for m, n in ((2, 400), (4, 90), (1.8, 300)))
+    counted = [np.unique(x, return_counts=True) for x in (good, bad, learned)]
+    assert np.allclose(band(good, bad, learned), band(*(x for x, _ in counted), times=tuple(n for _, n in counted)))
