@@ -27,30 +27,28 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import attach, crc_mod, named, staged, table, unpacked
 from .ngram_tables import ODD, NgramTables, count_ngrams, name_code, ngram_rows, word_codes
 from .shingles import mix
 from .word_index import Growing, WordIndex, byte_lengths, byte_slices, split_words, sums
-from .word_ngrams import UNIT, Frequent, count_records, frequent_of, trigram_rows
+from .word_ngrams import UNIT, Frequent, Sequences, count_records, frequent_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
-#: Orders of the models: of words, and of the bytes of words.
-WORDS, BYTES = 3, 5
-#: Times that an n-gram of three words is seen, to be kept; lower orders are all kept.
-SEEN = 2
+#: Order of the models of spelling.
+BYTES = 5
 #: A language has a model of its own from so many labelled documents on.
 LEAST_DOCS = 40
 #: How much more it counts to lose a good document than to keep a bad one.
 WEIGHT = 20
 #: Words that a worker holds for all languages together, and bytes of texts that it reads at once.
-HELD, SLICE = 250_000, 1_000_000
+HELD, SLICE = 250_000, 500_000
 #: The model of all languages together.
 ANY = ""
 #: Distinct words that are spelled together, and thousandths of a bit that a surprise is given in.
-SPELLED, STEP = 100_000, 1000
+SPELLED, STEP = 25_000, 1000
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -311,16 +309,16 @@ def count_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 log = sent.value.sequence_sums(*byte_sequences(words.cast(pa.binary()).to_pylist()), codes[m])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(log)], ["z", "spelled"])
 
-    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m, texts in by_model(batch):
-                for a, b in byte_slices(texts, 4 * SLICE):
-                    words, begins = split_words(texts.slice(a, b - a), lower=False)
-                    encoded = words.dictionary_encode()
-                    code = word_codes(encoded.dictionary)
-                    yield trigram_rows(code[encoded.indices.to_numpy()] if len(code) else code, begins, codes[m], m)
+    def sequences(batch: pa.RecordBatch) -> Iterator[Sequences]:
+        for m, texts in by_model(batch):
+            for a, b in byte_slices(texts, SLICE):
+                words, begins = split_words(texts.slice(a, b - a), lower=False)
+                encoded = words.dictionary_encode()
+                code = word_codes(encoded.dictionary)
+                yield code[encoded.indices.to_numpy()] if len(code) else code, begins, codes[m], m
+                pa.default_memory_pool().release_unused()
 
-    records, left = count_records(rows.mapInArrow(trigrams, "m int, first boolean, u long, v long, w long, n long"), vocabulary.mapInArrow(spellings, "z long, spelled double"), SEEN)
+    records, left = count_records(rows, sequences, vocabulary.mapInArrow(spellings, "z long, spelled double"))
     frequent, rest = frequent_of(records)
     sent.unpersist()
     return QualityModel(spark.sparkContext.broadcast(Perplexity(models, spelling, [left.get(m, 0.0) for m in range(len(models))], frequent)), {}, rest, models[-1] == ANY)
@@ -345,7 +343,7 @@ def surprise(docs: DataFrame, model: QualityModel, columns: list[str], text_col:
         return attach(docs, columns, text_col, make, fields, limit=SLICE)
     rows = docs.select(F.struct(*[named(c) for c in columns] or [F.lit(1)]).alias("row"), named(lang_col).cast("string").alias("beside"), named(text_col).cast("string").alias("text"))
     asks = StructType.fromDDL("uid long, key long, own boolean, context boolean, log long, bytes long")
-    schema = StructType([*asks.fields, *StructType.fromDDL(f"{FIELDS}, base_failed boolean, name string").fields, rows.schema["row"]])
+    schema = StructType([*asks.fields, *StructType.fromDDL(f"{FIELDS}, base_failed boolean, name string").fields, StructField("row", rows.schema["row"].dataType)])
     sent = model.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +375,7 @@ def surprise(docs: DataFrame, model: QualityModel, columns: list[str], text_col:
                     schema.names,
                 )
                 uid += n
-            pa.default_memory_pool().release_unused()
+                pa.default_memory_pool().release_unused()
 
     found = rows.mapInArrow(run, schema).join(model.rest, "key", "left").filter(F.col("bytes").isNotNull() | F.col("share").isNotNull())
     value = lambda flag, c: F.when(F.col(flag), F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("long")

@@ -6,17 +6,20 @@ n-grams that end with it and have a record and, of the contexts before it, the w
 spelling. Each n-gram is looked up by itself, whatever else is found. Both numbers are whole UNITs, so that sums don't depend on their order.
 
 Words are keys that have the model's name in them (chain() of ngram_tables.py); the n-grams of all orders and models lie in one table.
-Trigrams seen fewer than `least` times are counted, but have no record: their share goes to the lower orders.
+Trigrams seen once are counted, but have no record: their share goes to the lower orders. So no table of them is made: how many a pair
+begins or ends with follows from how often the pair occurs and from the trigrams seen more often.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import staged
 from .hash_array import HashArray
@@ -25,143 +28,201 @@ from .shingles import mix
 from .word_index import sums
 
 ORDER = 3
+#: A list of sequences: their words' codes, where each begins, the model's number in keys, and its place among the models.
+Sequences = tuple[np.ndarray, np.ndarray, np.uint64, int]
 #: Parts of a natural logarithm's unit that records are given in.
 UNIT = 1_000_000
 #: Records that are broadcast, and bits of the mask that says which others may be.
 FREQUENT, MASK_BITS = 1_000_000, 27
 
 
-def trigram_rows(codes: np.ndarray, begins: np.ndarray, model: np.uint64, m: int) -> pa.RecordBatch:
-    """The distinct trigrams of the sequences: m, first (whether the last word begins a sequence), u, v, w, n."""
+class Mask:
+    """Bits by the first bits of keys; where none is set, no such key is among them."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Mask:
+        """The mask of the one column of keys. It has the same size whatever there is of them."""
+        key, place = F.col(keys.columns[0]), 64 - MASK_BITS
+        at = F.shiftrightunsigned(key, place)
+        # A shift of a bigint takes the last six bits of its distance.
+        cells = keys.select(F.shiftright(at, 6).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+        found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+        bits = np.zeros(1 << (MASK_BITS - 6), np.uint64)
+        bits[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+        return cls(bits)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - MASK_BITS)
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _keys(codes: np.ndarray, begins: np.ndarray, model: np.uint64) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of all orders at each place of the padded sequences, which places are words, and which have a word of their sequence after them."""
     code, token = padded(codes, begins, ORDER)
-    keys = chain(code, model, ORDER)
+    before = np.zeros(len(code), bool)
+    before[:-1] = token[1:]
+    before[np.cumsum(np.diff(begins) + ORDER - 1)[:-1] - 1] = False
+    return chain(code, model, ORDER), token, before
+
+
+def trigram_counts(codes: np.ndarray, begins: np.ndarray, model: np.uint64, m: int) -> pa.RecordBatch:
+    """k, n: the distinct trigrams of the sequences."""
+    keys, token, _ = _keys(codes, begins, model)
+    k, n = np.unique(keys[2][token], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "n"])
+
+
+def trigram_words(codes: np.ndarray, begins: np.ndarray, model: np.uint64, m: int, mask: Mask) -> pa.RecordBatch:
+    """k, m, u, v, w: the words of the distinct trigrams that the mask may hold."""
+    keys, token, _ = _keys(codes, begins, model)
     at = np.flatnonzero(token)
-    _, own, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
-    place = np.arange(len(codes)) - np.repeat(begins[:-1], np.diff(begins))
-    w = at[own]
-    by = np.lexsort((keys[1][w - 1], keys[0][w - 1]))  # by v and u, which packs better
-    own, w, n = own[by], w[by], n[by]
-    columns = [np.full(len(own), m, np.int32), place[own] == 0, *(keys[0][w - k].view(np.int64) for k in (2, 1, 0)), n.astype(np.int64)]
-    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["m", "first", "u", "v", "w", "n"])
+    at = at[mask.may_hold(keys[2][at])]
+    k, own = np.unique(keys[2][at], return_index=True)
+    at = at[own]
+    columns = [k.view(np.int64), np.full(len(k), m, np.int32), *(keys[0][at - i].view(np.int64) for i in (2, 1, 0))]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["k", "m", "u", "v", "w"])
 
 
-def _discounted(level: DataFrame, least: int = 1) -> DataFrame:
-    """(m, d1, d2, d3): what is taken from counts of one, two and more, from the counts n of an order; all of those under `least`."""
-    of = lambda k: F.count_if(F.col("n") == k)
-    found = level.groupBy("m").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()
-    rows = [(r["m"], *(float(k) if k < least else d for k, d in enumerate(discounts(*(r[f"n{k}"] for k in (1, 2, 3, 4))), 1))) for r in found]
-    return F.broadcast(level.sparkSession.createDataFrame(rows, "m int, d1 double, d2 double, d3 double"))
+def pair_rows(codes: np.ndarray, begins: np.ndarray, model: np.uint64, m: int) -> pa.RecordBatch:
+    """x, y, m, first (whether x stands before a sequence), n (how often y is a word there), t (how often a word comes after both)."""
+    keys, token, before = _keys(codes, begins, model)
+    use = np.flatnonzero(token | before)
+    use = use[use > 0]
+    k, own, turn = np.unique(keys[1][use], return_index=True, return_inverse=True)
+    n, t = (np.bincount(turn, flag[use], len(k)).astype(np.int64) for flag in (token, before))
+    at = use[own]
+    columns = [keys[0][at - 1].view(np.int64), keys[0][at].view(np.int64), np.full(len(k), m, np.int32), ~token[at - 1], n, t]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["x", "y", "m", "first", "n", "t"])
 
 
-def _seen(n: Column) -> list[Column]:
-    """What an n-gram adds to its context: its count, and one of the three kinds of counts."""
-    return [n.alias("t"), (n == 1).cast("long").alias("s1"), (n == 2).cast("long").alias("s2"), (n > 2).cast("long").alias("s3")]
+def _discounted(spark: SparkSession, found: list[Row]) -> DataFrame:
+    """(m, d1, d2, d3): what is taken from counts of one, two and more, by how many n-grams have counts of one to four."""
+    rows = [(r["m"], *discounts(*(r[f"n{k}"] or 0 for k in (1, 2, 3, 4)))) for r in found]
+    return F.broadcast(spark.createDataFrame(rows, "m int, d1 double, d2 double, d3 double"))
 
 
-def _lower(level: DataFrame, context: list[Column], end: list[Column]) -> DataFrame:
-    """For the keys of the next lower order, both what they are as contexts of a level's n-grams and how many of these end with them."""
-    none = [F.lit(0).cast("long").alias(c) for c in ("t", "s1", "s2", "s3")]
-    zero = F.lit(0).cast("long")
-    a = F.struct(*context, "m", F.lit(False).alias("first"), zero.alias("own"), zero.alias("times"), *_seen(F.col("n")))
-    b = F.struct(*end, "m", "first", F.lit(1).cast("long").alias("own"), F.col("n").alias("times"), *none)
-    rows = level.filter("n > 0").select(F.explode(F.array(a, b)).alias("r")).select("r.*")
-    keys = [c for c in rows.columns if c in ("x", "y", "z")]
-    # Before a sequence's first word nothing stands: what ends with it counts as often as it occurs.
-    n = F.when(F.max("first"), F.sum("times")).otherwise(F.sum("own")).alias("n")
-    return rows.groupBy(*keys).agg(F.max("m").alias("m"), n, *[F.sum(c).alias(c) for c in ("t", "s1", "s2", "s3")])
+def _counts_of(level: DataFrame, *of: int) -> DataFrame:
+    return level.groupBy("m").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in of])
 
 
 def _cut() -> Column:
     return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def _left() -> Column:
-    """The part of a context that its n-grams leave to lower orders."""
-    return (F.col("s1") * F.col("d1") + F.col("s2") * F.col("d2") + F.col("s3") * F.col("d3")) / F.greatest("t", F.lit(1))
-
-
-def count_records(trigrams: DataFrame, spelled: DataFrame, least: int) -> tuple[DataFrame, dict[int, float]]:
-    """(key, share, weight, size) of all n-grams, and for each model the logarithm of what the words leave to their spelling. trigrams: as
-    trigram_rows gives them; spelled: (z, spelled) for each word. size says how frequent a record is, in eighths of a power of two."""
-    three = staged(trigrams.groupBy("u", "v", "w").agg(F.max("m").alias("m"), F.max("first").alias("first"), F.sum("n").alias("n")), "trigrams")
-    two = _lower(three, [F.col("u").alias("x"), F.col("v").alias("y")], [F.col("v").alias("x"), F.col("w").alias("y")])
-    cut3 = _discounted(three, least)
-    two = staged(two.join(cut3, "m").select("x", "y", "m", "n", "t", F.when(F.col("t") > 0, F.log(_left())).otherwise(0.0).alias("g")), "pairs")
-    cut2 = _discounted(two)
-    # The n-grams of single words: none is a sequence's start.
-    one = staged(_lower(two.withColumn("first", F.lit(False)), [F.col("x").alias("z")], [F.col("y").alias("z")]), "words")
-    cut1 = _discounted(one)
-    root = one.filter("n > 0").join(cut1, "m").groupBy("m").agg(F.sum("n").alias("total"), F.sum(_cut()).alias("cut"))
-    root = root.select("m", "total", F.log(F.col("cut") / F.col("total")).alias("rest"))
-    roots = root.collect()
-    left = {r["m"]: r["rest"] for r in roots}
-    root = F.broadcast(one.sparkSession.createDataFrame([tuple(r) for r in roots], "m int, total long, rest double"))
-    one = one.join(spelled, "z", "left").join(root, "m").join(cut1, "m")
-    one = one.withColumn("log", F.when(F.col("n") > 0, F.log((F.col("n") - _cut()) / F.col("total") + F.exp(F.col("rest") + F.coalesce("spelled", F.lit(-700.0))))))
-    one = one.withColumn("share", F.when(F.col("n") > 0, F.col("log") - F.col("rest") - F.coalesce("spelled", F.lit(-700.0))).otherwise(0.0)).drop("d1", "d2", "d3")
-    one = one.join(cut2, "m", "left").withColumn("g", F.when(F.col("t") > 0, F.log(_left())).otherwise(0.0))
-    one = staged(one.select("z", "n", "t", "log", "share", "g"), "word-records")
-
-    before = one.select(F.col("z").alias("x"), F.col("t").alias("all"), F.col("g").alias("over"))
-    two = two.join(before, "x", "left").join(one.select(F.col("z").alias("y"), "log"), "y", "left").join(cut2, "m", "left")
-    lower = F.col("over") + F.col("log")
-    high = F.when(F.col("n") > 0, F.log((F.col("n") - _cut()) / F.greatest("all", F.lit(1)) + F.exp(lower)))
-    two = two.withColumn("high", high).withColumn("share", F.when(F.col("n") > 0, F.col("high") - lower).otherwise(0.0))
-    two = staged(two.select("x", "y", "n", "t", F.col("high").alias("log"), "share", "g"), "pair-records")
-
-    kept = three.filter(F.col("n") >= least).join(two.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("t").alias("all"), F.col("g").alias("over")), ["u", "v"])
-    kept = kept.join(two.select(F.col("x").alias("v"), F.col("y").alias("w"), "log"), ["v", "w"]).join(cut3, "m")
-    share = F.log((F.col("n") - _cut()) / F.col("all") + F.exp(lower)) - lower
-
-    none, units = F.lit(None).cast("long"), lambda c: F.round(c * UNIT).cast("long")
-    size = lambda c: F.floor(8 * F.log2(F.greatest(c, F.lit(1)).cast("double"))).cast("int").alias("size")
-    rows = one.select(none.alias("u"), none.alias("v"), F.col("z").alias("w"), units(F.col("share")).alias("share"), units(F.col("g")).alias("weight"), size(F.greatest("n", "t")))
-    rows = rows.unionAll(two.select(none, "x", "y", units(F.col("share")), units(F.col("g")), size(F.greatest("n", "t"))))
-    rows = rows.unionAll(kept.select("u", "v", "w", units(share), F.lit(0).cast("long"), size(F.greatest("n", F.lit(1)))))
+def _over(first: Column) -> Column:
+    """The logarithm of the part of a context that its n-grams leave to lower orders; first is what each seen once leaves."""
+    return F.when(F.col("t") > 0, F.log((F.col("s1") * first + F.col("s2") * F.col("d2") + F.col("s3") * F.col("d3")) / F.greatest("t", F.lit(1)))).otherwise(0.0)
+
+
+def count_records(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sequences]], spelled: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """(key, share, weight, size) of all n-grams of the sequences that read(batch) gives for the batches of rows, and for each model the
+    logarithm of what the words leave to their spelling. spelled: (z, spelled) for each word. size says how frequent a record is, in
+    eighths of a power of two."""
+    spark = rows.sparkSession
+
+    def over(emit: Callable[..., pa.RecordBatch], schema: str, *more: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for sequences in read(batch):
+                    if len(sequences[0]):
+                        yield emit(*sequences, *(x.value for x in more))
+
+        return rows.mapInArrow(run, schema)
+
+    zero = F.lit(0).cast("long")
+    met = over(trigram_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1")
+    met = staged(met, "met")
+    mask = spark.sparkContext.broadcast(Mask.of(met.select("k")))
+    three = over(trigram_words, "k long, m int, u long, v long, w long", mask).dropDuplicates(["k"]).join(met, "k")
+    three = staged(three, "trigrams")
+    mask.unpersist()
+
+    # A pair's counts as its trigrams make them: each of these seen n times is one that ends with it, though it adds n to how often it occurs.
+    n = F.col("n")
+    begun = F.struct(F.col("u").alias("x"), F.col("v").alias("y"), "m", n.alias("taken"), (n == 2).cast("long").alias("s2"), (n > 2).cast("long").alias("s3"), zero.alias("more"))
+    ended = F.struct(F.col("v").alias("x"), F.col("w").alias("y"), "m", zero.alias("taken"), zero.alias("s2"), zero.alias("s3"), (n - 1).alias("more"))
+    known = three.select(F.explode(F.array(begun, ended)).alias("r")).select("r.*").withColumns({"first": F.lit(False), "n": zero, "t": zero})
+    two = over(pair_rows, "x long, y long, m int, first boolean, n long, t long").withColumns({c: zero for c in ("taken", "s2", "s3", "more")}).unionByName(known)
+    # Before a sequence's first word nothing stands: what ends with it counts as often as it occurs.
+    own = F.when(F.max("first"), F.sum("n")).otherwise(F.sum("n") - F.sum("more")).alias("n")
+    two = two.groupBy("x", "y").agg(F.max("m").alias("m"), own, F.sum("t").alias("t"), (F.sum("t") - F.sum("taken")).alias("s1"), F.sum("s2").alias("s2"), F.sum("s3").alias("s3"), (F.sum("more") > 0).alias("ends"))
+    two = staged(two, "pairs")
+    once = two.groupBy("m").agg(F.sum("s1").alias("n1"))
+    cut3 = _discounted(spark, once.join(_counts_of(three, 2, 3, 4), "m", "left").collect())
+    cut2 = _discounted(spark, _counts_of(two, 1, 2, 3, 4).collect())
+
+    begun = F.struct(F.col("x").alias("z"), "m", n.alias("t"), (n == 1).cast("long").alias("s1"), (n == 2).cast("long").alias("s2"), (n > 2).cast("long").alias("s3"), zero.alias("n"))
+    ended = F.struct(F.col("y").alias("z"), "m", *[zero.alias(c) for c in ("t", "s1", "s2", "s3")], F.lit(1).cast("long").alias("n"))
+    one = two.filter("n > 0").select("x", "y", "m", "n").select(F.explode(F.array(begun, ended)).alias("r")).select("r.*")
+    one = staged(one.groupBy("z").agg(F.max("m").alias("m"), *[F.sum(c).alias(c) for c in ("t", "s1", "s2", "s3", "n")]), "words")
+    cut1 = _discounted(spark, _counts_of(one, 1, 2, 3, 4).collect())
+    roots = one.filter("n > 0").join(cut1, "m").groupBy("m").agg(F.sum("n").alias("total"), F.sum(_cut()).alias("cut")).select("m", "total", F.log(F.col("cut") / F.col("total")).alias("rest")).collect()
+    root = F.broadcast(spark.createDataFrame([tuple(r) for r in roots], "m int, total long, rest double"))
+
+    units = lambda c: F.round(c * UNIT).cast("long")
+    size = F.floor(8 * F.log2(F.greatest("n", "t", F.lit(1)).cast("double"))).cast("int").alias("size")
+    one = one.join(cut2, "m").withColumn("over", _over(F.col("d1"))).drop("d1", "d2", "d3")
+    one = one.join(spelled, "z", "left").join(root, "m").join(cut1, "m").withColumn("below", F.col("rest") + F.coalesce("spelled", F.lit(-700.0)))
+    one = one.withColumn("log", F.when(n > 0, F.log((n - _cut()) / F.col("total") + F.exp("below"))))
+    one = one.select(F.col("z").alias("key"), units(F.coalesce(F.col("log") - F.col("below"), F.lit(0.0))).alias("share"), units(F.col("over")).alias("weight"), size, "t", "over", "log")
+    one = staged(one, "word-records")
+
+    two = two.join(cut3, "m").select("x", "y", "m", "n", "t", _over(F.lit(1.0)).alias("over"), (F.col("s2") + F.col("s3") > 0).alias("begins"), "ends")
+    two = two.join(one.select(F.col("key").alias("x"), F.col("t").alias("all"), F.col("over").alias("left")), "x", "left")
+    two = two.join(one.select(F.col("key").alias("y"), (F.col("log")).alias("lower")), "y", "left").join(cut2, "m").withColumn("below", F.col("left") + F.col("lower"))
+    log = F.when(n > 0, F.log((n - _cut()) / F.greatest("all", F.lit(1)) + F.exp("below")))
+    two = two.withColumn("log", log).select("x", "y", units(F.coalesce(F.col("log") - F.col("below"), F.lit(0.0))).alias("share"), units(F.col("over")).alias("weight"), size, "t", "over", "log", "begins", "ends")
+    numbers = lambda batch, *at: [batch.column(i).to_numpy().view(np.uint64) for i in at]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, w = (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in range(3))
-            some_u, some_v = (batch.column(i).is_valid().to_numpy(zero_copy_only=False) for i in range(2))
-            key = np.where(some_u, mix(u * ODD + v), v)
-            key = np.where(some_v, mix(key * ODD + w), w)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[3:]], ["key", "share", "weight", "size"])
+            x, y = numbers(batch, 0, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(x * ODD + y).view(np.int64)), *batch.columns[2:]], ["key", *batch.schema.names[2:]])
+
+    two = staged(two.mapInArrow(keyed, StructType([StructField("key", LongType()), *two.schema.fields[2:]])), "pair-records")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, w = numbers(batch, 0, 1, 2)
+            yield pa.RecordBatch.from_arrays([*(pa.array(mix(a * ODD + b).view(np.int64)) for a, b in ((u, v), (v, w))), *batch.columns[3:]], ["uv", "vw", "key", "m", "n"])
 
-    return staged(rows.mapInArrow(keyed, "key long, share long, weight long, size int"), "records"), left
+    three = three.select("u", "v", "w", "k", "m", "n").mapInArrow(paired, "uv long, vw long, key long, m int, n long").join(cut3, "m")
+    three = three.join(two.filter("begins").select(F.col("key").alias("uv"), F.col("t").alias("all"), F.col("over").alias("left")), "uv")
+    three = three.join(two.filter("ends").select(F.col("key").alias("vw"), F.col("log").alias("lower")), "vw").withColumn("below", F.col("left") + F.col("lower"))
+    share = F.log((n - _cut()) / F.col("all") + F.exp("below")) - F.col("below")
+    three = staged(three.withColumn("t", zero).select("key", units(share).alias("share"), zero.alias("weight"), size), "trigram-records")
+    names = ["key", "share", "weight", "size"]
+    return one.select(names).unionAll(two.select(names)).unionAll(three), {r["m"]: r["rest"] for r in roots}
 
 
 class Frequent:
-    """The records of the most frequent n-grams, and a mask of the others' keys: where it is not set, there is no such record."""
+    """The records of the most frequent n-grams, and the mask of the others' keys."""
 
-    def __init__(self, keys: np.ndarray, share: np.ndarray, weight: np.ndarray, mask: np.ndarray):
+    def __init__(self, keys: np.ndarray, share: np.ndarray, weight: np.ndarray, mask: Mask):
         self.keys, self.share, self.weight, self.mask = HashArray(keys), share, weight, mask
 
-    def may_be(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> np.uint64(64 - MASK_BITS)
-        return (self.mask[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
     def read(self, codes: np.ndarray, begins: np.ndarray, model: np.uint64) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """What the records held add to each sequence, and what to ask the others for: the sequence, the key, as itself, as a context."""
-        code, token = padded(codes, begins, ORDER)
+        every, token, before = _keys(codes, begins, model)
         length = np.diff(begins)
         owner = np.repeat(np.arange(len(length)), length + ORDER - 1)
-        before = np.zeros(len(code), bool)  # whether a token of the sequence follows
-        before[:-1] = token[1:] & (owner[1:] == owner[:-1])
-        total = np.zeros(len(code), np.int64)
+        total = np.zeros(len(token), np.int64)
         asked: list[tuple[np.ndarray, ...]] = []
-        known = np.ones(len(code), bool)
-        for i, keys in enumerate(chain(code, model, ORDER)):
-            # The two pads are a context together, the first of them is not one by itself.
-            own, context = token, before if i < ORDER - 1 else np.zeros(len(code), bool)
+        known = np.ones(len(token), bool)
+        for i, keys in enumerate(every):
+            own, context = token, before if i < ORDER - 1 else np.zeros(len(token), bool)
             use = np.flatnonzero((own | context) & known)
             at = self.keys.find(keys[use])
             hit, held = use[at >= 0], at[at >= 0]
             total[hit] += self.share[held] * own[hit] + self.weight[held] * context[hit]
             rest = use[at < 0]
-            rest = rest[self.may_be(keys[rest])]
+            rest = rest[self.mask.may_hold(keys[rest])]
             asked.append((owner[rest], keys[rest], own[rest], context[rest]))
             # A trigram has a record only where both of its pairs have one.
-            found = np.zeros(len(code), bool)
+            found = np.zeros(len(token), bool)
             found[hit] = found[rest] = True
             if i == 1:
                 known = found.copy()
@@ -181,11 +242,6 @@ def frequent_of(records: DataFrame, most: int | None = None) -> tuple[Frequent,
             break
     top = records.filter(F.col("size") >= least).select("key", "share", "weight").toArrow()
     rest = records.filter(F.col("size") < least).select("key", "share", "weight")
-    at = F.shiftrightunsigned("key", 64 - MASK_BITS)
-    cells = rest.select(F.shiftright(at, 6).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - MASK_BITS}) & 63 as int))").alias("bit"))
-    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    mask = np.zeros(1 << (MASK_BITS - 6), np.uint64)
-    mask[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     keys = top["key"].to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    return Frequent(keys[by], top["share"].to_numpy()[by], top["weight"].to_numpy()[by], mask), rest
+    return Frequent(keys[by], top["share"].to_numpy()[by], top["weight"].to_numpy()[by], Mask.of(rest.select("key"))), rest

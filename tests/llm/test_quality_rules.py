@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parallax.llm import quality_rules
+from parallax.llm import quality_rules, word_ngrams
 from parallax.llm.ngram_tables import PAD, chain, count_ngrams, discounts, name_code, ngram_rows, word_codes
 from parallax.llm.quality_rules import QualityModel, Words, band, judge, op12_quality_rules, train_quality
-from parallax.llm.word_ngrams import UNIT, count_records, frequent_of, trigram_rows
+from parallax.llm.word_ngrams import UNIT, count_records, frequent_of
 
 
 def plain_counts(text):
@@ -180,14 +180,13 @@ def test_joined_records_equal_plain_dictionaries(spark, most):
     model, base = name_code("xx"), lambda w: 0.001 / w
     df = spark.createDataFrame([(s,) for s in sequences], "s array<long>").repartition(3)
 
-    def rows(batches):
-        for batch in batches:
-            lists = batch.column(0).to_pylist()
-            yield trigram_rows(np.array([x for s in lists for x in s], np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in lists])]), model, 0)
+    def read(batch):
+        lists = batch.column(0).to_pylist()
+        yield np.array([x for s in lists for x in s], np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in lists])]), model, 0
 
     keys = {w: int(chain(np.array([w], np.uint64), model, 1)[0][0].view(np.int64)) for w in range(1, 14)}
     spelled = spark.createDataFrame([(k, math.log(base(w))) for w, k in keys.items()], "z long, spelled double")
-    records, left = count_records(df.mapInArrow(rows, "m int, first boolean, u long, v long, w long, n long"), spelled, 2)
+    records, left = count_records(df, read, spelled)
     frequent, rest = frequent_of(records, most)
     assert len(frequent.keys.keys) <= most
     others = {r.key: (r.share, r.weight) for r in rest.collect()}
@@ -212,13 +211,13 @@ def test_every_labelled_document_counts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, text(i), "xx") for i in ids], "doc_id long, text string, lang string").repartition(4)
     labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
     seen = []
-    monkeypatch.setattr(quality_rules, "count_records", lambda trigrams, spelled, least: seen.append((trigrams, spelled)) or count_records(trigrams, spelled, least))
+    monkeypatch.setattr(quality_rules, "count_records", lambda rows, read, spelled: seen.append((rows, spelled)) or count_records(rows, read, spelled))
     fitted = []
     monkeypatch.setattr(quality_rules, "fit_bands", lambda scored, marked: fitted.append(scored.join(marked, "id").groupBy("part").count().collect()) or {})
     model = train_quality(docs, labels)
     learned = [i for i in ids if crc(i) < 2]
     assert sum(len(text(i)) for i in learned) > 2_000_000 and sum(crc(i) == 3 for i in ids) > 1500
-    assert seen[0][0].agg({"n": "sum"}).first()[0] == 12 * len(learned) and seen[0][1].count() == 12 * len(learned)
+    assert seen[0][0].count() == len(learned) and seen[0][1].count() == 12 * len(learned)
     assert {r["part"]: r["count"] for r in fitted[0]} == {2: len(learned), 1: sum(crc(i) == 3 for i in ids)}
     monkeypatch.undo()
     bits = {r.doc_id: r.bits for r in judge(docs, model, ["doc_id"]).collect()}
@@ -240,6 +239,19 @@ def test_rows_without_a_language_have_a_model_of_all(spark):
     assert sum(good) > 0.5 * len(good) and not any(bad)
 
 
+def test_rarer_ngrams_are_joined(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(40)], k=25)), ["xx", None][i % 7 == 0]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 20 > 0)) for i, _, _ in rows], "doc_id long, quality int")
+    got = []
+    for most in (word_ngrams.FREQUENT, 60, 0):
+        monkeypatch.setattr(word_ngrams, "FREQUENT", most)
+        model = train_quality(docs, labels)
+        got.append((model.bands, sorted(map(tuple, judge(docs, model, ["doc_id", "text", "lang"]).collect()), key=lambda r: r[0])))
+    assert len(got[0][1]) == 600 and got[0] == got[1] == got[2]
+
+
 def test_band_of_counts_equals_band_of_values():
     rng = np.random.default_rng(4)
     good, bad, learned = (np.round(rng.normal(m, 0.3, n), 1) for m, n in ((2, 400), (4, 90), (1.8, 300)))
