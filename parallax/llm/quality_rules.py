@@ -371,7 +371,8 @@ def surprise(docs: DataFrame, model: QualityModel, columns: list[str], text_col:
                     asked.append((np.flatnonzero(mine)[place], *more))
                 # A row for each text, and one for each bucket of records that the slice asks.
                 ask = asked_rows(*map(np.concatenate, zip(*asked, strict=True)), n, number, bits)
-                own = [pa.array(np.full(n, number & (1 << bits) - 1, np.int32)), pa.array(np.full(n, number, np.int64))]
+                home = int(mix(np.array([number], np.uint64))[0]) >> (64 - bits)
+                own = [pa.array(np.full(n, home, np.int32)), pa.array(np.full(n, number, np.int64))]
                 texts = [*map(pa.array, (np.arange(n, dtype=np.int32), log, size, *(c.astype(np.int64) for c in counts), fails(counts))), pa.array(names, pa.string()), batch.column(0).slice(a, n)]
                 columns = [pa.concat_arrays(x) for x in zip(own, ask.columns[:2], strict=True)]
                 columns += [pa.concat_arrays([pa.nulls(n, x.type), x]) for x in ask.columns[2:]]

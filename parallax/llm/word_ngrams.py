@@ -37,31 +37,39 @@ FREQUENT, MASK_BITS = 1_000_000, 27
 
 
 class Mask:
-    """Bits by the first bits of keys; where none is set, no such key is among them."""
+    """Two bits for each key, both in its bucket's section; where one is not set, no such key is among them."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, cells: np.ndarray, bits: int):
+        self.cells, self.bits = cells, bits
 
     @classmethod
-    def of(cls, packed: DataFrame) -> Mask:
-        """The mask of PACKED records; each bucket has a section of it. It has the same size whatever there is of them."""
+    def of(cls, packed: DataFrame, bits: int) -> Mask:
+        """The mask of PACKED records. It has the same size whatever there is of them."""
 
         def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for bucket, bits, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for bucket, raw in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                    key = keys_of(raw)
                     cells = np.zeros(1 << (MASK_BITS - bits), bool)
-                    cells[keys_of(raw) >> np.uint64(64 - MASK_BITS)] = True
+                    cells[key >> np.uint64(64 - MASK_BITS)] = True
+                    cells[key & np.uint64(len(cells) - 1)] = True
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())], ["bucket", "section"])
 
-        found = packed.select("bucket", "bits", "keys").mapInArrow(sections, "bucket int, section binary").toArrow()
-        bits = np.zeros(1 << (MASK_BITS - 3), np.uint8)
+        found = packed.select("bucket", "keys").mapInArrow(sections, "bucket int, section binary").toArrow()
+        cells = np.zeros(1 << (MASK_BITS - 3), np.uint8)
         for bucket, section in zip(found["bucket"].to_pylist(), found["section"].to_pylist(), strict=True):
-            bits[bucket * len(section) : (bucket + 1) * len(section)] |= np.frombuffer(section, np.uint8)
-        return cls(bits.view(np.uint64))
+            cells[bucket * len(section) : (bucket + 1) * len(section)] = np.frombuffer(section, np.uint8)
+        return cls(cells.view(np.uint64), bits)
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.cells[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> np.uint64(64 - MASK_BITS)
-        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        out = self._set(keys >> np.uint64(64 - MASK_BITS))
+        left = keys[out]
+        low = MASK_BITS - self.bits
+        out[out] = self._set(left >> np.uint64(64 - self.bits) << np.uint64(low) | left & np.uint64((1 << low) - 1))
+        return out
 
 
 def _keys(codes: np.ndarray, begins: np.ndarray, model: np.uint64) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -450,7 +458,7 @@ def split_records(records: DataFrame, most: int | None = None) -> tuple[Frequent
     packed = pack_records(records.filter(F.col("size") < least).select("key", "share", "weight"), bits)
     keys = top["key"].to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    return Frequent(keys[by], top["share"].to_numpy()[by], top["weight"].to_numpy()[by], Mask.of(packed)), packed, bits
+    return Frequent(keys[by], top["share"].to_numpy()[by], top["weight"].to_numpy()[by], Mask.of(packed, bits)), packed, bits
 
 
 def frequent_of(records: DataFrame, most: int | None = None) -> tuple[Frequent, DataFrame]:
@@ -459,7 +467,7 @@ def frequent_of(records: DataFrame, most: int | None = None) -> tuple[Frequent,
     return frequent, unpacked_records(packed)
 
 
-#: What the texts of a slice ask of a bucket: the next 48 bits of the keys, how many each text asks for, and whether as an n-gram (1), a context (2) or both.
+#: What the texts of a slice ask of a bucket: the next 48 bits of the keys, how many each text asks for, and bits that say whether as an n-gram and as a context.
 ASKED = "bucket int, slice long, keys binary, counts binary, flags binary"
 _NEXT = np.uint64(16)
 
@@ -467,14 +475,14 @@ _NEXT = np.uint64(16)
 def asked_rows(owner: np.ndarray, key: np.ndarray, own: np.ndarray, context: np.ndarray, texts: int, number: int, bits: int) -> pa.RecordBatch:
     """ASKED of a slice of so many texts, from what Frequent.read() leaves open."""
     bucket, rest = within(key, bits)
-    by = np.lexsort((owner, bucket))
+    by = np.argsort(bucket * texts + owner)
     bucket, owner = bucket[by], owner[by]
-    rest, flags = (rest[by] << np.uint64(bits)) >> _NEXT, own[by] + 2 * context[by].astype(np.int64)
-    starts = np.flatnonzero(np.r_[len(bucket) > 0, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    rest, flags = (rest[by] << np.uint64(bits)) >> _NEXT, np.stack([own[by], context[by]])
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     ends = np.r_[starts[1:], len(bucket)][: len(starts)]
     spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
     columns = [bucket[starts].astype(np.int32), np.full(len(starts), number, np.int64), [numbers_packed(rest[a:b]) for a, b in spans]]
-    columns += [[numbers_packed(np.bincount(owner[a:b], minlength=texts)) for a, b in spans], [numbers_packed(flags[a:b]) for a, b in spans]]
+    columns += [[numbers_packed(np.bincount(owner[a:b], minlength=texts)) for a, b in spans], [np.packbits(flags[:, a:b], axis=1).tobytes() for a, b in spans]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _schema(ASKED).types, strict=True)], schema=_schema(ASKED))
 
 
@@ -485,12 +493,13 @@ def answers(asked: pa.Table, packed: pa.Table) -> list[bytes]:
     records = HashArray(key >> _NEXT << _NEXT)
     out = []
     for part in asked.select(["keys", "counts", "flags"]).to_batches(max_chunksize=256):
-        keys, counts, flags = ([numbers_of(x) for x in c.to_pylist()] for c in part.columns)
-        at, flag = records.find(np.concatenate(keys) << _NEXT), np.concatenate(flags)
+        keys, counts = ([numbers_of(x) for x in c.to_pylist()] for c in part.columns[:2])
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1, count=len(k)) for x, k in zip(part.column(2).to_pylist(), keys, strict=True)]
+        at, (own, context) = records.find(np.concatenate(keys) << _NEXT), np.concatenate(flags, axis=1)
         value = np.zeros(len(at), np.int64)
         hit = np.flatnonzero(at >= 0)
         held = at[hit]
-        value[hit] = share[held] * (flag[hit] & np.uint64(1) > 0) + weight[held] * (flag[hit] & np.uint64(2) > 0)
+        value[hit] = share[held] * own[hit] + weight[held] * context[hit]
         total = sums(value, np.r_[0, np.cumsum(np.concatenate(counts).astype(np.int64))]).astype(np.int64)
         ends = np.cumsum([len(c) for c in counts])
         out += [signed_packed(total[e - len(c) : e]) for e, c in zip(ends.tolist(), counts, strict=True)]

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -257,3 +258,44 @@ def test_band_of_counts_equals_band_of_values():
     good, bad, learned = (np.round(rng.normal(m, 0.3, n), 1) for m, n in ((2, 400), (4, 90), (1.8, 300)))
     counted = [np.unique(x, return_counts=True) for x in (good, bad, learned)]
     assert np.allclose(band(good, bad, learned), band(*(x for x, _ in counted), times=tuple(n for _, n in counted)))
+
+
+def test_packed_numbers():
+    for x in ([], [0, 0, 0], [1, 255], [256, 1 << 63, 5]):
+        assert word_ngrams.numbers_of(word_ngrams.numbers_packed(np.array(x, np.uint64))).tolist() == x
+    for x in ([], [0], [-1, 1, -(1 << 40), 1 << 40]):
+        assert word_ngrams.signed_of(word_ngrams.signed_packed(np.array(x, np.int64))).tolist() == x
+
+
+def test_packed_records_answer_what_is_asked(spark):
+    rng = np.random.default_rng(7)
+    keys = np.unique(rng.integers(0, 1 << 64, 3000, dtype=np.uint64))
+    share, weight = rng.integers(-9, 9, len(keys)), rng.integers(-9, 9, len(keys))
+    rows = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), share.tolist(), weight.tolist(), strict=True)), "key long, share long, weight long").repartition(3)
+    packed = word_ngrams.pack_records(rows, 4)
+    assert sorted(map(tuple, word_ngrams.unpacked_records(packed).collect())) == sorted(map(tuple, rows.collect()))
+    mask = word_ngrams.Mask.of(packed, 4)
+    others = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    assert mask.may_hold(keys).all() and mask.may_hold(others).mean() < 0.01
+    ask, owner = np.concatenate([keys[::3], others]), rng.integers(0, 50, len(keys[::3]) + len(others))
+    own, context = rng.random((2, len(ask))) < 0.5
+    asked = word_ngrams.asked_rows(owner, ask, own, context, 50, 0, 4)
+    total = np.zeros(50, np.int64)
+    by_bucket = {r["bucket"]: r for r in packed.toArrow().to_pylist()}
+    for r in asked.to_pylist():
+        one = pa.Table.from_pylist([by_bucket[r["bucket"]]])
+        total += word_ngrams.signed_of(word_ngrams.answers(pa.Table.from_pylist([r]), one)[0])
+    of = {k: (a, b) for k, a, b in zip(keys.tolist(), share.tolist(), weight.tolist(), strict=True)}
+    want = [0] * 50
+    for o, k, a, b in zip(owner.tolist(), ask.tolist(), own, context, strict=True):
+        want[o] += of.get(k, (0, 0))[0] * a + of.get(k, (0, 0))[1] * b
+    assert total.tolist() == want
+
+
+def test_stages_go_once_they_are_read(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("stage-*"))
+    op12_quality_rules(spark, "/root/testdata/sf0.001").collect()
+    left = {p.name.split("-")[1] for p in set(shared.glob("stage-*")) - before}
+    assert left <= {"surprise", "ngrams"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
