@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 from .hash_array import HashArray
 from .shingles import BASE, INVERSE, mix, powers
 from .word_index import sums
@@ -156,6 +156,7 @@ def count_ngrams(rows: DataFrame, order: int, make: Callable[[], Callable[[pa.Re
     top = level = level.withColumn("adjusted", F.col("n")).persist()
     shares, weights = {}, {}
     even: dict[int, float] = {}
+    held: DataFrame | None = None
     for i in range(order, 0, -1):
         context = F.col(f"c{i}") if i > 1 else F.col("model")
         shares[i], weights[i], sizes = _shares(level.select("model", F.col(f"k{i}").alias("key"), context.alias("context"), F.col("adjusted").alias("n")), least if i == order > 1 else 1)
@@ -165,8 +166,13 @@ def count_ngrams(rows: DataFrame, order: int, make: Callable[[], Callable[[pa.Re
             # Before a sequence's first tokens nothing stands: such an n-gram counts as often as it occurs.
             adjusted = F.when(F.first("free") < i - 1, F.sum("n")).otherwise(F.count("*"))
             level = level.groupBy("model", f"k{i - 1}").agg(*[F.first(c).alias(c) for c in kept], F.sum("n").alias("n"), adjusted.alias("adjusted"))
-            level = staged(level, "ngrams")
+            above, level = held, staged(level, "ngrams")
+            held = level
+            if above is not None:
+                discard(above)
     top.unpersist()
+    if held is not None:
+        discard(held)
     root, weight = weights[1]
     return NgramTables(order, [_table(*shares[i], *weights.get(i + 1, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))) for i in range(1, order + 1)], even, dict(zip(root.tolist(), weight.tolist(), strict=True)))
 

@@ -160,6 +160,7 @@ def _pair_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _state(group: pa.Table) -> pa.Table:
     """STATE of a bucket, from its TRIGRAMS; a row for each model."""
+    pa.default_memory_pool().release_unused()
     out = []
     for m in pc.unique(group["m"]).to_pylist():
         mine = group.filter(pc.equal(group["m"], m))
@@ -247,6 +248,7 @@ def _sizes(n: np.ndarray) -> np.ndarray:
 
 def _pair_records(state: pa.Table, values: pa.Table, cut2: dict, cut3: dict) -> pa.Table:
     """RECORDS of a bucket's pairs and trigrams, from its STATE and VALUES."""
+    pa.default_memory_pool().release_unused()
     z, log, context = values["z"].to_numpy().view(np.uint64), values["log"].to_numpy(), values["context"].to_numpy()
     by = np.argsort(z)
     z, log, context = z[by], log[by], context[by]
@@ -379,8 +381,8 @@ class Frequent:
 
 #: Records by the first bits of their keys (bits: how many, bucket: which): the steps between the keys' other bits in order, share and weight.
 PACKED = "bucket int, bits int, keys binary, share binary, weight binary"
-#: Records that a bucket has, about.
-BUCKET = 1_000_000
+#: Records that a bucket has, about, and those that a task holds before it packs them.
+BUCKET, HELD_RECORDS = 1_000_000, 400_000
 
 
 def _packed_row(bucket: int, bits: int, key: np.ndarray, share: np.ndarray, weight: np.ndarray) -> list:
@@ -415,18 +417,20 @@ def pack_records(rest: DataFrame, bits: int) -> DataFrame:
             ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             rows = [_packed_row(i, bits, key[a:b], share[a:b], weight[a:b]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
             yield from _packed_table(rows).to_batches()
+            pa.default_memory_pool().release_unused()
 
         n = 0
         for batch in batches:
             held.append([batch.column(0).to_numpy().view(np.uint64).copy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64)])
             n += batch.num_rows
-            if n >= 2 * BUCKET:
+            if n >= HELD_RECORDS:
                 yield from out()
                 n = 0
         if held:
             yield from out()
 
     def one(group: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         key, share, weight = (np.concatenate([f(x) for x in group[c].to_pylist()]) for c, f in (("keys", keys_of), ("share", signed_of), ("weight", signed_of)))
         by = np.argsort(key)
         return _packed_table([_packed_row(group["bucket"][0].as_py(), bits, key[by], share[by], weight[by])])
