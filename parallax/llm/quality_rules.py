@@ -189,6 +189,7 @@ class QualityModel:
 
     def __init__(self, sent: Broadcast | None, bands: dict[str, tuple[float, float]], spelling: Broadcast | None = None, rest: DataFrame | None = None, bits: int = 0, any_language: bool = False):
         self.sent, self.bands, self.spelling, self.rest, self.bits, self.any_language = sent, bands, spelling, rest, bits, any_language
+        self.learned: list[DataFrame] = []  # the stages that it was counted from
 
 
 def _quantile(values: np.ndarray, times: np.ndarray, q: float) -> float:
@@ -324,11 +325,11 @@ def count_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 pa.default_memory_pool().release_unused()
 
     records, left = count_records(rows, sequences, vocabulary.mapInArrow(spellings, "z long, spelled double"))
-    discard(rows)
-    discard(vocabulary)
     frequent, rest, bits = split_records(records)
     discard(records)
-    return QualityModel(spark.sparkContext.broadcast(Perplexity(models, [left.get(m, 0.0) for m in range(len(models))], frequent)), {}, sent, rest, bits, models[-1] == ANY)
+    model = QualityModel(spark.sparkContext.broadcast(Perplexity(models, [left.get(m, 0.0) for m in range(len(models))], frequent)), {}, sent, rest, bits, models[-1] == ANY)
+    model.learned = [rows, vocabulary]
+    return model
 
 
 def surprise(docs: DataFrame, model: QualityModel, columns: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -457,6 +458,8 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     with freed_shuffles(spark):
         model = count_models(docs, labels)
+        for df in model.learned:
+            discard(df)
         # Scored once: the bands are fitted on the same rows that they judge.
         scored = staged(surprise(docs, model, ["doc_id"]), "surprise")
         if model.sent is not None:
